@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallywork import constants as K
+from tallywork.functions.binding import let
 from tallywork.functions.text import trim_all
 
 SALARY = "struct<min_salary:int,max_salary:int>"
@@ -73,8 +74,12 @@ def parse_salary_text(raw: Column) -> Column:
         F.transform(F.regexp_extract_all(raw, F.lit(K.SALARY_NUMBER), F.lit(1)), amount),
         lambda n: n.between(F.lit(K.MIN_ANNUAL_SALARY), F.lit(K.MAX_ANNUAL_SALARY)),
     )
-    first = F.try_element_at(amounts, F.lit(1))
-    return _salary(first, F.coalesce(F.try_element_at(amounts, F.lit(2)), first))
+
+    def first_two(found: Column) -> Column:
+        first = F.try_element_at(found, F.lit(1))
+        return _salary(first, F.coalesce(F.try_element_at(found, F.lit(2)), first))
+
+    return let(amounts, first_two)
 
 
 def pick_salary(lo: Column, hi: Column, text: Column) -> Column:
@@ -109,19 +114,27 @@ def filter_keywords(keywords: Column) -> Column:
 
 def dedupe_insensitive(items: Column) -> Column:
     """Drop repeats regardless of case; the first spelling stays."""
-    lowered = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+
+    def first_spellings(given: Column) -> Column:
+        lowered = F.transform(given, lambda x: F.lower(x))
+        return let(
+            lowered, lambda low: F.filter(given, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+        )
+
+    return let(items, first_spellings)
 
 
 def dedupe_substrings(items: Column) -> Column:
     """Drop items that are part of a longer item, regardless of case."""
-    return F.filter(
-        items,
-        lambda x: ~F.exists(
-            items,
-            lambda other: F.contains(F.lower(other), F.lower(x)) & (F.length(F.lower(other)) > F.length(F.lower(x))),
-        ),
-    )
+
+    def in_longer(low: Column, x: Column) -> Column:
+        return F.exists(low, lambda other: (F.length(other) > F.length(x)) & F.contains(other, x))
+
+    def whole(given: Column) -> Column:
+        lowered = F.transform(given, lambda x: F.lower(x))
+        return let(lowered, lambda low: F.filter(given, lambda x: ~in_longer(low, F.lower(x))))
+
+    return let(items, whole)
 
 
 def merge_skills(parsed: Column, keywords: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallywork import constants as K
+from tallywork.functions.binding import let
 from tallywork.functions.postings import dedupe_substrings
 from tallywork.functions.text import one_of, trim_all
 
@@ -13,8 +14,12 @@ from tallywork.functions.text import one_of, trim_all
 def parse_json_block(raw: Column) -> Column:
     """The answer as a variant: code fences dropped; failing that, the widest `{…}` block; else null."""
     bare = F.replace(F.regexp_replace(trim_all(raw), r"(?i)```(?:json)?\s*", ""), F.lit("```"), F.lit(""))
-    block = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(block))
+    return let(
+        bare,
+        lambda text: F.coalesce(
+            F.try_parse_json(text), F.try_parse_json(F.regexp_extract(text, r"(?s)\{.*\}", 0))
+        ),
+    )
 
 
 def _kind(value: Column) -> Column:
@@ -42,7 +47,7 @@ def _strings(value: Column, path: str) -> Column:
     kept = F.transform(
         F.filter(_items(value, path), lambda x: _kind(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string")
     )
-    return F.when(F.size(kept) > 0, kept)
+    return let(kept, lambda strings: F.when(F.size(strings) > 0, strings))
 
 
 def _or_empty(strings: Column) -> Column:
@@ -51,7 +56,10 @@ def _or_empty(strings: Column) -> Column:
 
 def extract_job(raw: Column) -> Column:
     """A parsed posting from an answer; every field null where the answer cannot be read."""
-    v = parse_json_block(raw)
+    return let(parse_json_block(raw), _job_fields)
+
+
+def _job_fields(v: Column) -> Column:
     return F.struct(
         _string(v, "$.summary").alias("summary"),
         _string(v, "$.salary").alias("salary"),
@@ -66,8 +74,10 @@ def extract_job(raw: Column) -> Column:
 
 def extract_resume(raw: Column) -> Column:
     """A parsed resume; experience needs a company or a title, education an institution."""
-    v = parse_json_block(raw)
+    return let(parse_json_block(raw), _resume_fields)
 
+
+def _resume_fields(v: Column) -> Column:
     def text(item: Column, field: str) -> Column:
         return F.coalesce(_string(item, f"$.{field}"), F.lit(""))
 
@@ -106,7 +116,10 @@ def extract_route(raw: Column, intents: list[str]) -> Column:
 
     Salaries that are text are read as numbers; a bound that is no number is left out.
     """
-    v = F.try_parse_json(trim_all(raw))
+    return let(F.try_parse_json(trim_all(raw)), lambda v: _route_fields(v, intents))
+
+
+def _route_fields(v: Column, intents: list[str]) -> Column:
     kind = one_of(_string(v, "$.type"), K.ROUTES)
     intent = F.when(kind.isNotNull(), one_of(_string(v, "$.intent"), ("filter_jobs", *intents)))
 

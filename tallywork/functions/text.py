@@ -92,7 +92,7 @@ def keyword_regex_column(keyword: Column) -> Column:
 
 def match_keyword(text: Column, keyword: Column) -> Column:
     """Row-wise keyword match for keywords that are data."""
-    return F.lower(text).rlike(keyword_regex_column(keyword))
+    return F.rlike(F.lower(text), keyword_regex_column(keyword))
 
 
 # ---- question fields, verdicts, label warnings ---------------------------------------------------

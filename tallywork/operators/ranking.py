@@ -22,6 +22,11 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return ranked if rank else ranked.drop(name)
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """All rows with their position within the key. For keys whose groups are known to be short."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def first_seen(df: DataFrame, keys: Sequence[str], position: Sequence[str]) -> DataFrame:
     """Keep the first row per key in reading order."""
     return top_per_key(df, keys, [F.asc(c) for c in position], 1)

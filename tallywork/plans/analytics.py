@@ -33,7 +33,8 @@ def run_template(jobs: DataFrame, name: str, params: Sequence[str] = ()) -> Data
 
 # ---- building blocks -----------------------------------------------------------------------------
 
-_rows = F.count(F.lit(1))
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def mean_rounded(amount: Column, divisor: int = 1) -> Column:
@@ -46,7 +47,7 @@ def mean_rounded(amount: Column, divisor: int = 1) -> Column:
 
 
 def counted(df: DataFrame, key: str, measure: str, top: int | None) -> DataFrame:
-    counts = df.groupBy(key).agg(_rows.alias(measure))
+    counts = df.groupBy(key).agg(_rows().alias(measure))
     order = (F.desc(measure), F.asc_nulls_last(key))
     return counts.orderBy(*order) if top is None else top_n(counts, top, *order)
 
@@ -72,7 +73,7 @@ def _salary_stats(rows: DataFrame, by: str | None, top: int | None) -> DataFrame
         F.min("min_salary").alias("min"),
         F.max("max_salary").alias("max"),
         mean_rounded(F.col("min_salary")).alias("avg"),
-        _rows.alias("job_count"),
+        _rows().alias("job_count"),
     )
     if by is None:
         return stats
@@ -85,7 +86,7 @@ def _salary_stats(rows: DataFrame, by: str | None, top: int | None) -> DataFrame
 
 @template
 def count_total(jobs: DataFrame) -> DataFrame:
-    return jobs.agg(_rows.alias("total"))
+    return jobs.agg(_rows().alias("total"))
 
 
 @template
@@ -105,7 +106,7 @@ def count_by_company(jobs: DataFrame) -> DataFrame:
 
 @template
 def count_remote(jobs: DataFrame) -> DataFrame:
-    return jobs.filter(is_remote_text()).agg(_rows.alias("count"))
+    return jobs.filter(is_remote_text()).agg(_rows().alias("count"))
 
 
 # ---- salaries ------------------------------------------------------------------------------------

@@ -74,7 +74,7 @@ def scores_by_token(jobs: DataFrame, queries: DataFrame) -> DataFrame:
     plain = met.filter(F.col("keyword") == F.col("token"))
     checked = hot_key_join(
         met.filter(F.col("keyword") != F.col("token")), texts, ["id", "points"], "inner", ["keyword"]
-    ).filter(F.col("text").rlike(keyword_regex_column(F.col("keyword"))))
+    ).filter(F.rlike("text", keyword_regex_column(F.col("keyword"))))
     matches = plain.select("id", "points", "keyword").unionByName(checked.select("id", "points", "keyword"))
     best = hot_key_join(matches, keywords.drop("token"), "keyword", "inner", ["id"]).groupBy(
         "id", "query_id", "n_groups", "g"

@@ -13,7 +13,7 @@ from tallywork.functions.postings import salary_header
 from tallywork.functions.text import detect_fields, round_half_up
 from tallywork.operators.filters import filter_jobs
 from tallywork.operators.joins import bounded_join
-from tallywork.operators.ranking import top_per_key
+from tallywork.operators.ranking import ranked, top_per_key
 from tallywork.operators.vector import MAX_BLOCK_QUERIES, vector_rank_within, vector_top_k
 
 JOB_FIELDS = [
@@ -122,8 +122,7 @@ def rank_given(chunks: DataFrame, queries: DataFrame, wanted: DataFrame) -> Data
     scored = wanted.join(scores, ["query_id", "job_id"], "left").withColumn(
         "similarity", F.coalesce("similarity", F.lit(0.0))
     )
-    order = [F.desc("similarity"), F.asc("pos")]
-    return top_per_key(scored, ["query_id"], order, 2**31 - 1, rank="rank")
+    return ranked(scored, ["query_id"], [F.desc("similarity"), F.asc("pos")])
 
 
 # ---- context -------------------------------------------------------------------------------------

@@ -45,7 +45,7 @@ PARSED_JOB = (
 
 EVAL_QUERY = (
     "id STRING, category STRING, query STRING, expected_keywords ARRAY<STRING>, "
-    "keyword_groups ARRAY<ARRAY<STRING>>, min_relevant INT, max_relevant INT"
+    "keyword_groups ARRAY<ARRAY<STRING>>, min_relevant INT, max_relevant INT, position INT"
 )
 JUDGMENT = "judge STRING, query_id STRING, job_id STRING, verdict STRING"
 EMBEDDING_CACHE = "text_hash STRING, model STRING, embedding ARRAY<FLOAT>, cached_at TIMESTAMP_NTZ"

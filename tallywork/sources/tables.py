@@ -91,8 +91,8 @@ def split_judgment_keys(pairs: DataFrame) -> DataFrame:
 def catalogue(spark: SparkSession) -> DataFrame:
     """The built-in evaluation questions."""
     rows = [
-        (q["id"], q["category"], q["query"], q.get("expected", []), q.get("groups"), q["min"], q.get("max"))
-        for q in EVAL_QUERIES
+        (q["id"], q["category"], q["query"], q.get("expected", []), q.get("groups"), q["min"], q.get("max"), i)
+        for i, q in enumerate(EVAL_QUERIES)
     ]
     return spark.createDataFrame(rows, schemas.EVAL_QUERY)
 
