@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics", "fields")
+MODULES = ("analytics", "fields", "chunking", "search")
 
 
 def all_checks():
