@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics", "fields", "chunking", "search")
+MODULES = ("analytics", "fields", "chunking", "search", "quality")
 
 
 def all_checks():

@@ -13,7 +13,8 @@ from tallywork.operators import embedding as E
 from tallywork.operators import vector as V
 from tallywork.plans import retrieval as R
 from tallywork.plans import routing
-from tallywork.plans.analytics import TEMPLATES
+from tallywork.operators.filters import filter_jobs
+from tallywork.plans.ingest import has_embedding
 
 _SEARCH = (views.CHUNKS, views.QUESTIONS, views.PAIRS)
 
@@ -167,7 +168,8 @@ def wanted(spark, sf):
     + "SELECT p.query_id, p.job_id, p.chunk_id, round(p.similarity, 6) AS similarity FROM pairs p JOIN wanted w USING (query_id, job_id)",
 )
 def _(spark, sf):
-    ranked = V.vector_rank_within(views.chunks(spark, sf), views.questions(spark, sf), wanted(spark, sf))
+    asked = views.questions(spark, sf)
+    ranked = V.vector_rank_within(views.chunks(spark, sf), asked, wanted(spark, sf), R.question_bound(asked))
     return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -256,21 +258,22 @@ def _(spark, sf):
     return _blocks(spark, sf).select("query_id", "job_id", "rank", "block")
 
 
+_ASKED = "concat(title, ' duties and benefits', CASE WHEN id % 5 = 0 THEN ' or skills' ELSE '' END)"
+
+
 @check(
     "R04_field_appendix",
     with_ctes(
-        views.JOBS, DETAILS,
-        f"s AS (SELECT *, {FIELDS_SQL.format(q='title || CASE id % 5 WHEN 0 THEN chr(32) || chr(115) || chr(107) || chr(105) || chr(108) || chr(108) ELSE chr(32) END || description || chr(32) || ' + chr(39) + 'duties and benefits' + chr(39))} AS fields, "
-        "CASE id % 3 WHEN 0 THEN '[benefits]: x' ELSE 'nothing' END AS body FROM details)",
+        views.JOBS,
+        DETAILS,
+        f"s AS (SELECT *, {FIELDS_SQL.format(q=_ASKED)} AS fields, CASE id % 3 WHEN 0 THEN '[benefits]: x' ELSE 'nothing' END AS body FROM details)",
     )
     + f"SELECT id, {_appendix_sql('body')} AS appendix FROM s",
-)
+)
 def _(spark, sf):
-    question = F.concat(
-        "title", F.when(F.col("id") % 5 == 0, F.lit(" skill")).otherwise(F.lit(" ")), "description", F.lit(" duties and benefits")
-    )
+    rows = job_details(spark, sf).withColumn("asked", F.expr(_ASKED))
     body = F.when(F.col("id") % 3 == 0, F.lit("[benefits]: x")).otherwise(F.lit("nothing"))
-    return job_details(spark, sf).select("id", R.field_appendix(R.detect_fields(question), body).alias("appendix"))
+    return rows.select("id", R.field_appendix(R.detect_fields(F.col("asked")), body).alias("appendix"))
 
 
 _GIVEN_BLOCKS = (
@@ -451,8 +454,8 @@ def _(spark, sf):
     "R10_filter_then_retrieve",
     with_ctes(
         views.JOBS, DETAILS, *_SEARCH,
-        "ids AS (SELECT id, row_number() OVER (ORDER BY fetched_at DESC NULLS LAST, id) - 1 AS pos FROM jobs WHERE title ILIKE '%furn%' "
-        "AND job_type ILIKE '%time%' ORDER BY fetched_at DESC NULLS LAST, id LIMIT 30)",
+        "ids AS (SELECT id, row_number() OVER (ORDER BY fetched_at DESC NULLS LAST, id) - 1 AS pos FROM jobs WHERE title ILIKE '%u%' "
+        "AND job_type ILIKE '%time%' AND id IN (SELECT job_id FROM chunks) ORDER BY fetched_at DESC NULLS LAST, id LIMIT 30)",
         "best AS (SELECT query_id, job_id, max(similarity) AS s FROM pairs GROUP BY 1, 2)",
         "given AS (SELECT q.query_id, i.id AS job_id, coalesce(b.s, 0) AS similarity, row_number() OVER (PARTITION BY q.query_id "
         "ORDER BY coalesce(b.s, 0) DESC, pos) AS rank FROM ids i CROSS JOIN questions q LEFT JOIN best b ON b.query_id = q.query_id AND b.job_id = i.id)",
@@ -461,9 +464,9 @@ def _(spark, sf):
     + "SELECT query_id, job_id, CAST(rank AS INT) AS rank, block FROM blocks",
 )
 def _(spark, sf):
-    blocks = R.filter_then_retrieve(
-        views.chunks(spark, sf), job_details(spark, sf), views.questions(spark, sf), {"title": "%furn%", "job_type": "%time%"}
-    )
+    chunks = views.chunks(spark, sf)
+    embedded = has_embedding(job_details(spark, sf), chunks)
+    blocks = R.filter_then_retrieve(chunks, embedded, views.questions(spark, sf), {"title": "%u%", "job_type": "%time%"})
     return blocks.select("query_id", "job_id", "rank", "block")
 
 
@@ -498,9 +501,11 @@ def _(spark, sf):
     asked = views.questions(spark, sf)
     labels = asked.select("query_id", "label")
     context = R.contexts(_blocks(spark, sf)).join(labels.filter("label % 3 > 0"), "query_id", "left_semi")
-    rows = R.rows_json(TEMPLATES["skills_demand"](views.jobs(spark, sf)))
-    odd = labels.filter("label % 2 = 1").withColumn("one", F.lit(1)).join(rows.withColumn("one", F.lit(1)), "one")
-    statistics = odd.select("query_id", F.when(F.col("label") % 4 == 3, F.lit("[]")).otherwise(F.col("rows")).alias("rows"))
+    wanted_statistic = labels.filter("label % 2 = 1").select(
+        "query_id", F.lit("hybrid").alias("route"), F.lit("skills_demand").alias("intent"), F.array().cast("array<string>").alias("params")
+    )
+    statistics = routing.statistics_for(views.jobs(spark, sf), wanted_statistic).join(labels, "query_id")
+    statistics = statistics.select("query_id", F.when(F.col("label") % 4 == 3, F.lit("[]")).otherwise(F.col("rows")).alias("rows"))
     return R.hybrid_answers(asked, context, statistics)
 
 
@@ -542,16 +547,14 @@ def _(spark, sf):
     "J16_filter_ids_feed_search",
     with_ctes(
         views.JOBS, *_SEARCH,
-        "ids AS (SELECT id FROM jobs WHERE min_salary >= 100000 AND title ILIKE '%e%' ORDER BY fetched_at DESC NULLS LAST, id LIMIT 30)",
+        "ids AS (SELECT id FROM jobs WHERE min_salary >= 100000 AND title ILIKE '%e%' AND id IN (SELECT job_id FROM chunks) "
+        "ORDER BY fetched_at DESC NULLS LAST, id LIMIT 30)",
     )
     + "SELECT query_id, job_id, chunk_id, round(similarity, 6) AS similarity FROM pairs WHERE job_id IN (SELECT id FROM ids)",
 )
 def _(spark, sf):
-    from tallywork.operators.filters import filter_jobs
-
-    ids = filter_jobs(views.jobs(spark, sf), title="%e%", min_salary=100000).select(F.col("id").alias("job_id"))
-    near = R.bounded_join(views.chunks(spark, sf), ids, "job_id", "left_semi", 30)
-    asked = views.questions(spark, sf)
-    jobs = near.select("job_id").distinct()
-    every = asked.select("query_id").withColumn("one", F.lit(1)).join(jobs.withColumn("one", F.lit(1)), "one")
-    return V.vector_rank_within(near, asked, every).withColumn("similarity", F.round("similarity", 6))
+    chunks, asked = views.chunks(spark, sf), views.questions(spark, sf)
+    embedded = has_embedding(views.jobs(spark, sf), chunks)
+    ids = [row["id"] for row in filter_jobs(embedded, title="%e%", min_salary=100000).select("id").collect()]  # 30 at most
+    named = asked.select("query_id", F.explode(F.lit(ids)).alias("job_id"))
+    return V.vector_rank_within(chunks, asked, named, bound=R.question_bound(asked)).withColumn("similarity", F.round("similarity", 6))

@@ -58,6 +58,12 @@ def hot_key_join(
     return salted.drop("_hot").join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
+def row_bound(df: DataFrame, at_most: int = BROADCAST_ROWS) -> int | None:
+    """The number of rows if it is at most `at_most`, else None. Stops reading once there are more."""
+    rows = df.limit(at_most + 1).count()
+    return rows if rows <= at_most else None
+
+
 def bounded_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str, small_rows: int | None) -> DataFrame:
     """Join with `small` broadcast when its row bound is known and low; otherwise the engine picks from statistics."""
     if small_rows is not None and small_rows <= BROADCAST_ROWS:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork import constants as K
-from tallywork.operators.joins import hot_key_join
+from tallywork.operators.joins import bounded_join, hot_key_join, row_bound
 from tallywork.operators.ranking import top_per_key
 
 # Similarities are compared and ranked at this many decimals, so that ties are ties on every engine.
@@ -171,15 +171,26 @@ def vector_top_k(
     return top_per_key(candidates, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k, rank="rank")
 
 
-def vector_rank_within(chunks: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:
+def vector_rank_within(
+    chunks: DataFrame, queries: DataFrame, pairs: DataFrame, bound: int | None = None
+) -> DataFrame:
     """(query_id, job_id, chunk_id, similarity) for every chunk of the named (query_id, job_id) pairs.
 
-    No threshold and no limit. Both lookups are equi-joins on the narrow columns the score needs.
+    No threshold and no limit. While the pairs are few they go to the chunks, which are not shuffled; otherwise both meet
+    on the posting. `bound` is the number of questions, if known to be small.
     """
     narrow = chunks.filter(F.col("embedding").isNotNull()).select("job_id", "chunk_id", "embedding")
     wanted = pairs.select("query_id", "job_id").distinct()
-    with_chunks = hot_key_join(wanted, narrow, "job_id", "inner", ["query_id"])
-    scored = hot_key_join(with_chunks, queries.select("query_id", "vector"), "query_id", "inner", ["chunk_id"])
+    few = row_bound(wanted)
+    if few is not None:
+        with_chunks = bounded_join(narrow, wanted, "job_id", "inner", few)
+    else:
+        with_chunks = hot_key_join(wanted, narrow, "job_id", "inner", ["query_id"])
+    asked = queries.select("query_id", "vector")
+    if bound is not None:
+        scored = bounded_join(with_chunks, asked, "query_id", "inner", bound)
+    else:
+        scored = hot_key_join(with_chunks, asked, "query_id", "inner", ["chunk_id"])
     return scored.select(
         "query_id", "job_id", "chunk_id", cosine_similarity(F.col("embedding"), F.col("vector")).alias("similarity")
     )

@@ -13,7 +13,7 @@ from tallywork.functions.text import normalize_verdict, round_half_up
 from tallywork.operators.joins import bounded_join
 from tallywork.operators.ranking import top_per_key
 from tallywork.operators.vector import vector_top_k
-from tallywork.plans.retrieval import row_bound
+from tallywork.plans.retrieval import question_bound
 
 # (question, title, description start) per row → a judge's answers; runs inside tasks
 Judge = Callable[[pd.Series, pd.Series, pd.Series], pd.Series]
@@ -28,7 +28,7 @@ def retrieve_for_eval(
     The limit comes before the choice of one chunk per posting, so k chunks may mean fewer postings.
     """
     hits = vector_top_k(chunks, queries, k, threshold).drop("rank")
-    bound = row_bound(queries)
+    bound = question_bound(queries)
     owned = bounded_join(
         chunks.select("chunk_id", "job_id"), hits, "chunk_id", "inner", None if bound is None else bound * k
     )
@@ -57,7 +57,7 @@ def judge_pairs(pairs: DataFrame, questions: DataFrame, jobs: DataFrame, judge:
     The judge sees the question, the title and the first 300 characters of the description.
     """
     asked = pairs.select("query_id", "job_id").distinct()
-    asked = bounded_join(asked, questions.select("query_id", "question"), "query_id", "inner", row_bound(questions))
+    asked = bounded_join(asked, questions.select("query_id", "question"), "query_id", "inner", question_bound(questions))
     texts = jobs.select(
         F.col("id").alias("job_id"), "title", F.substring("description", 1, K.JUDGE_DESCRIPTION_CHARS).alias("start")
     )

@@ -20,7 +20,7 @@ from tallywork.session import shared_folder
 from tallywork.sinks.tables import Store, chunk_rows, keep_created_at
 from tallywork.sinks.versioned import VersionedTable
 
-SKIPPED, RE_EMBED, NEW = "skipped", "re-embed", "new"
+SKIPPED, RE_EMBED, NEW, STORED = "skipped", "re-embed", "new", "stored"
 POSITION = ["source", "page", "pos"]
 STAGED = schemas.RAW_JOB + ", page BIGINT, pos INT, content_hash STRING, existing_id STRING, status STRING"
 
@@ -84,12 +84,15 @@ def new_contents(classified: DataFrame) -> DataFrame:
 
 def run_counts(classified: DataFrame, stored_rows: DataFrame) -> DataFrame:
     """One row: postings fetched, stored and skipped."""
-    seen = classified.agg(
-        F.count(F.lit(1)).alias("fetched"), F.count(F.when(F.col("status") == SKIPPED, 1)).alias("skipped")
-    )
-    kept = stored_rows.agg(F.count(F.lit(1)).alias("stored"))
-    return seen.withColumn("_one", F.lit(1)).join(kept.withColumn("_one", F.lit(1)), "_one").select(
-        "fetched", "stored", "skipped"
+    marks = classified.select("status").unionByName(stored_rows.select(F.lit(STORED).alias("status")))
+
+    def number_of(*statuses: str) -> Column:
+        return F.count(F.when(F.col("status").isin(*statuses), 1))
+
+    return marks.agg(
+        number_of(NEW, RE_EMBED, SKIPPED).alias("fetched"),
+        number_of(STORED).alias("stored"),
+        number_of(SKIPPED).alias("skipped"),
     )
 
 

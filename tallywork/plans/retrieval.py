@@ -12,7 +12,8 @@ from tallywork import constants as K
 from tallywork.functions.postings import salary_header
 from tallywork.functions.text import detect_fields, round_half_up
 from tallywork.operators.filters import filter_jobs
-from tallywork.operators.joins import bounded_join
+from tallywork.functions.binding import let
+from tallywork.operators.joins import bounded_join, row_bound
 from tallywork.operators.ranking import ranked, top_per_key
 from tallywork.operators.vector import MAX_BLOCK_QUERIES, vector_rank_within, vector_top_k
 
@@ -22,10 +23,9 @@ JOB_FIELDS = [
 ]
 
 
-def row_bound(df: DataFrame, at_most: int = MAX_BLOCK_QUERIES) -> int | None:
-    """The number of rows if it is at most `at_most`, else None."""
-    rows = df.limit(at_most + 1).count()
-    return rows if rows <= at_most else None
+def question_bound(queries: DataFrame) -> int | None:
+    """The number of questions, if they are few enough to be sent to every task."""
+    return row_bound(queries, MAX_BLOCK_QUERIES)
 
 
 def _times(bound: int | None, factor: int) -> int | None:
@@ -76,11 +76,15 @@ def best_chunks(
     queries: DataFrame,
     k: int = K.RETRIEVAL_CHUNKS,
     threshold: float = K.SIMILARITY_THRESHOLD,
+    bound: int | None = None,
 ) -> DataFrame:
-    """Top chunks per question with posting id, type and text. The texts are fetched after the search."""
+    """Top chunks per question with posting id, type and text. The texts are fetched after the search.
+
+    `bound` is the number of questions, if known to be small: it bounds the hits, which may then be broadcast.
+    """
     hits = vector_top_k(chunks, queries, k, threshold)
     texts = chunks.select("chunk_id", "job_id", "chunk_type", "chunk_text")
-    return bounded_join(texts, hits, "chunk_id", "inner", _times(row_bound(queries), k))
+    return bounded_join(texts, hits, "chunk_id", "inner", _times(bound, k))
 
 
 def group_by_job(hits: DataFrame) -> DataFrame:
@@ -106,16 +110,17 @@ def retrieve(
     k: int = K.RETRIEVAL_CHUNKS,
     n_jobs: int = K.RETRIEVAL_JOBS,
     threshold: float = K.SIMILARITY_THRESHOLD,
+    bound: int | None = None,
 ) -> DataFrame:
     """(query_id, job_id, similarity, body, rank): the best postings per question."""
-    groups = group_by_job(best_chunks(chunks, queries, k, threshold))
+    groups = group_by_job(best_chunks(chunks, queries, k, threshold, bound))
     return top_per_key(groups, ["query_id"], [F.desc("similarity"), F.asc("job_id")], n_jobs, rank="rank")
 
 
-def rank_given(chunks: DataFrame, queries: DataFrame, wanted: DataFrame) -> DataFrame:
+def rank_given(chunks: DataFrame, queries: DataFrame, wanted: DataFrame, bound: int | None = None) -> DataFrame:
     """Given postings (query_id, job_id, pos) with their best similarity, 0 without chunks, best first as `rank`."""
     scores = (
-        vector_rank_within(chunks, queries, wanted)
+        vector_rank_within(chunks, queries, wanted, bound)
         .groupBy("query_id", "job_id")
         .agg(F.max("similarity").alias("similarity"))
     )
@@ -134,27 +139,33 @@ def _labelled(label: str, value: Column) -> Column:
 
 def field_appendix(fields: Column, body: Column) -> Column:
     """Lists the question asks for that the body does not carry under their tag."""
-    lines = [
-        F.when(
-            F.array_contains(fields, name)
-            & (F.coalesce(F.size(F.col(name)), F.lit(0)) > 0)
-            & ~F.contains(body, F.lit(f"[{name}]:")),
-            F.concat(F.lit(f"[{name}]: "), F.array_join(name, ", ")),
-        )
-        for name in K.APPENDIX_FIELDS
-    ]
-    text = F.concat_ws("\n", *lines)
-    return F.when(text != "", F.concat(F.lit("\n"), text)).otherwise(F.lit(""))
+
+    def appendix(asked: Column) -> Column:
+        lines = [
+            F.when(
+                F.array_contains(asked, name)
+                & (F.coalesce(F.size(F.col(name)), F.lit(0)) > 0)
+                & ~F.contains(body, F.lit(f"[{name}]:")),
+                F.concat(F.lit(f"[{name}]: "), F.array_join(name, ", ")),
+            )
+            for name in K.APPENDIX_FIELDS
+        ]
+        text = F.concat_ws("\n", *lines)
+        return F.when(text != "", F.concat(F.lit("\n"), text)).otherwise(F.lit(""))
+
+    return let(fields, appendix)
 
 
-def context_blocks(found: DataFrame, jobs: DataFrame, questions: DataFrame, found_rows: int | None, body: Column) -> DataFrame:
+def context_blocks(
+    found: DataFrame, jobs: DataFrame, questions: DataFrame, body: Column, found_rows: int | None, bound: int | None
+) -> DataFrame:
     """One prompt block per found posting; postings that no longer exist drop out.
 
-    `found` has query_id, job_id, similarity, rank; `body` is the block's text, cut at the context limit.
+    `found` has query_id, job_id, similarity, rank; `body` is the block's text, cut at the context limit. `found_rows` and
+    `bound` are the known bounds of found postings and questions.
     """
-    asked = bounded_join(
-        found, questions.select("query_id", "question"), "query_id", "inner", row_bound(questions)
-    )
+    asked = questions.select("query_id", detect_fields(F.col("question")).alias("_fields"))
+    asked = bounded_join(found, asked, "query_id", "inner", bound)
     needed = jobs.withColumnRenamed("id", "job_id")
     rows = bounded_join(needed, asked, "job_id", "inner", found_rows)
     cut = F.substring(F.coalesce(body, F.lit("")), 1, K.JOB_CONTEXT_CHARS)
@@ -167,7 +178,7 @@ def context_blocks(found: DataFrame, jobs: DataFrame, questions: DataFrame, foun
         F.lit(" | Similarity: "), F.format_string("%.2f", "similarity"),
     )
     block = F.concat(
-        F.lit("---\n"), header, F.lit("\n"), "_body", field_appendix(detect_fields(F.col("question")), F.col("_body"))
+        F.lit("---\n"), header, F.lit("\n"), "_body", field_appendix(F.col("_fields"), F.col("_body"))
     )
     return rows.select("query_id", "rank", "job_id", "title", "company", "url", "similarity", block.alias("block"))
 
@@ -181,16 +192,18 @@ def retrieval_blocks(
     threshold: float = K.SIMILARITY_THRESHOLD,
 ) -> DataFrame:
     """Blocks of the best postings for questions (query_id, question, vector)."""
-    found = retrieve(chunks, queries, k, n_jobs, threshold)
+    bound = question_bound(queries)
+    found = retrieve(chunks, queries, k, n_jobs, threshold, bound)
     narrow = jobs.select("id", *JOB_FIELDS)
-    return context_blocks(found, narrow, queries, _times(row_bound(queries), n_jobs), F.col("body"))
+    return context_blocks(found, narrow, queries, F.col("body"), _times(bound, n_jobs), bound)
 
 
 def given_blocks(chunks: DataFrame, jobs: DataFrame, queries: DataFrame, wanted: DataFrame) -> DataFrame:
     """Blocks of given postings, with the description as body."""
-    found = rank_given(chunks, queries, wanted)
+    bound = question_bound(queries)
+    found = rank_given(chunks, queries, wanted, bound)
     narrow = jobs.select("id", *JOB_FIELDS, "description")
-    return context_blocks(found, narrow, queries, None, F.col("description"))
+    return context_blocks(found, narrow, queries, F.col("description"), row_bound(wanted), bound)
 
 
 def wanted_from_ids(queries: DataFrame, ids: str = "context_job_ids") -> DataFrame:
