@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("analytics", "fields", "chunking", "search", "quality")
+MODULES = ("analytics", "fields", "chunking", "search", "quality", "ingestion")
 
 
 def all_checks():

@@ -174,13 +174,13 @@ def _(spark, sf):
     return retrieved(spark, sf).select("query_id", "job_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-add(
+@check(
     "J12_question_chunk_similarity",
-    lambda spark, sf: E.vector_top_k(views.chunks(spark, sf), views.questions(spark, sf), 2_000_000_000, THRESHOLD).select(
-        "query_id", "chunk_id", F.round("similarity", 6).alias("similarity")
-    ),
-    with_ctes(*_SEARCH) + f"SELECT query_id, chunk_id, round(similarity, 6) AS similarity FROM pairs WHERE similarity >= {THRESHOLD}",
+    with_ctes(*_SEARCH, top_chunks_sql(10)) + "SELECT query_id, chunk_id, round(similarity, 6) AS similarity FROM hits",
 )
+def _(spark, sf):
+    hits = E.vector_top_k(views.chunks(spark, sf), views.questions(spark, sf), K.EVAL_MAX_K, THRESHOLD)
+    return hits.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
 @check(

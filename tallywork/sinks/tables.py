@@ -191,12 +191,12 @@ def replace_chunks(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def bookmark_state(saved: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs to write, pairs to delete) after a table of save/unsave events (user_id, job_id, action, at, seq).
+    """(pairs to write, pairs to delete) after a table of save/unsave events (user_id, job_id, action, ts, seq).
 
     Saving again keeps the first time since the last unsave; a pair whose last event is unsave is deleted.
     """
     keys = ["user_id", "job_id"]
-    order = F.struct("at", "seq")
+    order = F.struct("ts", "seq")
     per_pair = events.groupBy(*keys).agg(
         F.max(F.when(F.col("action") == "unsave", order)).alias("last_unsave"),
         F.max(F.when(F.col("action") == "save", order)).alias("last_save"),
@@ -208,7 +208,7 @@ def bookmark_state(saved: DataFrame, events: DataFrame) -> tuple[DataFrame, Data
     saves = hot_key_join(
         events.filter("action = 'save'"), per_pair.select(*keys, "last_unsave"), keys, "inner", ["seq"]
     ).filter(F.col("last_unsave").isNull() | (order > F.col("last_unsave")))
-    first = saves.groupBy(*keys).agg(F.min("at").alias("_first"), F.max("last_unsave").isNotNull().alias("_reset"))
+    first = saves.groupBy(*keys).agg(F.min("ts").alias("_first"), F.max("last_unsave").isNotNull().alias("_reset"))
     kept = saved.select(*keys, "saved_at")
     written = first.join(kept, keys, "left").select(
         *keys, F.when(F.col("_reset"), F.col("_first")).otherwise(F.coalesce("saved_at", "_first")).alias("saved_at")

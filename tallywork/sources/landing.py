@@ -113,13 +113,20 @@ SOURCES: dict[str, tuple[str, Adapter]] = {
 
 
 def with_page_number(pages: DataFrame) -> DataFrame:
-    digits = F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]+)", 1)
-    return pages.withColumn("page", F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint")))
+    """The number after "page" in the path, else the first digits of the file name, else 0."""
+    after_page = F.regexp_extract(F.col("_metadata.file_path"), r"page[=_-]?([0-9]+)", 1)
+    in_name = F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]+)", 1)
+    number = F.coalesce(F.nullif(after_page, F.lit("")), F.nullif(in_name, F.lit("")), F.lit("0"))
+    return pages.withColumn("page", number.try_cast("bigint"))
+
+
+# One API answer per file, in folders of any depth.
+PAGE_OPTIONS = {"multiLine": "true", "recursiveFileLookup": "true"}
 
 
 def read_pages(spark: SparkSession, schema: str, path: str) -> DataFrame:
     """Every page file of a folder; an unreadable file yields no postings."""
-    return with_page_number(spark.read.schema(schema).option("multiLine", True).json(path))
+    return with_page_number(spark.read.schema(schema).options(**PAGE_OPTIONS).json(path))
 
 
 def read_source(spark: SparkSession, name: str, path: str, cap: int | None = None) -> DataFrame:

@@ -14,12 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tallywork.operators.ranking import first_seen
 from tallywork.plans.ingest import Embedding, Parser, ingest_batch
 from tallywork.sinks.tables import Store
-from tallywork.sources.landing import POSITION, SOURCES, union_sources, with_page_number
+from tallywork.sources.landing import PAGE_OPTIONS, POSITION, SOURCES, union_sources, with_page_number
 
 
 def stream_source(spark: SparkSession, name: str, path: str, max_files: int | None = None) -> DataFrame:
     schema, adapter = SOURCES[name]
-    reader = spark.readStream.schema(schema).option("multiLine", True)
+    reader = spark.readStream.schema(schema).options(**PAGE_OPTIONS)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return adapter(with_page_number(reader.json(path)))
