@@ -561,18 +561,6 @@ def _(spark, sf):
     return T.split_judgment_keys(pairs)
 
 
-@check(
-    "S11_catalogue_against_documents",
-    "SELECT category, count(*) AS n FROM (SELECT unnest(['exact', 'semantic', 'filtering', 'aggregation', 'noisy']) AS category), generate_series(1, 3), documents GROUP BY 1",
-)
-def _(spark, sf):
-    """Questions per category, weighted by the number of documents each will be labelled against."""
-    docs = views.table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("docs"))
-    questions = T.catalogue(spark).groupBy("category").agg(F.count(F.lit(1)).alias("questions"))
-    both = questions.withColumn("k", F.lit(1)).join(docs.withColumn("k", F.lit(1)), "k")
-    return both.select("category", (F.col("questions") * F.col("docs")).alias("n"))
-
-
 # ---- whole runs ----------------------------------------------------------------------------------
 
 _RUN_JOBS = (
@@ -598,13 +586,9 @@ def run_twice(spark, sf):
     folders = {name: f"{root}/landing/{name}" for name in L.SOURCES}
     store = S.Store(spark, f"{root}/store")
     embedding = I.Embedding(hex_embedder, "hex", DIM)
-    counts = []
 
     def run():
-        query = start_ingestion(
-            spark, folders, store, f"{root}/checkpoint", embedding, now=F.expr(NOW),
-            on_batch=lambda batch, c: counts.append(c.first().asDict()),
-        )
+        query = start_ingestion(spark, folders, store, f"{root}/checkpoint", embedding, now=F.expr(NOW))
         query.awaitTermination()
         if query.exception() is not None:
             raise query.exception()
@@ -616,12 +600,12 @@ def run_twice(spark, sf):
     _land(jobicy_pages(rows), folders["jobicy"])
     run()
     run()
-    return store, counts
+    return store
 
 
 @check("I01_incremental_ingestion", with_ctes(*_RUN_JOBS) + _RUN_SQL)
 def _(spark, sf):
-    store, _ = run_twice(spark, sf)
+    store = run_twice(spark, sf)
     return store.jobs.read().select(
         "source", "source_id", "title", "location", "job_type", "is_remote", "min_salary", "max_salary", "content_hash",
         F.array_join("skills", "|").alias("skills"),
@@ -631,14 +615,12 @@ def _(spark, sf):
 @check(
     "I05_run_metrics",
     with_ctes(*_RUN_JOBS)
-    + "SELECT 0 AS run, (SELECT count(*) FROM h) AS fetched, (SELECT count(*) FROM r1) AS stored, CAST(0 AS BIGINT) AS skipped "
+    + "SELECT CAST(0 AS BIGINT) AS run, (SELECT count(*) FROM h) AS fetched, (SELECT count(*) FROM r1) AS stored, CAST(0 AS BIGINT) AS skipped "
     "UNION ALL SELECT 1, (SELECT count(*) FROM h2), (SELECT count(*) FROM r2), (SELECT count(*) FROM h2 WHERE hash IN (SELECT hash FROM h))",
 )
 def _(spark, sf):
     """Counts of each run; the third finds no new file and runs no batch."""
-    _, counts = run_twice(spark, sf)
-    rows = [(run, c["fetched"], c["stored"], c["skipped"]) for run, c in enumerate(counts)]
-    return spark.createDataFrame(rows, "run INT, fetched BIGINT, stored BIGINT, skipped BIGINT")
+    return run_twice(spark, sf).runs.read().withColumnRenamed("version", "run")
 
 
 @check(

@@ -12,10 +12,12 @@ from checks import views
 from checks.registry import add, check
 from checks.views import THRESHOLD, top_chunks_sql, with_ctes
 from tallywork import constants as K
+from tallywork.catalogue import EVAL_QUERIES
 from tallywork.operators.ranking import head_and_tail
 from tallywork.plans import calibration as C
 from tallywork.plans import evaluation as E
 from tallywork.plans import labeling as L
+from tallywork.sources.tables import catalogue
 
 _SEARCH = (views.CHUNKS, views.QUESTIONS, views.PAIRS)
 
@@ -67,17 +69,18 @@ def _group_score(words: list[str]) -> str:
     return f"(CASE WHEN regexp_matches(t, '{pattern}') THEN 2 WHEN regexp_matches(d, '{pattern}') THEN 1 ELSE 0 END)"
 
 
-def _scored_sql() -> str:
+def _scored_sql(groups=None, caps=_CAPS, title=_TITLE) -> str:
+    """CTEs ending in `labels`; `groups` gives each question's AND groups."""
     parts = []
-    for q in [*GROUPS, *EXPECTED]:
-        scores = [_group_score(g) for g in GROUPS.get(q, [EXPECTED.get(q)])]
+    for q, words in (groups or {**GROUPS, **{q: [w] for q, w in EXPECTED.items()}}).items():
+        scores = [_group_score(g) for g in words]
         all_match = " AND ".join(f"{s} > 0" for s in scores)
         parts.append(
             f"SELECT '{q}' AS query_id, id, CASE WHEN {all_match} THEN {' + '.join(scores)} ELSE 0 END AS score, "
-            f"{_CAPS.get(q, K.LABEL_CAP)} AS cap FROM low"
+            f"{caps.get(q, K.LABEL_CAP)} AS cap FROM low"
         )
     return (
-        f"low AS (SELECT doc_id AS id, lower({_TITLE}) AS t, lower(text) AS d FROM documents),\n"
+        f"low AS (SELECT doc_id AS id, lower({title}) AS t, lower(text) AS d FROM documents),\n"
         "scored AS (" + "\nUNION ALL ".join(parts) + "),\n"
         "labels AS (SELECT * FROM (SELECT query_id, id, score, cap, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank "
         "FROM scored WHERE score > 0) WHERE rank <= cap)"
@@ -123,6 +126,30 @@ def _(spark, sf):
     return L.label_summary(L.label_candidates(label_jobs(spark, sf), questions), questions)
 
 
+_POSTED = (
+    "concat(lang, CASE doc_id % 8 WHEN 0 THEN ' Registered Nurse, Denver' WHEN 1 THEN ' CDL-A truck driver in San Antonio' "
+    "WHEN 2 THEN ' house parents with relocation' WHEN 3 THEN ' youth counselor' WHEN 4 THEN ' learning healthcare' "
+    "WHEN 5 THEN ' patient care, Texas delivery' WHEN 6 THEN ' mental health mentor' ELSE '' END)"
+)
+
+
+@check(
+    "S11_catalogue_labels",
+    with_ctes(
+        _scored_sql(
+            {q["id"]: q.get("groups") or [q["expected"]] for q in EVAL_QUERIES},
+            {q["id"]: q["max"] for q in EVAL_QUERIES if "max" in q},
+            _POSTED,
+        )
+    )
+    + _LABELS_SQL,
+)
+def _(spark, sf):
+    """The built-in questions labelled against all documents."""
+    jobs = views.table(spark, sf, "documents").selectExpr("doc_id AS id", f"{_POSTED} AS title", "text AS description")
+    return L.label_candidates(jobs, catalogue(spark))
+
+
 # ---- retrieval and judging -----------------------------------------------------------------------
 
 _JUDGE = "CASE WHEN {a} = {b} THEN 'relevant' WHEN abs({a} - {b}) = 1 THEN 'marginal' ELSE 'not_relevant' END"

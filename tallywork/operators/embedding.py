@@ -46,9 +46,18 @@ def _embed_batches(embedder: Embedder, dim: int, batch: int) -> Callable:
     return run
 
 
-def embed_texts(texts: DataFrame, embedder: Embedder, dim: int = K.EMBEDDING_DIM, batch: int = 64) -> DataFrame:
-    """(text_hash, embedding) for a (text_hash, text) table; vectors of another width fail the task."""
-    return texts.select("text_hash", "text").mapInArrow(
+def embed_texts(
+    texts: DataFrame, embedder: Embedder, dim: int = K.EMBEDDING_DIM, batch: int = 64, tasks: int | None = None
+) -> DataFrame:
+    """(text_hash, embedding) for a (text_hash, text) table; vectors of another width fail the task.
+
+    `tasks` spreads the texts over that many tasks: a model call costs far more than its bytes, by which partitions
+    would otherwise be sized, and a rate-limited model wants few callers.
+    """
+    rows = texts.select("text_hash", "text")
+    if tasks is not None:
+        rows = rows.repartition(tasks, "text_hash")
+    return rows.mapInArrow(
         _embed_batches(embedder, dim, batch), "text_hash string, embedding array<float>"
     )
 
@@ -82,6 +91,7 @@ def embed_column(
     cache: DataFrame | None = None,
     now: Column | None = None,
     store: Callable[[DataFrame], DataFrame] | None = None,
+    tasks: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(df with `embedding`, new cache rows). Each distinct text without a fresh cache entry is embedded once.
 
@@ -94,7 +104,7 @@ def embed_column(
         misses = texts.select(text_key(F.col("text")).alias("text_hash"), "text").dropDuplicates(["text_hash"])
     else:
         misses = cache_misses(texts, cache, model, now)
-    fresh = embed_texts(misses, embedder, dim).select(
+    fresh = embed_texts(misses, embedder, dim, tasks=tasks).select(
         "text_hash", F.lit(model).alias("model"), "embedding", now.alias("cached_at")
     )
     if store is not None:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallywork import constants as K
 from tallywork import schemas
@@ -17,7 +19,7 @@ from tallywork.operators.embedding import Embedder, embed_column
 from tallywork.operators.joins import hot_key_join
 from tallywork.operators.ranking import first_seen, latest_wins
 from tallywork.session import shared_folder
-from tallywork.sinks.tables import Store, chunk_rows, keep_created_at
+from tallywork.sinks.tables import Store, chunk_rows, keep_created_at, truncate_and_reload
 from tallywork.sinks.versioned import VersionedTable
 
 SKIPPED, RE_EMBED, NEW, STORED = "skipped", "re-embed", "new", "stored"
@@ -139,18 +141,23 @@ def to_chunks(jobs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Embedding:
-    """A user's embedder with its name and width."""
+    """A user's embedder with its name and width. `tasks` sets how many tasks call it at a time."""
 
     embedder: Embedder
     model: str
     dim: int = K.EMBEDDING_DIM
+    tasks: int | None = None
 
 
-def _staged(rows: DataFrame, name: str, version: int) -> DataFrame:
-    """Rows written to the shared folder and read back, so later steps do not repeat the earlier ones."""
-    path = f"{shared_folder(rows.sparkSession)}/staged/{name}-{version:012d}"
+def _staged(store: Store, rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read back, so that later steps do not repeat the earlier ones.
+
+    A store has one folder per step, overwritten by its next run; runs on one store do not overlap.
+    """
+    owner = hashlib.sha256(store.root.encode()).hexdigest()[:16]
+    path = f"{shared_folder(store.spark)}/staged/{owner}/{name}"
     rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return store.spark.read.schema(rows.schema).parquet(path)
 
 
 def _store_vectors(cache: VersionedTable, version: int) -> Callable[[DataFrame], DataFrame]:
@@ -161,6 +168,24 @@ def _store_vectors(cache: VersionedTable, version: int) -> Callable[[DataFrame],
     return store
 
 
+def _embedded_chunks(store: Store, jobs: DataFrame, version: int, embedding: Embedding, now: Column) -> DataFrame:
+    """Stored form of the jobs' chunks. Texts with a fresh vector in the cache are not embedded again."""
+    texts = _staged(store, to_chunks(jobs), "chunks")
+    embedded, _ = embed_column(
+        texts,
+        "chunk_text",
+        embedding.embedder,
+        embedding.model,
+        ["job_id", "pos"],
+        embedding.dim,
+        cache=store.embedding_cache.read(before=version),
+        now=now,
+        store=_store_vectors(store.embedding_cache, version),
+        tasks=embedding.tasks,
+    )
+    return chunk_rows(embedded, embedding.model, now)
+
+
 def ingest_batch(
     store: Store, raw: DataFrame, version: int, embedding: Embedding, parser: Parser | None = None, now: Column | None = None
 ) -> DataFrame:
@@ -171,47 +196,29 @@ def ingest_batch(
     """
     now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
     stored, chunks = store.jobs.read(before=version), store.chunks.read(before=version)
-    incoming = _staged(with_content_hash(raw), f"incoming-{_tag(store)}", version)
-    classified = _staged(
-        classify(incoming, stored, chunks).select(*[f.split()[0] for f in STAGED.split(", ")]),
-        f"classified-{_tag(store)}",
-        version,
-    )
+    incoming = _staged(store, with_content_hash(raw), "incoming")
+    status = classify(incoming, stored, chunks).select(*StructType.fromDDL(STAGED).names)
+    classified = _staged(store, status, "classified")
+
     fresh = new_contents(classified)
     if parser is not None:
-        fresh = _staged(parser(fresh), f"parsed-{_tag(store)}", version)
+        fresh = _staged(store, parser(fresh), "parsed")
     store.jobs.commit(keep_created_at(to_jobs(fresh, now), stored), version)
     written = store.jobs.read_version(version)
 
     healed = classified.filter(F.col("status") == RE_EMBED).select(F.col("existing_id").alias("id")).distinct()
     to_embed = written.unionByName(stored.join(healed, "id", "left_semi"))
-    texts = _staged(to_chunks(to_embed), f"chunks-{_tag(store)}", version)
-    embedded, _ = embed_column(
-        texts,
-        "chunk_text",
-        embedding.embedder,
-        embedding.model,
-        ["job_id", "pos"],
-        embedding.dim,
-        cache=store.embedding_cache.read(before=version),
-        now=now,
-        store=_store_vectors(store.embedding_cache, version),
-    )
-    store.chunks.commit(chunk_rows(embedded, embedding.model, now), version)
-    return run_counts(classified, written)
-
+    store.chunks.commit(_embedded_chunks(store, to_embed, version, embedding, now), version)
 
-def _tag(store: Store) -> str:
-    """Keeps the staged folders of different stores apart."""
-    return store.root.rstrip("/").rsplit("/", 1)[-1]
+    store.runs.commit(run_counts(classified, written).withColumn("version", F.lit(version).cast("bigint")), version)
+    return store.runs.read_version(version)
 
 
 def reset_from_csv(store: Store, raw: DataFrame, embedding: Embedding, now: Column | None = None) -> None:
     """Empty the tables and load CSV postings; nothing is parsed, salaries are taken as they are."""
     now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
-    version = max(store.jobs.last_version(), store.chunks.last_version()) + 1
-    hashed = with_content_hash(raw)
-    typed = dict(part.split(" ", 1) for part in schemas.JOB.split(", "))
+    version = 1 + max(t.last_version() for t in (store.jobs, store.chunks, store.embedding_cache))
+    typed = {f.name: f.dataType for f in StructType.fromDDL(schemas.JOB)}
     empty = F.array().cast("array<string>")
     given = {c: F.col(c) for c in [*schemas.RAW_JOB_COLUMNS, "content_hash"] if c != "keywords"} | {
         "id": job_id(F.col("source"), F.col("source_id")),
@@ -220,17 +227,8 @@ def reset_from_csv(store: Store, raw: DataFrame, embedding: Embedding, now: Colu
         "created_at": now,
         **{c: empty for c in ("responsibilities", "requirements", "benefits", "skills")},
     }
-    jobs = hashed.select(*[given.get(c, F.lit(None)).cast(typed[c]).alias(c) for c in schemas.JOB_COLUMNS])
-    store.jobs.replace_all(latest_wins(jobs, ["source", "source_id"], ["content_hash"]), version)
-    embedded, _ = embed_column(
-        _staged(to_chunks(store.jobs.read()), f"reset-{_tag(store)}", version),
-        "chunk_text",
-        embedding.embedder,
-        embedding.model,
-        ["job_id", "pos"],
-        embedding.dim,
-        cache=store.embedding_cache.read(),
-        now=now,
-        store=_store_vectors(store.embedding_cache, max(version, store.embedding_cache.last_version() + 1)),
+    jobs = with_content_hash(raw).select(
+        *[given.get(c, F.lit(None)).cast(typed[c]).alias(c) for c in schemas.JOB_COLUMNS]
     )
-    store.chunks.replace_all(chunk_rows(embedded, embedding.model, now), version)
+    truncate_and_reload(store, latest_wins(jobs, ["source", "source_id"], ["content_hash"]), version)
+    store.chunks.replace_all(_embedded_chunks(store, store.jobs.read(), version, embedding, now), version)

@@ -194,6 +194,7 @@ def retrieval_blocks(
     """Blocks of the best postings for questions (query_id, question, vector)."""
     bound = question_bound(queries)
     found = retrieve(chunks, queries, k, n_jobs, threshold, bound)
+    found = found.withColumn("body", F.substring("body", 1, K.JOB_CONTEXT_CHARS))  # cut before it may be broadcast
     narrow = jobs.select("id", *JOB_FIELDS)
     return context_blocks(found, narrow, queries, F.col("body"), _times(bound, n_jobs), bound)
 

@@ -48,6 +48,7 @@ EVAL_QUERY = (
     "keyword_groups ARRAY<ARRAY<STRING>>, min_relevant INT, max_relevant INT, position INT"
 )
 JUDGMENT = "judge STRING, query_id STRING, job_id STRING, verdict STRING"
+RUN = "version BIGINT, fetched BIGINT, stored BIGINT, skipped BIGINT"
 EMBEDDING_CACHE = "text_hash STRING, model STRING, embedding ARRAY<FLOAT>, cached_at TIMESTAMP_NTZ"
 
 REMOTIVE_PAGE = (

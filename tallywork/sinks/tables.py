@@ -66,6 +66,11 @@ class Store:
     def judgments(self) -> VersionedTable:
         return self._table("judgments", schemas.JUDGMENT, "judge", "query_id", "job_id")
 
+    @property
+    def runs(self) -> VersionedTable:
+        """Counts of every ingestion run."""
+        return self._table("runs", schemas.RUN, "version")
+
     @property
     def embedding_cache(self) -> VersionedTable:
         return self._table("embedding_cache", schemas.EMBEDDING_CACHE, "text_hash", "model")
@@ -81,8 +86,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], sequence: li
 
 
 def keep_created_at(jobs: DataFrame, stored: DataFrame) -> DataFrame:
-    """An updated posting keeps the time it was first stored."""
-    first = stored.select("id", F.col("created_at").alias("_created"))
+    """An updated posting keeps the time it was first stored. The stored table is cut to the incoming ids first."""
+    first = stored.select("id", F.col("created_at").alias("_created")).join(jobs.select("id"), "id", "left_semi")
     return (
         jobs.join(first, "id", "left")
         .withColumn("created_at", F.coalesce("_created", "created_at"))

@@ -69,7 +69,7 @@ class VersionedTable:
         newest = newest.filter(~F.col("_deleted")).drop("_version", "_deleted")
         if base is None:
             return newest
-        return table.join(changed.select(*self.keys).distinct(), list(self.keys), "left_anti").unionByName(newest)
+        return table.join(changed.select(*self.keys), list(self.keys), "left_anti").unionByName(newest)
 
     def read_version(self, version: int) -> DataFrame:
         """The rows one delta added or replaced."""

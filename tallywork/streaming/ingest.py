@@ -6,7 +6,7 @@ time. Deduplication needs no stream state: each micro-batch is compared with the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -34,16 +34,13 @@ def start_ingestion(
     parser: Parser | None = None,
     max_files: int | None = None,
     now: Column | None = None,
-    on_batch: Callable[[int, DataFrame], None] | None = None,
 ) -> StreamingQuery:
-    """Start a run over what has landed. `on_batch` gets each batch's counts (fetched, stored, skipped)."""
+    """Start a run over what has landed. Each batch leaves its counts (fetched, stored, skipped) in `store.runs`."""
     raw = union_sources([stream_source(spark, name, path, max_files) for name, path in folders.items()])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         once = first_seen(batch, ["source", "source_id"], POSITION)
-        counts = ingest_batch(store, once, batch_id, embedding, parser, now)
-        if on_batch is not None:
-            on_batch(batch_id, counts)
+        ingest_batch(store, once, batch_id, embedding, parser, now)
 
     return (
         raw.writeStream.foreachBatch(handle)
