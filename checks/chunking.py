@@ -118,7 +118,7 @@ _SHAPED = (
 
 
 def shaped(spark, sf):
-    return views.table(spark, sf, "documents").selectExpr("doc_id", f"{_SHAPED} AS text")
+    return views.table(spark, sf, "documents", spread=True).selectExpr("doc_id", f"{_SHAPED} AS text")
 
 
 _SHAPED_SQL = f"shaped AS (SELECT doc_id, {_SHAPED} AS text FROM documents)"

@@ -60,7 +60,7 @@ y AS (SELECT id, nullif(CAST(floor(lo * factor + 0.5) AS INT), 0) AS a, nullif(C
 SELECT id, coalesce(a, b) AS min_salary, coalesce(b, a) AS max_salary FROM y""",
 )
 def _(spark, sf):
-    rows = views.table(spark, sf, "orders").selectExpr(*_split_select(_SALARY_INPUT))
+    rows = views.table(spark, sf, "orders", spread=True).selectExpr(*_split_select(_SALARY_INPUT))
     pay = P.normalize_salary(F.col("lo"), F.col("hi"), F.col("period"))
     return rows.select("id", pay.alias("pay")).select("id", "pay.min_salary", "pay.max_salary")
 
@@ -104,7 +104,7 @@ a AS (SELECT id, raw, list_filter(list_transform(tokens, lambda t: floor(
 SELECT id, raw, CAST(amounts[1] AS INT) AS min_salary, CAST(coalesce(amounts[2], amounts[1]) AS INT) AS max_salary FROM a""",
 )
 def _(spark, sf):
-    rows = views.table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{_SALARY_TEXT} AS raw")
+    rows = views.table(spark, sf, "orders", spread=True).selectExpr("o_orderkey AS id", f"{_SALARY_TEXT} AS raw")
     return rows.select("id", "raw", P.parse_salary_text(F.col("raw")).alias("pay")).select(
         "id", "raw", "pay.min_salary", "pay.max_salary"
     )
@@ -160,7 +160,7 @@ def _keyword_sql(*steps: str) -> str:
 
 
 def _keyword_rows(spark, sf):
-    return views.jobs(spark, sf).selectExpr("id", _KEYWORDS.format(array="array") + " AS a")
+    return views.jobs(spark, sf, spread=True).selectExpr("id", _KEYWORDS.format(array="array") + " AS a")
 
 
 def _joined(column):
@@ -193,7 +193,7 @@ def _(spark, sf):
     + f"SELECT id, array_to_string({_WHOLE.format(a='a')}, '|') AS kept FROM k2",
 )
 def _(spark, sf):
-    rows = views.jobs(spark, sf).selectExpr("id", "skills", _KEYWORDS.format(array="array") + " AS a")
+    rows = views.jobs(spark, sf, spread=True).selectExpr("id", "skills", _KEYWORDS.format(array="array") + " AS a")
     return rows.select("id", _joined(P.merge_skills(F.col("skills"), F.col("a"))))
 
 
@@ -209,7 +209,7 @@ def _(spark, sf):
 
 @check("F11_short_id", "SELECT doc_id, left(sha256(text), 16) AS source_id FROM documents")
 def _(spark, sf):
-    return views.table(spark, sf, "documents").select("doc_id", P.short_id(F.sha2("text", 256)).alias("source_id"))
+    return views.table(spark, sf, "documents", spread=True).select("doc_id", P.short_id(F.sha2("text", 256)).alias("source_id"))
 
 
 _WS = K.WHITESPACE_CLASS
@@ -224,7 +224,7 @@ _NO_TAGS = "regexp_replace({}, '<[^>]+>', ' ', 'g')"
 
 @check("F12_strip_html", f"SELECT page_id, {_squeeze_sql(_NO_TAGS.format('html'))} AS text FROM pages")
 def _(spark, sf):
-    return views.table(spark, sf, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+    return views.table(spark, sf, "pages", spread=True).select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
 def _entities_sql(column: str) -> str:
@@ -244,7 +244,7 @@ _ENTITY_TAIL = " &amp;lt;b&amp;gt; &quot;a&#39;b&quot;&nbsp;&ndash; &mdash;"
 )
 def _(spark, sf):
     html = F.concat("html", F.lit(_ENTITY_TAIL))
-    return views.table(spark, sf, "pages").select("page_id", T.strip_html_entities(html).alias("text"))
+    return views.table(spark, sf, "pages", spread=True).select("page_id", T.strip_html_entities(html).alias("text"))
 
 
 SALARY_HEADER_SQL = (
@@ -278,7 +278,7 @@ _WITH_CODE = "concat(text, CASE doc_id % 5 WHEN 0 THEN ' C# dev' WHEN 1 THEN ' c
     f"SELECT doc_id, regexp_matches(lower({_WITH_CODE}), {_case('doc_id', _DOC_PATTERNS)}) AS matched FROM documents",
 )
 def _(spark, sf):
-    docs = views.table(spark, sf, "documents").selectExpr(
+    docs = views.table(spark, sf, "documents", spread=True).selectExpr(
         "doc_id", f"{_WITH_CODE} AS text", f"{_case('doc_id', _DOC_KEYWORDS)} AS keyword"
     )
     return docs.select("doc_id", T.match_keyword(F.col("text"), F.col("keyword")).alias("matched"))
@@ -291,7 +291,7 @@ def _(spark, sf):
     + " FROM documents",
 )
 def _(spark, sf):
-    docs = views.table(spark, sf, "documents").selectExpr("doc_id", f"lower({_WITH_CODE}) AS text")
+    docs = views.table(spark, sf, "documents", spread=True).selectExpr("doc_id", f"lower({_WITH_CODE}) AS text")
     return docs.select("doc_id", *[T.matches_any(F.col("text"), [k]).alias(f"k{i}") for i, k in enumerate(_DOC_KEYWORDS)])
 
 
@@ -309,7 +309,7 @@ FIELDS_SQL = "list_filter([" + ", ".join(
     f"SELECT conv_id, turn, array_to_string({FIELDS_SQL.format(q='question')}, '|') AS fields FROM q",
 )
 def _(spark, sf):
-    rows = views.table(spark, sf, "conversations").selectExpr(
+    rows = views.table(spark, sf, "conversations", spread=True).selectExpr(
         "conv_id", "turn", f"concat(text, {_case('(conv_id + turn)', _ASKS)}) AS question"
     )
     return rows.select("conv_id", "turn", F.array_join(T.detect_fields(F.col("question")), "|").alias("fields"))
@@ -391,7 +391,7 @@ def resume_answers(spark, sf):
         )
     )
     broken = F.when(F.col("c_custkey") % 11 == 0, F.lit("no json here")).otherwise(F.concat(F.lit("```\n"), raw, F.lit("```")))
-    return views.table(spark, sf, "customer").withColumn("raw", broken)
+    return views.table(spark, sf, "customer", spread=True).withColumn("raw", broken)
 
 
 @check(
@@ -446,7 +446,7 @@ def _(spark, sf):
         F.lit("<think>hm\n"), F.substring("text", 1, 20), F.lit("</think>\n\n"),
         F.when(F.col("doc_id") % 2 == 0, F.lit("x ")).otherwise(F.lit("")), F.lit("<think></think>"),
     )
-    docs = views.table(spark, sf, "documents").filter(F.col("text").isNotNull())
+    docs = views.table(spark, sf, "documents", spread=True).filter(F.col("text").isNotNull())
     safe = F.regexp_replace("text", "^\n+", "")
     return docs.select("doc_id", T.strip_thinking(F.concat(thought, safe)).alias("text"))
 
@@ -509,7 +509,7 @@ def _route_column(i: int) -> str:
     f"{_route_column(4)} AS title, {_route_column(5)} AS min_salary FROM orders",
 )
 def _(spark, sf):
-    rows = views.table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{_route_column(0)} AS raw")
+    rows = views.table(spark, sf, "orders", spread=True).selectExpr("o_orderkey AS id", f"{_route_column(0)} AS raw")
     parsed = rows.select("id", R.extract_route(F.col("raw"), list(TEMPLATES)).alias("r"))
     return parsed.select(
         "id", "r.type", "r.intent", F.array_join("r.params", "|").alias("params"), "r.filters.title", "r.filters.min_salary"

@@ -44,7 +44,7 @@ _LANDED = (
 
 
 def landed(spark, sf):
-    j, pages = views.jobs(spark, sf), views.table(spark, sf, "pages").selectExpr("page_id AS id", "html")
+    j, pages = views.jobs(spark, sf), views.table(spark, sf, "pages", spread=True).selectExpr("page_id AS id", "html")
     rows = j.join(pages, "id")
     return rows.select("id", "title", "company", "location", j["url"], "html").withColumns(
         {"kind": F.expr(_TYPES), "pay": F.expr(_PAY)}
@@ -253,7 +253,7 @@ cls AS (SELECT i.doc_id, i.source_id, i.h, s.existing, CASE WHEN s.existing IS N
 
 
 def incoming(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.table(spark, sf, "documents", spread=True)
     raw = docs.select(
         F.col("doc_id").cast("string").alias("source_id"), F.lit("doc").alias("source"), F.lit("t").alias("title"),
         F.lit("c").alias("company"), F.lit(None).cast("string").alias("location"), F.col("text").alias("description"),
@@ -403,7 +403,7 @@ def _(spark, sf):
     folder = scratch(spark)
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", F.col("doc_id").cast("string"), quoted, F.col("lang"), F.when(F.col("doc_id") % 10 == 0, F.lit("extra")))
-    lines = views.table(spark, sf, "documents").select(line.alias("value"))
+    lines = views.table(spark, sf, "documents", spread=True).select(line.alias("value"))
     bucket = F.pmod(F.xxhash64("value"), F.lit(8))
     text = lines.groupBy(bucket.alias("file"), F.spark_partition_id()).agg(
         F.concat(F.lit("id,text,lang\n"), F.array_join(F.collect_list("value"), "\n")).alias("value")

@@ -50,7 +50,7 @@ _TITLE = "concat(lang, CASE doc_id % 4 WHEN 0 THEN ' the C# dev' WHEN 1 THEN ' a
 
 
 def label_jobs(spark, sf):
-    return views.table(spark, sf, "documents").selectExpr("doc_id AS id", f"{_TITLE} AS title", "text AS description")
+    return views.table(spark, sf, "documents", spread=True).selectExpr("doc_id AS id", f"{_TITLE} AS title", "text AS description")
 
 
 def _pattern(keyword: str) -> str:
@@ -146,7 +146,7 @@ _POSTED = (
 )
 def _(spark, sf):
     """The built-in questions labelled against all documents."""
-    jobs = views.table(spark, sf, "documents").selectExpr("doc_id AS id", f"{_POSTED} AS title", "text AS description")
+    jobs = views.table(spark, sf, "documents", spread=True).selectExpr("doc_id AS id", f"{_POSTED} AS title", "text AS description")
     return L.label_candidates(jobs, catalogue(spark))
 
 

@@ -55,7 +55,7 @@ def _hex_sql(text: str) -> str:
 
 @check("V01_embed_column", f"SELECT doc_id, array_to_string({_hex_sql('text')}, ',') AS vector FROM documents")
 def _(spark, sf):
-    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    docs = views.table(spark, sf, "documents", spread=True).select("doc_id", "text")
     embedded, _ = E.embed_column(docs, "text", hex_embedder, "hex", ["doc_id"], dim=DIM)
     digits = F.transform("embedding", lambda x: x.cast("int").cast("string"))
     return embedded.select("doc_id", F.array_join(digits, ",").alias("vector"))
@@ -73,7 +73,7 @@ FROM documents d LEFT JOIN cache c ON c.h = sha256(d.text)""",
 )
 def _(spark, sf):
     """Two thirds of the texts are in the cache, some of them too old, some under another model's name only."""
-    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    docs = views.table(spark, sf, "documents", spread=True).select("doc_id", "text")
     stored = docs.filter("doc_id % 3 > 0").select(F.sha2("text", 256).alias("text_hash"), "text", "doc_id")
     vectors = E.embed_texts(stored.dropDuplicates(["text_hash"]), hex_embedder, DIM)
     at = F.expr("TIMESTAMP_NTZ'2024-01-10 00:00:00' + make_dt_interval(0, CAST(doc_id % 100 AS INT) * 3)")
@@ -441,7 +441,7 @@ _ROUTES, _INTENTS = _route_table()
     f"CASE WHEN user_id % 9 = 0 THEN NULL ELSE {_cases('event_id', _INTENTS)} END AS intent FROM events",
 )
 def _(spark, sf):
-    asked = views.table(spark, sf, "events").selectExpr(
+    asked = views.table(spark, sf, "events", spread=True).selectExpr(
         "event_id",
         f"{_cases('event_id', _ROUTE_TEXTS).replace(chr(39) * 2, chr(39))} AS question",
         f"{_cases('event_id', _ROUTE_RESPONSES)} AS response",

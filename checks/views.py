@@ -6,9 +6,14 @@ questions are the mean vectors of the embedding labels.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywork.session import shared_folder
+from tallywork.sources.tables import scan, scan_spread
+
 
 SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
@@ -28,9 +33,15 @@ SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table, with its schema given so that no job is spent on reading footers."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A test table, with its schema given so that no job is spent on reading footers.
+
+    `spread` is for queries with costly work per row, see `scan_spread`.
+    """
+    path, schema = f"{sf_dir}/{name}.parquet", SCHEMAS[name]
+    if spread:
+        return scan_spread(spark, path, schema, schema.split()[0])
+    return scan(spark, path, schema)
 
 
 # ---- postings: one per order ---------------------------------------------------------------------
@@ -53,10 +64,10 @@ _JOB_FROM = (
 )
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jobs(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     return spark.sql(
         "SELECT " + _JOB_COLUMNS.format(array="array") + _JOB_FROM.format(o="{o}", c="{c}", n="{n}"),
-        o=table(spark, sf_dir, "orders"),
+        o=table(spark, sf_dir, "orders", spread),
         c=table(spark, sf_dir, "customer"),
         n=table(spark, sf_dir, "nation"),
     )
@@ -84,7 +95,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = _POSTING_COLUMNS.format(array="array", empty="CAST(array() AS ARRAY<STRING>)")
     rows = spark.sql(
         "SELECT " + columns + " FROM {d} d JOIN {j} j ON j.id = d.doc_id",
-        d=table(spark, sf_dir, "documents"),
+        d=table(spark, sf_dir, "documents", spread=True),
         j=jobs(spark, sf_dir),
     )
     return rows.drop("skills").withColumnRenamed("job_skills", "skills")
@@ -123,7 +134,24 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question per embedding label, its vector the mean of the label's embeddings."""
+    """One question per embedding label, its vector the mean of the label's embeddings.
+
+    Questions are embedded once and stored, as every step of a search reads them again: they are written to the shared
+    folder on first use in a session.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED_QUESTIONS:
+        path = f"{shared_folder(spark)}/questions-{uuid.uuid4().hex}"
+        _mean_questions(spark, sf_dir).coalesce(1).write.parquet(path)
+        _STORED_QUESTIONS[key] = path
+    return scan(spark, _STORED_QUESTIONS[key], QUESTION)
+
+
+_STORED_QUESTIONS: dict[tuple[str, str], str] = {}
+QUESTION = "query_id STRING, label INT, position INT, category STRING, question STRING, vector ARRAY<DOUBLE>"
+
+
+def _mean_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
     means = entries.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     vectors = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("entries"))

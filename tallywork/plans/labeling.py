@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tallywork import constants as K
 from tallywork.functions.text import keyword_regex_column, label_warning, matches_any
-from tallywork.operators.joins import bounded_join, hot_key_join
+from tallywork.operators.joins import bounded_join, hot_key_join, row_bound
 from tallywork.operators.ranking import top_per_key
 
 # Up to this many questions become one projection over the postings; more are joined by token.
 MAX_EXPRESSION_QUERIES = 200
-_TOKEN = "[A-Za-z0-9_]+"
+_TOKEN, _NO_TOKEN = "[A-Za-z0-9_]+", "[^A-Za-z0-9_]+"
 
 
 def _groups(query) -> list[list[str]]:
@@ -66,19 +66,30 @@ def scores_by_token(jobs: DataFrame, queries: DataFrame) -> DataFrame:
         "id", F.explode(F.array(F.struct(F.lit(2).alias("points"), F.lower("title").alias("text")),
                                 F.struct(F.lit(1).alias("points"), F.lower("description").alias("text")))).alias("t")
     ).select("id", "t.points", "t.text")
-    tokens = texts.select(
-        "id", "points", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))).alias("token")
+    tokens = texts.select("id", "points", F.explode(F.array_distinct(F.split("text", _NO_TOKEN))).alias("token"))
+    wanted = keywords.select("keyword", "token").distinct()
+    few = row_bound(wanted)
+    if few is not None:  # the tokens of all texts are not shuffled
+        met = bounded_join(tokens, wanted, "token", "inner", few)
+    else:
+        met = hot_key_join(tokens, wanted, "token", "inner", ["id"])
+    met = met.select("id", "points", "keyword", "token")
+    # Keywords that are one plain token have matched already; only the others look at the text again.
+    again = texts.select(F.col("id").alias("text_id"), F.col("points").alias("text_points"), "text")
+    is_plain = F.col("keyword") == F.col("token")
+    same_text = (F.col("id") == F.col("text_id")) & (F.col("points") == F.col("text_points"))
+    matches = (
+        met.join(again, same_text & ~is_plain, "left")
+        .filter(is_plain | F.rlike("text", keyword_regex_column(F.col("keyword"))))
+        .select("id", "points", "keyword")
+    )
+    places = keywords.select("keyword", "query_id", "n_groups", "g").distinct()
+    placed = (
+        bounded_join(matches, places, "keyword", "inner", row_bound(places))
+        if few is not None
+        else hot_key_join(matches, places, "keyword", "inner", ["id"])
     )
-    distinct_keywords = keywords.select("keyword", "token").distinct()
-    met = hot_key_join(tokens, distinct_keywords, "token", "inner", ["id"]).select("id", "points", "keyword", "token")
-    plain = met.filter(F.col("keyword") == F.col("token"))
-    checked = hot_key_join(
-        met.filter(F.col("keyword") != F.col("token")), texts, ["id", "points"], "inner", ["keyword"]
-    ).filter(F.rlike("text", keyword_regex_column(F.col("keyword"))))
-    matches = plain.select("id", "points", "keyword").unionByName(checked.select("id", "points", "keyword"))
-    best = hot_key_join(matches, keywords.drop("token"), "keyword", "inner", ["id"]).groupBy(
-        "id", "query_id", "n_groups", "g"
-    ).agg(F.max("points").alias("points"))
+    best = placed.groupBy("id", "query_id", "n_groups", "g").agg(F.max("points").alias("points"))
     scored = (
         best.groupBy("id", "query_id", "n_groups")
         .agg(F.count(F.lit(1)).alias("met"), F.sum("points").cast("int").alias("score"))
