@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +54,11 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column as a matrix with unit rows; zero vectors stay zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if rows and len(flat) % rows:
+    widths = pc.min_max(pc.list_value_length(column)).as_py()
+    if widths["min"] != widths["max"]:
         raise ValueError("embeddings of different width in one column")
-    matrix = flat.reshape(rows, -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    matrix = flat.reshape(len(column), -1)
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
