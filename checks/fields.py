@@ -182,6 +182,27 @@ def _(spark, sf):
     return _keyword_rows(spark, sf).select("id", _joined(P.dedupe_substrings(F.col("a"))))
 
 
+def _counts_sql(step: str) -> str:
+    return (
+        _keyword_sql(step).rsplit("SELECT id", 1)[0]
+        + "SELECT skill, count(*) AS postings FROM (SELECT unnest(a) AS skill FROM k1) GROUP BY 1"
+    )
+
+
+def _skill_counts(rows, kept):
+    return rows.select(F.explode(kept).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("postings"))
+
+
+@check("D05_skills_once_per_posting", _counts_sql(_FIRST))
+def _(spark, sf):
+    return _skill_counts(_keyword_rows(spark, sf), P.dedupe_insensitive(F.col("a")))
+
+
+@check("D06_longest_skills_per_posting", _counts_sql(_WHOLE))
+def _(spark, sf):
+    return _skill_counts(_keyword_rows(spark, sf), P.dedupe_substrings(F.col("a")))
+
+
 @check(
     "F09_merge_skills",
     views.with_ctes(
