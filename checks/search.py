@@ -12,16 +12,16 @@ from tallywork import constants as K
 from tallywork.operators import embedding as E
 from tallywork.operators import vector as V
 from tallywork.plans import retrieval as R
-from tallywork.plans import routing
+from tallywork.plans import answers, routing
 from tallywork.operators.filters import filter_jobs
 from tallywork.plans.ingest import has_embedding
 
 _SEARCH = (views.CHUNKS, views.QUESTIONS, views.PAIRS)
 
 
-def job_details(spark, sf):
+def job_details(spark, sf, spread=False):
     """Postings with the lists the context appendix reads."""
-    jobs = views.jobs(spark, sf)
+    jobs = views.jobs(spark, sf, spread)
     return jobs.select(
         "*",
         F.array(F.concat(F.lit("Know "), "title")).alias("requirements"),
@@ -271,7 +271,7 @@ _ASKED = "concat(title, ' duties and benefits', CASE WHEN id % 5 = 0 THEN ' or s
     + f"SELECT id, {_appendix_sql('body')} AS appendix FROM s",
 )
 def _(spark, sf):
-    rows = job_details(spark, sf).withColumn("asked", F.expr(_ASKED))
+    rows = job_details(spark, sf, spread=True).withColumn("asked", F.expr(_ASKED))
     body = F.when(F.col("id") % 3 == 0, F.lit("[benefits]: x")).otherwise(F.lit("nothing"))
     return rows.select("id", R.field_appendix(R.detect_fields(F.col("asked")), body).alias("appendix"))
 
@@ -509,6 +509,73 @@ def _(spark, sf):
     return R.hybrid_answers(asked, context, statistics)
 
 
+# ---- whole question tables -----------------------------------------------------------------------
+
+# Question, classifier answer and what must come of them, by question label.
+_TABLE = [
+    ("find building jobs", None, "retrieval", None),
+    ("jobs with good benefits and which skills", "garbage", "retrieval", None),
+    ("what salary and requirements", '{"type":"aggregation","intent":"skills_demand"}', "aggregation", "demand"),
+    ("how many duties are there", None, "retrieval", None),
+    ("find a tool and count all", '{"type":"retrieval","intent":"skills_demand","params":[]}', "hybrid", "demand"),
+    ("perks", '{"type":"hybrid","intent":"filter_jobs","filters":{"title":"%u%","jobType":"%time%"}}', "filter", "filtered"),
+    ("experience", '{"type":"hybrid","intent":"filter_jobs","filters":{"title":"%u%","jobType":"%time%"}}', "filter", "filtered"),
+    ("how many", '{"type":"aggregation","intent":"list_jobs_by_title","params":["%astronaut%"]}', "aggregation", "none"),
+    ("count in total", '{"type":"aggregation","intent":"count_total"}', "aggregation", "total"),
+    ("looking for anything", '{"type":"aggregation","intent":"count_total"}', "ids", None),
+]
+
+
+def _by_label(i: int) -> str:
+    return _cases("label", [row[i] for row in _TABLE])
+
+
+_LISTED = "{'id': id, 'title': title, 'company': company, 'location': location, 'job_type': job_type, 'min_salary': min_salary, 'max_salary': max_salary, 'url': url}"
+
+
+@check(
+    "R08_answer_table",
+    with_ctes(
+        views.JOBS, DETAILS, *_SEARCH,
+        f"asked AS (SELECT *, {_by_label(0)} AS ask, {_by_label(2)} AS route, {_by_label(3)} AS statistic FROM questions)",
+        top_chunks_sql(15), _GROUPS, _FOUND,
+        "near AS (SELECT * FROM details WHERE id IN (SELECT job_id FROM chunks))",
+        "ids AS (SELECT *, row_number() OVER (ORDER BY fetched_at DESC NULLS LAST, id) - 1 AS pos FROM near WHERE title ILIKE '%u%' AND job_type ILIKE '%time%' "
+        "ORDER BY fetched_at DESC NULLS LAST, id LIMIT 30)",
+        "best AS (SELECT query_id, job_id, max(similarity) AS s FROM pairs GROUP BY 1, 2)",
+        "named AS (SELECT query_id, i.id AS job_id, pos FROM asked, ids i WHERE route = 'filter' UNION ALL SELECT query_id, unnest([3, 5, 999999999]), unnest([0, 1, 2]) FROM asked WHERE route = 'ids')",
+        "given AS (SELECT n.query_id, n.job_id, coalesce(b.s, 0) AS similarity, row_number() OVER (PARTITION BY n.query_id ORDER BY coalesce(b.s, 0) DESC, pos) AS rank "
+        "FROM named n LEFT JOIN best b USING (query_id, job_id))",
+        "f2 AS (SELECT query_id, job_id, similarity, rank, CAST(body AS VARCHAR) AS body FROM found WHERE query_id IN (SELECT query_id FROM asked WHERE route IN ('retrieval', 'hybrid')) "
+        "UNION ALL SELECT g.query_id, g.job_id, g.similarity, g.rank, d.description FROM given g JOIN near d ON d.id = g.job_id)",
+        _block_ctes("f2", "f.body").replace("JOIN questions q", "JOIN asked q").replace("q.question", "q.ask").replace("JOIN details d", "JOIN near d"),
+        _CONTEXT,
+        "src AS (SELECT query_id, string_agg(job_id || ':' || printf('%.2f', floor(similarity * 100.0 + 0.5) / 100.0), ',' ORDER BY rank) AS sources FROM blocks GROUP BY 1)",
+        "demand AS (SELECT skill, count(*) AS job_count FROM (SELECT unnest(skills) AS skill FROM near) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30)",
+        f"st AS (SELECT *, CASE statistic WHEN 'demand' THEN (SELECT {_JSON_SQL} FROM demand) WHEN 'none' THEN '[]' WHEN 'total' THEN (SELECT to_json(list({{'total': n}})) FROM (SELECT count(*) AS n FROM near)) "
+        f"WHEN 'filtered' THEN (SELECT to_json(list({_LISTED} ORDER BY pos)) FROM ids) END AS rows FROM asked)",
+        "b AS (SELECT st.query_id, ask AS question, context, rows, sources, CASE WHEN route = 'aggregation' OR (route = 'hybrid' AND context IS NULL) THEN 'aggregation' "
+        "WHEN route IN ('retrieval', 'ids') OR context IS NULL THEN 'retrieval' ELSE 'hybrid' END AS type FROM st LEFT JOIN ctx USING (query_id) LEFT JOIN src USING (query_id))",
+    )
+    + f"""SELECT query_id, type, CASE WHEN type = 'aggregation' AND rows <> '[]' THEN {_lit(K.AGGREGATION_PROMPT_HEAD)} || 'Data:' || chr(10) || rows || chr(10) || chr(10) || 'User question: ' || question || chr(10) || chr(10) || 'Answer:'
+ WHEN type = 'aggregation' THEN {_lit(K.NO_DATA_ANSWER)} WHEN context IS NULL THEN {_lit(K.NO_POSTINGS_ANSWER)}
+ WHEN type = 'retrieval' THEN {_lit(K.RETRIEVAL_PROMPT_HEAD)} || 'Job Postings:' || chr(10) || context || chr(10) || chr(10) || 'User Query: ' || question || chr(10) || chr(10) || 'Answer:'
+ ELSE {_lit(K.HYBRID_PROMPT_HEAD)} || 'Job listings:' || chr(10) || context || chr(10) || chr(10) || 'Statistical data:' || chr(10) || rows || chr(10) || chr(10) || 'User question: ' || question || chr(10) || chr(10) || 'Answer:' END AS prompt,
+ CASE WHEN type <> 'aggregation' THEN sources END AS sources FROM b""",
+)
+def _(spark, sf):
+    """Questions of every route over the embedded postings: search, statistics (one empty), both, filter, given ids."""
+    chunks = views.chunks(spark, sf)
+    jobs = has_embedding(job_details(spark, sf), chunks)
+    asked = views.questions(spark, sf).selectExpr(
+        "query_id", f"{_by_label(0)} AS question", "vector", f"{_by_label(1)} AS response",
+        "IF(label = 9, array(3L, 5L, 999999999L), NULL) AS context_job_ids",
+    )
+    table = answers.answer_table(chunks, jobs, asked, threshold=THRESHOLD)
+    source = F.transform("sources", lambda s: F.format_string("%d:%.2f", s["job_id"], s["similarity"]))
+    return table.select("query_id", "type", "prompt", F.array_join(source, ",").alias("sources"))
+
+
 # ---- joins named after their use -----------------------------------------------------------------
 
 add(

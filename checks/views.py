@@ -96,7 +96,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(
         "SELECT " + columns + " FROM {d} d JOIN {j} j ON j.id = d.doc_id",
         d=table(spark, sf_dir, "documents", spread=True),
-        j=jobs(spark, sf_dir),
+        j=jobs(spark, sf_dir, spread=True),  # whichever side is broadcast, the other is spread
     )
     return rows.drop("skills").withColumnRenamed("job_skills", "skills")
 

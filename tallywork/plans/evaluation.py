@@ -14,6 +14,7 @@ from tallywork.operators.joins import bounded_join
 from tallywork.operators.ranking import top_per_key
 from tallywork.operators.vector import vector_top_k
 from tallywork.plans.retrieval import question_bound
+from tallywork.sinks.tables import Store
 
 # (question, title, description start) per row → a judge's answers; runs inside tasks
 Judge = Callable[[pd.Series, pd.Series, pd.Series], pd.Series]
@@ -195,3 +196,40 @@ def top_results(judged: DataFrame, k: int = K.EVAL_DEFAULT_K) -> DataFrame:
     return judged.filter(F.col("rank") <= k).select(
         "query_id", "rank", "job_id", round_half_up(F.col("similarity"), 3).alias("score"), "verdict"
     )
+
+
+# ---- a whole evaluation --------------------------------------------------------------------------
+
+
+def run_evaluation(
+    store: Store,
+    chunks: DataFrame,
+    jobs: DataFrame,
+    queries: DataFrame,
+    judge: str,
+    fn: Judge,
+    k: int = K.EVAL_MAX_K,
+    threshold: float = K.SIMILARITY_THRESHOLD,
+) -> dict[str, DataFrame]:
+    """Retrieve, judge what the store has no verdict for, and measure. Returns the report's tables by name.
+
+    `queries` has query_id, category, question and vector. New verdicts are stored before they are used, so a judge sees a
+    pair once, also when an executor is lost or the evaluation runs again.
+    """
+    found = retrieve_for_eval(chunks, queries, k, threshold)
+    bound = question_bound(queries)
+    missing = unjudged(found, store.judgments.read(), judge)
+    verdicts = judge_pairs(missing, queries, jobs, judge, fn, None if bound is None else bound * k)
+    store.judgments.commit(verdicts, store.judgments.last_version() + 1)
+
+    judged = with_verdicts(found, store.judgments.read(), judge)
+    metrics, counts = per_query_metrics(judged, queries), verdict_counts(judged, queries)
+    return {
+        "per_query": metrics,
+        "verdicts": counts,
+        "results": top_results(judged),
+        "overall": overall(metrics, counts),
+        "by_category": by_category(metrics),
+        "by_k": by_k(metrics),
+        **{f"{m}_by_category_and_k": category_k_matrix(metrics, m) for m in ("precision", "mrr")},
+    }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results or are needed for plans to hold at scale. Resources (memory, cores,
 # shuffle partition count) belong to the cluster and are never set here.
@@ -56,3 +56,11 @@ def shared_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="tallywork-")
         spark.conf.set("spark.tallywork.local.folder", folder)
     return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder, for a table that many later steps read."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

@@ -195,6 +195,33 @@ def test_metrics(spark):
     assert len(found) == 12
 
 
+def test_evaluation_judges_each_pair_once(spark):
+    from checks import views
+
+    sf, root = "/root/testdata/sf0.001", tempfile.mkdtemp()
+    store, chunks, queries = S.Store(spark, f"{root}/store"), views.chunks(spark, sf), views.questions(spark, sf)
+    jobs = views.jobs(spark, sf).withColumn("description", F.col("title"))
+
+    def run(fn):
+        return E.run_evaluation(store, chunks, jobs, queries, "local", fn, threshold=views.THRESHOLD)
+
+    def first(question, title, start):
+        return title.map(lambda t: "Relevant" if "BUILDING" in t else "no")
+
+    def second(question, title, start):
+        raise AssertionError("the judge was asked again")
+
+    report = run(first)
+    pairs = E.retrieve_for_eval(chunks, queries, threshold=views.THRESHOLD).count()
+    assert store.judgments.read().count() == pairs > 0
+    once = {name: sorted(map(str, table.collect())) for name, table in report.items()}
+    again = {name: sorted(map(str, table.collect())) for name, table in run(second).items()}
+    assert once == again
+    (overall,) = report["overall"].collect()
+    assert overall.query_count == 10 and 0 < overall.precision < 1
+    assert all(0 <= r.precision <= 1 and 0 <= r.ndcg <= 1 and r.mrr <= 1 for r in report["per_query"].collect())
+
+
 def test_stream_of_distinct_contents(spark):
     folder, name = tempfile.mkdtemp(), "distinct_contents_test"
     with open(f"{folder}/a.json", "w") as f:
