@@ -28,6 +28,10 @@ class VersionedTable:
     def columns(self) -> list[str]:
         return StructType.fromDDL(self.schema).names
 
+    def _typed(self, rows: DataFrame) -> DataFrame:
+        """The table's columns in their declared types, which readers rely on."""
+        return rows.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(self.schema)])
+
     # -- what is there -------------------------------------------------------------------------------
 
     def finished(self) -> list[tuple[str, int]]:
@@ -80,9 +84,11 @@ class VersionedTable:
 
     def commit(self, rows: DataFrame, version: int, deleted: DataFrame | None = None) -> None:
         """Add or replace the keys of `rows`; drop the keys of `deleted`."""
-        change = rows.select(*self.columns).withColumn("_deleted", F.lit(False))
+        change = self._typed(rows).withColumn("_deleted", F.lit(False))
         if deleted is not None:
-            gone = deleted.select(*self.keys).distinct().withColumn("_deleted", F.lit(True))
+            types = {f.name: f.dataType for f in StructType.fromDDL(self.schema)}
+            keys = deleted.select(*[F.col(k).cast(types[k]) for k in self.keys]).distinct()
+            gone = keys.withColumn("_deleted", F.lit(True))
             change = change.unionByName(gone, allowMissingColumns=True)
         change.withColumn("_version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(
             self._folder("delta", version)
@@ -90,7 +96,7 @@ class VersionedTable:
 
     def replace_all(self, rows: DataFrame, version: int) -> None:
         """The table is exactly `rows` from this version on."""
-        rows.select(*self.columns).write.mode("overwrite").parquet(
+        self._typed(rows).write.mode("overwrite").parquet(
             self._folder("base", version)
         )
 

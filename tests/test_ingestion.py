@@ -199,8 +199,9 @@ def test_evaluation_judges_each_pair_once(spark):
     from checks import views
 
     sf, root = "/root/testdata/sf0.001", tempfile.mkdtemp()
-    store, chunks, queries = S.Store(spark, f"{root}/store"), views.chunks(spark, sf), views.questions(spark, sf)
-    jobs = views.jobs(spark, sf).withColumn("description", F.col("title"))
+    store, queries = S.Store(spark, f"{root}/store"), views.questions(spark, sf)
+    chunks = views.chunks(spark, sf).withColumn("job_id", F.col("job_id").cast("string"))
+    jobs = views.jobs(spark, sf).withColumns({"id": F.col("id").cast("string"), "description": F.col("title")})
 
     def run(fn):
         return E.run_evaluation(store, chunks, jobs, queries, "local", fn, threshold=views.THRESHOLD)
