@@ -394,6 +394,15 @@ def _(spark, sf):
     return T.csv_to_raw(T.read_csv_rows(spark, folder)).drop("is_remote", "logo", "keywords")
 
 
+def _header_first(batches):
+    """The header line before the first row of each file."""
+    import pyarrow as pa
+
+    yield pa.RecordBatch.from_arrays([pa.array(["id,text,lang"])], names=["value"])
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+
 @check(
     "S04_csv_rows",
     "SELECT CAST(doc_id AS VARCHAR) AS id, replace(text, chr(13), '') AS text, lang FROM documents WHERE doc_id % 10 > 0",
@@ -404,11 +413,7 @@ def _(spark, sf):
     quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", F.col("doc_id").cast("string"), quoted, F.col("lang"), F.when(F.col("doc_id") % 10 == 0, F.lit("extra")))
     lines = views.table(spark, sf, "documents", spread=True).select(line.alias("value"))
-    bucket = F.pmod(F.xxhash64("value"), F.lit(8))
-    text = lines.groupBy(bucket.alias("file"), F.spark_partition_id()).agg(
-        F.concat(F.lit("id,text,lang\n"), F.array_join(F.collect_list("value"), "\n")).alias("value")
-    )
-    text.select("value", "file").repartition("file", "value").write.option("maxRecordsPerFile", 1).partitionBy("file").text(folder)
+    lines.mapInArrow(_header_first, "value string").write.text(folder)
     rows = T.read_csv_rows(spark, folder).select("id", "text", "lang")
     return rows.withColumn("text", F.replace("text", F.lit("\r"), F.lit("")))
 

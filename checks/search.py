@@ -148,28 +148,42 @@ def _(spark, sf):
     return joined.select("query_id", "chunk_id", "job_id", "title", F.round("similarity", 6).alias("similarity"))
 
 
-# Every posting of the chunk table is a candidate of the question its id falls to.
+# Eight postings of the chunk table make the id list of one user; the users' questions take the vectors in turn.
+_LIST = 8
+_USERS_SQL = (
+    f"users AS (SELECT 'u' || n AS query_id, q.label, q.query_id AS base_id, q.question FROM (SELECT DISTINCT job_id // {_LIST} AS n FROM chunks) c "
+    "JOIN questions q ON q.label = n % 10)"
+)
 _WANTED_SQL = (
-    "wanted AS (SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY job_id DESC) - 1 AS pos FROM "
-    "(SELECT DISTINCT job_id FROM chunks) c JOIN questions q ON q.label = c.job_id % 10)"
+    f"wanted AS (SELECT u.query_id, u.base_id, c.job_id, row_number() OVER (PARTITION BY u.query_id ORDER BY c.job_id DESC) - 1 AS pos FROM "
+    f"(SELECT DISTINCT job_id FROM chunks{{more}}) c JOIN users u ON u.query_id = 'u' || ((c.job_id % 1000000) // {_LIST}))"
+)
+_WANTED = _WANTED_SQL.format(more="")
+_BEST = (
+    "best AS (SELECT w.query_id, w.job_id, max(p.similarity) AS s FROM wanted w JOIN pairs p ON p.query_id = w.base_id AND p.job_id = w.job_id GROUP BY 1, 2)"
 )
 
 
-def wanted(spark, sf):
-    jobs = views.chunks(spark, sf).select("job_id", (F.col("job_id") % 10).cast("int").alias("label")).distinct()
-    lists = jobs.groupBy("label").agg(F.sort_array(F.collect_list("job_id"), False).alias("context_job_ids"))
-    asked = views.questions(spark, sf).join(lists, "label")
-    return R.wanted_from_ids(asked)
+def users(spark, sf, missing=False):
+    """Questions with explicit id lists, as many as the chunk table asks for; `missing` adds an id without chunks."""
+    jobs = views.chunks(spark, sf).select("job_id").distinct().withColumn("n", F.floor(F.col("job_id") / _LIST))
+    lists = jobs.groupBy("n").agg(F.sort_array(F.collect_list("job_id"), False).alias("context_job_ids"))
+    if missing:
+        gone = F.array((F.col("n") * _LIST + 1000000).cast("bigint"))
+        lists = lists.withColumn("context_job_ids", F.concat(gone, "context_job_ids"))
+    lists = lists.withColumn("label", (F.col("n") % 10).cast("int"))
+    asked = lists.join(views.questions(spark, sf).select("label", "question", "vector"), "label")
+    return asked.select(F.concat(F.lit("u"), F.col("n").cast("string")).alias("query_id"), "question", "vector", "context_job_ids")
 
 
 @check(
     "V06_vector_rank_within",
-    with_ctes(*_SEARCH, _WANTED_SQL)
-    + "SELECT p.query_id, p.job_id, p.chunk_id, round(p.similarity, 6) AS similarity FROM pairs p JOIN wanted w USING (query_id, job_id)",
+    with_ctes(*_SEARCH, _USERS_SQL, _WANTED)
+    + "SELECT w.query_id, w.job_id, p.chunk_id, round(p.similarity, 6) AS similarity FROM wanted w JOIN pairs p ON p.query_id = w.base_id AND p.job_id = w.job_id",
 )
 def _(spark, sf):
-    asked = views.questions(spark, sf)
-    ranked = V.vector_rank_within(views.chunks(spark, sf), asked, wanted(spark, sf), R.question_bound(asked))
+    asked = users(spark, sf)
+    ranked = V.vector_rank_within(views.chunks(spark, sf), asked, R.wanted_from_ids(asked), R.question_bound(asked))
     return ranked.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -177,20 +191,17 @@ def _(spark, sf):
     "W10_rank_given_ids",
     with_ctes(
         *_SEARCH,
-        "wanted AS (SELECT query_id, job_id, row_number() OVER (PARTITION BY query_id ORDER BY job_id DESC) - 1 AS pos FROM "
-        "(SELECT DISTINCT job_id FROM chunks UNION ALL SELECT 1000000 + label FROM questions) c JOIN questions q ON q.label = c.job_id % 10)",
-        "best AS (SELECT query_id, job_id, max(similarity) AS s FROM pairs GROUP BY 1, 2)",
+        _USERS_SQL,
+        _WANTED_SQL.format(more=f" UNION ALL SELECT DISTINCT (job_id // {_LIST}) * {_LIST} + 1000000 FROM chunks"),
+        _BEST,
     )
     + "SELECT query_id, job_id, CAST(rank AS INT) AS rank, round(s, 6) AS similarity FROM (SELECT w.query_id, w.job_id, coalesce(b.s, 0) AS s, "
     "row_number() OVER (PARTITION BY w.query_id ORDER BY coalesce(b.s, 0) DESC, pos) AS rank FROM wanted w LEFT JOIN best b USING (query_id, job_id))",
 )
 def _(spark, sf):
-    """Each question also names a posting without chunks, which ranks with similarity 0."""
-    none = views.questions(spark, sf).select((F.col("label") + 1000000).cast("bigint").alias("job_id"), "label")
-    jobs = views.chunks(spark, sf).select("job_id", (F.col("job_id") % 10).cast("int").alias("label")).distinct()
-    lists = jobs.unionByName(none).groupBy("label").agg(F.sort_array(F.collect_list("job_id"), False).alias("context_job_ids"))
-    named = R.wanted_from_ids(views.questions(spark, sf).join(lists, "label"))
-    ranked = R.rank_given(views.chunks(spark, sf), views.questions(spark, sf), named)
+    """Each list also names a posting without chunks, which ranks with similarity 0."""
+    asked = users(spark, sf, missing=True)
+    ranked = R.rank_given(views.chunks(spark, sf), asked, R.wanted_from_ids(asked), R.question_bound(asked))
     return ranked.select("query_id", "job_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
@@ -277,17 +288,17 @@ def _(spark, sf):
 
 
 _GIVEN_BLOCKS = (
-    views.JOBS, DETAILS, *_SEARCH, _WANTED_SQL,
-    "best AS (SELECT query_id, job_id, max(similarity) AS s FROM pairs GROUP BY 1, 2)",
+    views.JOBS, DETAILS, *_SEARCH, _USERS_SQL, _WANTED, _BEST,
     "given AS (SELECT w.query_id, w.job_id, coalesce(b.s, 0) AS similarity, row_number() OVER (PARTITION BY w.query_id "
     "ORDER BY coalesce(b.s, 0) DESC, pos) AS rank FROM wanted w LEFT JOIN best b USING (query_id, job_id))",
-    _block_ctes("given", "d.description"),
+    _block_ctes("given", "d.description").replace("JOIN questions q", "JOIN users q"),
 )
 
 
 @check("R05_context_from_ids", with_ctes(*_GIVEN_BLOCKS) + "SELECT query_id, job_id, CAST(rank AS INT) AS rank, block FROM blocks")
 def _(spark, sf):
-    blocks = R.given_blocks(views.chunks(spark, sf), job_details(spark, sf), views.questions(spark, sf), wanted(spark, sf))
+    asked = users(spark, sf)
+    blocks = R.given_blocks(views.chunks(spark, sf), job_details(spark, sf), asked, R.wanted_from_ids(asked))
     return blocks.select("query_id", "job_id", "rank", "block")
 
 

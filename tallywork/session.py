@@ -5,8 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 
+from types import ModuleType
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import tallywork
+
 # Settings that change results or are needed for plans to hold at scale. Resources (memory, cores,
 # shuffle partition count) belong to the cluster and are never set here.
 REQUIRED = {
@@ -18,6 +23,15 @@ REQUIRED = {
 }
 
 
+def ship(*modules: ModuleType) -> None:
+    """Send the functions of these modules to tasks by value, so that executors need no copy of the code."""
+    for module in modules:
+        cloudpickle.register_pickle_by_value(module)
+
+
+ship(tallywork)
+
+
 def local_session(app: str = "tallywork", cpus: str | int = 8, **conf: str) -> SparkSession:
     """A single-machine session for tests and the bench. On a cluster use the given session and `apply`."""
     builder = (
