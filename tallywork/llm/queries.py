@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import binary, bytebpe, html, langid, mixing, quality, topk
+from tallywork.llm import binary, bytebpe, html, jaccard, langid, mixing, quality, topk
 from tallywork.llm.common import settings
 from tallywork.session import shared_folder
 from tallywork.sources.tables import scan
@@ -35,6 +35,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
@@ -78,6 +82,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_main_text": op4_main_text,
     "op5_token_files": op5_token_files,
     "op7_source_mix": op7_source_mix,
