@@ -410,6 +410,9 @@ def deduplicated(docs: DataFrame, target: float = TARGET) -> DataFrame:
 
     Rows without a doc_id stay, as they are in no class.
     """
-    classes = join(docs, target).filter("class_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(classes, docs["doc_id"] == classes["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    classes = join(docs, target).filter("class_id = doc_id").select("doc_id").distinct()
+    whole = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
+    rows = docs.select("doc_id", whole)
+    kept = rows.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = kept.unionByName(rows.filter(F.col("doc_id").isNull()))
+    return kept.select(*[F.col(f"_row.c{i}").alias(name) for i, name in enumerate(docs.columns)])

@@ -128,20 +128,33 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carried: tuple[st
     """The `carried` columns, `lang_pred` and `score`, the posterior probability of the prediction.
 
     Only the text is looked at. `und` with score 0 if the text is null or has no letter, or if the model knows no language. Of
-    equal scores the language first in code point order wins.
+    equal scores the language first in code point order wins. Rows are scored one by one.
     """
+    rows = _scored(docs, model, text, carried)
+    return rows.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(carried)], "lang_pred", "score")
+
+
+def known_only(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, whatever their columns, whose language is one the model knows, with at least the given score."""
+    rows = _scored(docs, model, text, tuple(docs.columns)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return rows.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
+
+
+def _scored(docs: DataFrame, model: Model, text: str, carried: tuple[str, ...]) -> DataFrame:
     spark = settings(docs.sparkSession)
     shared = spark.sparkContext.broadcast((model.languages, model.log_likelihood, model.log_prior))
-    rows = docs.select(*carried, F.col(text).alias("_text"))
-    schema = docs.select(*carried).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    names = [f"c{i}" for i in range(len(carried))]
+    at = f"c{carried.index(text)}" if text in carried else "t"
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(carried, names, strict=True)], *([docs[text].alias("t")] if at == "t" else []))
+    schema = rows.select(*names).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*shared.value)
         for batch in batches:
-            found = [_best(known, t) for t in batch.column("_text").to_pylist()]
-            names, scores = zip(*found, strict=True) if found else ((), ())
-            columns = [batch.column(c) for c in carried] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*carried, "lang_pred", "score"])
+            found = [_best(known, t) for t in batch.column(at).to_pylist()]
+            languages, scores = zip(*found, strict=True) if found else ((), ())
+            columns = [batch.column(c) for c in names] + [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
 

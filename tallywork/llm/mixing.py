@@ -114,9 +114,11 @@ def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
     # repeated rows share a key: their copies are added up and dealt out to the repeats in turn
     taken = taken.groupBy("row_hash", F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"))
     repeats = Window.partitionBy("_hash")
-    keyed = docs.withColumn("_hash", F.xxhash64("doc_id", "text", "source"))
+    whole = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    keyed = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64("doc_id", "text", "source").alias("_hash"), whole.alias("_row"))
     keyed = keyed.withColumn("_repeat", F.row_number().over(repeats.orderBy("doc_id"))).withColumn("_repeats", F.count("*").over(repeats))
     same = F.coalesce(F.col("doc_id") == F.col("_id"), F.col("doc_id").isNull() & F.col("_id").isNull())
     found = keyed.join(taken, (keyed["_hash"] == taken["row_hash"]) & same)
     own = F.expr("CAST(_copies div _repeats AS INT) + CAST(_repeat <= _copies % _repeats AS INT)")
-    return found.withColumn("_own", own).filter("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
+    copies = found.withColumn("_own", own).filter("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own"))))
+    return copies.select(*[F.col(f"_row.c{i}").alias(name) for i, name in enumerate(docs.columns)])

@@ -50,17 +50,19 @@ RULES = (
 )
 
 
-def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """`doc_id`, `stratum` and the counts of whole texts; a null text has no words and no lines.
+def features(docs: DataFrame, stratum: str = "lang", carried: tuple[Column, ...] = ()) -> DataFrame:
+    """`doc_id`, `stratum`, the `carried` columns and the counts of whole texts; a null text has no words and no lines.
 
     `n_repeat_words` counts words that lie in a window of five words found twice or more in the text. Windows are compared by
     64-bit hashes; the exact work is done only for texts in which some window repeats.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(docs["text"], F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    given = docs.select("doc_id", docs[stratum].alias("stratum"), *carried).columns
     rows = docs.select(
         "doc_id",
-        F.col(stratum).alias("stratum"),
+        docs[stratum].alias("stratum"),
+        *carried,
         F.length(F.regexp_replace(text, WHITE, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
         F.array_remove(F.split(text, WHITE), "").alias("_words"),
@@ -69,8 +71,7 @@ def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     at = F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1))
     hashes = F.transform(at, lambda i: F.xxhash64(*[F.element_at("_words", i + k) for k in range(WINDOW)]))
     rows = rows.select(
-        "doc_id",
-        "stratum",
+        *given,
         F.size("_words").cast("bigint").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -189,8 +190,24 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: tupl
     cutoffs are joined by an ordinary join.
     """
     feats = staged(features(docs, stratum), "quality-features")
-    chosen = select_cutoffs(ladders(feats, labels, rules)).withColumnRenamed("stratum", "_stratum")
+    return _verdicts(feats, select_cutoffs(ladders(feats, labels, rules)), rules)
+
+
+def _verdicts(feats: DataFrame, chosen: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    chosen = chosen.withColumnRenamed("stratum", "_stratum")
     rows = feats.join(chosen, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
     failed = F.array(*[F.when(_fails(rule, F.col("cutoffs")[rule.name]), F.lit(rule.name)) for rule in rules])
     rows = rows.withColumn("base_failed", base_failed()).withColumn("failed_rules", F.array_compact(failed)).drop("cutoffs")
     return rows.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def kept_only(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of `docs`, whatever their columns, that the rules keep.
+
+    The certificates need the labelled documents alone; verdicts are passed with the rows in hand, so that no text is shuffled.
+    """
+    judged = docs.select("doc_id", "text", stratum).join(labels.select("doc_id").dropna().distinct(), "doc_id", "left_semi")
+    chosen = staged(select_cutoffs(ladders(features(judged, stratum), labels, rules)), "quality-cutoffs")
+    rows = features(docs, stratum, (F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"),))
+    rows = _verdicts(rows, chosen, rules).filter("kept")
+    return rows.select(*[F.col(f"_row.c{i}").alias(name) for i, name in enumerate(docs.columns)])

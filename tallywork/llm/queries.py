@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import binary, bytebpe, html, jaccard, langid, mixing, quality, topk
+from tallywork.llm import attribution, binary, bytebpe, html, jaccard, langid, licences, mixing, quality, topk
 from tallywork.llm.common import settings
 from tallywork.session import shared_folder
 from tallywork.sources.tables import scan
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return scan(settings(spark), f"{sf_dir}/{name}.parquet", SCHEMAS[name])
 
 
+def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every sentence of every document."""
+    return attribution.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     # products of whole numbers are exact
@@ -50,6 +55,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -81,10 +90,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_attribution": op1_token_attribution,
     "op2_exact_top_k": op2_exact_top_k,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_main_text": op4_main_text,
     "op5_token_files": op5_token_files,
+    "op6_licence_scan": op6_licence_scan,
     "op7_source_mix": op7_source_mix,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
