@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import WHITE, staged
+from tallywork.llm.common import WHITE, forget, staged
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -33,26 +33,30 @@ TERMS = 20_000
 
 @dataclass(frozen=True)
 class Rule:
-    """`measure` is SQL over the features; a document fails above (`above`) or below the cutoff."""
+    """A document fails if `part` / `whole`, two of the features, is above (`above`) or below the cutoff; not if `whole` is 0."""
 
     name: str
-    measure: str
+    part: str
+    whole: str
     above: bool
     cutoffs: tuple[float, ...]
 
 
 RULES = (
-    Rule("symbols", "n_symbols / n_words", True, (2.0, 1.0, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05)),
-    Rule("long_words", "word_chars / n_words", True, (12.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0, 6.75, 6.5, 6.25, 6.0)),
-    Rule("short_words", "word_chars / n_words", False, (1.5, 2.0, 2.5, 3.0, 3.25, 3.5, 3.75, 4.0)),
-    Rule("repeated_lines", "n_dup_lines / n_lines", True, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)),
-    Rule("repeated_words", "n_repeat_words / n_words", True, (0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06)),
+    Rule("symbols", "n_symbols", "n_words", True, (2.0, 1.0, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05)),
+    Rule("long_words", "word_chars", "n_words", True, (12.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0, 6.75, 6.5, 6.25, 6.0)),
+    Rule("short_words", "word_chars", "n_words", False, (1.5, 2.0, 2.5, 3.0, 3.25, 3.5, 3.75, 4.0)),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", True, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)),
+    Rule("repeated_words", "n_repeat_words", "n_words", True, (0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06)),
 )
 
 
 def features(docs: DataFrame, stratum: str = "lang", carried: tuple[Column, ...] = ()) -> DataFrame:
     """`doc_id`, `stratum`, the `carried` columns and the counts of whole texts; a null text has no words and no lines.
 
+    `_at` numbers the rows. A filter that asks for it stays above the counts; it would otherwise be pushed below them and count
+    again for every rule.
+
     `n_repeat_words` counts words that lie in a window of five words found twice or more in the text. Windows are compared by
     64-bit hashes; the exact work is done only for texts in which some window repeats.
     """
@@ -94,7 +98,8 @@ def features(docs: DataFrame, stratum: str = "lang", carried: tuple[Column, ...]
         lambda seen, i: F.struct((seen["total"] + F.least(F.lit(WINDOW), i - seen["last"])).alias("total"), i.alias("last")),
         lambda seen: seen["total"],
     )
-    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint")).drop("_placed")
+    rows = rows.withColumns({"n_repeat_words": F.coalesce(covered, F.lit(0)).cast("bigint"), "_at": F.monotonically_increasing_id()})
+    return rows.drop("_placed")
 
 
 def base_failed() -> Column:
@@ -103,7 +108,7 @@ def base_failed() -> Column:
 
 
 def _fails(rule: Rule, cutoff: Column | float) -> Column:
-    measure = F.expr(rule.measure)
+    measure = F.try_divide(F.col(rule.part), F.col(rule.whole))
     return measure > cutoff if rule.above else measure < cutoff
 
 
@@ -143,7 +148,8 @@ def ladders(feats: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES
     Labelled documents that fail the base rules are out anyway and are not counted. Labels without a document or a quality say
     nothing. Null strata are one stratum.
     """
-    judged = feats.filter(~base_failed()).join(labels.select("doc_id", "quality").dropna(), "doc_id")
+    counted_once = F.col("_at") >= 0 if "_at" in feats.columns else F.lit(True)
+    judged = feats.filter(~base_failed() & counted_once).join(labels.select("doc_id", "quality").dropna(), "doc_id")
     good, poor = F.col("quality") == 1, F.col("quality") == 0
     counted = [F.count_if(good).alias("n_good")]
     for rule in rules:
@@ -189,7 +195,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: tupl
     written once, as both the certificates and the verdicts read them. Strata are as many as the column has values; their
     cutoffs are joined by an ordinary join.
     """
-    feats = staged(features(docs, stratum), "quality-features")
+    feats = staged(features(docs, stratum).drop("_at"), "quality-features")
     return _verdicts(feats, select_cutoffs(ladders(feats, labels, rules)), rules)
 
 
@@ -207,7 +213,9 @@ def kept_only(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules:
     The certificates need the labelled documents alone; verdicts are passed with the rows in hand, so that no text is shuffled.
     """
     judged = docs.select("doc_id", "text", stratum).join(labels.select("doc_id").dropna().distinct(), "doc_id", "left_semi")
-    chosen = staged(select_cutoffs(ladders(features(judged, stratum), labels, rules)), "quality-cutoffs")
+    feats = staged(features(judged, stratum).drop("_at"), "quality-features")
+    chosen = staged(select_cutoffs(ladders(feats, labels, rules)), "quality-cutoffs")
+    forget(feats)
     rows = features(docs, stratum, (F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"),))
-    rows = _verdicts(rows, chosen, rules).filter("kept")
+    rows = _verdicts(rows, chosen, rules).filter("kept AND _at >= 0")
     return rows.select(*[F.col(f"_row.c{i}").alias(name) for i, name in enumerate(docs.columns)])

@@ -124,7 +124,7 @@ _RUNGS = ", ".join(
     f"('{rule.name}', {step}, {cutoff}::DOUBLE)" for rule in quality.RULES for step, cutoff in enumerate(rule.cutoffs)
 )
 _FAILS = " ".join(
-    f"WHEN rule = '{rule.name}' THEN {rule.measure} {'>' if rule.above else '<'} cutoff" for rule in quality.RULES
+    f"WHEN rule = '{rule.name}' THEN {rule.part} / nullif({rule.whole}, 0) {'>' if rule.above else '<'} cutoff" for rule in quality.RULES
 )
 OP8_SQL = rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents),
@@ -151,7 +151,7 @@ q AS (SELECT *, bool_and(p_value <= {quality.DELTA} / ({len(quality.RULES)} * (S
 s AS (SELECT stratum, rule, arg_max(cutoff, (poor_out - {quality.COST} * good_out) * 1000 - step) AS cutoff FROM q
  WHERE certified AND poor_out > {quality.COST} * good_out GROUP BY stratum, rule)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
- NOT base_failed AND NOT EXISTS (SELECT 1 FROM s WHERE s.stratum IS NOT DISTINCT FROM b.stratum AND (CASE {_FAILS} END)) AS kept FROM b
+ NOT base_failed AND NOT EXISTS (SELECT 1 FROM s WHERE s.stratum IS NOT DISTINCT FROM b.stratum AND coalesce((CASE {_FAILS} END), false)) AS kept FROM b
 """
 OP2_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS vector FROM embeddings
