@@ -93,8 +93,9 @@ def count_tokens(docs: DataFrame, path: str, sections: Spans | str = sentences,
         raise ValueError(f"rule is one of {', '.join(RULES)}")
     spark = settings(docs.sparkSession)
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
-    given = [F.col(sections).alias("spans")] if isinstance(sections, str) else []
-    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), *given)
+    given = isinstance(sections, str)
+    spans_column = [docs[sections].alias("spans")] if given else []
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), *spans_column)
     out = pa.schema(
         [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_sections", pa.int32()), ("n_crossing", pa.int64()), ("section_tokens", pa.list_(pa.float64()))]
     )

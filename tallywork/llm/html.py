@@ -81,7 +81,8 @@ def _element(tag: str, more: str, parent: Element) -> Element:
                 beside = beside or tag not in ("html", "body", "article", "main") and bool(
                     _BESIDE.search(value) or outer and _HEADS.search(value)
                 )
-                if name == "class":
+                # classes of the whole page tell pages apart, not places in them
+                if name == "class" and tag not in ("html", "body"):
                     words = ".".join(sorted(_DIGITS.sub("", value).split()))
             elif name == "style":
                 beside = beside or bool(_HIDDEN.search(value))
