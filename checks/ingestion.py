@@ -150,6 +150,16 @@ def _(spark, sf):
     return _flat(L.union_sources([L.remotive(remotive_pages(rows)), L.jobicy(jobicy_pages(rows)), capped]))
 
 
+@check(
+    "S09_union_of_sources",
+    with_ctes(*_ALL_SOURCES) + f"SELECT {_RAW} FROM remotive UNION ALL SELECT {_RAW} FROM jobicy UNION ALL SELECT {_RAW} FROM findwork",
+)
+def _(spark, sf):
+    """Everything that was landed, without a paging stop."""
+    rows = landed(spark, sf)
+    return _flat(L.union_sources([L.remotive(remotive_pages(rows)), L.jobicy(jobicy_pages(rows)), L.findwork(findwork_pages(rows))]))
+
+
 @check(
     "P13_source_row_filters",
     with_ctes(*_ALL_SOURCES)
@@ -181,6 +191,22 @@ def _(spark, sf):
     return _flat(raw)
 
 
+def _fourth_board(pages):
+    """A board of the caller's own, with pages as Findwork has them."""
+    return L.findwork(pages).withColumn("source", F.lit("fourth"))
+
+
+@check(
+    "U01_fourth_source",
+    with_ctes(*_ALL_SOURCES) + f"SELECT {_RAW} FROM (SELECT * REPLACE ('fourth' AS source) FROM findwork)",
+)
+def _(spark, sf):
+    root = scratch(spark)
+    _land(findwork_pages(landed(spark, sf)), f"{root}/fourth")
+    raw, failed = L.read_landing(spark, {"fourth": f"{root}/fourth"}, sources={"fourth": (schemas.FINDWORK_PAGE, _fourth_board)})
+    return _flat(raw)
+
+
 # ---- first, last ---------------------------------------------------------------------------------
 
 
@@ -237,9 +263,9 @@ def _(spark, sf):
         if version == 2:
             fifth = table.read().filter("user_id % 5 = 0")
             gone = fifth.join(rows.select("user_id", "event_type"), ["user_id", "event_type"], "left_anti")
-        table.commit(rows, version, gone)
+        table.commit(rows, deleted=gone)
         if version == 0:
-            table.compact()
+            table.fold()
     return table.read()
 
 
@@ -298,6 +324,20 @@ def _(spark, sf):
     return I.new_contents(classified(spark, sf)).select("doc_id", "content_hash")
 
 
+# Every third document repeats the key of the one before it with a text of its own, as an edited posting does.
+_EDITED = """e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN doc_id - 1 ELSE doc_id END AS k, h FROM cls WHERE status = 'new'),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id DESC) AS n FROM e) WHERE n = 1)"""
+
+
+@check(
+    "D02_last_per_key_before_first_per_content",
+    with_ctes(_STATUS, _EDITED) + "SELECT min(doc_id) AS doc_id, h AS content_hash FROM last GROUP BY h",
+)
+def _(spark, sf):
+    key = F.when(F.col("doc_id") % 3 == 1, F.col("doc_id") - 1).otherwise(F.col("doc_id")).cast("string")
+    return I.new_contents(classified(spark, sf).withColumn("source_id", key)).select("doc_id", "content_hash")
+
+
 @check(
     "D04_stored_but_not_embedded",
     with_ctes(_STATUS) + "SELECT DISTINCT existing AS id FROM cls WHERE status = 're-embed'",
@@ -529,8 +569,8 @@ def _(spark, sf):
         F.lit("m").alias("embedding_model"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"),
         F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), "event_id",
     )
-    S.upsert_resumes(store, resume.filter("event_id % 2 = 0"), 0, ["event_id"])
-    S.upsert_resumes(store, resume, 1, ["event_id"])
+    S.upsert_resumes(store, resume.filter("event_id % 2 = 0"), ["event_id"])
+    S.upsert_resumes(store, resume, ["event_id"])
     if not set(names) <= set(store.resumes.columns):
         raise AssertionError(names)
     return store.resumes.read().select("user_id", F.col("raw_text").cast("bigint").alias("last_event"))
@@ -547,11 +587,11 @@ def _(spark, sf):
         "'local' AS judge", "concat('q', CAST(user_id % 15 AS STRING)) AS query_id", "concat('j', CAST(event_id % 97 AS STRING)) AS job_id",
         "event_type AS verdict", "event_id",
     )
-    S.record_judgments(store, rows, 0, ["event_id"])
-    S.clear_judgments(store, 1)
+    S.record_judgments(store, rows, ["event_id"])
+    S.clear_judgments(store)
     last = rows.agg(F.max("event_id")).first()[0]
-    S.record_judgments(store, rows.filter(F.col("event_id") < last / 2), 2, ["event_id"])
-    S.record_judgments(store, rows.filter(F.col("event_id") >= last / 2), 3, ["event_id"])
+    S.record_judgments(store, rows.filter(F.col("event_id") < last / 2), ["event_id"])
+    S.record_judgments(store, rows.filter(F.col("event_id") >= last / 2), ["event_id"])
     return store.judgments.read()
 
 
@@ -600,8 +640,7 @@ def run_twice(spark, sf):
 
     _land(remotive_pages(rows.filter("id % 2 = 0")), folders["remotive"])
     _land(findwork_pages(rows.filter("id % 2 = 1")), folders["findwork"])
-    _land(jobicy_pages(rows.filter("id < 0")), folders["jobicy"])
-    run()
+    run()  # the third board has no folder yet
     _land(jobicy_pages(rows), folders["jobicy"])
     run()
     run()
@@ -617,6 +656,61 @@ def _(spark, sf):
     )
 
 
+@check(
+    "I01_batch_after_reset",
+    with_ctes(*_RUN_JOBS) + "SELECT source, source_id FROM remotive WHERE id % 2 = 0 UNION ALL SELECT source, source_id FROM r2",
+)
+def _(spark, sf):
+    """Stream, reset from the first board's postings, stream again: neither the reset nor the next batch is lost."""
+    root, rows = scratch(spark), landed(spark, sf)
+    folders = {name: f"{root}/landing/{name}" for name in L.SOURCES}
+    store, embedding = S.Store(spark, f"{root}/store"), I.Embedding(hex_embedder, "hex", DIM)
+
+    def run():
+        start_ingestion(spark, folders, store, f"{root}/checkpoint", embedding, now=F.expr(NOW)).awaitTermination()
+
+    _land(findwork_pages(rows.filter("id % 2 = 1")), folders["findwork"])
+    run()
+    # what the reset loads has contents of the second run's board, which are then known
+    first = L.remotive(remotive_pages(rows.filter("id % 2 = 0"))).unionByName(L.findwork(findwork_pages(rows.filter("id % 2 = 1"))))
+    I.reset_from_csv(store, first.drop("page", "pos"), embedding, F.expr(NOW))
+    _land(jobicy_pages(rows), folders["jobicy"])
+    run()
+    return store.jobs.read().filter("source <> 'findwork'").select("source", "source_id")
+
+
+@check(
+    "K04_edit_between_batches",
+    with_ctes(
+        *_ALL_SOURCES,
+        "h AS (SELECT *, sha256(concat(title, '|', company, '|', description, '|', coalesce(location, ''))) AS hash FROM findwork)",
+        "f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY id) AS n FROM h WHERE id % 2 = 1) WHERE n = 1)",
+        "f2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY id) AS n FROM h WHERE id % 2 = 0 "
+        "AND hash NOT IN (SELECT hash FROM f1 WHERE id % 6 <> 3)) WHERE n = 1)",
+    )
+    + "SELECT source_id, CASE WHEN id % 4 = 1 THEN 'edited' ELSE title END AS title, CAST(1 AS BIGINT) AS identities FROM f1 WHERE id % 6 <> 3 "
+    "UNION ALL SELECT source_id, title, 1 FROM f2",
+)
+def _(spark, sf):
+    """Batch, edit, batch, and the first batch delivered again: patches and deletes stay, chunks go with what is deleted."""
+    root, rows = scratch(spark), landed(spark, sf)
+    store, embedding, now = S.Store(spark, f"{root}/store"), I.Embedding(hex_embedder, "hex", DIM), F.expr(NOW)
+    raw = L.findwork(findwork_pages(rows))
+    odd = F.col("source_id").cast("bigint") % 2 == 1
+    I.ingest_batch(store, raw.filter(odd), "s#0", embedding, now=now)
+    stored = store.jobs.read().select("id", F.col("source_id").cast("bigint").alias("n"))
+    typed = dict(part.split(" ", 1) for part in schemas.JOB.split(", "))
+    changes = stored.filter("n % 4 = 1 OR n % 6 = 3").select(
+        "id", F.when(F.col("n") % 6 == 3, "delete").otherwise("patch").alias("op"), F.col("n").alias("seq"),
+        *[(F.lit("edited") if c == "title" else F.lit(None)).cast(typed[c]).alias(c) for c in S.PATCHABLE],
+    )
+    S.edit_postings(store, changes, now, "edit")
+    I.ingest_batch(store, raw.filter(~odd), "s#1", embedding, now=now)
+    I.ingest_batch(store, raw.filter(odd), "s#0", embedding, now=now)
+    identities = store.chunks.read().filter("chunk_type = 'identity'").groupBy(F.col("job_id").alias("id")).agg(F.count(F.lit(1)).alias("identities"))
+    return store.jobs.read().join(identities, "id", "full").select("source_id", "title", "identities")
+
+
 @check(
     "I05_run_metrics",
     with_ctes(*_RUN_JOBS)
@@ -640,7 +734,7 @@ def _(spark, sf):
     first = L.remotive(remotive_pages(rows.filter("id % 2 = 0"))).unionByName(L.findwork(findwork_pages(rows.filter("id % 2 = 1"))))
     I.ingest_batch(store, first, 0, embedding, now=now)
     lost = store.jobs.read().filter(F.pmod(F.xxhash64("id"), F.lit(2)) == 0).select(F.col("id").alias("job_id"))
-    store.chunks.commit(store.chunks.read().limit(0), 1, lost)
+    store.chunks.commit(store.chunks.read().limit(0), deleted=lost)
     I.ingest_batch(store, first.unionByName(L.jobicy(jobicy_pages(rows))), 2, embedding, now=now)
     identities = store.chunks.read().filter("chunk_type = 'identity'").groupBy("job_id").agg(F.count(F.lit(1)).alias("identities"))
     jobs = store.jobs.read().select(F.col("id").alias("job_id"), "source", "source_id")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.session import shared_folder
-from tallywork.sources.tables import scan, scan_spread
+from tallywork.sources.tables import scan, scan_dealt
 
 
 SCHEMAS = {
@@ -36,11 +36,11 @@ SCHEMAS = {
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A test table, with its schema given so that no job is spent on reading footers.
 
-    `spread` is for queries with costly work per row, see `scan_spread`.
+    `spread` is for queries with costly work per row over these single-split files, see `scan_dealt`.
     """
     path, schema = f"{sf_dir}/{name}.parquet", SCHEMAS[name]
     if spread:
-        return scan_spread(spark, path, schema, schema.split()[0])
+        return scan_dealt(spark, path, schema, schema.split()[0], spark.sparkContext.defaultParallelism)
     return scan(spark, path, schema)
 
 

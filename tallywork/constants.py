@@ -58,7 +58,6 @@ WHITESPACE_CLASS = (
 # ---- Fixed values: chunking ----------------------------------------------------------------------
 WINDOW_CHARS = 800
 WINDOW_OVERLAP = 200
-MAX_WINDOWS = 4
 
 # ---- Fixed values: retrieval ---------------------------------------------------------------------
 EMBEDDING_DIM = 768
@@ -97,9 +96,6 @@ LABEL_CAP = 40
 SAMPLES_PER_TIER = 2
 TIERS = ("top", "bottom", "cross")
 
-# ---- Fixed values: sources -----------------------------------------------------------------------
-FINDWORK_CAP = 1_000
-
 # ---- Fixed values: prompt texts ------------------------------------------------------------------
 NO_POSTINGS_ANSWER = (
     "No relevant job postings found for your query. Try different keywords or broaden your search."

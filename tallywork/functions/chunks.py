@@ -107,12 +107,12 @@ def segments(text: Column, window: int = K.WINDOW_CHARS) -> Column:
 
 
 def windows(
-    text: Column, window: int = K.WINDOW_CHARS, overlap: int = K.WINDOW_OVERLAP, max_windows: int | None = K.MAX_WINDOWS
+    text: Column, window: int = K.WINDOW_CHARS, overlap: int = K.WINDOW_OVERLAP, max_windows: int | None = None
 ) -> Column:
     """Greedy windows of at most `window` characters, each starting with the last `overlap` of the one before.
 
     Segments longer than `window - overlap` are first cut to that length, so that one always fits behind an
-    overlap and no text is lost. `max_windows=None` windows the whole text; otherwise the first windows are kept.
+    overlap and no text is lost. The whole text is cut unless `max_windows` keeps the first windows only.
     """
     room = window - overlap
     pieces = F.flatten(
@@ -144,7 +144,7 @@ def windows(
     return packed if max_windows is None else F.slice(packed, 1, max_windows)
 
 
-def window_chunks(job: dict[str, Column], max_windows: int | None = K.MAX_WINDOWS) -> Column:
+def window_chunks(job: dict[str, Column], max_windows: int | None = None) -> Column:
     """Chunks for a posting without structured fields: identity, salary sentence, windows over the description."""
     identity = F.concat(
         _joined(
@@ -176,7 +176,7 @@ def window_chunks(job: dict[str, Column], max_windows: int | None = K.MAX_WINDOW
     return F.concat(head, F.coalesce(body, F.array().cast("array<struct<type:string,text:string>>")))
 
 
-def build_chunks(job: dict[str, Column]) -> Column:
+def build_chunks(job: dict[str, Column], max_windows: int | None = None) -> Column:
     """Structured chunks where any structured field is present, else text windows."""
     structured = has_structure(job["summary"], job["salary"], *[job[name] for name in _LISTS])
-    return F.when(structured, structured_chunks(job)).otherwise(window_chunks(job))
+    return F.when(structured, structured_chunks(job)).otherwise(window_chunks(job, max_windows))

@@ -103,6 +103,9 @@ def embed_column(
     if cache is None:
         misses = texts.select(text_key(F.col("text")).alias("text_hash"), "text").dropDuplicates(["text_hash"])
     else:
+        # the cache is cut to the wanted texts before its vectors are read
+        wanted = texts.select(text_key(F.col("text")).alias("text_hash")).distinct()
+        cache = cache.join(wanted, "text_hash", "left_semi")
         misses = cache_misses(texts, cache, model, now)
     fresh = embed_texts(misses, embedder, dim, tasks=tasks).select(
         "text_hash", F.lit(model).alias("model"), "embedding", now.alias("cached_at")

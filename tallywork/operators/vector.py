@@ -80,6 +80,9 @@ def _score_block(chunk_ids, vectors: np.ndarray, query_vectors: np.ndarray, floo
     for start in range(0, len(vectors), _ROWS_PER_PRODUCT):
         stop = start + _ROWS_PER_PRODUCT
         scores = np.round(vectors[start:stop] @ query_vectors.T, SIMILARITY_DIGITS)
+        # a zero vector is similar to nothing, whatever the threshold
+        scores[~vectors[start:stop].any(axis=1)] = np.nan
+        scores[:, ~query_vectors.any(axis=1)] = np.nan
         ids = chunk_ids[start:stop]
         for q in np.flatnonzero((scores >= floors).any(axis=0)):
             column = np.ascontiguousarray(scores[:, q])

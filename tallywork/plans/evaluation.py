@@ -14,6 +14,7 @@ from tallywork.operators.joins import bounded_join
 from tallywork.operators.ranking import top_per_key
 from tallywork.operators.vector import vector_top_k
 from tallywork.plans.retrieval import question_bound
+from tallywork.session import store_once
 from tallywork.sinks.tables import Store
 
 # (question, title, description start) per row → a judge's answers; runs inside tasks
@@ -216,13 +217,14 @@ def run_evaluation(
     `queries` has query_id, category, question and vector. New verdicts are stored before they are used, so a judge sees a
     pair once, also when an executor is lost or the evaluation runs again.
     """
-    found = retrieve_for_eval(chunks, queries, k, threshold)
+    # searched once: every table of the report reads the stored result
+    found = store_once(retrieve_for_eval(chunks, queries, k, threshold), "found")
     bound = question_bound(queries)
     missing = unjudged(found, store.judgments.read(), judge)
     verdicts = judge_pairs(missing, queries, jobs, judge, fn, None if bound is None else bound * k)
-    store.judgments.commit(verdicts, store.judgments.last_version() + 1)
+    store.judgments.commit(verdicts)
 
-    judged = with_verdicts(found, store.judgments.read(), judge)
+    judged = store_once(with_verdicts(found, store.judgments.read(), judge), "judged")
     metrics, counts = per_query_metrics(judged, queries), verdict_counts(judged, queries)
     return {
         "per_query": metrics,

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -79,9 +80,13 @@ def classify(incoming: DataFrame, stored: DataFrame, chunks: DataFrame) -> DataF
 
 
 def new_contents(classified: DataFrame) -> DataFrame:
-    """The postings to store: first of each new content within the run, then last per posting key."""
-    fresh = first_seen(classified.filter(F.col("status") == NEW), ["content_hash"], POSITION)
-    return latest_wins(fresh, ["source", "source_id"], ["page", "pos"])
+    """The postings to store: the last per posting key within the run, then the first of each new content among these.
+
+    In this order no content is lost: a posting that is replaced within the run does not take the place of another with its
+    former content.
+    """
+    last = latest_wins(classified.filter(F.col("status") == NEW), ["source", "source_id"], ["page", "pos", "content_hash"])
+    return first_seen(last, ["content_hash"], POSITION)
 
 
 def run_counts(classified: DataFrame, stored_rows: DataFrame) -> DataFrame:
@@ -128,10 +133,10 @@ def to_jobs(raw: DataFrame, now: Column) -> DataFrame:
     return rows.select(*[columns.get(c, F.col(c)).alias(c) for c in schemas.JOB_COLUMNS])
 
 
-def to_chunks(jobs: DataFrame) -> DataFrame:
-    """(job_id, pos, chunk_type, chunk_text) of stored rows."""
+def to_chunks(jobs: DataFrame, max_windows: int | None = None) -> DataFrame:
+    """(job_id, pos, chunk_type, chunk_text) of stored rows, over whole texts unless `max_windows` limits their windows."""
     fields = {c: F.col(c) for c in jobs.columns}
-    return jobs.select(F.col("id").alias("job_id"), F.posexplode(build_chunks(fields)).alias("pos", "chunk")).select(
+    return jobs.select(F.col("id").alias("job_id"), F.posexplode(build_chunks(fields, max_windows)).alias("pos", "chunk")).select(
         "job_id", "pos", F.col("chunk.type").alias("chunk_type"), F.col("chunk.text").alias("chunk_text")
     )
 
@@ -141,12 +146,16 @@ def to_chunks(jobs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Embedding:
-    """A user's embedder with its name and width. `tasks` sets how many tasks call it at a time."""
+    """A user's embedder with its name and width.
+
+    `tasks` sets how many tasks call it at a time, `max_windows` how many windows of a text are embedded (None: all).
+    """
 
     embedder: Embedder
     model: str
     dim: int = K.EMBEDDING_DIM
     tasks: int | None = None
+    max_windows: int | None = None
 
 
 def _staged(store: Store, rows: DataFrame, name: str) -> DataFrame:
@@ -160,17 +169,17 @@ def _staged(store: Store, rows: DataFrame, name: str) -> DataFrame:
     return store.spark.read.schema(rows.schema).parquet(path)
 
 
-def _store_vectors(cache: VersionedTable, version: int) -> Callable[[DataFrame], DataFrame]:
+def _store_vectors(cache: VersionedTable, mark: str) -> Callable[[DataFrame], DataFrame]:
     def store(vectors: DataFrame) -> DataFrame:
-        cache.commit(vectors, version)
-        return cache.read_version(version)
+        cache.commit(vectors, mark)
+        return cache.read_commit(mark)
 
     return store
 
 
-def _embedded_chunks(store: Store, jobs: DataFrame, version: int, embedding: Embedding, now: Column) -> DataFrame:
+def _embedded_chunks(store: Store, jobs: DataFrame, mark: str, embedding: Embedding, now: Column) -> DataFrame:
     """Stored form of the jobs' chunks. Texts with a fresh vector in the cache are not embedded again."""
-    texts = _staged(store, to_chunks(jobs), "chunks")
+    texts = _staged(store, to_chunks(jobs, embedding.max_windows), "chunks")
     embedded, _ = embed_column(
         texts,
         "chunk_text",
@@ -178,24 +187,33 @@ def _embedded_chunks(store: Store, jobs: DataFrame, version: int, embedding: Emb
         embedding.model,
         ["job_id", "pos"],
         embedding.dim,
-        cache=store.embedding_cache.read(before=version),
+        cache=store.embedding_cache.read(before=store.embedding_cache.version_of(mark)),
         now=now,
-        store=_store_vectors(store.embedding_cache, version),
+        store=_store_vectors(store.embedding_cache, mark),
         tasks=embedding.tasks,
     )
     return chunk_rows(embedded, embedding.model, now)
 
 
+def _at(now: Column | None, spark: SparkSession) -> Column:
+    """The time of a run, one value for all its steps and repeats within it."""
+    if now is None:
+        now = F.lit(spark.sql("SELECT current_timestamp()").first()[0]).cast("timestamp").cast("timestamp_ntz")
+    return now
+
+
 def ingest_batch(
-    store: Store, raw: DataFrame, version: int, embedding: Embedding, parser: Parser | None = None, now: Column | None = None
+    store: Store, raw: DataFrame, mark: str, embedding: Embedding, parser: Parser | None = None, now: Column | None = None
 ) -> DataFrame:
-    """Store one batch of raw postings (with page and pos) as version `version`; returns its counts.
+    """Store one batch of raw postings (with page and pos); returns its counts.
 
-    Each step is written once and read back. Stored tables are read as they were before this version, so a batch that
-    is delivered again overwrites its own folders with the same rows.
+    `mark` names the batch, such as a stream's checkpoint and batch number. Each step is written once and read back. Stored
+    tables are read as they were before the batch, so one that is delivered again overwrites its own commits with the same
+    rows, whatever was committed in between. At the end small commits are folded.
     """
-    now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
-    stored, chunks = store.jobs.read(before=version), store.chunks.read(before=version)
+    now, mark = _at(now, store.spark), str(mark)
+    stored = store.jobs.read(before=store.jobs.version_of(mark))
+    chunks = store.chunks.read(before=store.chunks.version_of(mark))
     incoming = _staged(store, with_content_hash(raw), "incoming")
     status = classify(incoming, stored, chunks).select(*StructType.fromDDL(STAGED).names)
     classified = _staged(store, status, "classified")
@@ -203,21 +221,24 @@ def ingest_batch(
     fresh = new_contents(classified)
     if parser is not None:
         fresh = _staged(store, parser(fresh), "parsed")
-    store.jobs.commit(keep_created_at(to_jobs(fresh, now), stored), version)
-    written = store.jobs.read_version(version)
+    store.jobs.commit(keep_created_at(to_jobs(fresh, now), stored), mark)
+    written = store.jobs.read_commit(mark)
 
     healed = classified.filter(F.col("status") == RE_EMBED).select(F.col("existing_id").alias("id")).distinct()
     to_embed = written.unionByName(stored.join(healed, "id", "left_semi"))
-    store.chunks.commit(_embedded_chunks(store, to_embed, version, embedding, now), version)
+    store.chunks.commit(_embedded_chunks(store, to_embed, mark, embedding, now), mark)
 
-    store.runs.commit(run_counts(classified, written).withColumn("version", F.lit(version).cast("bigint")), version)
-    return store.runs.read_version(version)
+    number = F.lit(store.runs.version_of(mark)).cast("bigint")
+    store.runs.commit(run_counts(classified, written).withColumn("version", number), mark)
+    counts = store.runs.read_commit(mark)
+    for table in (store.jobs, store.chunks, store.embedding_cache):
+        table.fold()
+    return counts
 
 
 def reset_from_csv(store: Store, raw: DataFrame, embedding: Embedding, now: Column | None = None) -> None:
     """Empty the tables and load CSV postings; nothing is parsed, salaries are taken as they are."""
-    now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
-    version = 1 + max(t.last_version() for t in (store.jobs, store.chunks, store.embedding_cache))
+    now, mark = _at(now, store.spark), f"reset/{uuid.uuid4().hex}"
     typed = {f.name: f.dataType for f in StructType.fromDDL(schemas.JOB)}
     empty = F.array().cast("array<string>")
     given = {c: F.col(c) for c in [*schemas.RAW_JOB_COLUMNS, "content_hash"] if c != "keywords"} | {
@@ -230,5 +251,5 @@ def reset_from_csv(store: Store, raw: DataFrame, embedding: Embedding, now: Colu
     jobs = with_content_hash(raw).select(
         *[given.get(c, F.lit(None)).cast(typed[c]).alias(c) for c in schemas.JOB_COLUMNS]
     )
-    truncate_and_reload(store, latest_wins(jobs, ["source", "source_id"], ["content_hash"]), version)
-    store.chunks.replace_all(_embedded_chunks(store, store.jobs.read(), version, embedding, now), version)
+    truncate_and_reload(store, latest_wins(jobs, ["source", "source_id"], ["content_hash"]), mark)
+    store.chunks.replace_all(_embedded_chunks(store, store.jobs.read(), mark, embedding, now), mark)

@@ -51,7 +51,8 @@ def scores_by_token(jobs: DataFrame, queries: DataFrame) -> DataFrame:
     """The same scores for a question table of any size.
 
     A keyword can only match where its first word run is a whole token of the text, so keywords and texts meet on
-    tokens; only keywords of more than one plain token are checked against the text again.
+    tokens; only keywords of more than one plain token are checked against the text again. Keywords without any token, such
+    as `++`, are few, as they have no letters; they are searched in every text.
     """
     groups = F.when(F.coalesce(F.size("keyword_groups"), F.lit(0)) > 0, F.col("keyword_groups")).otherwise(
         F.array("expected_keywords")
@@ -67,7 +68,7 @@ def scores_by_token(jobs: DataFrame, queries: DataFrame) -> DataFrame:
                                 F.struct(F.lit(1).alias("points"), F.lower("description").alias("text")))).alias("t")
     ).select("id", "t.points", "t.text")
     tokens = texts.select("id", "points", F.explode(F.array_distinct(F.split("text", _NO_TOKEN))).alias("token"))
-    wanted = keywords.select("keyword", "token").distinct()
+    wanted = keywords.filter("token <> ''").select("keyword", "token").distinct()
     few = row_bound(wanted)
     if few is not None:  # the tokens of all texts are not shuffled
         met = bounded_join(tokens, wanted, "token", "inner", few)
@@ -83,6 +84,10 @@ def scores_by_token(jobs: DataFrame, queries: DataFrame) -> DataFrame:
         .filter(is_plain | F.rlike("text", keyword_regex_column(F.col("keyword"))))
         .select("id", "points", "keyword")
     )
+    bare = [row["keyword"] for row in keywords.filter("token = '' AND keyword <> ''").select("keyword").distinct().collect()]
+    if bare:
+        held = F.filter(F.array(*map(F.lit, bare)), lambda k: F.rlike(F.col("text"), keyword_regex_column(k)))
+        matches = matches.unionByName(texts.select("id", "points", F.explode(held).alias("keyword")))
     places = keywords.select("keyword", "query_id", "n_groups", "g").distinct()
     placed = (
         bounded_join(matches, places, "keyword", "inner", row_bound(places))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-
+import uuid
 from types import ModuleType
 
 from pyspark import cloudpickle
@@ -61,17 +61,27 @@ def apply(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach. The cluster names it in `spark.checkpoint.dir`.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and recorded.
+    Only on a single machine, where that is unset, a temporary folder is made and recorded; on a cluster each executor would
+    write to a disk of its own, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not folder:
         folder = spark.conf.get("spark.tallywork.local.folder", "") or ""
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tallywork-")
         spark.conf.set("spark.tallywork.local.folder", folder)
     return folder.rstrip("/")
 
 
+def store_once(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back, for a result that several later steps read."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows written once to the shared folder, for a table that many later steps read."""
     context = df.sparkSession.sparkContext

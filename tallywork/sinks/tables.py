@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tallywork import constants as K
 from tallywork import schemas
 from tallywork.functions.postings import content_hash, job_id, short_id
-from tallywork.operators.joins import hot_key_join
+from tallywork.operators.joins import existing_only, hot_key_join
 from tallywork.operators.ranking import latest_wins
 from tallywork.sinks.versioned import VersionedTable
 
@@ -142,10 +143,34 @@ def apply_changes(jobs: DataFrame, changes: DataFrame, now: Column) -> tuple[Dat
     return patched.unionByName(inserted.join(deleted, "id", "left_anti")), deleted
 
 
-def truncate_and_reload(store: Store, jobs: DataFrame, version: int) -> None:
+def edit_postings(store: Store, changes: DataFrame, now: Column, mark: str | None = None) -> None:
+    """Apply a table of changes to the store. What is deleted takes its chunks and bookmarks along.
+
+    `mark` names the edit, so that one applied again does not count twice.
+    """
+    mark = uuid.uuid4().hex if mark is None else mark
+    jobs = store.jobs.read(before=store.jobs.version_of(mark))
+    written, deleted = apply_changes(jobs, changes, now)
+    gone = deleted.withColumnRenamed("id", "job_id")
+    saved = store.favorites.read(before=store.favorites.version_of(mark))
+    bookmarks = saved.join(gone, "job_id", "left_semi").select("user_id", "job_id")
+    store.favorites.commit(saved.limit(0), mark, bookmarks)
+    store.chunks.commit(store.spark.createDataFrame([], schemas.CHUNK), mark, gone)
+    store.jobs.commit(written, mark, deleted)
+
+
+def apply_bookmarks(store: Store, events: DataFrame, mark: str | None = None) -> None:
+    """Apply a table of save and unsave events to the store; those for unknown postings are left out."""
+    mark = uuid.uuid4().hex if mark is None else mark
+    known = existing_only(events, store.jobs.read().select(F.col("id").alias("job_id")), "job_id", ["seq"])
+    written, gone = bookmark_state(store.favorites.read(before=store.favorites.version_of(mark)), known)
+    store.favorites.commit(written, mark, gone)
+
+
+def truncate_and_reload(store: Store, jobs: DataFrame, mark: str) -> None:
     """Replace every posting; chunks go with their postings."""
-    store.chunks.replace_all(store.spark.createDataFrame([], schemas.CHUNK), version)
-    store.jobs.replace_all(jobs, version)
+    store.chunks.replace_all(store.spark.createDataFrame([], schemas.CHUNK), f"{mark}/empty")
+    store.jobs.replace_all(jobs, mark)
 
 
 def export_csv(jobs: DataFrame, path: str) -> None:
@@ -221,18 +246,18 @@ def bookmark_state(saved: DataFrame, events: DataFrame) -> tuple[DataFrame, Data
     return written, gone
 
 
-def upsert_resumes(store: Store, resumes: DataFrame, version: int, sequence: list[str]) -> None:
+def upsert_resumes(store: Store, resumes: DataFrame, sequence: list[str], mark: str | None = None) -> None:
     """One resume per user, the last one given; vectors of another width are refused when embedded."""
-    store.resumes.commit(latest_wins(resumes, ["user_id"], sequence), version)
+    store.resumes.commit(latest_wins(resumes, ["user_id"], sequence), mark)
 
 
-def record_judgments(store: Store, verdicts: DataFrame, version: int, sequence: list[str]) -> None:
+def record_judgments(store: Store, verdicts: DataFrame, sequence: list[str], mark: str | None = None) -> None:
     """Add verdicts; the last per judge, question and posting wins."""
-    store.judgments.commit(latest_wins(verdicts, ["judge", "query_id", "job_id"], sequence), version)
+    store.judgments.commit(latest_wins(verdicts, ["judge", "query_id", "job_id"], sequence), mark)
 
 
-def clear_judgments(store: Store, version: int) -> None:
-    store.judgments.replace_all(store.spark.createDataFrame([], schemas.JUDGMENT), version)
+def clear_judgments(store: Store) -> None:
+    store.judgments.replace_all(store.spark.createDataFrame([], schemas.JUDGMENT))
 
 
 def judgment_counts(judgments: DataFrame) -> DataFrame:

@@ -1,20 +1,35 @@
 """Keyed Parquet tables that take small upserts without being rewritten.
 
-A commit is one folder with Spark's own `_SUCCESS` marker: `base-N` holds the whole table as of version N, `delta-N`
-the rows that version N adds, replaces or deletes. Readers take the newest finished base and the finished deltas after
-it; a key in a delta hides that key's older rows. A repeated commit of the same version overwrites its own folder only.
+A commit is one folder with Spark's own `_SUCCESS` marker, named by kind, version and the writer's mark: `base` holds the whole
+table as of its version, `delta` the rows that it adds, replaces or deletes. Versions are allotted by the table, one above all
+that have been begun, and have nothing to do with a stream's batch numbers. The mark says who writes what, for instance which
+batch of which stream: a repeated batch finds its own folder by it and overwrites that one only, and no two writers share a
+folder. Readers take the newest finished base and the finished deltas after it; a key in a delta hides that key's older rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_FOLDER = re.compile(r"(base|delta)-(\d+)$")
+from tallywork.sources.tables import table_bytes
+
+_FOLDER = re.compile(r"(base|delta)-(\d+)-([0-9a-f]+)$")
+# Deltas are folded into a new base once they hold this share of its bytes, so that each byte is rewritten a few times only.
+FOLD_SHARE = 0.25
+
+
+class Commit(NamedTuple):
+    version: int
+    kind: str
+    mark: str
 
 
 @dataclass(frozen=True)
@@ -34,37 +49,51 @@ class VersionedTable:
 
     # -- what is there -------------------------------------------------------------------------------
 
-    def finished(self) -> list[tuple[str, int]]:
-        """(kind, version) of the finished commits, oldest first; a base after the delta of the same version."""
+    def _glob(self, pattern: str) -> list[Commit]:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        pattern = hadoop.Path(f"{self.root}/*/_SUCCESS")
-        files = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-        names = [_FOLDER.search(f.getPath().getParent().getName()) for f in files]
-        return sorted(((m[1], int(m[2])) for m in names if m), key=lambda c: (c[1], c[0] == "base"))
+        path = hadoop.Path(f"{self.root}/{pattern}")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        names = [f.getPath().getParent().getName() if pattern.endswith("_SUCCESS") else f.getPath().getName() for f in found]
+        return sorted(Commit(int(m[2]), m[1], m[3]) for m in map(_FOLDER.search, names) if m)
+
+    def finished(self) -> list[Commit]:
+        """The finished commits, oldest first."""
+        return self._glob("*/_SUCCESS")
+
+    def begun(self) -> list[Commit]:
+        """All commits, finished or not, oldest first."""
+        return self._glob("*")
 
     def last_version(self) -> int:
-        return max((version for _, version in self.finished()), default=-1)
+        return max((c.version for c in self.finished()), default=-1)
+
+    def version_of(self, mark: str) -> int:
+        """The version under which `mark` is written: that of its own commit if it has begun one, else a new one above all."""
+        begun = self.begun()
+        own = [c.version for c in begun if c.mark == _digest(mark)]
+        return own[-1] if own else 1 + max((c.version for c in begun), default=-1)
 
-    def _folder(self, kind: str, version: int) -> str:
-        return f"{self.root}/{kind}-{version:012d}"
+    def _folder(self, commit: Commit) -> str:
+        return f"{self.root}/{commit.kind}-{commit.version:012d}-{commit.mark}"
 
     # -- reading -------------------------------------------------------------------------------------
 
     def read(self, before: int | None = None) -> DataFrame:
         """The table now, or as it was before version `before`."""
-        commits = [c for c in self.finished() if before is None or c[1] < before]
-        base = max((v for kind, v in commits if kind == "base"), default=None)
-        deltas = [v for kind, v in commits if kind == "delta" and (base is None or v > base)]
+        commits = [c for c in self.finished() if before is None or c.version < before]
+        base = max((c for c in commits if c.kind == "base"), default=None)
+        # of one version the delta is older than the base that folds it
+        deltas = [c for c in commits if c.kind == "delta" and (base is None or c.version > base.version)]
         reader = self.spark.read
         table = (
             self.spark.createDataFrame([], self.schema)
             if base is None
-            else reader.schema(self.schema).parquet(self._folder("base", base))
+            else reader.schema(self.schema).parquet(self._folder(base))
         )
         if not deltas:
             return table
         changed = reader.schema(self.schema + ", _version BIGINT, _deleted BOOLEAN").parquet(
-            *[self._folder("delta", v) for v in deltas]
+            *map(self._folder, deltas)
         )
         newest = changed
         if len(deltas) > 1:
@@ -75,33 +104,57 @@ class VersionedTable:
             return newest
         return table.join(changed.select(*self.keys), list(self.keys), "left_anti").unionByName(newest)
 
-    def read_version(self, version: int) -> DataFrame:
-        """The rows one delta added or replaced."""
-        rows = self.spark.read.schema(self.schema + ", _deleted BOOLEAN").parquet(self._folder("delta", version))
+    def read_commit(self, mark: str) -> DataFrame:
+        """The rows that the delta of `mark` added or replaced."""
+        own = [c for c in self.finished() if c.kind == "delta" and c.mark == _digest(mark)]
+        rows = self.spark.read.schema(self.schema + ", _deleted BOOLEAN").parquet(self._folder(own[-1]))
         return rows.filter(~F.col("_deleted")).drop("_deleted")
 
     # -- writing -------------------------------------------------------------------------------------
 
-    def commit(self, rows: DataFrame, version: int, deleted: DataFrame | None = None) -> None:
-        """Add or replace the keys of `rows`; drop the keys of `deleted`."""
+    def commit(self, rows: DataFrame, mark: str | None = None, deleted: DataFrame | None = None) -> int:
+        """Add or replace the keys of `rows`; drop the keys of `deleted`. Returns the version.
+
+        A key both in `rows` and in `deleted` is kept. Without a mark the commit is one of its own.
+        """
+        mark = uuid.uuid4().hex if mark is None else mark
         change = self._typed(rows).withColumn("_deleted", F.lit(False))
         if deleted is not None:
             types = {f.name: f.dataType for f in StructType.fromDDL(self.schema)}
             keys = deleted.select(*[F.col(k).cast(types[k]) for k in self.keys]).distinct()
-            gone = keys.withColumn("_deleted", F.lit(True))
+            gone = keys.join(self._typed(rows).select(*self.keys), list(self.keys), "left_anti").withColumn("_deleted", F.lit(True))
             change = change.unionByName(gone, allowMissingColumns=True)
-        change.withColumn("_version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(
-            self._folder("delta", version)
-        )
-
-    def replace_all(self, rows: DataFrame, version: int) -> None:
-        """The table is exactly `rows` from this version on."""
-        self._typed(rows).write.mode("overwrite").parquet(
-            self._folder("base", version)
-        )
-
-    def compact(self) -> None:
-        """Fold the deltas into a new base. Readers keep using the old folders until it is finished."""
-        last = self.last_version()
-        if last >= 0 and ("base", last) not in self.finished():
-            self.replace_all(self.read(), last)
+        commit = Commit(self.version_of(mark), "delta", _digest(mark))
+        change = change.withColumn("_version", F.lit(commit.version).cast("bigint"))
+        change.write.mode("overwrite").parquet(self._folder(commit))
+        return commit.version
+
+    def replace_all(self, rows: DataFrame, mark: str | None = None) -> int:
+        """The table is exactly `rows` from this version on. Returns the version."""
+        mark = uuid.uuid4().hex if mark is None else mark
+        commit = Commit(self.version_of(mark), "base", _digest(mark))
+        self._typed(rows).write.mode("overwrite").parquet(self._folder(commit))
+        return commit.version
+
+    def fold(self, share: float = FOLD_SHARE) -> bool:
+        """Fold the deltas into a new base if they hold `share` of its bytes; returns whether it did.
+
+        Nothing is folded while a commit is unfinished, as a base must not hide what is still being written. Readers keep
+        using the old folders until the base is finished; a finished base is never written again.
+        """
+        finished = self.finished()
+        base = max((c for c in finished if c.kind == "base"), default=None)
+        deltas = [c for c in finished if c.kind == "delta" and (base is None or c.version > base.version)]
+        if not deltas or set(finished) != set(self.begun()):
+            return False
+        size = {c: table_bytes(self.spark, self._folder(c)) for c in deltas + ([base] if base else [])}
+        if base is not None and sum(size[c] for c in deltas) < share * size[base]:
+            return False
+        last = max(c.version for c in deltas)
+        folded = Commit(last, "base", _digest("".join(c.mark for c in deltas)))
+        self._typed(self.read(before=last + 1)).write.mode("overwrite").parquet(self._folder(folded))
+        return True
+
+
+def _digest(mark: str) -> str:
+    return hashlib.sha256(mark.encode()).hexdigest()[:16]

@@ -9,11 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork import constants as K
 from tallywork import schemas
 from tallywork.functions.postings import normalize_job_type, normalize_salary, parse_salary_text
 from tallywork.functions.text import contains_insensitive, strip_html, strip_html_entities
@@ -105,6 +103,8 @@ def findwork(pages: DataFrame) -> DataFrame:
 
 
 Adapter = Callable[[DataFrame], DataFrame]
+Sources = Mapping[str, tuple[str, Adapter]]
+# The built-in sources: schema of a page and adapter. Callers pass their own mapping for further ones.
 SOURCES: dict[str, tuple[str, Adapter]] = {
     "remotive": (schemas.REMOTIVE_PAGE, remotive),
     "jobicy": (schemas.JOBICY_PAGE, jobicy),
@@ -129,9 +129,20 @@ def read_pages(spark: SparkSession, schema: str, path: str) -> DataFrame:
     return with_page_number(spark.read.schema(schema).options(**PAGE_OPTIONS).json(path))
 
 
-def read_source(spark: SparkSession, name: str, path: str, cap: int | None = None) -> DataFrame:
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a landing folder (or pattern) is there, on whatever file system holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target))
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+
+
+def read_source(spark: SparkSession, name: str, path: str, cap: int | None = None, sources: Sources = SOURCES) -> DataFrame:
     """One source's postings, the first of each source id, optionally only the first `cap` in page order."""
-    schema, adapter = SOURCES[name]
+    schema, adapter = sources[name]
     jobs = first_seen(adapter(read_pages(spark, schema, path)), ["source", "source_id"], POSITION)
     return jobs if cap is None else top_n(jobs, cap, F.asc("page"), F.asc("pos"))
 
@@ -140,19 +151,22 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def split_landed(spark: SparkSession, folders: Mapping[str, str]) -> tuple[dict[str, str], list[str]]:
+    """(the folders that are there, names of the sources whose folder is missing)."""
+    there = {name: path for name, path in folders.items() if folder_exists(spark, path)}
+    return there, [name for name in folders if name not in there]
+
+
 def read_landing(
-    spark: SparkSession, folders: Mapping[str, str], findwork_cap: int | None = K.FINDWORK_CAP
+    spark: SparkSession, folders: Mapping[str, str], findwork_cap: int | None = None, sources: Sources = SOURCES
 ) -> tuple[DataFrame, list[str]]:
-    """(all raw postings, names of the sources that failed). A source that cannot be read does not stop the others.
+    """(all raw postings, names of the sources that failed). A source whose folder is missing does not stop the others.
 
-    `findwork_cap` mirrors the board's paging stop; pass None to take everything that was landed.
+    An unreadable page yields no postings; an error in an adapter is raised. Everything landed is read unless `findwork_cap`
+    sets that board's paging stop.
     """
-    parts, failed = [], []
-    for name, path in folders.items():
-        try:
-            parts.append(read_source(spark, name, path, findwork_cap if name == "findwork" else None))
-        except AnalysisException:  # no such folder, or nothing readable in it
-            failed.append(name)
+    there, failed = split_landed(spark, folders)
+    parts = [read_source(spark, name, path, findwork_cap if name == "findwork" else None, sources) for name, path in there.items()]
     if not parts:
         parts = [spark.createDataFrame([], schemas.RAW_JOB + ", page BIGINT, pos INT")]
     return union_sources(parts), failed

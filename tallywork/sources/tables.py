@@ -16,26 +16,19 @@ def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
     return reader.parquet(path)
 
 
-# A table up to this size may be spread over the cores; larger ones have splits enough.
-SPREAD_BYTES = 256 * 1024 * 1024
-
-
 def table_bytes(spark: SparkSession, path: str) -> int:
     """Size of a file or folder on whatever file system holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
 
 
-def scan_spread(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """A scan whose rows are dealt out to all cores if the table is small.
+def scan_dealt(spark: SparkSession, path: str, schema: str, key: str, tasks: int) -> DataFrame:
+    """A scan whose rows are dealt out to `tasks` tasks by a key.
 
-    A small file with one row group is one task, however costly each row is to process; for such tables a shuffle is
-    cheaper. Tables above SPREAD_BYTES are scanned as they are. The key makes a retried task deal alike.
+    For a caller who knows that a table has fewer splits than its costly work per row deserves, such as one row group in one
+    file. Everywhere else the scan's own splits do (`spark.sql.files.maxPartitionBytes`).
     """
-    table = scan(spark, path, schema)
-    if table_bytes(spark, path) > SPREAD_BYTES:
-        return table
-    return table.repartition(spark.sparkContext.defaultParallelism, key)
+    return scan(spark, path, schema).repartition(tasks, key)
 
 
 # ---- CSV -----------------------------------------------------------------------------------------

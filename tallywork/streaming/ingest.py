@@ -14,11 +14,13 @@ from pyspark.sql.streaming import StreamingQuery
 from tallywork.operators.ranking import first_seen
 from tallywork.plans.ingest import Embedding, Parser, ingest_batch
 from tallywork.sinks.tables import Store
-from tallywork.sources.landing import PAGE_OPTIONS, POSITION, SOURCES, union_sources, with_page_number
+from tallywork.sources.landing import PAGE_OPTIONS, POSITION, SOURCES, Sources, make_folder, split_landed, union_sources, with_page_number
 
 
-def stream_source(spark: SparkSession, name: str, path: str, max_files: int | None = None) -> DataFrame:
-    schema, adapter = SOURCES[name]
+def stream_source(
+    spark: SparkSession, name: str, path: str, max_files: int | None = None, sources: Sources = SOURCES
+) -> DataFrame:
+    schema, adapter = sources[name]
     reader = spark.readStream.schema(schema).options(**PAGE_OPTIONS)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -34,13 +36,20 @@ def start_ingestion(
     parser: Parser | None = None,
     max_files: int | None = None,
     now: Column | None = None,
+    sources: Sources = SOURCES,
 ) -> StreamingQuery:
-    """Start a run over what has landed. Each batch leaves its counts (fetched, stored, skipped) in `store.runs`."""
-    raw = union_sources([stream_source(spark, name, path, max_files) for name, path in folders.items()])
+    """Start a run over what has landed. Each batch leaves its counts (fetched, stored, skipped) in `store.runs`.
+
+    `sources` maps a name to the schema of a page and its adapter. A missing folder is made, empty: its source brings
+    nothing yet, the others go on, and the stream's checkpoint knows the same sources in every run.
+    """
+    for path in split_landed(spark, folders)[1]:
+        make_folder(spark, folders[path])
+    raw = union_sources([stream_source(spark, name, path, max_files, sources) for name, path in folders.items()])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         once = first_seen(batch, ["source", "source_id"], POSITION)
-        ingest_batch(store, once, batch_id, embedding, parser, now)
+        ingest_batch(store, once, f"{checkpoint}#{batch_id}", embedding, parser, now)
 
     return (
         raw.writeStream.foreachBatch(handle)

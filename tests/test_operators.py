@@ -179,28 +179,50 @@ def table(spark):
     return VersionedTable(spark, f"{shared_folder(spark)}/t-{uuid.uuid4().hex}", "k INT, v STRING", ("k",))
 
 
+def kv(spark, *pairs):
+    return spark.createDataFrame(list(pairs), "k INT, v STRING")
+
+
 def test_versions(spark):
     t = table(spark)
     assert t.read().count() == 0 and t.last_version() == -1
-    t.commit(spark.createDataFrame([(1, "a"), (2, "b")], "k INT, v STRING"), 0)
-    t.commit(spark.createDataFrame([(2, "B"), (3, "c")], "k INT, v STRING"), 1, spark.createDataFrame([(1,)], "k INT"))
-    assert rows(t.read()) == rows(spark.createDataFrame([(2, "B"), (3, "c")], "k INT, v STRING"))
-    assert rows(t.read(before=1)) == rows(spark.createDataFrame([(1, "a"), (2, "b")], "k INT, v STRING"))
+    assert t.commit(kv(spark, (1, "a"), (2, "b")), "w#0") == 0
+    assert t.commit(kv(spark, (2, "B"), (3, "c")), "w#1", spark.createDataFrame([(1,)], "k INT")) == 1
+    assert rows(t.read()) == rows(kv(spark, (2, "B"), (3, "c")))
+    assert rows(t.read(before=1)) == rows(kv(spark, (1, "a"), (2, "b")))
     before = rows(t.read())
-    t.compact()
-    t.compact()
-    assert t.finished()[-1] == ("base", 1) and rows(t.read()) == before
-    t.commit(spark.createDataFrame([(1, "again")], "k INT, v STRING"), 2)
+    assert t.fold() and not t.fold()
+    assert t.finished()[-1].kind == "delta" and rows(t.read()) == before
+    assert t.commit(kv(spark, (1, "again"))) == 2
     assert {r.k for r in t.read().collect()} == {1, 2, 3}
-    t.replace_all(t.read().limit(0), 3)
+    assert t.replace_all(t.read().limit(0)) == 3
     assert t.read().count() == 0
+    assert t.commit(kv(spark, (9, "after a reset")), "w#2") == 4 and t.read().count() == 1
+
+
+def test_no_writer_overwrites_another(spark):
+    t = table(spark)
+    t.commit(kv(spark, (1, "stream")), "s#0")
+    t.commit(kv(spark, (2, "edit")), "edit")
+    t.commit(kv(spark, (3, "stream")), "s#1")
+    assert t.commit(kv(spark, (1, "stream again")), "s#0") == 0
+    assert rows(t.read()) == rows(kv(spark, (1, "stream again"), (2, "edit"), (3, "stream")))
+    assert t.version_of("s#1") == 2 and t.version_of("new") == 3
 
 
 def test_repeated_and_unfinished_commits(spark):
     t = table(spark)
     for _ in range(2):
-        t.commit(spark.createDataFrame([(1, "a")], "k INT, v STRING"), 0)
+        t.commit(kv(spark, (1, "a")), "w#0")
     assert t.read().count() == 1
-    unfinished = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.root}/delta-000000000001/part-0.parquet")
+    unfinished = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.root}/delta-000000000001-00ff/part-0.parquet")
     unfinished.getFileSystem(spark._jsc.hadoopConfiguration()).create(unfinished).close()
     assert t.last_version() == 0 and t.read().count() == 1
+    assert t.version_of("other") == 2 and not t.fold()
+
+
+def test_small_commits_are_folded_by_their_share(spark):
+    t = table(spark)
+    t.replace_all(spark.range(20_000).selectExpr("CAST(id AS INT) AS k", "uuid() AS v"))
+    t.commit(kv(spark, (1, "x")))
+    assert not t.fold() and t.fold(share=0.0) and t.read().count() == 20_000
