@@ -6,6 +6,8 @@ shifts the label by the question's number.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import views
@@ -17,6 +19,8 @@ from tallywork.operators.ranking import head_and_tail
 from tallywork.plans import calibration as C
 from tallywork.plans import evaluation as E
 from tallywork.plans import labeling as L
+from tallywork.session import shared_folder
+from tallywork.sinks.tables import Store
 from tallywork.sources.tables import catalogue
 
 _SEARCH = (views.CHUNKS, views.QUESTIONS, views.PAIRS)
@@ -353,6 +357,28 @@ def _(spark, sf):
     return E.top_results(judged(spark, sf))
 
 
+_LENGTH_JUDGED = (
+    "judged AS (SELECT r.*, CASE (length(q.question) + length(j.title) + least(length(j.company || ' ' || repeat(j.title, 30)), 300)) % 4 "
+    "WHEN 0 THEN 'relevant' WHEN 1 THEN 'marginal' ELSE 'not_relevant' END AS verdict "
+    "FROM ret r JOIN questions q USING (query_id) JOIN jobs j ON j.id = r.job_id)"
+)
+
+
+@check(
+    "E00_run_evaluation",
+    with_ctes(views.JOBS, *_SEARCH, top_chunks_sql(10), _RETRIEVED, _LENGTH_JUDGED, _METRICS)
+    + "SELECT query_id, category, k, retrieved, precision, mrr, ndcg FROM metrics",
+)
+def _(spark, sf):
+    """A whole run on an empty store: one search, every pair judged and stored, all report tables from the stored result."""
+    store = Store(spark, f"{shared_folder(spark)}/evaluation-{uuid.uuid4().hex}")
+    jobs = views.jobs(spark, sf).withColumn("description", F.concat("company", F.lit(" "), F.repeat("title", F.lit(30))))
+    jobs = jobs.withColumn("id", F.col("id").cast("string"))
+    chunks = views.chunks(spark, sf).withColumn("job_id", F.col("job_id").cast("string"))
+    report = E.run_evaluation(store, chunks, jobs, views.questions(spark, sf), "length", length_judge, threshold=THRESHOLD)
+    return report["per_query"].select("query_id", "category", "k", "retrieved", "precision", "mrr", "ndcg")
+
+
 # ---- judge agreement -----------------------------------------------------------------------------
 
 # Pools: a question's candidates are the postings of its label, best first by id.

@@ -51,8 +51,8 @@ prose = st.lists(st.tuples(words, ends), min_size=1, max_size=60).map(lambda ps:
 @given(st.lists(prose, min_size=1, max_size=5))
 def test_like_plain_python(spark, texts):
     expected = [plain_windows(t) for t in texts]
-    assert windows(spark, texts, max_windows=None) == expected
-    assert windows(spark, texts) == [w[:4] for w in expected]
+    assert windows(spark, texts) == expected
+    assert windows(spark, texts, max_windows=4) == [w[:4] for w in expected]
     assert all(len(w) <= WINDOW for ws in expected for w in ws)
 
 
