@@ -210,10 +210,9 @@ def _verdicts(feats: DataFrame, chosen: DataFrame, rules: tuple[Rule, ...]) -> D
 def kept_only(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of `docs`, whatever their columns, that the rules keep.
 
-    The certificates need the labelled documents alone; verdicts are passed with the rows in hand, so that no text is shuffled.
+    The counts are taken twice, once to be joined with the labels and once with the rows in hand, so that no text is shuffled.
     """
-    judged = docs.select("doc_id", "text", stratum).join(labels.select("doc_id").dropna().distinct(), "doc_id", "left_semi")
-    feats = staged(features(judged, stratum).drop("_at"), "quality-features")
+    feats = staged(features(docs, stratum).drop("_at"), "quality-features")
     chosen = staged(select_cutoffs(ladders(feats, labels, rules)), "quality-cutoffs")
     forget(feats)
     rows = features(docs, stratum, (F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"),))
