@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, path: str, sections: Spans | str = sentences,
 
     def make() -> tuple[TextEncoder, np.ndarray]:
         segments = LibrarySegments(vocabulary.value)
-        return TextEncoder(segments.match, segments.encode), np.array([len(t) for t in segments.token_bytes()], np.int64)
+        return TextEncoder(segments.match, segments.encode, segments.word), np.array([len(t) for t in segments.token_bytes()], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, widths = per_process(("attribution", path, len(vocabulary.value)), make)

@@ -13,7 +13,7 @@ A single short document is read by its offset, without the rest of its shard.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import in_pieces, per_process, read_vocabulary, running_total, settings, staged
+from tallywork.llm.common import forget, in_pieces, per_process, read_vocabulary, running_total, settings, staged
 from tallywork.llm.segments import IDS, LibrarySegments, TextEncoder
+from tallywork.operators.joins import bounded_join, row_bound
 
 # The dictionary is trained on at most this many documents (those of the lowest hash), of each at most this many ids.
 SAMPLE_DOCUMENTS = 2000
@@ -43,31 +44,41 @@ DICTIONARY = "hash STRING, content BINARY"
 
 def encoder(path: str, vocabulary: bytes) -> TextEncoder:
     """The worker's encoder by the tokenizers library."""
-    return per_process(("library", path, len(vocabulary)), lambda: TextEncoder(LibrarySegments(vocabulary)))
 
+    def make() -> TextEncoder:
+        segments = LibrarySegments(vocabulary)
+        return TextEncoder(segments.match, segments.encode, segments.word)
 
-def encode(docs: DataFrame, path: str, end_id: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`key`, `n_tokens` and packed 32-bit `ids` of whole texts by the tokenizers file at `path`, with `end_id` appended.
+    return per_process(("library", path, len(vocabulary)), make)
 
-    A null text is empty and has the end id alone. Rows are encoded one by one.
-    """
+
+def _encoded(docs: DataFrame, path: str, end_id: int | None, finish: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+    """`key`, `n_tokens` and what a function made in the task, `finish()`, makes of the packed ids."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    out = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    out = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = encoder(path, vocabulary.value)
+        texts, finished = encoder(path, vocabulary.value), finish()
 
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     ids = texts.encode(text or "") + end
-                    yield key, len(ids) // 4, ids
+                    yield key, len(ids) // 4, finished(ids)
 
         return in_pieces(each(), out, lambda row: len(row[2]))
 
-    rows = docs.select(docs[id_column].alias("key"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, "key BIGINT, n_tokens BIGINT, ids BINARY")
+    rows = docs.select(docs["doc_id"].alias("key"), docs["text"].alias("text"))
+    return rows.mapInArrow(run, "key BIGINT, n_tokens BIGINT, data BINARY")
+
+
+def encode(docs: DataFrame, path: str, end_id: int | None = None) -> DataFrame:
+    """`doc_id`, `n_tokens` and packed 32-bit `ids` of whole texts by the tokenizers file at `path`, with `end_id` appended.
+
+    A null text is empty and has the end id alone. Rows are encoded one by one.
+    """
+    return _encoded(docs, path, end_id, lambda: bytes).withColumnsRenamed({"key": "doc_id", "data": "ids"})
 
 
 def width_of(path: str) -> int:
@@ -86,7 +97,12 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int | None, width: int)
 
     The sample is at most `SAMPLE_DOCUMENTS` rows with at most `SAMPLE_IDS` ids each, so at most 16 MB reach the driver.
     """
-    picked = docs.filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCUMENTS)
+    order = F.xxhash64("doc_id", F.lit(5))
+    # the highest hash of the sample first, so that no text is sorted
+    last = docs.select(order.alias("hash")).orderBy("hash").limit(SAMPLE_DOCUMENTS).agg(F.max("hash")).first()[0]
+    if last is None:
+        return b""
+    picked = docs.filter(order <= last).limit(SAMPLE_DOCUMENTS)
     ids = encode(picked, path, end_id).select(F.substring("ids", 1, 4 * SAMPLE_IDS).alias("ids"))
     samples = sorted(serialized(bytes(row["ids"]), width) for row in ids.collect())
     total = sum(map(len, samples))
@@ -118,21 +134,14 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = None) ->
     spark.createDataFrame([(name, bytearray(content))], DICTIONARY).coalesce(1).write.parquet(f"{folder}/dictionary")
 
     # frames before the sort, so that compressed ids travel and not texts; once on disk, as a sort by ranges reads twice
-    frames = staged(_frames(encode(docs, path, end_id), content, width), "frames")
-    ordered = frames.repartitionByRange("key", "n_tokens", F.xxhash64("frame")).sortWithinPartitions("key", "n_tokens", "frame")
-    _shards(ordered, name, width).write.parquet(f"{folder}/shards")
-
-
-def _frames(encoded: DataFrame, content: bytes, width: int) -> DataFrame:
-    out = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("frame", pa.binary())])
+    def compress() -> Callable[[bytes], bytes]:
+        compressor = _compressor(content)
+        return lambda ids: compressor.compress(serialized(ids, width))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = _compressor(content).compress
-        for batch in batches:
-            frames = [compress(serialized(ids, width)) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_tokens"), pa.array(frames, pa.binary())], schema=out)
-
-    return encoded.mapInArrow(run, "key BIGINT, n_tokens BIGINT, frame BINARY")
+    frames = staged(_encoded(docs, path, end_id, compress), "frames")
+    ordered = frames.repartitionByRange("key", "n_tokens", F.xxhash64("data")).sortWithinPartitions("key", "n_tokens", "data")
+    _shards(ordered, name, width).write.parquet(f"{folder}/shards")
+    forget(frames)
 
 
 def _shards(ordered: DataFrame, dictionary: str, width: int) -> DataFrame:
@@ -176,7 +185,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     content = _dictionary(spark, folder)
     shards = spark.read.schema(SHARD).parquet(f"{folder}/shards")
     starts = running_total(shards.select("shard", "n_tokens"), "shard", "n_tokens", "before").select("shard", "before")
-    return _documents(shards, content).join(starts, "shard").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    # one row per shard of some megabytes: broadcast while they are few
+    found = bounded_join(_documents(shards, content), starts, "shard", "inner", row_bound(shards.select("shard")))
+    return found.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:

@@ -183,17 +183,19 @@ class Transducer:
 
 
 class RankSegments:
-    """Segments by the transducer; a match that is itself a token is that token."""
+    """Matches by the transducer; one that is itself a token is that token."""
 
     def __init__(self, vocabulary: bytes):
         self.ranks = read_ranks(vocabulary)
         self._whole = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
         self._transducer = Transducer(self.ranks)
 
-    def __call__(self, segment: str) -> bytes:
-        found = [segment] if segment[0] == " " and segment[1:].isalpha() else pieces(segment)
-        whole, run = self._whole, self._transducer.run
-        return b"".join(whole.get(b) or run(b) for b in (piece.encode() for piece in found))
+    def encode(self, match: str) -> bytes:
+        text = match.encode()
+        return self._whole.get(text) or self._transducer.run(text)
+
+    def word(self, word: str) -> bytes:
+        return self.encode(" " + word)
 
 
 class Utf8Machine:
@@ -268,7 +270,7 @@ def _token_list(ranks: dict[bytes, int]) -> list[bytes]:
 def _segments(path: str, vocabulary: bytes) -> tuple[TextEncoder, list[bytes]]:
     def make() -> tuple[TextEncoder, list[bytes]]:
         segments = RankSegments(vocabulary)
-        return TextEncoder(segments), _token_list(segments.ranks)
+        return TextEncoder(pieces, segments.encode, segments.word), _token_list(segments.ranks)
 
     return per_process(("byte bpe", path, len(vocabulary)), make)
 

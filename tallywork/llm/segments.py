@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -17,12 +18,20 @@ import regex
 # How the byte-level vocabularies cut text before merging; the fixed value of the public tokenizer files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECES = regex.compile(PATTERN)
-_ODD_BLANK = re.compile(r" (?:\s|\Z)")
+# White space other than the blank.
+_OTHER_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_ASCII_WHITE = [c for c in _OTHER_WHITE if c.isascii()]
 # Below this code point the classes of letters, digits and blanks are the same in every Unicode version in use.
-_STABLE = "԰"
+_UNSTABLE = re.compile("[\u0530-\U0010ffff]")
+
+
+def is_unstable(text: str) -> bool:
+    return not text.isascii() and _UNSTABLE.search(text) is not None
+
+
 IDS = np.dtype("<u4")
 # Segments kept per generation of a cache, and the longest segment kept.
-CACHE_ROOM = 300_000
+CACHE_ROOM = 500_000
 CACHE_LENGTH = 48
 
 
@@ -35,13 +44,15 @@ def byte_letters() -> dict[int, str]:
 
 def pieces(text: str) -> list[str]:
     """The matches of the pattern, in order."""
-    return _PIECES.findall(text)
+    return [text] if text[1:].isalpha() and text[0] == " " else _PIECES.findall(text)
 
 
 def cut(text: str) -> list[str]:
     """Segments of a text. All but the first have lost the blank that starts them."""
     parts = text.split(" ")
-    if not _ODD_BLANK.search(text):
+    # a part that is empty or starts with white space belongs to the part before it; a single character is found fast
+    white = _ASCII_WHITE if text.isascii() else _OTHER_WHITE
+    if "" not in parts and not any(" " + c in text for c in white if c in text):
         return parts
     glued = parts[:1]
     for part in parts[1:]:
@@ -62,7 +73,7 @@ class SegmentCache(dict):
     def __missing__(self, segment: str) -> bytes:
         packed = self._older.get(segment)
         if packed is None:
-            packed = self._encode(" " + segment)
+            packed = self._encode(segment)
         if len(segment) <= CACHE_LENGTH:
             if len(self) >= self._room:
                 self._older = dict(self)
@@ -72,23 +83,52 @@ class SegmentCache(dict):
 
 
 class TextEncoder:
-    """Whole texts to packed little-endian 32-bit ids, by the encoding of one segment."""
-
-    def __init__(self, encode_segment: Callable[[str], bytes], room: int = CACHE_ROOM):
-        self._first = encode_segment
-        self._cache = SegmentCache(encode_segment, room)
+    """Whole texts to packed little-endian 32-bit ids, by a cut of segments into matches and the encoding of one match.
+
+    `word` encodes a blank with letters behind it, given the letters.
+    """
+
+    def __init__(
+        self, match: Callable[[str], list[str]], encode: Callable[[str], bytes], word: Callable[[str], bytes], room: int = CACHE_ROOM
+    ):
+        self._match, self._encode, self._word = match, encode, word
+        self._cache = SegmentCache(self._spaced, room)
+        self._bare: dict[str, bytes] = {}
+
+    def _spaced(self, word: str) -> bytes:
+        """A blank and what follows it. A word with its comma shares the entry of the bare word."""
+        if word.isalpha():
+            return self._word(word)
+        if word[-1] in ".,;:!?" and word[:-1].isalpha() and not is_unstable(word):
+            return self._cache[word[:-1]] + self._unspaced(word[-1])
+        return self._segment(" " + word)
+
+    def _segment(self, segment: str) -> bytes:
+        matches = self._match(segment)
+        if len(matches) == 1:
+            return self._encode(segment)
+        return b"".join([self._cache[m[1:]] if m[0] == " " and len(m) > 1 else self._unspaced(m) for m in matches])
+
+    def _unspaced(self, match: str) -> bytes:
+        packed = self._bare.get(match)
+        if packed is None:
+            packed = self._encode(match)
+            if len(match) <= 4:
+                if len(self._bare) > 10_000:
+                    self._bare.clear()
+                self._bare[match] = packed
+        return packed
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         parts = cut(text)
-        return self._first(parts[0]) + b"".join(map(self._cache.__getitem__, parts[1:])) if parts[0] else b"".join(
-            map(self._cache.__getitem__, parts[1:])
-        )
+        followed = b"".join(map(self._cache.__getitem__, parts[1:]))
+        return self._segment(parts[0]) + followed if parts[0] else followed
 
 
 class LibrarySegments:
-    """Segments by the tokenizers library: its model on each match, or its whole encoder outside the stable alphabets."""
+    """Matches by the tokenizers library: its model on each match, or its whole encoder outside the stable alphabets."""
 
     def __init__(self, vocabulary: bytes):
         from tokenizers import Tokenizer
@@ -96,18 +136,26 @@ class LibrarySegments:
         self._tokenizer = Tokenizer.from_str(vocabulary.decode())
         # a special token's name inside a document is ordinary text
         self._tokenizer.encode_special_tokens = True
-        self._model = self._tokenizer.model
+        self._tokenize = self._tokenizer.model.tokenize
         self._letters = byte_letters()
         pre = json.loads(vocabulary)["pre_tokenizer"]
         self._plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
-    def __call__(self, segment: str) -> bytes:
-        if not self._plain or max(segment, default="") >= _STABLE:
-            return np.array(self._tokenizer.encode(segment, add_special_tokens=False).ids, IDS).tobytes()
-        tokenize, letters = self._model.tokenize, self._letters
-        found = [segment] if segment[1:].isalpha() and segment[0] == " " else pieces(segment)
-        ids = [t.id for piece in found for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
-        return np.array(ids, IDS).tobytes()
+    def match(self, segment: str) -> list[str]:
+        if not self._plain or is_unstable(segment):
+            return [segment]
+        return pieces(segment)
+
+    def encode(self, match: str) -> bytes:
+        if not self._plain or is_unstable(match):
+            return array("I", self._tokenizer.encode(match, add_special_tokens=False).ids).tobytes()
+        shown = match.encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._tokenize(shown)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        if self._plain and word.isascii():
+            return array("I", [t.id for t in self._tokenize("Ġ" + word)]).tobytes()
+        return self.encode(" " + word)
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of every id."""

@@ -39,15 +39,16 @@ def texts(n: int = 3000):
 
 
 def test_transducer_equals_tiktoken(plain):
-    own = segments.RankSegments if hasattr(segments, "RankSegments") else bytebpe.RankSegments
-    encoder = segments.TextEncoder(segments.pieces, own(open(MULTI, "rb").read()).encode, room=50)
+    own = bytebpe.RankSegments(open(MULTI, "rb").read())
+    encoder = segments.TextEncoder(segments.pieces, own.encode, own.word, room=50)
     for text in texts():
         assert np.frombuffer(encoder.encode(text), segments.IDS).tolist() == plain.encode_ordinary(text), repr(text)
 
 
 def test_transducer_forgets_states(monkeypatch, plain):
     monkeypatch.setattr(bytebpe, "MAX_STATES", 50)
-    encoder = segments.TextEncoder(segments.pieces, bytebpe.RankSegments(open(MULTI, "rb").read()).encode)
+    own = bytebpe.RankSegments(open(MULTI, "rb").read())
+    encoder = segments.TextEncoder(segments.pieces, own.encode, own.word)
     for text in texts(300):
         assert np.frombuffer(encoder.encode(text), segments.IDS).tolist() == plain.encode_ordinary(text)
 
@@ -97,7 +98,7 @@ def test_op9_query(spark, plain):
 
 def test_library_segments_equal_the_library(library):
     own = segments.LibrarySegments(open(JSON, "rb").read())
-    encoder = segments.TextEncoder(own.match, own.encode, room=50)
+    encoder = segments.TextEncoder(own.match, own.encode, own.word, room=50)
     for text in [*texts(), "x <|endoftext|> y"]:
         assert np.frombuffer(encoder.encode(text), segments.IDS).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
