@@ -1,6 +1,6 @@
 """Similarity join on word n-grams by chosen paths.
 
-A text is the set of its word 5-grams as 64-bit hashes; texts of equal content are one set with a weight. A run gives every set
+A text is the set of its word 5-grams as 48-bit hashes; texts of equal content are one set with a weight. A run gives every set
 a few paths: a set extends a path by the n-grams whose hash with the path is small against the size of the set, so that two
 similar sets choose some n-gram in common. Sets on one path are a bucket. A bucket of at most `SMALL` sets is compared by brute
 force, all pairs exactly; a larger one is split by extending its path, as long as that lowers the number of comparisons. What
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import BATCH_BYTES, BATCH_ROWS, settings, staged
+from tallywork.llm.common import BATCH_BYTES, forget, settings, staged
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -33,6 +33,8 @@ BRANCHING = 3.0
 SMALL = 4096
 BLOCK = 2048
 MAX_DEPTH = 24
+# Bytes of an n-gram's hash; two n-grams of a pair of texts with a thousand each fall together once in 10^8 pairs.
+TOKEN_BYTES = 6
 # Bytes of a text hashed at a time.
 CHUNK = 1 << 20
 
@@ -101,7 +103,18 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     rolled = np.full(count, np.uint64(len(hashes) if len(hashes) < words else words), np.uint64)
     for k in range(min(words, len(hashes))):
         rolled = _mixed(rolled + hashes[k : k + count])
-    return np.unique(rolled)
+    return np.unique(rolled >> np.uint64(64 - 8 * TOKEN_BYTES))
+
+
+def pack(tokens: np.ndarray) -> bytes:
+    """A set in as few bytes as its hashes need."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // TOKEN_BYTES, 8), np.uint8)
+    wide[:, :TOKEN_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, TOKEN_BYTES)
+    return wide.view("<u8").ravel()
 
 
 def chosen(tokens: np.ndarray, path: int, branching: float = BRANCHING) -> np.ndarray:
@@ -169,7 +182,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [shingles(text).tobytes() for text in batch.column("text").to_pylist()]
+            tokens = [pack(shingles(text)) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.binary()), pa.array(tokens, pa.binary())], schema=out)
 
     return docs.mapInArrow(run, "key BINARY, tokens BINARY")
@@ -184,7 +197,7 @@ def _extended(rows: DataFrame, sets: DataFrame) -> DataFrame:
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for key, paths, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "paths", "tokens")), strict=True):
-                    tokens = np.frombuffer(packed, np.uint64)
+                    tokens = unpack(packed)
                     for parent in paths:
                         children = chosen(tokens, parent)
                         yield np.full(len(children), parent, np.int64), children, [key] * len(children)
@@ -262,7 +275,7 @@ def compare_bucket(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     the lowest id of what hangs together."""
     path, i, j = rows[0][:3]
     blocks, ids, weights = (np.array([row[at] for row in rows], np.int64) for at in (3, 4, 5))
-    sets = [np.frombuffer(row[7], np.uint64) for row in rows]
+    sets = [unpack(row[7]) for row in rows]
     sizes = np.array([len(s) for s in sets], np.int64)
     n = len(rows)
     common = _intersections(sets)
@@ -366,13 +379,14 @@ def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
     texts = keyed.select("key", "text")
     runs = runs_for(target, THRESHOLD, BRANCHING)
 
-    paths = staged(_first_paths(texts, runs), "first-paths")
+    first = staged(_first_paths(texts, runs), "first-paths")
     # paths of more than one content; lowest and highest key tell without a list
-    met = paths.groupBy("path").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("path")
-    paths = staged(paths.join(met, "path", "left_semi").distinct(), "met-paths")
+    met = first.groupBy("path").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("path")
+    paths = staged(first.join(met, "path", "left_semi").distinct(), "met-paths")
+    forget(first)
     wanted = staged(paths.select("key").distinct(), "met-keys")
-    # one text of each content that meets another
-    kept = texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    # one text of each content that meets another; these grow with the corpus, so they are never broadcast, however few
+    kept = texts.join(wanted.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     sets = staged(_sets(kept), "sets")
 
     buckets = staged(_buckets(paths, sets), "buckets")
@@ -394,6 +408,7 @@ def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
     )
     rows = rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j", "id")
     found = staged(_compared(rows), "links")
+    forget(paths, wanted, sets, buckets)
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select("id", "root"))
