@@ -1,26 +1,30 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A document is looked at whole, by paragraphs and by lines. A template is a candidate for a part only if its number of bigrams
-allows the threshold at all: 2 * min / (a + b) must reach it. Most parts have no candidate and are passed over after a count of
-their words; the others share bigrams with their candidates or do not.
+A document is looked at whole, by paragraphs, by lines and by windows of words wherever they start. A template of n bigrams can
+match only where n * threshold / (2 - threshold) of them stand, so a text is passed over at once unless it holds one of the rarest
+bigrams of a template, as many as it may not miss altogether, and then that many of its bigrams. What is left is searched in full.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import in_pieces, settings
+from tallywork.llm.common import in_pieces, per_process, settings
 
 THRESHOLD = 0.8
 # The templates of one scan have at most this many characters, as every task holds them.
 TEMPLATE_CHARACTERS = 4_000_000
+# Windows for a template of fewer bigrams are at least as long as it, since one word of a notice may tell two licences apart.
+SHORT = 32
 _WORD = re.compile(r"[^\W_]+")
 _COPYRIGHT = re.compile(r"^\W*(?:copyright\b|©|\(c\)).*$", re.I | re.M)
 
@@ -106,26 +110,33 @@ def bigrams(of: Sequence[str]) -> set[tuple[str, str]]:
 
 
 class Templates:
-    """Templates in order of their number of bigrams, with an index from bigram to template."""
+    """Templates in order of their number of bigrams, with indexes from bigram to template."""
 
     def __init__(self, templates: Sequence[tuple[str, str]], threshold: float = THRESHOLD):
         if sum(len(text) for _, text in templates) > TEMPLATE_CHARACTERS:
             raise ValueError(f"templates of more than {TEMPLATE_CHARACTERS} characters")
         if not 0 < threshold <= 1:
             raise ValueError("the threshold lies above 0 and at most at 1")
-        self.threshold = threshold
-        sets = sorted(((bigrams(words(text)), name) for name, text in templates), key=lambda t: (len(t[0]), t[1]))
-        sets = [(s, name) for s, name in sets if s]
-        self.sizes, self.names = [len(s) for s, _ in sets], [name for _, name in sets]
+        self.threshold, self.reach = threshold, (2 - threshold) / threshold
+        texts = sorted(((words(text), name) for name, text in templates), key=lambda t: (len(bigrams(t[0])), t[1]))
+        texts = [(of, name) for of, name in texts if len(of) > 1]
+        self.sets = [bigrams(of) for of, _ in texts]
+        self.sizes, self.names, self.lengths = [len(s) for s in self.sets], [name for _, name in texts], [len(of) - 1 for of, _ in texts]
+        self.needs = [max(1, math.ceil(size / self.reach - 1e-9)) for size in self.sizes]
         self.index: dict[tuple[str, str], list[int]] = {}
-        for number, (pairs, _) in enumerate(sets):
+        for number, pairs in enumerate(self.sets):
             for pair in pairs:
                 self.index.setdefault(pair, []).append(number)
+        # a match holds at least one of any size - need + 1 bigrams of its template: the ones of longest words among the rarest
+        self.anchors: dict[tuple[str, str], list[int]] = {}
+        for number, pairs in enumerate(self.sets):
+            rare = sorted(pairs, key=lambda p: (-min(len(p[0]), len(p[1])), len(self.index[p]), p))
+            for pair in rare[: self.sizes[number] - self.needs[number] + 1]:
+                self.anchors.setdefault(pair, []).append(number)
 
     def bounds(self, size: int) -> tuple[int, int]:
         """The candidates for a part with `size` bigrams, as a range of template numbers."""
-        reach = (2 - self.threshold) / self.threshold
-        return bisect_left(self.sizes, size / reach - 1e-9), bisect_right(self.sizes, size * reach + 1e-9)
+        return bisect_left(self.sizes, size / self.reach - 1e-9), bisect_right(self.sizes, size * self.reach + 1e-9)
 
     def best(self, pairs: set[tuple[str, str]]) -> tuple[float, str] | None:
         """Coefficient and name of the best template of a part, the first name of equals, if it reaches the threshold."""
@@ -137,9 +148,55 @@ class Templates:
         top = min(((-score, name) for score, name in scored if score >= self.threshold - 1e-12), default=None)
         return None if top is None else (-top[0], top[1])
 
+    def candidates(self, pairs: set[tuple[str, str]]) -> list[int]:
+        """The templates of which a text with these bigrams holds enough for any part of it to match."""
+        anchored = {number for pair in pairs & self.anchors.keys() for number in self.anchors[pair]}
+        return sorted(number for number in anchored if len(pairs & self.sets[number]) >= self.needs[number])
+
+    def windows(self, of: Sequence[str], numbers: Sequence[int]) -> list[tuple[float, int, int]]:
+        """(coefficient, first word, word after the last) of the best window at every start, the longest of equals, of those
+        that reach the threshold.
+
+        A window starts with a bigram of the template, or as late as the text allows. It has up to `reach` times the words of the
+        template, and as few as a `reach`th of them if the template is not short.
+        """
+        places: dict[tuple[str, str], int] = {}
+        pairs = list(zip(of, of[1:], strict=False))
+        # where the same bigram stood last: it is new to a window that starts behind that place
+        before = np.empty(len(pairs), np.int64)
+        for at, pair in enumerate(pairs):
+            before[at] = places.get(pair, -1)
+            places[pair] = at
+        out = []
+        for number in numbers:
+            size, length, members = self.sizes[number], self.lengths[number], self.sets[number]
+            least = length if size < SHORT else math.ceil(length / self.reach)
+            most = max(least, math.floor(length * self.reach))
+            if len(pairs) < least:
+                continue
+            inside = np.fromiter((pair in members for pair in pairs), bool, len(pairs))
+            total = np.concatenate(([0], np.cumsum(inside)))
+            starts = np.flatnonzero(inside)
+            starts = np.union1d(starts[starts <= len(pairs) - least], [len(pairs) - least])
+            reached = total[np.minimum(starts + most, len(pairs))] - total[starts]
+            for start in starts[reached >= self.needs[number]].tolist():
+                new = before[start : start + most] < start
+                held = np.cumsum(new & inside[start : start + most])
+                if held[-1] < self.needs[number]:
+                    continue
+                scores = (2 * held / (np.cumsum(new) + size))[least - 1 :]
+                end = len(scores) - 1 - int(scores[::-1].argmax())
+                if scores[end] >= self.threshold - 1e-12:
+                    out.append((float(scores[end]), start, start + least + end + 1))
+        return out
+
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, name, coefficient) of the parts that match, in order: the whole text, its paragraphs (lines up to an empty
-        one) and its lines. A match inside a longer one is listed too."""
+        one), its lines, and windows of words. A match inside a longer one is listed too, but of windows only those that hits of
+        at least the same coefficient do not cover by more than half."""
+        numbers = self.candidates(bigrams(words(text)))
+        if not numbers:
+            return []
         lines = text.split("\n")
         found = [words(line) for line in lines]
         starts = [0]
@@ -153,11 +210,29 @@ class Templates:
             elif first is not None:
                 spans[first, i] = None
                 first = None
-        hits = []
+        of, places, at = [], [], [0]
+        for start, line, kept in zip(starts, lines, found, strict=False):
+            for match in _WORD.finditer(line if kept else ""):
+                for word in _WORD.findall(match[0].lower()):
+                    of.append(word)
+                    places.append((start + match.start(), start + match.end()))
+            at.append(len(of))
+        hits, covers, taken = [], [], np.zeros(len(of), bool)
         for a, b in spans:
             part = found[a] if b == a + 1 else [word for line in found[a:b] for word in line]
             if (hit := self.best(bigrams(part))) is not None:
                 hits.append((starts[a], starts[b] - 1, hit[1], hit[0]))
+                covers.append((-hit[0], 0, at[a], at[b]))
+        covers += ((-score, 1, a, b) for score, a, b in self.windows(of, numbers))
+        for _, window, a, b in sorted(covers, key=lambda c: (c[0], c[1], c[2] - c[3], c[2])):
+            if window:
+                if 2 * int(taken[a:b].sum()) > b - a:
+                    continue
+                start, end = places[a][0], places[b - 1][1]
+                if (hit := self.best(bigrams(words(text[start:end])))) is None:
+                    continue
+                hits.append((start, end, hit[1], hit[0]))
+            taken[a:b] = True
         return sorted(hits)
 
 
@@ -178,7 +253,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     out = pa.schema([("doc_id", pa.int64()), ("found", pa.list_(part))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(shared.value, threshold)
+        known = per_process(("licences", threshold, *shared.value), lambda: Templates(shared.value, threshold))
 
         def each() -> Iterator[tuple]:
             for batch in batches:

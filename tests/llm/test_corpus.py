@@ -1,6 +1,7 @@
 """Mixing, quality rules, language identification, similarity join, licences and the pipeline."""
 
 import math
+import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -334,6 +335,71 @@ def test_op6_equals_all_templates(spark):
         assert (plain_best(text) is not None) == ((0, len(text)) in hits)
 
 
+MIT_BLOCK = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_op6_windows_of_words(spark):
+    texts = [
+        prose(8, 300) + "\n\n" + MIT_BLOCK + "\n\n" + prose(9, 300),
+        "Foo is a small tool. Released under the MIT License. Enjoy.",
+        prose(10, 400) + " Released under the MIT License. " + prose(11, 400),
+        "/*\n * " + MIT_BLOCK.replace("\n", "\n * ") + "\n */\nint main;\n" + prose(12, 200),
+        prose(13, 50) + " " + " ".join(MIT_BLOCK.split()) + " " + prose(14, 50) + " Licensed under CC BY-NC 4.0. " + prose(15, 9),
+        "SPDX-License-Identifier: GPL-2.0",
+        "This is free. Licensed under the GNU General Public License v2.0, mostly.",
+        prose(16, 40) + " " + " ".join(MIT_BLOCK.split()[:90]) + " " + prose(17, 40),
+    ]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licences.scan(documents(spark, rows)).collect()}
+    assert [got[i].licence for i in range(6)] == ["MIT"] * 5 + [None]
+    assert got[6].licence != "GPL-3.0" and got[7].licence is None
+    assert {h.licence for h in got[4].found} == {"MIT", "CC-BY-NC-4.0"}
+    for i in (0, 2):
+        start, end = max((h.dice, h.start, h.end) for h in got[i].found)[1:]
+        inner = MIT_BLOCK.rstrip(".") if i == 0 else "Released under the MIT License"
+        assert texts[i][start:end] == inner
+
+
+def test_op6_windows_equal_brute_force():
+    known, rnd = licences.Templates(licences.TEMPLATES), random.Random(3)
+    for _ in range(40):
+        name, template = rnd.choice(licences.TEMPLATES[:24])
+        of = licences.words(template)[:160]
+        for _ in range(rnd.randrange(1 + len(of) // 6)):
+            of.insert(rnd.randrange(len(of)), rnd.choice(["odd", *of]))
+        of = licences.words(prose(rnd.randrange(99), 12)) + of + licences.words(prose(rnd.randrange(99), 12))
+        got = {}
+        for number in known.candidates(licences.bigrams(of)):
+            for score, a, b in known.windows(of, [number]):
+                got[number] = max(got.get(number, 0), score)
+        for number, other in enumerate(known.sets):
+            size, length = len(other), known.lengths[number]
+            least = length if size < licences.SHORT else math.ceil(length / 1.5)
+            want = 0.0
+            for a in range(len(of)):
+                for b in range(a + least + 1, min(len(of), a + max(least, int(length * 1.5)) + 1) + 1):
+                    part = licences.bigrams(of[a:b])
+                    if (of[a], of[a + 1]) in other or a == len(of) - least - 1:
+                        want = max(want, 2 * len(part & other) / (len(part) + size))
+            assert got.get(number, 0.0) == pytest.approx(want if want >= 0.8 - 1e-12 else 0.0)
+
+
 def test_op6_edges_and_query(spark):
     rows = licences.scan(documents(spark)).collect()
     assert len(rows) == len(EDGE) and all(r.licence is None and r.found == [] for r in rows)
