@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywork.llm.common import in_pieces, per_process, settings
+from tallywork.llm.licence_texts import BODIES
 
 THRESHOLD = 0.8
 # The templates of one scan have at most this many characters, as every task holds them.
@@ -28,8 +29,9 @@ SHORT = 32
 _WORD = re.compile(r"[^\W_]+")
 _COPYRIGHT = re.compile(r"^\W*(?:copyright\b|©|\(c\)).*$", re.I | re.M)
 
-# Texts of public licences and the notices that name them.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+# Short licences and the notices that name licences. Notices that differ in a version or a word stand side by side,
+# so that the right one is the best.
+NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
     ("MIT", "SPDX-License-Identifier: MIT"),
@@ -74,19 +76,18 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have "
         "received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     ),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "Licensed under the GNU General Public License v2.0."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License v3.0."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License v2.1."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License v3.0."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
      "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
-    (
-        "BSD-2-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
-        "and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -96,9 +97,28 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 )
 
 
+def _family(notice: str) -> tuple[tuple[str, str], ...]:
+    """The notice of GPL-3.0 as the other GNU licences have it."""
+    older = notice.replace("version 3", "version 2")
+    return (
+        ("GPL-2.0", older),
+        ("LGPL-2.1", older.replace("General Public", "Lesser General Public").replace("version 2", "version 2.1")),
+        ("LGPL-3.0", notice.replace("General Public", "Lesser General Public")),
+        ("AGPL-3.0", notice.replace("General Public", "Affero General Public")),
+    )
+
+
+TEMPLATES = NOTICES + _family(next(text for name, text in NOTICES if name == "GPL-3.0" and len(text) > 400)) + BODIES
+
+
 def words(text: str) -> list[str]:
     """Normalised words: lower case, letters and digits alone, without lines of copyright."""
     return _WORD.findall(_COPYRIGHT.sub("", text).lower())

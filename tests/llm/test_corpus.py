@@ -376,6 +376,23 @@ def test_op6_windows_of_words(spark):
         assert texts[i][start:end] == inner
 
 
+def test_op6_bodies_of_licences(spark):
+    from textwrap import fill
+
+    from tallywork.llm.licence_texts import BODIES
+
+    assert {"BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0"} < {n for n, _ in BODIES}
+    texts = [(name, fill(text, 78)) for name, text in BODIES]
+    texts += [(name, prose(20, 700) + "\n\n" + text + "\n\n" + prose(21, 700)) for name, text in texts]
+    bsd = dict(BODIES)["BSD-3-Clause"].replace("the copyright holder nor", "Example Incorporated nor")
+    texts += [("BSD-3-Clause", bsd), ("BSD-3-Clause", prose(22, 500) + " " + bsd)]
+    gpl = next(text for name, text in licences.TEMPLATES if name == "GPL-2.0" and len(text) < 1000)
+    texts += [("GPL-2.0", prose(23, 100) + "\n" + gpl + "\n" + prose(24, 100))]
+    rows = [(i, text, None, None, None) for i, (_, text) in enumerate(texts)]
+    got = {r.doc_id: r.licence for r in licences.scan(documents(spark, rows)).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+
+
 def test_op6_windows_equal_brute_force():
     known, rnd = licences.Templates(licences.TEMPLATES), random.Random(3)
     for _ in range(40):
