@@ -2,7 +2,8 @@
 
 A page's elements form a tree; a container's path is the chain of its ancestors' tags and classes with digits taken out. Each page
 scores its containers and votes for the path of the best. The votes are counted per host in Spark, and every page of the host is
-extracted again from its elements on the winning path; a page without such elements falls back on its own best container.
+extracted again from its elements on the winning path; a page without such elements falls back on its own best container. The path
+only finds the article: the text is that of the article around it, up to the page's frame.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ _DIGITS = re.compile(r"\d+")
 # What a block's characters are worth to the next container around, and the bonus of a container named as the article.
 OUTWARD = 0.75
 NAMED = 1.5
+# A page whose own best container calls itself the article is not read by a path with less than this share of its points.
+SMALL = 0.1
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -43,6 +46,10 @@ INLINE = frozenset(
     "sub sup time tt u var wbr img input".split()
 )
 CONTAINERS = frozenset("article body div main section td".split())
+# Blocks that belong to the article where it lies open in the page's frame.
+FLOW = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
+# Elements that only the frame of a page holds around the article.
+FURNITURE = frozenset("footer header menu nav".split())
 # Elements whose text is never the article's.
 OUTSIDE = frozenset("aside button dialog footer form head menu nav".split())
 # Words in a class, id or role that mark something beside the article. Whole words between non-letters.
@@ -54,6 +61,7 @@ _BESIDE = re.compile(
 )
 # These mark the head of a page, but inside the article its title.
 _HEADS = re.compile(r"(?:^|[^a-z])(?:header|masthead)(?:$|[^a-z])")
+_FRAMES = re.compile(r"\b(?:contentinfo|footer|header|masthead|menu|menubar|nav|navbar|navigation)\b")
 _WITHIN = re.compile(r"/(?:article|main)\b")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -141,14 +149,15 @@ def parse(html: str) -> Element:
     return root
 
 
-def text_of(element: Element) -> str:
-    """Text of an element without what stands beside the article: references decoded, white space as one blank, trimmed."""
+def text_of(element: Element, left_out: frozenset[int] | set[int] = frozenset()) -> str:
+    """Text of an element without what stands beside the article and the elements (by `id`) `left_out`: references decoded, white
+    space as one blank, trimmed."""
     pieces: list[str] = []
-    _gather(element, pieces)
+    _gather(element, pieces, left_out)
     return " ".join(unescape("".join(pieces)).split())
 
 
-def _gather(element: Element, pieces: list[str]) -> None:
+def _gather(element: Element, pieces: list[str], left_out: frozenset[int] | set[int]) -> None:
     todo: list = [iter(element.parts)]
     ends: list[bool] = [False]
     while todo:
@@ -163,7 +172,7 @@ def _gather(element: Element, pieces: list[str]) -> None:
             block = part.tag not in INLINE
             if block:
                 pieces.append(" ")
-            if not part.beside:
+            if not part.beside and id(part) not in left_out:
                 todo.append(iter(part.parts))
                 ends.append(block)
 
@@ -191,39 +200,128 @@ def scores(root: Element) -> dict[str, float]:
             share *= OUTWARD
         todo.extend((part, around, linked) for part in element.parts if not isinstance(part, str))
     for path in points:
-        last = path.rsplit("/", 1)[-1]
-        if re.match(r"(?:article|main)\b|.*\b(?:article|content|entry|post|story)\b", last):
+        if _named(path):
             points[path] *= NAMED
     return points
 
 
+def _named(path: str) -> bool:
+    """Whether the last element of a path calls itself the article."""
+    return bool(re.match(r"(?:article|main)\b|.*\b(?:article|content|entry|post|story)\b", path.rsplit("/", 1)[-1]))
+
+
 def best_path(root: Element) -> str:
     """The container path of most points, the shortest and then the first in order of equals; empty if nothing has any."""
-    points = scores(root)
+    return _best(scores(root))
+
+
+def _best(points: dict[str, float]) -> str:
     best = min(points, key=lambda path: (-points[path], len(path), path), default="")
     return best if best and points[best] > 0 else ""
 
 
-def _on_path(root: Element, path: str) -> list[Element]:
-    """The outermost elements on a path, in page order, none of them beside the article."""
-    found, todo = [], [root]
+# An element and those around it, from the inside out.
+Chain = tuple[Element, "Chain | None"]
+
+
+def _on_path(root: Element, path: str) -> list[Chain]:
+    """The outermost elements on a path with what is around them, in page order, none of them beside the article."""
+    found, todo = [], [(root, None)]
     while todo:
-        element = todo.pop()
+        chain = todo.pop()
+        element = chain[0]
         if element.beside:
             continue
         if element.path == path:
-            found.append(element)
+            found.append(chain)
         elif path.startswith(element.path):
-            todo.extend(part for part in reversed(element.parts) if not isinstance(part, str))
+            todo.extend((part, chain) for part in reversed(element.parts) if not isinstance(part, str))
     return found
 
 
+def _frame(element: Element) -> bool:
+    """Whether an element holds the page around the article: the body, or what has the page's head, foot or menu in it."""
+    return element.tag in ("", "html", "body") or element.tag not in ("article", "main") and any(
+        not isinstance(part, str) and part.beside and (part.tag in FURNITURE or part.tag in CONTAINERS and _FRAMES.search(part.path.rsplit("/", 1)[-1]))
+        for part in element.parts
+    )
+
+
+def _linked(element: Element) -> bool:
+    """Whether an element has more text in links than outside them."""
+    balance, todo = 0, [(element, element.tag == "a")]
+    while todo:
+        inner, linked = todo.pop()
+        if not inner.beside:
+            length = sum(len(p) - p.count(" ") for p in inner.parts if isinstance(p, str))
+            balance += length if linked else -length
+            todo.extend((part, linked or part.tag == "a") for part in inner.parts if not isinstance(part, str))
+    return balance > 0
+
+
+def _articles(found: list[Chain]) -> list[str]:
+    """Texts of the articles around elements, in page order.
+
+    Around an element inside an `article` that is all of the outermost one. Around another it is what the containers up to the
+    page's frame, or up to `main`, hold, but boxes of links; in the frame itself, headings, paragraphs and the like beside it.
+    """
+    on_chain: set[int] = set()
+    roots: dict[int, tuple[Element, Element | None]] = {}
+    levels: dict[int, Element] = {}
+    for chain in found:
+        around = []
+        link: Chain | None = chain
+        while link is not None:
+            around.append(link[0])
+            link = link[1]
+        on_chain.update(map(id, around))
+        outer = next((e for e in reversed(around) if e.tag == "article"), None)
+        if outer is not None:
+            roots[id(outer)] = outer, None
+            continue
+        top, frame = around[0], None
+        for element in around[1:] if top.tag != "main" and not _whole(top) else ():
+            if _frame(element):
+                frame = element
+                break
+            top = levels[id(element)] = element
+            if element.tag == "main":
+                break
+        roots[id(top)] = top, frame
+    left_out = {
+        id(part)
+        for element in levels.values()
+        for part in element.parts
+        if not isinstance(part, str) and id(part) not in on_chain and part.tag not in INLINE and _linked(part)
+    }
+    texts, framed = [], set()
+    for top, frame in roots.values():
+        if frame is None:
+            texts.append(text_of(top, left_out))
+        elif id(frame) not in framed:
+            framed.add(id(frame))
+            for part in frame.parts:
+                if not isinstance(part, str) and not part.beside and (id(part) in roots or part.tag in FLOW and not _linked(part)):
+                    texts.append(text_of(part, left_out))
+    return [t for t in texts if t]
+
+
+def _whole(element: Element) -> bool:
+    return element.tag in ("", "html", "body")
+
+
 def main_text(html: str, path: str | None) -> str:
-    """Text of the elements on the host's path, else of the page's own best container, else of the whole page."""
+    """Text of the article around the elements on the host's path, else around the page's own best container, else of the whole page.
+
+    The page's own best container also goes before a path with next to none of its points, if it calls itself the article.
+    """
     root = parse(html)
-    texts = [t for t in map(text_of, _on_path(root, path)) if t] if path else []
-    if not texts:
-        texts = [t for t in map(text_of, _on_path(root, best_path(root) or "/html/body")) if t] or [text_of(root)]
+    points = scores(root)
+    own = _best(points)
+    if path and own and _named(own) and points.get(path, 0.0) < SMALL * points[own]:
+        path = own
+    on_path = [c for c in _on_path(root, path) if text_of(c[0])] if path else []
+    texts = _articles(on_path) or _articles(_on_path(root, own or "/html/body")) or [text_of(root)]
     return " ".join(t for t in texts if t)
 
 

@@ -30,6 +30,34 @@ def test_op4_pages_cut_anywhere(cut):
     assert "cookies" not in text and "Buy" not in text and "<b" not in text
 
 
+def test_op4_whole_article_around_the_best_container(spark):
+    body = "<p>" + "Body words of the article here. " * 40 + "</p>"
+    whole = "Body words of the article here. " * 39 + "Body words of the article here."
+    nav, foot = "<nav><a href='/'>Home</a></nav>", "<footer>foot</footer>"
+    inner = f"<article><h1>Title</h1><p>A lead.</p><div class='share'>Share</div><div class='entry-content'>{body}</div></article>"
+    wrap = f"<div class='wrap'><div class='text'>{body}</div><div class='quote'>{'<p>Quoted words.</p>' * 12}</div></div>"
+    links = "<div class='more'><a href='/a'>Another page</a> <a href='/b'>One more page</a></div>"
+    quote = " ".join(["Quoted words."] * 12)
+    cases = [
+        (nav + inner + foot, f"Title A lead. {whole}"),
+        (nav + wrap + foot, f"{whole} {quote}"),
+        (f"<div id='page'>{nav}{wrap}<div class='x'>Odd box.</div>{foot}</div>", f"{whole} {quote}"),
+        (nav + wrap.replace("<div class='quote'>", links + "<div class='quote'>") + foot, f"{whole} {quote}"),
+        (f"{nav}<h1>Title</h1><p>A lead.</p><div class='content'>{body}</div>{foot}", f"Title A lead. {whole}"),
+    ]
+    for page, text in cases:
+        assert html.main_text(f"<html><body>{page}</body></html>", None) == text
+    # pages of a host: a short body on the winning path, and an article with next to nothing on it
+    rows = [(i, "http://a.example/", f"<html><body>{nav}{inner}{foot}</body></html>") for i in range(4)]
+    rows.append((4, "http://a.example/", f"<html><body>{nav}{inner.replace(body, '<p>Brief.</p>').replace('A lead.', body)}</body></html>"))
+    rows += [(i, "http://b.example/", f"<html><body><div class='intro'>{body}</div></body></html>") for i in range(5, 8)]
+    rows.append((8, "http://b.example/", f"<html><body><div class='intro'>Hi.</div><article>{body}</article></body></html>"))
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert [got[i] for i in range(4)] == [f"Title A lead. {whole}"] * 4 and got[4] == f"Title {whole} Brief."
+    assert got[5] == got[8] == whole
+
+
 def test_op4_hosts_agree_and_edges(spark):
     short = "<html><body><div class='content c9'>Brief.</div><div class='x'><p>" + "Longer words in a box. " * 20 + "</p></div></body></html>"
     rows = [(i, f"http://Host.example:80/{i}", PAGE) for i in range(5)] + [
