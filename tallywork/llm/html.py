@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tallywork.llm.common import in_pieces, settings, staged
 from tallywork.operators.joins import bounded_join, row_bound
 
-# Winning paths up to this length are kept; longer ones are cut in the vote and in the match alike.
+# Above this length, a digest stands for all of a path but its last element, and for the classes of an element.
 PATH_LENGTH = 400
 
 _TOKEN = re.compile(
@@ -62,7 +63,7 @@ _BESIDE = re.compile(
 # These mark the head of a page, but inside the article its title.
 _HEADS = re.compile(r"(?:^|[^a-z])(?:header|masthead)(?:$|[^a-z])")
 _FRAMES = re.compile(r"\b(?:contentinfo|footer|header|masthead|menu|menubar|nav|navbar|navigation)\b")
-_WITHIN = re.compile(r"/(?:article|main)\b")
+_CALLED = re.compile(r"\b(?:article|content|entry|post|story)\b")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -70,16 +71,29 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Element:
     """A node of the light tree: `parts` are texts and elements in page order."""
 
-    __slots__ = ("tag", "path", "parts", "beside")
+    __slots__ = ("tag", "path", "parts", "beside", "within")
 
-    def __init__(self, tag: str, path: str, beside: bool):
-        self.tag, self.path, self.parts, self.beside = tag, path, [], beside
+    def __init__(self, tag: str, path: str, beside: bool, within: bool = False):
+        self.tag, self.path, self.parts, self.beside, self.within = tag, path, [], beside, within or tag in ("article", "main")
+
+
+def _digest(text: str) -> str:
+    return "#" + blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def _joined(path: str, tag: str, words: str) -> str:
+    """The path of an element with these classes in an element on `path`. Different places have different paths at any depth."""
+    words = words.replace("/", "|")
+    if len(words) > PATH_LENGTH // 2:
+        words = ".".join([*sorted({*_CALLED.findall(words), *_FRAMES.findall(words)}), _digest(words)])
+    step = f"/{tag if len(tag) <= PATH_LENGTH // 8 else _digest(tag)}{'.' + words if words else ''}"
+    return (path if len(path) + len(step) <= PATH_LENGTH else _digest(path)) + step
 
 
 def _element(tag: str, more: str, parent: Element) -> Element:
     beside, words = tag in OUTSIDE, ""
     # a header of the page is outside, one inside the article holds its title
-    outer = not _WITHIN.search(parent.path)
+    outer = not parent.within
     beside = beside or tag == "header" and outer
     if more:
         for name, *values in _NAMES.findall(more):
@@ -96,7 +110,7 @@ def _element(tag: str, more: str, parent: Element) -> Element:
                 beside = beside or bool(_HIDDEN.search(value))
             elif name == "hidden" or value.lower() == "true":
                 beside = True
-    return Element(tag, f"{parent.path}/{tag}{'.' + words if words else ''}"[:PATH_LENGTH], parent.beside or beside)
+    return Element(tag, _joined(parent.path, tag, words), parent.beside or beside, parent.within)
 
 
 def parse(html: str) -> Element:
@@ -207,7 +221,8 @@ def scores(root: Element) -> dict[str, float]:
 
 def _named(path: str) -> bool:
     """Whether the last element of a path calls itself the article."""
-    return bool(re.match(r"(?:article|main)\b|.*\b(?:article|content|entry|post|story)\b", path.rsplit("/", 1)[-1]))
+    last = path.rsplit("/", 1)[-1]
+    return bool(re.match(r"(?:article|main)\b", last) or _CALLED.search(last))
 
 
 def best_path(root: Element) -> str:
@@ -234,7 +249,7 @@ def _on_path(root: Element, path: str) -> list[Chain]:
             continue
         if element.path == path:
             found.append(chain)
-        elif path.startswith(element.path):
+        else:
             todo.extend((part, chain) for part in reversed(element.parts) if not isinstance(part, str))
     return found
 

@@ -85,6 +85,21 @@ def test_op4_deep_nesting():
     assert html.main_text(deep, None) == "deep text"
 
 
+@pytest.mark.parametrize("classes", ["lg:w-1/2 flex-col items-center " * 3 + "justify-between", "a-very-long-utility-class/of-its-own " * 30, ""])
+def test_op4_long_paths_stay_apart(spark, classes):
+    depth = 8 if classes else 100
+    words = " ".join(["Words of the article."] * 60)
+    inner = f"<div class='odd'>Odd box. {'Side words. ' * 40}</div><article><header><h1>Title</h1></header><p>{words}</p></article>"
+    page = "<html><body>" + "".join(f"<div class='{classes} {chr(97 + i % 26)}'>" for i in range(depth)) + inner + "</div>" * depth + "</body></html>"
+    assert html.main_text(page, None) == f"Title {words}"
+    assert html.best_path(html.parse(page)).endswith("/article") and len(html.best_path(html.parse(page))) <= html.PATH_LENGTH
+    named = page.replace("<article>", f"<div class='content {classes}'>").replace("</article>", "</div>").replace("header>", "b>")
+    assert html.best_path(html.parse(named)).rsplit("/", 1)[-1].startswith("div.") and "content" in html.best_path(html.parse(named)).rsplit("/", 1)[-1]
+    rows = [(i, "http://a.example/", page) for i in range(3)]
+    got = html.extract(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")).collect()
+    assert {r.text for r in got} == {f"Title {words}"}
+
+
 def test_op4_query(spark):
     source = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries.op4_main_text(spark, SF).collect()
