@@ -131,6 +131,16 @@ def content_key(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text)))
 
 
+def content_id(doc_id: Column, key: Column) -> Column:
+    """Bytes in order of (doc_id, key), as two contents may have the same doc_id."""
+    return F.unhex(F.concat(F.lpad(F.hex(doc_id.cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.hex(key)))
+
+
+def lowest_doc_id(content: Column) -> Column:
+    """The doc_id in a content's id."""
+    return F.conv(F.hex(F.substring(content, 1, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(2**63)))
+
+
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Tuples of equally long arrays, put together to batches."""
     held: list[tuple] = []
@@ -246,7 +256,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _compared(rows: DataFrame) -> DataFrame:
     """`id`, `links`, `root` of the sets of each bucket that have a partner in it, from (path, i, j, block, id, weight, earlier,
     tokens) in which a bucket's rows follow each other."""
-    out = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    out = pa.schema([("id", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def buckets() -> Iterator[list[tuple]]:
@@ -267,14 +277,17 @@ def _compared(rows: DataFrame) -> DataFrame:
 
         return _batches(each(), out)
 
-    return rows.mapInArrow(run, "id BIGINT, links BIGINT, root BIGINT")
+    return rows.mapInArrow(run, "id BINARY, links BIGINT, root BINARY")
 
 
-def compare_bucket(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare_bucket(rows: list[tuple]) -> tuple[list[bytes], np.ndarray, list[bytes]]:
     """Brute force over one bucket or one pair of its blocks: ids with a partner, the weight of the partners met here first, and
     the lowest id of what hangs together."""
     path, i, j = rows[0][:3]
-    blocks, ids, weights = (np.array([row[at] for row in rows], np.int64) for at in (3, 4, 5))
+    blocks, weights = (np.array([row[at] for row in rows], np.int64) for at in (3, 5))
+    names = sorted(row[4] for row in rows)
+    places = {name: at for at, name in enumerate(names)}
+    ids = np.array([places[row[4]] for row in rows], np.int64)
     sets = [unpack(row[7]) for row in rows]
     sizes = np.array([len(s) for s in sets], np.int64)
     n = len(rows)
@@ -296,7 +309,7 @@ def compare_bucket(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     links = first @ weights
     roots = _roots(linked, ids)
     has = linked.any(axis=1)
-    return ids[has], links[has], roots[has]
+    return [names[at] for at in ids[has]], links[has], [names[at] for at in roots[has]]
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -371,8 +384,14 @@ def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
     text are linked. `class_id` is the lowest doc_id among all that hang together by links, the own doc_id if there is no link. A
     text without a word (null, empty, white space) has no n-gram and is linked with nothing; a text of fewer than five words is
     one n-gram. Rows without a doc_id are returned with a null class and no links and are nobody's partner. Other columns are
-    not read.
+    not read. Rows of one doc_id and different texts are different contents.
     """
+    return _classes(docs, target).select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, target: float) -> DataFrame:
+    """The rows of `join` with `row_key`, which tells texts apart, and `first`: whether the text is the first of its class and the
+    row has its lowest doc_id."""
     settings(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     keyed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", content_key(F.col("text")).alias("key"), "text").filter("key IS NOT NULL")
@@ -395,7 +414,7 @@ def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("a"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b")
     )
     once = same.groupBy("n", "a", "b").agg(F.min("path").alias("path")).select("path")
-    contents = staged(keyed.groupBy("key").agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")), "contents")
+    contents = staged(keyed.groupBy("key").agg(content_id(F.min("doc_id"), F.col("key")).alias("id"), F.count("*").alias("weight")), "contents")
     buckets = staged(buckets.join(once, "path", "left_semi").join(contents, "key").select("path", "key", "size", "id", "weight"), "buckets-once")
 
     earlier = buckets.groupBy("key").agg(F.collect_list("path").alias("earlier")).join(sets, "key")
@@ -413,21 +432,33 @@ def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select("id", "root"))
     classes = contents.join(links, "id", "left").join(roots, "id", "left")
-    classes = classes.select("key", F.coalesce("root", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    rows = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), content_key(F.col("text"))).alias("key"))
+    root = F.coalesce("root", "id")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("weight") - 1
+    classes = classes.select("key", lowest_doc_id(root).alias("class_id"), (root == F.col("id")).alias("_first"), n_links.alias("n_links"))
+    rows = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), content_key(F.col("text"))).alias("key"), row_key(F.col("text")).alias("row_key"))
+    alone = F.col("doc_id").isNotNull() & F.col("key").isNull()
     return rows.join(classes, "key", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")
+        "doc_id",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        "row_key",
+        (alone | F.coalesce(F.col("_first") & (F.col("class_id") == F.col("doc_id")), F.lit(False))).alias("first"),
     )
 
 
+def row_key(text: Column) -> Column:
+    """What tells all texts apart, those without a word too."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def deduplicated(docs: DataFrame, target: float = TARGET) -> DataFrame:
-    """The rows of `docs` whose doc_id is that of their class, one of each; their columns are unchanged.
+    """The rows of `docs` of the lowest (doc_id, text by its hash) of their class, one of each; their columns are unchanged.
 
     Rows without a doc_id stay, as they are in no class.
     """
-    classes = join(docs, target).filter("class_id = doc_id").select("doc_id").distinct()
+    firsts = _classes(docs, target).filter("first").select("doc_id", "row_key").distinct()
     whole = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
-    rows = docs.select("doc_id", whole)
-    kept = rows.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    kept = kept.unionByName(rows.filter(F.col("doc_id").isNull()))
+    rows = docs.select("doc_id", row_key(docs["text"]).alias("row_key"), whole)
+    kept = rows.join(firsts, ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"]).select("doc_id", "_row")
+    kept = kept.unionByName(rows.filter(F.col("doc_id").isNull()).select("doc_id", "_row"))
     return kept.select(*[F.col(f"_row.c{i}").alias(name) for i, name in enumerate(docs.columns)])

@@ -249,6 +249,21 @@ def near_group(n: int, words: int = 120, base: int = 1):
     return rows + [f"{passage} {prose(1000 + i, 80)}" for i in range(n)] + [prose(5000 + i, 50) for i in range(n)]
 
 
+def test_op3_texts_that_share_a_doc_id(spark):
+    a, b, c = (prose(seed, 120) for seed in (60, 61, 62))
+
+    def near(text):
+        return text.replace(text.split()[60], "changed", 1)
+
+    texts = [(-5, a), (7, near(a)), (-5, b), (8, near(b)), (9, c), (9, near(a)), (9, ""), (9, " "), (9, c), (-3, None)]
+    rows = [(i, t, None, None, None) for i, t in texts]
+    links, classes = jaccard_links(texts)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(documents(spark, rows)).collect())
+    assert got == Counter((i, k, n) for (i, _), k, n in zip(texts, classes, links, strict=True))
+    kept = Counter((r.doc_id, r.text) for r in jaccard.deduplicated(documents(spark, rows)).collect())
+    assert kept == Counter([(-5, a), (-5, b), (9, c), (9, ""), (9, " "), (-3, None)])
+
+
 @pytest.mark.parametrize("small", [4096, 40, 8])
 def test_op3_equals_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(jaccard, "SMALL", small)
