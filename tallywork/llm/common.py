@@ -8,9 +8,10 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallywork.operators.joins import bounded_join, row_bound
 from tallywork.session import shared_folder
 
 # A vocabulary file above this size is not sent to the tasks.
@@ -77,6 +78,23 @@ def running_total(df: DataFrame, order: str, value: str, name: str, block: int =
     return rows.join(blocks, "_block").withColumn(name, F.col("_before") + F.col("_inside")).drop("_block", "_before", "_inside")
 
 
+def ranked(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds the place of each row, from 1, among those of its `group` (columns without nulls) by `order`.
+
+    Rows are sorted by ranges over all tasks and numbered there; the counts of the ranges, one row per range and group, give what
+    stands before each. So a group of any size is spread over tasks, unlike in a window. Ties beyond `order` are dealt out as they come.
+    """
+    by = [*(F.col(c).asc() for c in group), *order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    # written once, as the bounds of ranges are sampled anew each time
+    placed = staged(placed, "placed").withColumn("_range", F.shiftright("_at", 33))
+    ranges = placed.groupBy("_range", *group).agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    placed = bounded_join(placed, ranges, ["_range", *group], "inner", row_bound(ranges))
+    return placed.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_range", "_at", "_first", "_before")
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """A text column, null as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm import attribution, binary, bytebpe, html, jaccard, langid, licences, mixing, quality, topk
+from tallywork.llm import (
+    attribution,
+    binary,
+    bytebpe,
+    collocations,
+    html,
+    importance,
+    jaccard,
+    langid,
+    licences,
+    mixing,
+    quality,
+    topk,
+    urls,
+)
 from tallywork.llm.common import settings
 from tallywork.session import shared_folder
 from tallywork.sources.tables import scan
@@ -18,6 +32,7 @@ SCHEMAS = {
     "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
     "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
     "pages": "page_id BIGINT, url STRING, html STRING",
+    "benchmark": "item_id BIGINT, text STRING",
     "labels": "doc_id BIGINT, quality INT, toxic INT",
 }
 
@@ -89,6 +104,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed towards the benchmark texts, 5 % of those of 20 words drawn."""
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of each language of the documents."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [
+    urls.Rule(urls.ALLOW, "com", "/"),
+    urls.Rule(urls.BLOCK, "example.com", "/en/"),
+    urls.Rule(urls.ALLOW, "www.example.com", "/en/"),
+    urls.Rule(urls.BLOCK, "net", "/es/"),
+    urls.Rule(urls.BLOCK, "net", "/fr/"),
+]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The urls of all pages by five rules; urls that none fits are allowed."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_attribution": op1_token_attribution,
     "op2_exact_top_k": op2_exact_top_k,
@@ -100,6 +140,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_url_filters": op13_url_filters,
 }
 
 OP7_SQL = r"""
@@ -161,4 +204,35 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.vector) = 0 THEN 0
 SELECT query_id, rank::INT AS rank, vec_id, score FROM
  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
 """
-SQL: dict[str, str] = {"op2_exact_top_k": OP2_SQL, "op7_source_mix": OP7_SQL, "op8_quality_rules": OP8_SQL}
+_ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LONGEST, _LEAST = collocations.Mining.longest, collocations.Mining.least
+OP12_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_ALPHABET}) AS text FROM documents),
+p AS (SELECT rid, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+s AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (SELECT lang, words[i:i + k - 1] AS words, k, count(*) AS f
+ FROM s, (SELECT unnest(range(1, {_LONGEST + 1})) AS k) WHERE i + k - 1 <= len(words) GROUP BY ALL),
+f AS (SELECT lang, words, k, f, array_to_string(words, ' ') AS phrase FROM g WHERE f >= {_LEAST}),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, words, k, phrase, f AS a FROM f WHERE k >= 2),
+o AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c b ON s.lang = b.lang AND b.k > s.k
+ AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * b.a >= {collocations.Mining.drop_percent} * s.a),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c ANTI JOIN o USING (lang, phrase)),
+x AS (SELECT u.lang, u.phrase, u.a, cut, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * u.a * n.n // (l.f::HUGEINT * r.f))::BIGINT AS score
+ FROM u JOIN f l ON l.lang = u.lang AND l.words = u.words[1:cut] JOIN f r ON r.lang = u.lang AND r.words = u.words[cut + 1:] JOIN n ON n.lang = u.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM x)
+SELECT lang, rank, phrase, a, l, r, n, score FROM
+ (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE place = 1) WHERE rank <= {collocations.Mining.top}
+"""
+_RULES = ", ".join(f"('{rule.verdict}', '{rule.host}', '{rule.path}')" for rule in URL_RULES)
+OP13_SQL = rf"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_ALPHABET}) AS host,
+ regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT * FROM (VALUES {_RULES}) AS x(verdict, rule_host, rule_path)),
+f AS (SELECT rid, arg_max(rule_host || rule_path, length(rule_host) * 100000 + length(rule_path)) AS rule,
+ arg_max(verdict, length(rule_host) * 100000 + length(rule_path)) AS verdict
+ FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY rid)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN f USING (rid)
+"""
+SQL: dict[str, str] = {"op2_exact_top_k": OP2_SQL, "op7_source_mix": OP7_SQL, "op8_quality_rules": OP8_SQL, "op12_phrase_collocations": OP12_SQL, "op13_url_filters": OP13_SQL}
