@@ -28,7 +28,7 @@ def test_matches_sql(spark, name):
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in names if name.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in names if name.startswith("op")}
     assert "pipeline" in names
 
 
