@@ -15,6 +15,7 @@ from tallywork.plans import retrieval as R
 from tallywork.plans import answers, routing
 from tallywork.operators.filters import filter_jobs
 from tallywork.plans.ingest import has_embedding
+from tallywork.plans.requests import FILTERED, newest_of, rows_json
 
 _SEARCH = (views.CHUNKS, views.QUESTIONS, views.PAIRS)
 
@@ -587,6 +588,73 @@ def _(spark, sf):
     return table.select("query_id", "type", "prompt", F.array_join(source, ",").alias("sources"))
 
 
+# ---- tables of requests ---------------------------------------------------------------------------
+
+# One compound filter per customer: part of a segment, a nation or none, a job type or none, bounds for some.
+_FILTERS = """SELECT concat('c', CAST(c_custkey AS {text})) AS request, CASE WHEN c_custkey % 4 < 3 THEN concat('%', substr(c_mktsegment, 2, 4), '%') END AS title,
+ CASE WHEN c_custkey % 3 = 0 THEN concat('%nation_', CAST(c_nationkey AS {text})) WHEN c_custkey % 3 = 1 THEN 'remote%' END AS location,
+ CASE WHEN c_custkey % 5 = 0 THEN '%\\_time' WHEN c_custkey % 5 = 1 THEN 'contract' END AS job_type,
+ CASE WHEN c_custkey % 2 = 0 THEN CAST(floor(abs(c_acctbal) * 20) AS DOUBLE) END AS low, CASE WHEN c_custkey % 7 = 0 THEN CAST(300000 AS DOUBLE) END AS high FROM {customer}"""
+_LIKE = "({0} IS NULL OR coalesce(j.{1} ILIKE {0} ESCAPE '\\', false))"
+
+
+@check(
+    "R10_filter_table",
+    with_ctes(views.JOBS, "asked AS (" + _FILTERS.format(text="VARCHAR", customer="customer") + ")")
+    + "SELECT request, CAST(pos AS INT) AS pos, id FROM (SELECT request, id, row_number() OVER (PARTITION BY request ORDER BY fetched_at DESC NULLS LAST, id) AS pos "
+    "FROM asked a JOIN jobs j ON " + " AND ".join(_LIKE.format(f"a.{c}", c) for c in ("title", "location", "job_type"))
+    + " AND (low IS NULL OR min_salary >= low) AND (high IS NULL OR max_salary <= high) "
+    "AND coalesce(a.title, a.location, a.job_type, CAST(low AS VARCHAR), CAST(high AS VARCHAR)) IS NOT NULL) WHERE pos <= 30",
+)
+def _(spark, sf):
+    """A filter per customer, all in one plan."""
+    asked = spark.sql(_FILTERS.format(text="STRING", customer="{c}"), c=views.table(spark, sf, "customer"))
+    asked = asked.withColumns({c: F.lit(None).cast("string") for c in ("company", "skill")})
+    return newest_of(views.jobs(spark, sf), asked, FILTERED).select("request", "pos", F.col("job.id").alias("id"))
+
+
+# One statistic per customer, of every kind that has parameters; many customers share one.
+_STATISTICS = """SELECT concat('c', CAST(c_custkey AS {text})) AS query_id, CASE c_custkey % 8 WHEN 0 THEN 'list_jobs_by_title' WHEN 1 THEN 'list_jobs_by_location'
+ WHEN 2 THEN 'list_jobs_by_company' WHEN 3 THEN 'salary_stats_by_title' WHEN 4 THEN 'list_distinct_titles' WHEN 5 THEN 'jobs_between_salary' WHEN 6 THEN 'jobs_above_salary'
+ ELSE 'list_jobs_by_skill' END AS intent, CASE c_custkey % 8 WHEN 0 THEN concat('%', substr(c_mktsegment, 1, 5), '%') WHEN 1 THEN concat('%_', CAST(c_nationkey AS {text}))
+ WHEN 2 THEN concat('company ', CAST(c_custkey % 90 AS {text})) WHEN 3 THEN concat(c_mktsegment, '%') WHEN 4 THEN concat('%', substr(c_mktsegment, 4, 2), '%')
+ WHEN 5 THEN CAST(CAST(floor(abs(c_acctbal) * 10) AS BIGINT) AS {text}) WHEN 6 THEN CAST(CAST(floor(abs(c_acctbal) * 50) AS BIGINT) AS {text})
+ ELSE lower(c_mktsegment) END AS p1, CASE WHEN c_custkey % 8 = 5 THEN '250000' END AS p2 FROM {customer}"""
+_JOB_JSON = "list({'title': title, 'company': company, 'location': location, 'job_type': job_type, 'min_salary': min_salary, 'max_salary': max_salary, 'url': url} ORDER BY pos)"
+
+
+def _listed_sql(intent: str, condition: str, order: str = "fetched_at DESC NULLS LAST, id") -> str:
+    return (
+        f"SELECT query_id, to_json({_JOB_JSON}) AS rows FROM (SELECT query_id, j.*, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS pos "
+        f"FROM asked a JOIN jobs j ON a.intent = '{intent}' AND {condition}) WHERE pos <= 20 GROUP BY query_id"
+    )
+
+
+@check(
+    "R08_statistics_table",
+    with_ctes(
+        views.JOBS, "asked AS (" + _STATISTICS.format(text="VARCHAR", customer="customer") + ")",
+        "found AS (" + " UNION ALL ".join([
+            _listed_sql("list_jobs_by_title", "j.title ILIKE p1"), _listed_sql("list_jobs_by_location", "j.location ILIKE p1"),
+            _listed_sql("list_jobs_by_company", "j.company ILIKE p1"), _listed_sql("list_jobs_by_skill", "len(list_filter(j.skills, lambda s: p1 ILIKE s)) > 0"),
+            _listed_sql("jobs_above_salary", "min_salary >= TRY_CAST(p1 AS BIGINT)", "min_salary DESC NULLS LAST, id"),
+            _listed_sql("jobs_between_salary", "min_salary >= TRY_CAST(p1 AS BIGINT) AND max_salary <= TRY_CAST(p2 AS BIGINT)", "min_salary DESC NULLS LAST, id"),
+            "SELECT query_id, to_json(list({'min': lo, 'max': hi, 'avg': mean, 'job_count': n})) AS rows FROM (SELECT query_id, min(min_salary) AS lo, max(max_salary) AS hi, "
+            "CAST(floor(sum(min_salary) / count(min_salary) + 0.5) AS BIGINT) AS mean, count(min_salary) AS n FROM asked a LEFT JOIN jobs j ON j.title ILIKE p1 "
+            "WHERE a.intent = 'salary_stats_by_title' GROUP BY query_id) GROUP BY query_id",
+            "SELECT query_id, to_json(list({'title': title} ORDER BY title)) AS rows FROM (SELECT query_id, title, row_number() OVER (PARTITION BY query_id ORDER BY title) AS pos "
+            "FROM (SELECT DISTINCT query_id, title FROM asked a JOIN jobs j ON a.intent = 'list_distinct_titles' AND j.title ILIKE p1)) WHERE pos <= 30 GROUP BY query_id",
+        ]) + ")",
+    )
+    + "SELECT query_id, coalesce(CAST(rows AS VARCHAR), '[]') AS rows FROM asked LEFT JOIN found USING (query_id)",
+)
+def _(spark, sf):
+    """A statistic per customer, all in one plan."""
+    asked = spark.sql(_STATISTICS.format(text="STRING", customer="{c}"), c=views.table(spark, sf, "customer"))
+    asked = asked.select("query_id", F.lit("aggregation").alias("route"), "intent", F.array_compact(F.array("p1", "p2")).alias("params"))
+    return routing.statistics_for(views.jobs(spark, sf), asked)
+
+
 # ---- joins named after their use -----------------------------------------------------------------
 
 add(
@@ -633,6 +701,6 @@ def _(spark, sf):
 def _(spark, sf):
     chunks, asked = views.chunks(spark, sf), views.questions(spark, sf)
     embedded = has_embedding(views.jobs(spark, sf), chunks)
-    ids = [row["id"] for row in filter_jobs(embedded, title="%e%", min_salary=100000).select("id").collect()]  # 30 at most
-    named = asked.select("query_id", F.explode(F.lit(ids)).alias("job_id"))
+    found = filter_jobs(embedded, title="%e%", min_salary=100000).select(F.lit(True).alias("all"), F.col("id").alias("job_id"))
+    named = asked.select("query_id", F.lit(True).alias("all")).join(F.broadcast(found), "all").drop("all")  # 30 postings at most
     return V.vector_rank_within(chunks, asked, named, bound=R.question_bound(asked)).withColumn("similarity", F.round("similarity", 6))

@@ -39,9 +39,13 @@ def _rows() -> Column:
 
 def mean_rounded(amount: Column, divisor: int = 1) -> Column:
     """Mean of `amount / divisor`, halves away from zero, in whole numbers throughout; null over no rows."""
-    total = F.sum(amount.cast("bigint"))
-    denominator = F.nullif(F.count(amount) * divisor * 2, F.lit(0))
-    numerator = F.abs(total) * 2 + F.count(amount) * divisor
+    return mean_of(F.sum(amount.cast("bigint")), F.count(amount), divisor)
+
+
+def mean_of(total: Column, count: Column, divisor: int = 1) -> Column:
+    """`mean_rounded` from a sum and a count."""
+    denominator = F.nullif(count * divisor * 2, F.lit(0))
+    numerator = F.abs(total) * 2 + count * divisor
     whole = (numerator - numerator % denominator) / denominator
     return F.round(F.signum(total.cast("double")) * whole).cast("bigint")
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork import constants as K
-from tallywork.operators.filters import filter_jobs
+from tallywork.operators.filters import LISTING
 from tallywork.plans import retrieval as R
-from tallywork.plans.routing import MAX_REQUESTS, route_queries, statistics_for
+from tallywork.plans.requests import CONDITIONS, FILTERED, listed, newest_of, to_rows, without_empty
+from tallywork.plans.routing import route_queries, statistics_for
 from tallywork.session import cut_lineage
 
 
@@ -20,20 +21,15 @@ def _has_ids(questions: DataFrame) -> Column:
     return F.coalesce(F.size("context_job_ids"), F.lit(0)) > 0
 
 
-def _filtered(chunks: DataFrame, jobs: DataFrame, asked: DataFrame, **search) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(blocks, statistics) per distinct compound filter: its postings as context and its rows as statistic."""
-    keyed = asked.withColumn("_filter", F.to_json("filters"))
-    given = keyed.select("_filter", "filters").distinct().limit(MAX_REQUESTS + 1).collect()
-    if len(given) > MAX_REQUESTS:
-        raise ValueError(f"more than {MAX_REQUESTS} distinct filters in one call")
-    blocks, statistics = [], []
-    for row in given:
-        filters = {name: value for name, value in row["filters"].asDict().items() if value is not None}
-        mine = keyed.filter(F.col("_filter") == row["_filter"])
-        blocks.append(R.filter_then_retrieve(chunks, jobs, mine, filters, **search))
-        rows = R.rows_json(filter_jobs(jobs, **filters)).withColumn("_filter", F.lit(row["_filter"]))
-        statistics.append(mine.select("query_id", "_filter").join(F.broadcast(rows), "_filter").select("query_id", "rows"))
-    return blocks, statistics
+def _filtered(chunks: DataFrame, jobs: DataFrame, asked: DataFrame, **search) -> tuple[list[DataFrame], DataFrame]:
+    """(blocks, statistics) of questions with compound filters: the postings found as context and as rows."""
+    keyed = cut_lineage(asked.withColumn("request", F.to_json("filters")))
+    given = keyed.select("request", "filters.*").withColumnsRenamed({"min_salary": "low", "max_salary": "high"}).distinct()
+    given = given.withColumns({c: F.lit(None).cast("string") for c in ("company", "skill")})
+    found = cut_lineage(newest_of(jobs, without_empty(given.select("request", *CONDITIONS)), FILTERED).select("request", "pos", "job"))
+    rows = to_rows(found, listed(["id", *LISTING]))
+    statistics = keyed.select("query_id", "request").join(rows, "request", "left")
+    return R.found_blocks(chunks, jobs, keyed, found, **search), statistics.select("query_id", F.coalesce("rows", F.lit("[]")).alias("rows"))
 
 
 def answer_table(chunks: DataFrame, jobs: DataFrame, questions: DataFrame, **search) -> DataFrame:
@@ -52,8 +48,9 @@ def answer_table(chunks: DataFrame, jobs: DataFrame, questions: DataFrame, **sea
     statistics = [statistics_for(jobs, routed)]
     if "context_job_ids" in routed.columns:
         blocks.append(R.given_blocks(chunks, jobs, with_ids, R.wanted_from_ids(with_ids)))
-    more_blocks, more_statistics = _filtered(chunks, jobs, filtered, **search)
-    blocks, statistics = blocks + more_blocks, statistics + more_statistics
+    if not filtered.isEmpty():
+        more_blocks, more_statistics = _filtered(chunks, jobs, filtered, **search)
+        blocks, statistics = blocks + more_blocks, [*statistics, more_statistics]
     context = R.contexts(reduce(DataFrame.unionByName, blocks))
     rows = reduce(DataFrame.unionByName, statistics)
 

@@ -5,17 +5,20 @@ Only ids, similarities and texts of the few best chunks are ever joined; the emb
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork import constants as K
 from tallywork.functions.postings import salary_header
 from tallywork.functions.text import detect_fields, round_half_up
-from tallywork.operators.filters import filter_jobs
 from tallywork.functions.binding import let
+from tallywork.operators.filters import filter_jobs
 from tallywork.operators.joins import bounded_join, row_bound
 from tallywork.operators.ranking import ranked, top_per_key
 from tallywork.operators.vector import MAX_BLOCK_QUERIES, vector_rank_within, vector_top_k
+from tallywork.session import cut_lineage
 
 JOB_FIELDS = [
     "title", "company", "location", "job_type", "min_salary", "max_salary", "url",
@@ -214,12 +217,20 @@ def wanted_from_ids(queries: DataFrame, ids: str = "context_job_ids") -> DataFra
 
 def filter_then_retrieve(chunks: DataFrame, jobs: DataFrame, queries: DataFrame, filters: dict, **search) -> DataFrame:
     """Blocks for the postings a compound filter finds (30 at most); an empty find falls back to the search."""
-    ids = [row["id"] for row in filter_jobs(jobs, **filters).select("id").collect()]
-    if not ids:
-        return retrieval_blocks(chunks, jobs, queries, **search)
-    wanted = queries.select("query_id", F.posexplode(F.lit(ids)).alias("pos", "job_id"))
-    near = chunks.filter(F.col("job_id").isin(ids))
-    return given_blocks(near, jobs.filter(F.col("id").isin(ids)), queries, wanted)
+    found = filter_jobs(jobs, **filters).select(F.lit("").alias("request"), F.monotonically_increasing_id().alias("pos"), F.struct("id").alias("job"))
+    asked = queries.withColumn("request", F.lit(""))
+    return reduce(DataFrame.unionByName, found_blocks(chunks, jobs, asked, cut_lineage(found), **search))
+
+
+def found_blocks(chunks: DataFrame, jobs: DataFrame, queries: DataFrame, found: DataFrame, **search) -> list[DataFrame]:
+    """Blocks of the postings found for each question's `request` (`request`, `job`, `pos`), and of a search where there are none."""
+    wanted = queries.select("query_id", "request").join(found.select("request", "pos", F.col("job.id").alias("job_id")), "request")
+    wanted = cut_lineage(wanted.select("query_id", "pos", "job_id"))
+    blocks = [given_blocks(chunks, jobs, queries, wanted)]
+    without = queries.join(wanted.select("query_id"), "query_id", "left_anti")
+    if not without.isEmpty():
+        blocks.append(retrieval_blocks(chunks, jobs, without, **search))
+    return blocks
 
 
 def contexts(blocks: DataFrame) -> DataFrame:
@@ -256,13 +267,6 @@ def sources(blocks: DataFrame) -> DataFrame:
 # ---- prompts -------------------------------------------------------------------------------------
 
 
-def rows_json(df: DataFrame) -> DataFrame:
-    """A short result as one JSON text, in its order; `[]` when empty. For template results only."""
-    numbered = df.select(F.monotonically_increasing_id().alias("i"), F.struct(*df.columns).alias("row"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda r: r["row"])
-    return numbered.agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias("rows"))
-
-
 def retrieval_prompt(question: Column, context: Column, profile: Column) -> Column:
     return F.concat(
         F.lit(K.RETRIEVAL_PROMPT_HEAD), F.coalesce(profile, F.lit("")), F.lit("Job Postings:\n"), context,

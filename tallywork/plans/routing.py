@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +10,10 @@ from pyspark.sql import functions as F
 from tallywork import constants as K
 from tallywork.functions.responses import extract_route
 from tallywork.functions.text import WORD
+from tallywork.operators.joins import hot_key_join
 from tallywork.plans.analytics import TEMPLATES, run_template
-from tallywork.plans.retrieval import rows_json
-
-MAX_REQUESTS = 200
+from tallywork.plans.requests import answered
+from tallywork.session import cut_lineage
 
 
 def _mentions(question: Column, words: str) -> Column:
@@ -69,22 +68,10 @@ def route_queries(questions: DataFrame) -> DataFrame:
 def statistics_for(jobs: DataFrame, routed: DataFrame, run: Callable[..., DataFrame] = run_template) -> DataFrame:
     """(query_id, rows): each statistic question's template result as JSON.
 
-    A template runs once per distinct request, however many questions share it. More than 200 distinct requests must be
-    split over several calls.
+    Equal requests are answered once, however many questions share them, and all requests by one plan.
     """
-    asked = routed.filter(F.col("route").isin("aggregation", "hybrid")).withColumn(
-        "params", F.coalesce("params", F.array().cast("array<string>"))
-    )
-    requests = asked.select("intent", "params").distinct().limit(MAX_REQUESTS + 1).collect()
-    if len(requests) > MAX_REQUESTS:
-        raise ValueError(f"more than {MAX_REQUESTS} distinct statistics in one call")
-    results = [
-        rows_json(run(jobs, r["intent"], r["params"])).withColumns(
-            {"intent": F.lit(r["intent"]), "params": F.lit(r["params"]).cast("array<string>")}
-        )
-        for r in requests
-    ]
-    if not results:
-        return asked.select("query_id", F.lit(None).cast("string").alias("rows")).limit(0)
-    answers = reduce(DataFrame.unionByName, results)  # MAX_REQUESTS rows at most
-    return asked.join(F.broadcast(answers), ["intent", "params"]).select("query_id", "rows")
+    params = F.coalesce("params", F.array().cast("array<string>"))
+    asked = routed.filter(F.col("route").isin("aggregation", "hybrid")).select("query_id", "intent", params.alias("params"))
+    asked = cut_lineage(asked.withColumn("request", F.to_json(F.struct("intent", "params"))))
+    answers = answered(jobs, asked.select("request", "intent", "params").distinct(), run)
+    return hot_key_join(asked, answers, "request", "inner", ["query_id"]).select("query_id", "rows")
