@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import settings, staged
+from tallywork.llm.common import release, settings, staged
 
 # Bytes of hosts and paths in one trie; its nodes take some ten times as much in a worker.
 TRIE_BYTES = 4 << 20
@@ -154,6 +154,7 @@ def _walked(rows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast([tuple(rule) for rule in rules])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         trie = Trie([Rule(*rule) for rule in shared.value])
         for batch in batches:
             found = []
