@@ -2,108 +2,122 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywork import constants as K
-from tallywork.functions.text import keyword_regex_column, label_warning, matches_any
+from tallywork.functions.text import WORD, label_warning
 from tallywork.operators.joins import bounded_join, hot_key_join, row_bound
 from tallywork.operators.ranking import top_per_key
 
-# Up to this many questions become one projection over the postings; more are joined by token.
-MAX_EXPRESSION_QUERIES = 200
-_TOKEN, _NO_TOKEN = "[A-Za-z0-9_]+", "[^A-Za-z0-9_]+"
+_TOKEN = f"{WORD}+"
+_ALNUM = "^[a-z0-9]"
+# Stands before the first sign of a keyword without letters or digits, where others have their first token.
+_SIGN = "\x00"
 
 
-def _groups(query) -> list[list[str]]:
-    """AND groups of OR keywords; without groups the expected keywords are the only group."""
-    return query["keyword_groups"] or [query["expected_keywords"]]
+# ---- phrases -------------------------------------------------------------------------------------
 
 
-def _score(query, title: Column, description: Column) -> Column:
-    """Sum over the groups of 2 for a title match, else 1 for a description match; 0 if a group has neither."""
-    scores = [
-        F.when(matches_any(title, group), 2).when(matches_any(description, group), 1).otherwise(0)
-        if group
-        else F.lit(0)
-        for group in _groups(query)
-    ]
-    all_match = reduce(lambda a, b: a & b, [s > 0 for s in scores])
-    return F.when(all_match, reduce(lambda a, b: a + b, scores)).otherwise(0)
+def keyword_table(queries: DataFrame) -> DataFrame:
+    """(query_id, n_groups, g, keyword): the AND groups of OR keywords; without groups the expected keywords are the only one."""
+    groups = F.when(F.coalesce(F.size("keyword_groups"), F.lit(0)) > 0, F.col("keyword_groups")).otherwise(F.array("expected_keywords"))
+    rows = queries.select(F.col("id").alias("query_id"), F.size(groups).alias("n_groups"), F.posexplode(groups).alias("g", "keywords"))
+    rows = rows.select("query_id", "n_groups", "g", F.explode("keywords").alias("keyword")).withColumn("keyword", F.lower("keyword"))
+    return rows.filter("keyword <> ''").distinct()
 
 
-def scores_by_expression(jobs: DataFrame, queries: list) -> DataFrame:
-    """(id, query_id, score) in one pass over the postings: no join, no shuffle, one scan of a text per group."""
-    lowered = jobs.withColumns({"_t": F.lower("title"), "_d": F.lower("description")})
-    scored = F.array(
-        *[
-            F.struct(F.lit(q["id"]).alias("query_id"), _score(q, F.col("_t"), F.col("_d")).alias("score"))
-            for q in queries
-        ]
+def phrase_parts(keywords: DataFrame) -> DataFrame:
+    """Adds what a `keyword` is made of: `key` (its first token), `lead` and `tail` (signs before and behind), `further` tokens and the
+    signs `between` them."""
+    tokens, signs = F.regexp_extract_all("keyword", F.lit(f"({_TOKEN})"), F.lit(1)), F.split("keyword", _TOKEN, -1)
+    n = F.size(tokens)
+    return keywords.select(
+        "*",
+        F.when(n > 0, F.get(tokens, F.lit(0))).otherwise(F.concat(F.lit(_SIGN), F.substring("keyword", 1, 1))).alias("key"),
+        F.get(signs, F.lit(0)).alias("lead"),
+        F.when(n > 0, F.get(signs, n)).otherwise(F.lit("")).alias("tail"),
+        F.slice(tokens, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("further"),
+        F.slice(signs, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("between"),
     )
-    carried = [c for c in ("id", "created_at") if c in jobs.columns]
-    return lowered.select(*carried, F.inline(F.filter(scored, lambda s: s["score"] > 0)))
-
 
-def scores_by_token(jobs: DataFrame, queries: DataFrame) -> DataFrame:
-    """The same scores for a question table of any size.
 
-    A keyword can only match where its first word run is a whole token of the text, so keywords and texts meet on
-    tokens; only keywords of more than one plain token are checked against the text again. Keywords without any token, such
-    as `++`, are few, as they have no letters; they are searched in every text.
-    """
-    groups = F.when(F.coalesce(F.size("keyword_groups"), F.lit(0)) > 0, F.col("keyword_groups")).otherwise(
-        F.array("expected_keywords")
-    )
-    keywords = (
-        queries.select(F.col("id").alias("query_id"), F.size(groups).alias("n_groups"), F.posexplode(groups).alias("g", "kws"))
-        .select("query_id", "n_groups", "g", F.explode("kws").alias("keyword"))
-        .withColumn("keyword", F.lower("keyword"))
-        .withColumn("token", F.regexp_extract("keyword", _TOKEN, 0))
+def _places(texts: DataFrame, longest: int) -> DataFrame:
+    """Every token of a `text` (lowered) with what stands around it: `key`, `before` (signs, null at the start), `tokens` and `signs`
+    behind it, as many as the longest keyword has. Signs that follow a token have a place of their own under their first one."""
+    split = texts.withColumns({"_t": F.regexp_extract_all("text", F.lit(f"({_TOKEN})"), F.lit(1)), "_s": F.split("text", _TOKEN, -1)})
+    kept = [c for c in texts.columns if c != "text"]
+    tokens = split.select(*kept, "_t", "_s", F.posexplode("_t").alias("at", "key")).select(
+        *kept,
+        "key",
+        F.when(F.col("at") > 0, F.get("_s", F.col("at"))).alias("before"),
+        F.slice("_t", F.col("at") + 2, F.lit(longest)).alias("tokens"),
+        F.slice("_s", F.col("at") + 2, F.lit(longest)).alias("signs"),
     )
-    texts = jobs.select(
-        "id", F.explode(F.array(F.struct(F.lit(2).alias("points"), F.lower("title").alias("text")),
-                                F.struct(F.lit(1).alias("points"), F.lower("description").alias("text")))).alias("t")
-    ).select("id", "t.points", "t.text")
-    tokens = texts.select("id", "points", F.explode(F.array_distinct(F.split("text", _NO_TOKEN))).alias("token"))
-    wanted = keywords.filter("token <> ''").select("keyword", "token").distinct()
-    few = row_bound(wanted)
-    if few is not None:  # the tokens of all texts are not shuffled
-        met = bounded_join(tokens, wanted, "token", "inner", few)
-    else:
-        met = hot_key_join(tokens, wanted, "token", "inner", ["id"])
-    met = met.select("id", "points", "keyword", "token")
-    # Keywords that are one plain token have matched already; only the others look at the text again.
-    again = texts.select(F.col("id").alias("text_id"), F.col("points").alias("text_points"), "text")
-    is_plain = F.col("keyword") == F.col("token")
-    same_text = (F.col("id") == F.col("text_id")) & (F.col("points") == F.col("text_points"))
-    matches = (
-        met.join(again, same_text & ~is_plain, "left")
-        .filter(is_plain | F.rlike("text", keyword_regex_column(F.col("keyword"))))
-        .select("id", "points", "keyword")
+    # blanks begin no keyword
+    follow = F.transform(
+        F.slice("_s", F.lit(2), F.size("_s")),
+        lambda s, i: F.struct(s.alias("before"), F.coalesce(F.get("_t", i + 1).rlike(_ALNUM), F.lit(False)).alias("runs_on")),
     )
-    bare = [row["keyword"] for row in keywords.filter("token = '' AND keyword <> ''").select("keyword").distinct().collect()]
-    if bare:
-        held = F.filter(F.array(*map(F.lit, bare)), lambda k: F.rlike(F.col("text"), keyword_regex_column(k)))
-        matches = matches.unionByName(texts.select("id", "points", F.explode(held).alias("keyword")))
-    places = keywords.select("keyword", "query_id", "n_groups", "g").distinct()
-    placed = (
-        bounded_join(matches, places, "keyword", "inner", row_bound(places))
-        if few is not None
-        else hot_key_join(matches, places, "keyword", "inner", ["id"])
+    signs = split.select(*kept, F.explode(F.array_distinct(F.filter(follow, lambda f: f["before"].rlike(r"^\S")))).alias("f"))
+    signs = signs.select(
+        *kept,
+        F.concat(F.lit(_SIGN), F.substring("f.before", 1, 1)).alias("key"),
+        F.col("f.before").alias("before"),
+        F.when(F.col("f.runs_on"), F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("tokens"),
+        F.array().cast("array<string>").alias("signs"),
     )
-    best = placed.groupBy("id", "query_id", "n_groups", "g").agg(F.max("points").alias("points"))
-    scored = (
-        best.groupBy("id", "query_id", "n_groups")
-        .agg(F.count(F.lit(1)).alias("met"), F.sum("points").cast("int").alias("score"))
-        .filter(F.col("met") == F.col("n_groups"))
-        .select("id", "query_id", "score")
+    return tokens.unionByName(signs)
+
+
+def _stands_here() -> Column:
+    """Whether the keyword of a joined row stands at its place. The same as `keyword_regex`: signs at its start follow a token at once,
+    signs at its end may not run on into a letter or digit."""
+    n, tail = F.size("further"), F.col("tail")
+
+    def ends(signs: Column, wanted: Column, behind: Column) -> Column:
+        longer = F.length(signs) > F.length(wanted)
+        return signs.startswith(wanted) & (longer | ~F.coalesce(behind.rlike(_ALNUM), F.lit(False)))
+
+    led = (F.col("lead") == "") | F.coalesce(F.col("before") == F.col("lead"), F.lit(False))
+    middle = (F.slice("tokens", F.lit(1), n) == F.col("further")) & (F.slice("signs", F.lit(1), n) == F.col("between"))
+    closed = (tail == "") | F.coalesce(ends(F.get("signs", n), tail, F.get("tokens", n)), F.lit(False))
+    bare = ends(F.col("before"), F.col("lead"), F.get("tokens", F.lit(0)))
+    return F.when(F.col("key").startswith(_SIGN), F.coalesce(bare, F.lit(False))).otherwise(led & middle & closed)
+
+
+def keyword_hits(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """The columns of `texts` but `text` (lowered), with each `keyword` that stands in it as whole tokens.
+
+    Texts are cut into tokens once and meet the keywords on their first token; a phrase is checked on the neighbours that come along,
+    so no text is shuffled or read again. Few keywords go to the tasks; many meet the tokens in a shuffle of these alone.
+    """
+    known = phrase_parts(keywords.select("keyword").distinct())
+    longest = known.agg(F.max(F.size("further"))).first()[0]
+    if longest is None:
+        return texts.drop("text").withColumn("keyword", F.lit("")).limit(0)
+    places, few = _places(texts, longest + 1), row_bound(known)
+    if few is not None:
+        met = bounded_join(places, known, "key", "inner", few)
+    else:
+        met = hot_key_join(places, known, "key", "inner", ["tokens", "before"])
+    return met.filter(_stands_here()).select(*[c for c in texts.columns if c != "text"], "keyword")
+
+
+def scores(jobs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, created_at if there is one, query_id, score): 2 points per group for a title, else 1 for a description; all groups must
+    be met."""
+    carried = [c for c in ("id", "created_at") if c in jobs.columns]
+    keywords = keyword_table(queries)
+    parts = F.array(
+        F.struct(F.lit(2).alias("points"), F.lower("title").alias("text")), F.struct(F.lit(1).alias("points"), F.lower("description").alias("text"))
     )
-    if "created_at" in jobs.columns:
-        scored = scored.join(jobs.select("id", "created_at"), "id")
-    return scored
+    texts = jobs.select(*carried, F.explode(parts).alias("t")).select(*carried, "t.points", "t.text")
+    hits = keyword_hits(texts, keywords)
+    met = bounded_join(hits, keywords, "keyword", "inner", row_bound(keywords))
+    best = met.groupBy(*carried, "query_id", "n_groups", "g").agg(F.max("points").alias("points"))
+    summed = best.groupBy(*carried, "query_id", "n_groups").agg(F.count(F.lit(1)).alias("met"), F.sum("points").cast("int").alias("score"))
+    return summed.filter("met = n_groups").select(*carried, "query_id", "score")
 
 
 def _caps(queries: DataFrame) -> DataFrame:
@@ -112,23 +126,16 @@ def _caps(queries: DataFrame) -> DataFrame:
     )
 
 
-def label_candidates(jobs: DataFrame, queries: DataFrame, max_expression_queries: int = MAX_EXPRESSION_QUERIES) -> DataFrame:
+def label_candidates(jobs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, score, rank): matching postings per question, best score first, up to the question's cap.
 
     Ties go to the newest posting where there is a created_at, then to the lower id. `jobs` has id, title, description.
     """
-    few = queries.limit(max_expression_queries + 1).collect()
-    if len(few) <= max_expression_queries:
-        scored = scores_by_expression(jobs, few)
-        most = max([q["max_relevant"] or K.LABEL_CAP for q in few], default=K.LABEL_CAP)
-        bound = len(few)
-    else:
-        scored = scores_by_token(jobs, queries)
-        most = queries.agg(F.max(F.coalesce("max_relevant", F.lit(K.LABEL_CAP)))).first()[0]
-        bound = None
+    scored = scores(jobs, queries)
+    most = queries.agg(F.max(F.coalesce("max_relevant", F.lit(K.LABEL_CAP)))).first()[0]
     newest = [F.desc_nulls_last("created_at")] if "created_at" in scored.columns else []
-    ranked = top_per_key(scored, ["query_id"], [F.desc("score"), *newest, F.asc("id")], most, rank="rank")
-    capped = bounded_join(ranked, _caps(queries), "query_id", "inner", bound).filter(F.col("rank") <= F.col("cap"))
+    ranked = top_per_key(scored, ["query_id"], [F.desc("score"), *newest, F.asc("id")], most or K.LABEL_CAP, rank="rank")
+    capped = bounded_join(ranked, _caps(queries), "query_id", "inner", row_bound(queries)).filter(F.col("rank") <= F.col("cap"))
     return capped.select("query_id", "id", "score", "rank")
 
 
