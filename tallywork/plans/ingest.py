@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -19,7 +18,7 @@ from tallywork.functions.responses import extract_job
 from tallywork.operators.embedding import Embedder, embed_column
 from tallywork.operators.joins import hot_key_join
 from tallywork.operators.ranking import first_seen, latest_wins
-from tallywork.session import shared_folder
+from tallywork.session import remove_folder, shared_folder
 from tallywork.sinks.tables import Store, chunk_rows, keep_created_at, truncate_and_reload
 from tallywork.sinks.versioned import VersionedTable
 
@@ -158,15 +157,18 @@ class Embedding:
     max_windows: int | None = None
 
 
-def _staged(store: Store, rows: DataFrame, name: str) -> DataFrame:
-    """Rows written to the shared folder and read back, so that later steps do not repeat the earlier ones.
+class _Steps:
+    """The steps of one run in a folder of its own, each written once and read back, so that later steps do not repeat earlier ones."""
 
-    A store has one folder per step, overwritten by its next run; runs on one store do not overlap.
-    """
-    owner = hashlib.sha256(store.root.encode()).hexdigest()[:16]
-    path = f"{shared_folder(store.spark)}/staged/{owner}/{name}"
-    rows.write.mode("overwrite").parquet(path)
-    return store.spark.read.schema(rows.schema).parquet(path)
+    def __init__(self, spark: SparkSession):
+        self._spark, self._folder = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+    def __call__(self, rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{self._folder}/{name}")
+        return self._spark.read.schema(rows.schema).parquet(f"{self._folder}/{name}")
+
+    def remove(self) -> None:
+        remove_folder(self._spark, self._folder)
 
 
 def _store_vectors(cache: VersionedTable, mark: str) -> Callable[[DataFrame], DataFrame]:
@@ -177,9 +179,9 @@ def _store_vectors(cache: VersionedTable, mark: str) -> Callable[[DataFrame], Da
     return store
 
 
-def _embedded_chunks(store: Store, jobs: DataFrame, mark: str, embedding: Embedding, now: Column) -> DataFrame:
+def _embedded_chunks(store: Store, jobs: DataFrame, mark: str, embedding: Embedding, now: Column, steps: _Steps) -> DataFrame:
     """Stored form of the jobs' chunks. Texts with a fresh vector in the cache are not embedded again."""
-    texts = _staged(store, to_chunks(jobs, embedding.max_windows), "chunks")
+    texts = steps(to_chunks(jobs, embedding.max_windows), "chunks")
     embedded, _ = embed_column(
         texts,
         "chunk_text",
@@ -212,27 +214,31 @@ def ingest_batch(
     rows, whatever was committed in between. At the end small commits are folded.
     """
     now, mark = _at(now, store.spark), str(mark)
+    steps = _Steps(store.spark)
     stored = store.jobs.read(before=store.jobs.version_of(mark))
     chunks = store.chunks.read(before=store.chunks.version_of(mark))
-    incoming = _staged(store, with_content_hash(raw), "incoming")
+    incoming = steps(with_content_hash(raw), "incoming")
     status = classify(incoming, stored, chunks).select(*StructType.fromDDL(STAGED).names)
-    classified = _staged(store, status, "classified")
+    classified = steps(status, "classified")
 
     fresh = new_contents(classified)
     if parser is not None:
-        fresh = _staged(store, parser(fresh), "parsed")
+        fresh = steps(parser(fresh), "parsed")
     store.jobs.commit(keep_created_at(to_jobs(fresh, now), stored), mark)
     written = store.jobs.read_commit(mark)
 
     healed = classified.filter(F.col("status") == RE_EMBED).select(F.col("existing_id").alias("id")).distinct()
-    to_embed = written.unionByName(stored.join(healed, "id", "left_semi"))
-    store.chunks.commit(_embedded_chunks(store, to_embed, mark, embedding, now), mark)
+    # a posting that this batch has written anew is chunked from its new content
+    healed = stored.join(healed, "id", "left_semi").join(written.select("id"), "id", "left_anti")
+    to_embed = written.unionByName(healed)
+    store.chunks.commit(_embedded_chunks(store, to_embed, mark, embedding, now, steps), mark)
 
     number = F.lit(store.runs.version_of(mark)).cast("bigint")
     store.runs.commit(run_counts(classified, written).withColumn("version", number), mark)
     counts = store.runs.read_commit(mark)
     for table in (store.jobs, store.chunks, store.embedding_cache):
         table.fold()
+    steps.remove()
     return counts
 
 
@@ -252,4 +258,6 @@ def reset_from_csv(store: Store, raw: DataFrame, embedding: Embedding, now: Colu
         *[given.get(c, F.lit(None)).cast(typed[c]).alias(c) for c in schemas.JOB_COLUMNS]
     )
     truncate_and_reload(store, latest_wins(jobs, ["source", "source_id"], ["content_hash"]), mark)
-    store.chunks.replace_all(_embedded_chunks(store, store.jobs.read(), mark, embedding, now), mark)
+    steps = _Steps(store.spark)
+    store.chunks.replace_all(_embedded_chunks(store, store.jobs.read(), mark, embedding, now, steps), mark)
+    steps.remove()

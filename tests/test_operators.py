@@ -192,7 +192,7 @@ def test_versions(spark):
     assert rows(t.read(before=1)) == rows(kv(spark, (1, "a"), (2, "b")))
     before = rows(t.read())
     assert t.fold() and not t.fold()
-    assert t.finished()[-1].kind == "delta" and rows(t.read()) == before
+    assert t.commits()[-1].kind == "whole" and rows(t.read()) == before and t.read().columns == ["k", "v"]
     assert t.commit(kv(spark, (1, "again"))) == 2
     assert {r.k for r in t.read().collect()} == {1, 2, 3}
     assert t.replace_all(t.read().limit(0)) == 3
@@ -215,10 +215,28 @@ def test_repeated_and_unfinished_commits(spark):
     for _ in range(2):
         t.commit(kv(spark, (1, "a")), "w#0")
     assert t.read().count() == 1
-    unfinished = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.root}/delta-000000000001-00ff/part-0.parquet")
+    # what a writer that was lost leaves behind
+    unfinished = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.root}/changes/.spark-staging-1/_version=1/_kind=change/_mark=00ff/part-0.parquet")
     unfinished.getFileSystem(spark._jsc.hadoopConfiguration()).create(unfinished).close()
     assert t.last_version() == 0 and t.read().count() == 1
-    assert t.version_of("other") == 2 and not t.fold()
+    assert t.version_of("other") == 1 and not t.fold()
+
+
+def test_empty_commits_count(spark):
+    t = table(spark)
+    assert t.commit(kv(spark), "w#0") == 0 and t.commit(kv(spark, (1, "a")), "w#1") == 1
+    assert t.commit(kv(spark), "w#0") == 0 and t.read_commit("w#0").count() == 0 and t.read_commit("w#1").count() == 1
+    assert rows(t.read()) == rows(kv(spark, (1, "a"))) and t.read_commit("never").count() == 0
+
+
+def test_column_order_stays(spark):
+    """Two text columns, the key not first: nothing is swapped once changes stand behind a whole state."""
+    t = VersionedTable(spark, f"{shared_folder(spark)}/t-{uuid.uuid4().hex}", "v STRING, k STRING, x INT", ("k",))
+    make = lambda *r: spark.createDataFrame(list(r), "v STRING, k STRING, x INT")
+    t.replace_all(make(("a", "1", 1), ("b", "2", 2)))
+    t.commit(make(("c", "2", 3)))
+    t.commit(make(("d", "3", 4)), deleted=spark.createDataFrame([("1",)], "k STRING"))
+    assert t.read().columns == ["v", "k", "x"] and sorted(map(tuple, t.read().collect())) == [("c", "2", 3), ("d", "3", 4)]
 
 
 def test_small_commits_are_folded_by_their_share(spark):
