@@ -248,6 +248,20 @@ def _(spark, sf):
     return ranking.page(rows, 3, 25).select("id", "title", "created_at")
 
 
+@check(
+    "W03_deep_page",
+    views.with_ctes(views.JOBS)
+    + ", t AS (SELECT greatest(1, CAST(floor(count(*) * 0.9 / 20) AS BIGINT)) AS page FROM jobs) "
+    "SELECT id, title, created_at FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id) AS place FROM jobs) "
+    "WHERE place > ((SELECT page FROM t) - 1) * 20 AND place <= (SELECT page FROM t) * 20",
+)
+def _(spark, sf):
+    """A page nine tenths down."""
+    rows = views.jobs(spark, sf)
+    number = max(1, int(rows.count() * 0.9 // 20))
+    return ranking.page(rows, number, 20).select("id", "title", "created_at")
+
+
 @check(
     "W03_page_totals",
     views.with_ctes(views.JOBS)

@@ -606,6 +606,24 @@ def _(spark, sf):
     return T.split_judgment_keys(pairs)
 
 
+@check(
+    "S10_judgment_log",
+    "SELECT 'local' AS judge, 'q' || (user_id % 15) AS query_id, 'j:' || (event_id % 97) AS job_id, arg_max(event_type, event_id) AS verdict FROM events GROUP BY 2, 3",
+)
+def _(spark, sf):
+    """The events as one log file, landed and read back in splits."""
+    pairs = views.table(spark, sf, "events").selectExpr(
+        "to_json(array(concat('local:q', CAST(user_id % 15 AS STRING), ':j:', CAST(event_id % 97 AS STRING)), event_type)) AS pair", "event_id"
+    )
+    ends = pairs.agg(F.min("event_id").alias("first"), F.max("event_id").alias("last")).first()
+    lines = pairs.coalesce(1).sortWithinPartitions("event_id").select(
+        F.concat(F.when(F.col("event_id") == ends["first"], "[").otherwise(","), "pair", F.when(F.col("event_id") == ends["last"], "]").otherwise(""))
+    )
+    path = f"{scratch(spark)}/log"
+    lines.write.text(path)
+    return T.read_judgment_log(spark, path)
+
+
 # ---- whole runs ----------------------------------------------------------------------------------
 
 _RUN_JOBS = (

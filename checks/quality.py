@@ -141,8 +141,8 @@ _POSTED = (
     "S11_catalogue_labels",
     with_ctes(
         _scored_sql(
-            {q["id"]: q.get("groups") or [q["expected"]] for q in EVAL_QUERIES},
-            {q["id"]: q["max"] for q in EVAL_QUERIES if "max" in q},
+            {q["id"]: q.get("keyword_groups") or [q["expected_keywords"]] for q in EVAL_QUERIES},
+            {q["id"]: q["max_relevant"] for q in EVAL_QUERIES if "max_relevant" in q},
             _POSTED,
         )
     )

@@ -1,120 +1,120 @@
 """The built-in evaluation questions.
 
-`groups`: every group must match, any keyword of a group does. `expected`: any keyword does. `min`: fewer labels give a
-warning. `max`: labels kept per question (40 where absent).
+`keyword_groups`: every group must match, any keyword of a group does. `expected_keywords`: any keyword does. `min_relevant`: fewer labels give a
+warning. `max_relevant`: labels kept per question (40 where absent).
 """
 
 EVAL_QUERIES = [
-    {"id": "q1", "category": "exact", "query": "Registered Nurse jobs", "groups": [["registered nurse", "rn"]], "min": 20},
+    {"id": "q1", "category": "exact", "query": "Registered Nurse jobs", "keyword_groups": [["registered nurse", "rn"]], "min_relevant": 20},
     {
         "id": "q2",
         "category": "semantic",
         "query": "mental health therapy positions",
-        "groups": [["mental health", "therapy", "counseling", "behavioral health", "psychiatric"]],
-        "min": 15,
+        "keyword_groups": [["mental health", "therapy", "counseling", "behavioral health", "psychiatric"]],
+        "min_relevant": 15,
     },
     {
         "id": "q3",
         "category": "filtering",
         "query": "healthcare jobs in Colorado",
-        "groups": [
+        "keyword_groups": [
             ["nurse", "therapist", "medical", "clinical", "physician", "paramedic", "health"],
             ["colorado", "denver", "aurora", "fort collins", "boulder", "loveland", "lakewood"],
         ],
-        "min": 5,
+        "min_relevant": 5,
     },
     {
         "id": "q4",
         "category": "aggregation",
         "query": "what medical and clinical roles are available",
-        "expected": [
+        "expected_keywords": [
             "nurse", "physician", "therapist", "paramedic", "dentist", "surgeon", "pharmacist", "clinical", "radiologist",
         ],
-        "min": 10,
-        "max": 40,
+        "min_relevant": 10,
+        "max_relevant": 40,
     },
     {
         "id": "q5",
         "category": "noisy",
         "query": "jobs helping sick people get better",
-        "groups": [["nurse", "therapist", "medical", "patient", "clinical", "health", "hospital", "care"]],
-        "min": 15,
+        "keyword_groups": [["nurse", "therapist", "medical", "patient", "clinical", "health", "hospital", "care"]],
+        "min_relevant": 15,
     },
     {
         "id": "q6",
         "category": "exact",
         "query": "CDL A Truck Driver",
-        "groups": [["cdl", "cdl-a", "cdl a"], ["driver", "driving", "truck"]],
-        "min": 10,
+        "keyword_groups": [["cdl", "cdl-a", "cdl a"], ["driver", "driving", "truck"]],
+        "min_relevant": 10,
     },
     {
         "id": "q7",
         "category": "semantic",
         "query": "commercial vehicle and freight jobs",
-        "groups": [["commercial", "freight", "logistics", "truck", "transport", "cargo", "cdl", "regional"]],
-        "min": 5,
+        "keyword_groups": [["commercial", "freight", "logistics", "truck", "transport", "cargo", "cdl", "regional"]],
+        "min_relevant": 5,
     },
     {
         "id": "q8",
         "category": "filtering",
         "query": "delivery driver jobs in Texas",
-        "groups": [
+        "keyword_groups": [
             ["driver", "delivery", "cdl", "shopper", "courier"],
             ["texas", "san antonio", "houston", "dallas", "austin", "bexar", "travis", "guadalupe"],
         ],
-        "min": 3,
+        "min_relevant": 3,
     },
     {
         "id": "q9",
         "category": "aggregation",
         "query": "types of driving and delivery jobs",
-        "expected": ["driver", "cdl", "delivery", "instacart", "shopper", "regional", "courier", "trucking"],
-        "min": 10,
-        "max": 40,
+        "expected_keywords": ["driver", "cdl", "delivery", "instacart", "shopper", "regional", "courier", "trucking"],
+        "min_relevant": 10,
+        "max_relevant": 40,
     },
     {
         "id": "q10",
         "category": "noisy",
         "query": "jobs that involve driving around",
-        "groups": [["driver", "driving", "cdl", "delivery", "transport", "shopper"]],
-        "min": 10,
+        "keyword_groups": [["driver", "driving", "cdl", "delivery", "transport", "shopper"]],
+        "min_relevant": 10,
     },
     {
         "id": "q11",
         "category": "exact",
         "query": "Houseparents residential care",
-        "groups": [["houseparents", "house parents"]],
-        "min": 10,
+        "keyword_groups": [["houseparents", "house parents"]],
+        "min_relevant": 10,
     },
     {
         "id": "q12",
         "category": "semantic",
         "query": "residential youth care positions",
-        "groups": [["youth", "residential", "caregiver", "youth development", "youth specialist"]],
-        "min": 8,
+        "keyword_groups": [["youth", "residential", "caregiver", "youth development", "youth specialist"]],
+        "min_relevant": 8,
     },
     {
         "id": "q13",
         "category": "filtering",
         "query": "youth care jobs requiring relocation",
-        "groups": [["youth", "houseparent", "house parent", "residential"], ["relocation", "relocate"]],
-        "min": 8,
+        "keyword_groups": [["youth", "houseparent", "house parent", "residential"], ["relocation", "relocate"]],
+        "min_relevant": 8,
     },
     {
         "id": "q14",
         "category": "aggregation",
         "query": "types of youth and social service roles",
-        "expected": [
+        "expected_keywords": [
             "houseparent", "youth development", "residential", "caregiver", "specialist", "counselor", "mentor",
         ],
-        "min": 8,
-        "max": 30,
+        "min_relevant": 8,
+        "max_relevant": 30,
     },
     {
         "id": "q15",
         "category": "noisy",
         "query": "jobs working with kids in a group home",
-        "groups": [["youth", "children", "kids", "residential", "houseparent", "house parent", "caregiver"]],
-        "min": 8,
+        "keyword_groups": [["youth", "children", "kids", "residential", "houseparent", "house parent", "caregiver"]],
+        "min_relevant": 8,
     },
 ]

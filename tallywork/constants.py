@@ -3,20 +3,38 @@
 # ---- Fixed values: job types -------------------------------------------------------------------
 JOB_TYPES = ("full_time", "part_time", "contract", "internship", "freelance")
 
-JOB_TYPE_SPELLINGS = {
-    "full_time": ("full_time", "full-time", "fulltime", "permanent", "full time"),
-    "part_time": ("part_time", "part-time", "parttime", "part time"),
-    "contract": ("contract", "contractor", "contract-to-hire", "contract to hire"),
-    "internship": ("intern", "internship"),
-    "freelance": ("freelance", "freelancer"),
+JOB_TYPE_OF_SPELLING = {
+    "full_time": "full_time",
+    "full-time": "full_time",
+    "fulltime": "full_time",
+    "permanent": "full_time",
+    "full time": "full_time",
+    "part_time": "part_time",
+    "part-time": "part_time",
+    "parttime": "part_time",
+    "part time": "part_time",
+    "contract": "contract",
+    "contractor": "contract",
+    "contract-to-hire": "contract",
+    "contract to hire": "contract",
+    "intern": "internship",
+    "internship": "internship",
+    "freelance": "freelance",
+    "freelancer": "freelance",
 }
 
 # ---- Fixed values: salaries ----------------------------------------------------------------------
-ANNUAL_MULTIPLIERS = {
-    2080: ("hourly", "hour"),
-    12: ("monthly", "month"),
-    52: ("weekly", "week"),
-    1: ("yearly", "year", "annual", "annually"),
+ANNUAL_FACTOR_OF_PERIOD = {
+    "hourly": 2080,
+    "hour": 2080,
+    "monthly": 12,
+    "month": 12,
+    "weekly": 52,
+    "week": 52,
+    "yearly": 1,
+    "year": 1,
+    "annual": 1,
+    "annually": 1,
 }
 # Checked in this order; the first that occurs in the text decides.
 SALARY_TEXT_PERIODS = (

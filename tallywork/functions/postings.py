@@ -23,8 +23,7 @@ def _lookup(pairs: dict) -> Column:
 
 def normalize_job_type(raw: Column) -> Column:
     """One of five job types from its known spellings, else null."""
-    spelling_to_type = {s: t for t, spellings in K.JOB_TYPE_SPELLINGS.items() for s in spellings}
-    return F.try_element_at(_lookup(spelling_to_type), trim_all(F.lower(raw)))
+    return F.try_element_at(_lookup(K.JOB_TYPE_OF_SPELLING), trim_all(F.lower(raw)))
 
 
 def pick_job_type(raw: Column, parsed: Column) -> Column:
@@ -45,8 +44,7 @@ def _salary(lo: Column, hi: Column) -> Column:
 
 def normalize_salary(lo: Column, hi: Column, period: Column) -> Column:
     """Yearly whole-number salary range; zero means unknown, a one-sided range is closed with itself."""
-    by_period = {p: m for m, periods in K.ANNUAL_MULTIPLIERS.items() for p in periods}
-    factor = F.coalesce(F.try_element_at(_lookup(by_period), F.lower(period)), F.lit(1))
+    factor = F.coalesce(F.try_element_at(_lookup(K.ANNUAL_FACTOR_OF_PERIOD), F.lower(period)), F.lit(1))
 
     def yearly(amount: Column) -> Column:
         return F.nullif(F.floor(amount.cast("double") * factor + F.lit(0.5)), F.lit(0))

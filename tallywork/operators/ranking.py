@@ -47,10 +47,36 @@ def newest_first(df: DataFrame, n: int, time: str = "fetched_at", tie: str = "id
 
 
 def page(df: DataFrame, number: int | None = None, limit: int | None = None, time: str = "created_at", tie: str = "id") -> DataFrame:
-    """One page, newest first. Page at least 1, size within 1..100, 20 by default."""
+    """One page, newest first, rows without a time last. Page at least 1, size within 1..100, 20 by default.
+
+    However deep the page, only the rows of its own days, and of these its own seconds, are sorted: counts per day and second tell
+    which these are and how many rows stand before them. `time` is a date or timestamp.
+    """
     number = max(1, 1 if number is None else number)
     limit = min(MAX_PAGE, max(1, DEFAULT_PAGE if limit is None else limit))
-    return df.orderBy(F.desc_nulls_last(time), F.asc(tie)).offset((number - 1) * limit).limit(limit)
+    skipped = (number - 1) * limit
+    for unit in ("day", "second"):
+        if not skipped:
+            break  # the first rows are found without counts
+        df, skipped = _touched(df, F.date_trunc(unit, time), time, unit, skipped, limit)
+    return df.orderBy(F.desc_nulls_last(time), F.asc(tie)).offset(skipped).limit(limit)
+
+
+def _touched(df: DataFrame, bucket: Column, time: str, unit: str, skipped: int, limit: int) -> tuple[DataFrame, int]:
+    """The rows of the buckets of time that hold the rows from `skipped` on, and how many of these are to be skipped."""
+    counts = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    newer = Window.orderBy(F.desc_nulls_last("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+    # each holds a row of the page, so there are no more than its rows
+    found = counts.filter((F.col("before") < skipped + limit) & (F.col("before") + F.col("n") > skipped)).collect()
+    if not found:
+        return df.limit(0), 0
+    known = [row["bucket"] for row in found if row["bucket"] is not None]
+    inside = F.col(time).isNull() if len(known) < len(found) else F.lit(False)
+    if known:
+        end = F.lit(max(known)) + (F.make_dt_interval(days=F.lit(1)) if unit == "day" else F.make_dt_interval(secs=F.lit(1)))
+        inside = inside | ((F.col(time) >= F.lit(min(known))) & (F.col(time) < end))
+    return df.filter(inside), skipped - min(row["before"] for row in found)
 
 
 def page_totals(df: DataFrame, limit: int | None = None) -> DataFrame:

@@ -84,10 +84,16 @@ def csv_to_raw(rows: DataFrame) -> DataFrame:
 
 
 def read_judgment_log(spark: SparkSession, path: str) -> DataFrame:
-    """Import of a log `[["judge:query:job", verdict], …]`; an unreadable file counts as empty."""
-    pairs = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.from_json("value", "array<array<string>>")).alias("seq", "pair")
-    )
+    """Import of a log `[["judge:query:job", verdict], …]`, one JSON array in a file of any size; the last verdict per key wins.
+
+    Spark's text source cuts files at the brackets that end a pair, so a large log is read by many tasks; a pair's place is its
+    file, split and row. What is no pair, such as a pair broken off or a file that is no log, is left out.
+    """
+    pieces = spark.read.option("lineSep", "]").text(path)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    bare = F.regexp_replace("value", r"^[\s,\[]+", "")
+    pairs = pieces.select(F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>").alias("pair"), place.alias("seq"))
+    pairs = pairs.filter((F.size("pair") == 2) & F.col("pair")[0].isNotNull())
     return split_judgment_keys(pairs.select(F.col("pair")[0].alias("key"), F.col("pair")[1].alias("verdict"), "seq"))
 
 
@@ -105,10 +111,7 @@ def split_judgment_keys(pairs: DataFrame) -> DataFrame:
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """The built-in evaluation questions."""
-    rows = [
-        (q["id"], q["category"], q["query"], q.get("expected", []), q.get("groups"), q["min"], q.get("max"), i)
-        for i, q in enumerate(EVAL_QUERIES)
-    ]
+    rows = [{"expected_keywords": [], **question, "position": i} for i, question in enumerate(EVAL_QUERIES)]
     return spark.createDataFrame(rows, schemas.EVAL_QUERY)
 
 

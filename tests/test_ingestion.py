@@ -170,6 +170,19 @@ def test_judgment_log(spark):
         ("local", "q1", "a", "not_relevant"), ("gemini", "q1", "a", "marginal"),
     }
     assert {r.judge: r.judgments for r in S.judgment_counts(log).collect()} == {"local": 1, "gemini": 1}
+    with open(f"{folder}/large.json", "w") as f:
+        json.dump([[f"local:q{i % 5}:job {i % 700}", ["relevant", "marginal", "not_relevant"][i // 700 % 3]] for i in range(30_000)], f, indent=1)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        large = T.read_judgment_log(spark, f"{folder}/large.json")
+        assert spark.read.option("lineSep", "]").text(f"{folder}/large.json").rdd.getNumPartitions() > 4  # one file, many tasks
+        last = {f"{i % 5}/{i % 700}": ["relevant", "marginal", "not_relevant"][i // 700 % 3] for i in range(30_000)}
+        assert {f"{r.query_id[1:]}/{r.job_id[4:]}": r.verdict for r in large.collect()} == last
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    with open(f"{folder}/cut off.json", "w") as f:
+        f.write('[["local:q1:a","relevant"],["local:q1:b","marg')
+    assert [r.job_id for r in T.read_judgment_log(spark, f"{folder}/cut off.json").collect()] == ["a"]
     with open(f"{folder}/broken.json", "w") as f:
         f.write("no json")
     assert T.read_judgment_log(spark, f"{folder}/broken.json").count() == 0

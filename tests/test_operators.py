@@ -172,6 +172,26 @@ def test_no_cross_joins_and_no_python_in_field_functions(spark):
                 assert "PythonUDF" not in text and "MapInPandas" not in text and "MapInArrow" not in text, name
 
 
+# ---- pages -----------------------------------------------------------------------------------------
+
+
+def test_pages_however_deep(spark):
+    """All pages of rows with equal times, crowded days and rows without a time, against one sorted list."""
+    df = spark.range(900).selectExpr(
+        "id", "CASE WHEN id % 9 = 0 THEN NULL WHEN id % 3 = 0 THEN TIMESTAMP_NTZ'2024-05-01 10:00:00' + make_dt_interval(0, 0, 0, id % 4) "
+        "ELSE TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(CAST(id % 40 AS INT), 0, 0, (id % 7) / 2) END AS created_at",
+    )
+    listed = [r.id for r in df.orderBy(F.desc_nulls_last("created_at"), "id").collect()]
+    for number, limit in [(1, 20), (2, 20), (4, 100), (9, 100), (10, 100), (45, 20), (46, 20), (13, 7), (100_000, 50)]:
+        assert [r.id for r in ranking.page(df, number, limit).collect()] == listed[(number - 1) * limit : number * limit], (number, limit)
+
+
+def test_deep_page_sorts_few_rows(spark):
+    df = spark.range(50_000).selectExpr("id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS created_at")
+    found, skipped = ranking._touched(df, F.date_trunc("second", "created_at"), "created_at", "second", 40_000, 20)
+    assert found.count() == 20 and skipped == 0
+
+
 # ---- versioned tables ----------------------------------------------------------------------------
 
 
