@@ -24,7 +24,7 @@ from tallywork.session import shared_folder
 from tallywork.sinks import tables as S
 from tallywork.sources import landing as L
 from tallywork.sources import tables as T
-from tallywork.streaming.ingest import start_ingestion
+from tallywork.streaming.ingest import distinct_within, start_ingestion
 
 PAGE_ROWS = 50
 
@@ -729,6 +729,26 @@ def _(spark, sf):
     return store.jobs.read().join(identities, "id", "full").select("source_id", "title", "identities")
 
 
+@check(
+    "I02_stream_dedup",
+    "SELECT user_id, event_type, count(*) AS rows FROM (SELECT DISTINCT user_id, event_type, event_id % 3 AS third, "
+    "CAST(ts AS DATE) AS day FROM events) GROUP BY 1, 2",
+)
+def _(spark, sf):
+    """The events land three times in three triggers; each content of a day passes once, the state holds no more than the delay."""
+    root = scratch(spark)
+    events = views.table(spark, sf, "events").select(
+        "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).alias("third"), F.col("ts").cast("date").alias("day")
+    )
+    for again in range(3):
+        events.withColumn("again", F.lit(again)).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    stream = spark.readStream.schema("user_id BIGINT, event_type STRING, ts TIMESTAMP, third BIGINT, day DATE").option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    once = distinct_within(stream, ["user_id", "event_type", "third", "day"], "ts", "1000 days")
+    query = once.writeStream.format("parquet").option("path", f"{root}/once").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("user_id BIGINT, event_type STRING").parquet(f"{root}/once").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @check(
     "I05_run_metrics",
     with_ctes(*_RUN_JOBS)

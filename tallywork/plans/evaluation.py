@@ -156,16 +156,34 @@ def _means() -> list[Column]:
     return [mean_of_rounded(F.col(m)).alias(m) for m in METRICS]
 
 
-def overall(metrics: DataFrame, verdicts: DataFrame, k: int = K.EVAL_DEFAULT_K) -> DataFrame:
-    """One row: means at the default k, questions, those with results, those without a relevant, marginal verdicts."""
-    rows = metrics.filter(F.col("k") == k).join(verdicts, "query_id")
-    return rows.agg(
+def report_cube(metrics: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """All means and counts of a report in one ROLLUP: by `k` (`level` 1) and by `k` and `category` (`level` 0)."""
+    rows, counts = metrics, []
+    if verdicts is not None:
+        rows = metrics.join(verdicts, "query_id")
+        counts = [
+            F.count(F.when(F.col("relevant") == 0, 1)).alias("queries_with_zero_relevant"),
+            F.coalesce(F.sum("marginal"), F.lit(0)).alias("marginal_count"),
+        ]
+    cells = rows.rollup("k", "category").agg(
+        F.grouping_id().cast("int").alias("level"),
         *_means(),
         F.count(F.lit(1)).alias("query_count"),
         F.count(F.when(F.col("retrieved") > 0, 1)).alias("queries_with_results"),
-        F.count(F.when(F.col("relevant") == 0, 1)).alias("queries_with_zero_relevant"),
-        F.coalesce(F.sum("marginal"), F.lit(0)).alias("marginal_count"),
+        *counts,
     )
+    return cells.filter("level < 2")
+
+
+def overall(metrics: DataFrame, verdicts: DataFrame, k: int = K.EVAL_DEFAULT_K) -> DataFrame:
+    """One row: means at the default k, questions, those with results, those without a relevant, marginal verdicts."""
+    return overall_of(report_cube(metrics, verdicts), k)
+
+
+def overall_of(cube: DataFrame, k: int = K.EVAL_DEFAULT_K) -> DataFrame:
+    one = cube.filter((F.col("level") == 1) & (F.col("k") == k)).drop("k", "category", "level")
+    # a row of zeros without questions
+    return one.agg(*[F.coalesce(F.max(c), F.lit(0).cast(t)).alias(c) for c, t in one.dtypes])
 
 
 def _all_of(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
@@ -176,19 +194,32 @@ def _all_of(df: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
 
 def by_category(metrics: DataFrame, k: int = K.EVAL_DEFAULT_K) -> DataFrame:
     """All five categories, zeros where no question belongs to one."""
-    grouped = metrics.filter(F.col("k") == k).groupBy("category").agg(*_means(), F.count(F.lit(1)).alias("count"))
+    return by_category_of(report_cube(metrics), k)
+
+
+def by_category_of(cube: DataFrame, k: int = K.EVAL_DEFAULT_K) -> DataFrame:
+    cells = cube.filter((F.col("level") == 0) & (F.col("k") == k))
+    grouped = cells.select("category", *METRICS, F.col("query_count").alias("count"))
     return _all_of(grouped, "category", K.CATEGORIES).fillna(0.0, list(METRICS)).fillna(0, ["count"])
 
 
 def by_k(metrics: DataFrame) -> DataFrame:
-    return metrics.groupBy("k").agg(*_means())
+    return by_k_of(report_cube(metrics))
+
+
+def by_k_of(cube: DataFrame) -> DataFrame:
+    return cube.filter("level = 1").select("k", *METRICS)
 
 
 def category_k_matrix(metrics: DataFrame, metric: str, ks: tuple[int, ...] = K.EVAL_KS) -> DataFrame:
     """(category, k1, k3, …): a metric's mean by category and k, the data behind the report's charts."""
-    grid = metrics.groupBy("category").agg(
-        *[mean_of_rounded(F.when(F.col("k") == k, F.col(metric))).alias(f"k{k}") for k in ks]
-    )
+    return category_k_matrix_of(report_cube(metrics), metric, ks)
+
+
+def category_k_matrix_of(cube: DataFrame, metric: str, ks: tuple[int, ...] = K.EVAL_KS) -> DataFrame:
+    # one cell per category and k
+    cells = [F.coalesce(F.max(F.when(F.col("k") == k, F.col(metric))), F.lit(0.0)).alias(f"k{k}") for k in ks]
+    grid = cube.filter("level = 0").groupBy("category").agg(*cells)
     return _all_of(grid, "category", K.CATEGORIES).fillna(0.0)
 
 
@@ -226,12 +257,13 @@ def run_evaluation(
 
     judged = store_once(with_verdicts(found, store.judgments.read(), judge), "judged")
     metrics, counts = per_query_metrics(judged, queries), verdict_counts(judged, queries)
+    cube = store_once(report_cube(metrics, counts), "report")
     return {
         "per_query": metrics,
         "verdicts": counts,
         "results": top_results(judged),
-        "overall": overall(metrics, counts),
-        "by_category": by_category(metrics),
-        "by_k": by_k(metrics),
-        **{f"{m}_by_category_and_k": category_k_matrix(metrics, m) for m in ("precision", "mrr")},
+        "overall": overall_of(cube),
+        "by_category": by_category_of(cube),
+        "by_k": by_k_of(cube),
+        **{f"{m}_by_category_and_k": category_k_matrix_of(cube, m) for m in ("precision", "mrr")},
     }

@@ -19,7 +19,7 @@ from tallywork.operators.embedding import Embedder, embed_column
 from tallywork.operators.joins import hot_key_join
 from tallywork.operators.ranking import first_seen, latest_wins
 from tallywork.session import remove_folder, shared_folder
-from tallywork.sinks.tables import Store, chunk_rows, keep_created_at, truncate_and_reload
+from tallywork.sinks.tables import Store, chunk_rows, expire_cache, keep_created_at, truncate_and_reload
 from tallywork.sinks.versioned import VersionedTable
 
 SKIPPED, RE_EMBED, NEW, STORED = "skipped", "re-embed", "new", "stored"
@@ -236,6 +236,7 @@ def ingest_batch(
     number = F.lit(store.runs.version_of(mark)).cast("bigint")
     store.runs.commit(run_counts(classified, written).withColumn("version", number), mark)
     counts = store.runs.read_commit(mark)
+    expire_cache(store, now, f"{mark}/expired")
     for table in (store.jobs, store.chunks, store.embedding_cache):
         table.fold()
     steps.remove()

@@ -260,6 +260,16 @@ def clear_judgments(store: Store) -> None:
     store.judgments.replace_all(store.spark.createDataFrame([], schemas.JUDGMENT))
 
 
+def expire_cache(store: Store, now: Column, mark: str | None = None, days: int = K.EMBEDDING_CACHE_DAYS) -> bool:
+    """Drop cached vectors of `days` and older, and all but the newest of a text and model; returns whether there were any of age."""
+    cache = store.embedding_cache.read()
+    fresh = F.col("cached_at") > now - F.make_dt_interval(F.lit(days))
+    if cache.filter(~fresh).isEmpty():
+        return False
+    store.embedding_cache.replace_all(latest_wins(cache.filter(fresh), ["text_hash", "model"], ["cached_at"]), mark)
+    return True
+
+
 def judgment_counts(judgments: DataFrame) -> DataFrame:
     """Stored verdicts by judge."""
     return judgments.groupBy("judge").agg(F.count(F.lit(1)).alias("judgments"))

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallywork.session import remove_folder
+
 _PARTITION = re.compile(r"/_version=(\d+)/_kind=(change|whole)/_mark=([0-9a-f]+)/[^/]*$")
 CHANGE, WHOLE = "change", "whole"
 PUT, DELETE, BEGIN = "put", "delete", "begin"
@@ -160,5 +162,15 @@ class VersionedTable:
         return True
 
 
+    def vacuum(self) -> int:
+        """Delete what stands before the last whole state. Returns the number of commits deleted, which can't be repeated any more."""
+        commits = self.commits()
+        whole = max((c.version for c in commits if c.kind == WHOLE), default=-1)
+        old = [c for c in commits if c.version < whole or c.version == whole and c.kind == CHANGE]
+        for c in old:
+            remove_folder(self.spark, f"{self.root}/changes/_version={c.version}/_kind={c.kind}/_mark={c.mark}")
+        return len(old)
+
+
 def _digest(mark: str) -> str:
     return hashlib.sha256(mark.encode()).hexdigest()[:16]

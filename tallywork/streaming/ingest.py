@@ -60,6 +60,15 @@ def start_ingestion(
     )
 
 
+def distinct_within(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
+    """The first row per key of those that arrive within `delay` of each other by `time`.
+
+    Each key is held until the watermark has passed its expiry, so the state is that of one `delay` and not of all that was ever
+    seen. It stands in front of the comparison with the stored tables, which finds what is older.
+    """
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def distinct_contents(stream: DataFrame) -> DataFrame:
     """Pure stream form of content deduplication. Its state grows with the distinct contents ever seen."""
     return stream.dropDuplicates(["content_hash"])

@@ -14,7 +14,7 @@ from tallywork.plans import ingest as I
 from tallywork.sinks import tables as S
 from tallywork.sources import landing as L
 from tallywork.sources import tables as T
-from tallywork.streaming.ingest import distinct_contents, start_ingestion
+from tallywork.streaming.ingest import distinct_contents, distinct_within, start_ingestion
 
 EMBEDDING = I.Embedding(hex_embedder, "hex", DIM, tasks=3)
 NOW = "TIMESTAMP_NTZ'2024-02-01 00:00:00'"
@@ -246,6 +246,36 @@ def test_stream_of_distinct_contents(spark):
     assert sorted(r.content_hash for r in spark.table(name).collect()) == ["a", "b", "c"]
 
 
+def test_stream_state_is_bounded(spark):
+    """Repeats inside the delay are dropped, inside and across triggers; keys leave the state once the watermark has passed."""
+    folder, out = tempfile.mkdtemp(), tempfile.mkdtemp()
+    days = [["2024-01-01"] * 2, ["2024-01-02"], ["2024-03-01"], ["2024-03-02"], ["2024-03-02"]]
+    for i, day in enumerate(days):
+        with open(f"{folder}/{i}.json", "w") as f:
+            f.write("\n".join(json.dumps({"content_hash": h, "at": d}) for d in day for h in ("a", f"only {i}")))
+        os.utime(f"{folder}/{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("content_hash STRING, at TIMESTAMP").option("maxFilesPerTrigger", 1).json(folder)
+    once = distinct_within(stream, ["content_hash"], "at", "5 days")
+    query = once.writeStream.format("parquet").option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start(f"{out}/rows")
+    query.awaitTermination()
+    found = sorted(r.content_hash for r in spark.read.parquet(f"{out}/rows").collect())
+    assert found == sorted(["a", "a", *[f"only {i}" for i in range(5)]])  # `a` comes again after the delay
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(state) <= 4 and state[-1] < 7
+
+
+def test_cache_expires(spark):
+    store = S.Store(spark, f"{tempfile.mkdtemp()}/store")
+    ddl = "text_hash STRING, model STRING, embedding ARRAY<FLOAT>, cached_at TIMESTAMP_NTZ"
+    rows = [("a", "m", [1.0], "2024-01-01"), ("a", "m", [2.0], "2024-01-30"), ("b", "m", [3.0], "2024-01-20"), ("c", "m", [4.0], "2024-01-28")]
+    for row in rows:
+        store.embedding_cache.commit(spark.sql(f"SELECT '{row[0]}' AS text_hash, 'm' AS model, array(CAST({row[2][0]} AS FLOAT)) AS embedding, TIMESTAMP_NTZ'{row[3]}' AS cached_at").to(spark.createDataFrame([], ddl).schema))
+    assert S.expire_cache(store, F.expr(NOW), "run") and not S.expire_cache(store, F.expr(NOW))
+    assert {(r.text_hash, r.embedding[0]) for r in store.embedding_cache.read().collect()} == {("a", 2.0), ("c", 4.0)}
+    assert store.embedding_cache.vacuum() == 4 and store.embedding_cache.vacuum() == 0
+    assert {r.text_hash for r in store.embedding_cache.read().collect()} == {"a", "c"}
+
+
 def test_bookmarks(spark):
     ddl = "user_id STRING, job_id STRING, action STRING, ts INT, seq INT"
     events = spark.createDataFrame(
