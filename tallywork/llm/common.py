@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -31,14 +32,30 @@ def settings(spark: SparkSession) -> SparkSession:
 
 
 def per_process(key: tuple, make: Callable[[], object]) -> object:
-    """What a worker process makes once and keeps for its later tasks: compiled vocabularies and caches of bounded size."""
-    module = sys.modules.setdefault("_tallywork_worker", types.ModuleType("_tallywork_worker"))
-    state = module.__dict__
+    """What a worker process makes once and keeps for its later tasks: compiled vocabularies and caches of bounded size.
+
+    A worker serves one operator after another; only the state of the last one is kept.
+    """
+    state = _worker_state()
     if key not in state:
+        release()
         state[key] = make()
     return state[key]
 
 
+def release() -> None:
+    """Drop what an earlier operator left in this worker; operators without state of their own start with this."""
+    state = _worker_state()
+    if state:
+        state.clear()
+        gc.collect()
+
+
+def _worker_state() -> dict:
+    module = sys.modules.setdefault("_tallywork_worker", types.ModuleType("_tallywork_worker"))
+    return module.__dict__.setdefault("state", {})
+
+
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as file:
         data = file.read(VOCABULARY_BYTES + 1)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import in_pieces, ranked, settings, staged
+from tallywork.llm.common import in_pieces, ranked, release, settings, staged
 
 # What stands between words: ASCII that is neither a digit nor a lower-case letter.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BETWEEN = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
-# Texts are split in pieces of about this many bytes, each ending where a word ends: the library keeps some dozens of bytes per byte.
-PIECE = 4096
+# Texts are split in pieces of about this many letters, each ending where a word ends: the library keeps some dozens of bytes per byte.
+PIECE = 2048
 
 
 @dataclass(frozen=True)
@@ -43,34 +43,39 @@ class Sampling:
     seed: int = 42
 
 
-def _splitter():
-    from tokenizers import Regex, pre_tokenizers
+def _splitter() -> Callable[[str], list[tuple[int, int]]]:
+    """From a text to the byte offsets of its words."""
+    from tokenizers import PreTokenizedString, Regex, pre_tokenizers
 
-    return pre_tokenizers.Split(Regex(BETWEEN), "removed").pre_tokenize_str
+    pattern = pre_tokenizers.Split(Regex(BETWEEN), "removed")
 
+    def split(text: str) -> list[tuple[int, int]]:
+        cut = PreTokenizedString(text)
+        pattern.pre_tokenize(cut)
+        return [offsets for _, offsets, _ in cut.get_splits("original", "byte")]
 
-def _pieces(view: str) -> Iterator[str]:
+    return split
+
+
+def _pieces(text: str) -> Iterator[str]:
     start = 0
-    while start < len(view):
-        cut = _BETWEEN.search(view, start + PIECE) if len(view) - start > PIECE else None
-        end = cut.start() if cut else len(view)
-        yield view[start:end]
+    while start < len(text):
+        cut = _BETWEEN.search(text, start + PIECE) if len(text) - start > PIECE else None
+        end = cut.start() if cut else len(text)
+        yield text[start:end]
         start = end
 
 
-def features(split, text: str | None, longest: int) -> Iterator[tuple[int, list[int]]]:
-    """Per piece of a text: its number of words and the CRC-32 of every run of up to `longest` words that ends in it.
-
-    Bytes are seen as Latin-1 letters, so that offsets count bytes; all bytes of a non-ASCII letter belong to words, as it does.
-    """
-    data = (text or "").encode().lower()
+def features(split: Callable[[str], list[tuple[int, int]]], text: str | None, longest: int) -> Iterator[tuple[int, list[int]]]:
+    """Per piece of a text: its number of words and the CRC-32 of every run of up to `longest` words that ends in it."""
     before: list[int] = []  # of the runs of 1, 2, … words that end with the last word
-    for piece in _pieces(data.decode("latin-1")):
+    # of bytes, lower() changes A-Z alone
+    for piece in _pieces((text or "").encode().lower().decode()):
         spans = split(piece)
         if not spans:
             continue
-        raw = piece.encode("latin-1")
-        words = [raw[start:end] for _, (start, end) in spans]
+        raw = piece.encode()
+        words = [raw[start:end] for start, end in spans]
         further = [b" " + word for word in words]
         runs = list(map(crc32, words))
         found, ends = list(runs), [runs[-1]]
@@ -91,6 +96,7 @@ def histogram(texts: DataFrame, sampling: Sampling = Sampling()) -> list[int]:
     out = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         split, total, held = _splitter(), np.zeros(buckets, np.int64), []
 
         def count() -> None:
@@ -133,6 +139,7 @@ def weigh(docs: DataFrame, gain: Sequence[int], sampling: Sampling = Sampling())
     out = pa.schema([(name, pa.int64()) for name in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         split = _splitter()
 
         def each() -> Iterator[tuple]:
