@@ -22,8 +22,11 @@ from pyspark.sql import DataFrame
 from tallywork.llm.common import in_pieces, per_process, read_vocabulary
 from tallywork.llm.segments import IDS, TextEncoder, pieces
 
-# A transducer with more states starts anew.
-MAX_STATES = 150_000
+# A transducer with more states, or more of what it knows of them, starts anew; some 1,500 bytes each.
+MAX_STATES = 80_000
+# Pairs of tokens, and ends of tokens, whose merges are remembered.
+MAX_PAIRS = 150_000
+MAX_EDGES = 20_000
 # With at most this many tokens to close it, a hypothesis keeps the forbidden ones in place of the token before it.
 FEW = 96
 _NEVER = 1 << 60
@@ -86,24 +89,29 @@ class Merges:
                 return edge
             token, goes = halves[side], comes
 
+    def _edge_of(self, known: dict[bytes, list], token: bytes, side: int) -> list[tuple[bytes, int, int]]:
+        edge = known.get(token)
+        if edge is None:
+            if len(known) > MAX_EDGES:
+                known.clear()
+            edge = known[token] = self._edge(token, side)
+        return edge
+
     def fits(self, left: bytes, right: bytes) -> bool:
         """Whether no merge crosses the boundary: none is due while both of its parts stand there."""
         key = (left, right)
         known = self._fits.get(key)
         if known is not None:
             return known
-        if left not in self._left:
-            self._left[left] = self._edge(left, 1)
-        if right not in self._right:
-            self._right[right] = self._edge(right, 0)
         ranks, free = self.ranks, True
-        for a, a_comes, a_goes in self._left[left]:
-            for b, b_comes, b_goes in self._right[right]:
+        right_edge = self._edge_of(self._right, right, 0)
+        for a, a_comes, a_goes in self._edge_of(self._left, left, 1):
+            for b, b_comes, b_goes in right_edge:
                 rank = ranks.get(a + b)
                 # of equal ranks the leftmost pair goes first
                 if rank is not None and (due := max(rank, a_comes, b_comes)) < a_goes and due <= b_goes:
                     free = False
-        if len(self._fits) > 1_000_000:
+        if len(self._fits) > MAX_PAIRS:
             self._fits.clear()
         self._fits[key] = free
         return free
@@ -170,7 +178,7 @@ class Transducer:
         return step
 
     def run(self, text: bytes) -> bytes:
-        if len(self._states) > MAX_STATES or len(self._forbidden) > 4 * MAX_STATES:
+        if len(self._states) > MAX_STATES or max(len(self._forbidden), len(self._steps)) > 4 * MAX_STATES:
             self._reset()
         known, at, out = self._steps.get, 0, []
         for byte in text:
@@ -201,63 +209,90 @@ class RankSegments:
 class Utf8Machine:
     """Incremental UTF-8: bytes in pieces of any length in, text out as soon as its code points are complete.
 
-    A state is (continuation bytes still due, lowest and highest next byte). Only the end of a piece is walked; what is not
-    UTF-8 becomes U+FFFD.
+    The state is the bits read so far, the continuation bytes still due, and the lowest and highest byte that may come next. What is
+    no UTF-8 becomes U+FFFD, one for the longest start of a code point that breaks off.
     """
 
     def __init__(self) -> None:
-        self._rest = b""
-
-    @staticmethod
-    def _after(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
-        due, low, high = state
-        if due:
-            return (due - 1, 0x80, 0xBF) if low <= byte <= high else None
-        if byte < 0x80:
-            return state
-        if 0xC2 <= byte <= 0xDF:
-            return (1, 0x80, 0xBF)
-        if 0xE0 <= byte <= 0xEF:
-            return (2, 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF)
-        if 0xF0 <= byte <= 0xF4:
-            return (3, 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF)
-        return None
+        self._code = self._due = 0
+        self._low, self._high = 0x80, 0xBF
+
+    @property
+    def idle(self) -> bool:
+        """Whether no code point is open."""
+        return not self._due
 
     def feed(self, piece: bytes) -> str:
-        data = self._rest + piece
-        self._rest = b""
-        for back in range(1, min(3, len(data)) + 1):
-            if data[-back] >= 0xC0:
-                state: tuple[int, int, int] | None = (0, 0, 0)
-                for byte in data[-back:]:
-                    state = self._after(state, byte)
-                    if state is None:
-                        break
-                if state and state[0]:
-                    data, self._rest = data[:-back], data[-back:]
-                break
-        return data.decode("utf-8", "replace")
+        out: list[str] = []
+        for byte in piece:
+            if self._due:
+                if self._low <= byte <= self._high:
+                    self._code, self._due = self._code << 6 | byte & 0x3F, self._due - 1
+                    self._low, self._high = 0x80, 0xBF
+                    if not self._due:
+                        out.append(chr(self._code))
+                    continue
+                out.append("\ufffd")
+                self._due, self._low, self._high = 0, 0x80, 0xBF
+            if byte < 0x80:
+                out.append(chr(byte))
+            elif 0xC2 <= byte <= 0xDF:
+                self._code, self._due = byte & 0x1F, 1
+            elif 0xE0 <= byte <= 0xEF:
+                self._code, self._due = byte & 0x0F, 2
+                # neither longer forms of lower code points nor surrogates
+                self._low, self._high = 0xA0 if byte == 0xE0 else 0x80, 0x9F if byte == 0xED else 0xBF
+            elif 0xF0 <= byte <= 0xF4:
+                self._code, self._due = byte & 0x07, 3
+                self._low, self._high = 0x90 if byte == 0xF0 else 0x80, 0x8F if byte == 0xF4 else 0xBF
+            else:
+                out.append("\ufffd")
+        return "".join(out)
 
     def end(self) -> str:
-        rest, self._rest = self._rest, b""
-        return rest.decode("utf-8", "replace")
+        open_, self._due = self._due, 0
+        self._low, self._high = 0x80, 0xBF
+        return "\ufffd" if open_ else ""
 
 
 # Ids decoded at a time.
 DECODE_IDS = 65_536
 
 
-def decode_bytes(tokens: list[bytes], packed: bytes) -> Iterator[bytes]:
-    """The bytes of packed ids, some thousand ids at a time."""
-    ids = np.frombuffer(packed, IDS)
-    for at in range(0, len(ids), DECODE_IDS):
-        yield b"".join(map(tokens.__getitem__, ids[at : at + DECODE_IDS].tolist()))
+class TokenDecoder:
+    """Ids to text through the UTF-8 machine, which is run over each token once.
 
+    A token that takes the idle machine back to idle without a fault has a text of its own; a row of them is the row of their texts.
+    The others, parts of code points, go through the machine byte by byte wherever they occur.
+    """
 
-def decode_text(tokens: list[bytes], packed: bytes) -> str:
-    """Text of packed ids, streamed through the UTF-8 machine."""
+    def __init__(self, tokens: list[bytes]):
+        self._tokens, self._texts = tokens, [_whole_text(token) for token in tokens]
+        self._open = np.array([text is None for text in self._texts])
+
+    def decode(self, packed: bytes) -> str:
+        ids, machine, out = np.frombuffer(packed, IDS), Utf8Machine(), []
+        for start in range(0, len(ids), DECODE_IDS):
+            self._run(ids[start : start + DECODE_IDS], machine, out)
+        return "".join([*out, machine.end()])
+
+    def _run(self, ids: np.ndarray, machine: Utf8Machine, out: list[str]) -> None:
+        numbers, at = ids.tolist(), 0
+        for stop in [*np.flatnonzero(self._open[ids]).tolist(), len(numbers)]:
+            if at < stop and not machine.idle:
+                out.append(machine.feed(self._tokens[numbers[at]]))
+                at += 1
+            if at < stop:
+                out.extend(map(self._texts.__getitem__, numbers[at:stop]))
+            if stop < len(numbers):
+                out.append(machine.feed(self._tokens[numbers[stop]]))
+            at = stop + 1
+
+
+def _whole_text(token: bytes) -> str | None:
     machine = Utf8Machine()
-    return "".join([*map(machine.feed, decode_bytes(tokens, packed)), machine.end()])
+    text = machine.feed(token)
+    return text if machine.idle and text.encode() == token else None
 
 
 def _token_list(ranks: dict[bytes, int]) -> list[bytes]:
@@ -267,10 +302,10 @@ def _token_list(ranks: dict[bytes, int]) -> list[bytes]:
     return tokens
 
 
-def _segments(path: str, vocabulary: bytes) -> tuple[TextEncoder, list[bytes]]:
-    def make() -> tuple[TextEncoder, list[bytes]]:
+def _segments(path: str, vocabulary: bytes) -> tuple[TextEncoder, TokenDecoder]:
+    def make() -> tuple[TextEncoder, TokenDecoder]:
         segments = RankSegments(vocabulary)
-        return TextEncoder(pieces, segments.encode, segments.word), _token_list(segments.ranks)
+        return TextEncoder(pieces, segments.encode, segments.word), TokenDecoder(_token_list(segments.ranks))
 
     return per_process(("byte bpe", path, len(vocabulary)), make)
 
@@ -285,7 +320,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`encode` with a further column `decoded` (binary): the bytes that the ids decode to, from the ids alone."""
+    """`encode` with a further column `decoded` (binary): the bytes of the text that the ids decode to, from the ids alone."""
     return _round_trip(docs, path, id_column, text_column, True)
 
 
@@ -296,13 +331,13 @@ def _round_trip(docs: DataFrame, path: str, id_column: str, text_column: str, ba
     out = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())] + [("decoded", pa.binary())] * back)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = _segments(path, vocabulary.value)
+        encoder, decoder = _segments(path, vocabulary.value)
 
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     ids = encoder.encode(text or "")
-                    yield (key, len(ids) // 4, ids) + ((b"".join(decode_bytes(tokens, ids)),) if back else ())
+                    yield (key, len(ids) // 4, ids) + ((decoder.decode(ids).encode(),) if back else ())
 
         return in_pieces(each(), out, lambda row: sum(len(x) for x in row[2:]))
 
@@ -316,12 +351,12 @@ def decode(rows: DataFrame, path: str, id_column: str = "doc_id", ids_column: st
     out = pa.schema([("key", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, tokens = _segments(path, vocabulary.value)
+        _, decoder = _segments(path, vocabulary.value)
 
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for key, ids in zip(batch.column("key").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                    yield key, decode_text(tokens, ids or b"")
+                    yield key, decoder.decode(ids or b"")
 
         return in_pieces(each(), out, lambda row: len(row[1]))
 

@@ -30,8 +30,9 @@ def is_unstable(text: str) -> bool:
 
 
 IDS = np.dtype("<u4")
-# Segments kept per generation of a cache, and the longest segment kept.
-CACHE_ROOM = 500_000
+# Bytes per generation of a cache, what an entry takes besides its text and ids, and the longest segment kept.
+CACHE_BYTES = 48 << 20
+ENTRY_BYTES = 190
 CACHE_LENGTH = 48
 
 
@@ -64,44 +65,62 @@ def cut(text: str) -> list[str]:
 
 
 class SegmentCache(dict):
-    """Packed ids of segments that follow a blank, in two generations: when the newer is full, the older is forgotten."""
+    """Packed ids of segments, in two generations of bounded bytes: when the newer is full, the older is forgotten."""
 
-    def __init__(self, encode: Callable[[str], bytes], room: int = CACHE_ROOM):
+    def __init__(self, encode: Callable[[str], bytes], room: int = CACHE_BYTES):
         super().__init__()
-        self._encode, self._room, self._older = encode, room, {}
+        self._encode, self._room, self._older, self._held = encode, room, {}, 0
 
     def __missing__(self, segment: str) -> bytes:
         packed = self._older.get(segment)
         if packed is None:
             packed = self._encode(segment)
         if len(segment) <= CACHE_LENGTH:
-            if len(self) >= self._room:
-                self._older = dict(self)
+            if self._held >= self._room:
+                self._older, self._held = dict(self), 0
                 self.clear()
             self[segment] = packed
+            self._held += ENTRY_BYTES + len(segment) + len(packed)
         return packed
 
 
 class TextEncoder:
     """Whole texts to packed little-endian 32-bit ids, by a cut of segments into matches and the encoding of one match.
 
-    `word` encodes a blank with letters behind it, given the letters.
+    `word` encodes a blank with letters behind it, given the letters. Segments that follow a blank and those that start a line are
+    cached apart.
     """
 
     def __init__(
-        self, match: Callable[[str], list[str]], encode: Callable[[str], bytes], word: Callable[[str], bytes], room: int = CACHE_ROOM
+        self, match: Callable[[str], list[str]], encode: Callable[[str], bytes], word: Callable[[str], bytes], room: int = CACHE_BYTES
     ):
         self._match, self._encode, self._word = match, encode, word
         self._cache = SegmentCache(self._spaced, room)
+        self._starts = SegmentCache(self._start, room // 8)
         self._bare: dict[str, bytes] = {}
 
     def _spaced(self, word: str) -> bytes:
         """A blank and what follows it. A word with its comma shares the entry of the bare word."""
         if word.isalpha():
             return self._word(word)
-        if word[-1] in ".,;:!?" and word[:-1].isalpha() and not is_unstable(word):
-            return self._cache[word[:-1]] + self._unspaced(word[-1])
-        return self._segment(" " + word)
+        return self._in_parts(word, self._cache) or self._segment(" " + word)
+
+    def _start(self, word: str) -> bytes:
+        """What starts a line."""
+        if word.isalpha():
+            return self._encode(word)
+        return self._in_parts(word, self._starts) or self._segment(word)
+
+    def _in_parts(self, word: str, cache: SegmentCache) -> bytes | None:
+        """A word with one mark behind it by the entry of the word, and lines one by one: a line break between a letter or mark
+        and a letter is a match of its own."""
+        last = word[-1]
+        if last in ".,;:!?" and word[:-1].isalpha():
+            return None if is_unstable(word) else cache[word[:-1]] + self._unspaced(last)
+        head, broken, tail = word.partition("\n")
+        if broken and tail[:1].isalpha() and (head[-1:].isalpha() or head[-1:] in tuple(".,;:!?")) and not is_unstable(word):
+            return cache[head] + self._unspaced("\n") + self._starts[tail]
+        return None
 
     def _segment(self, segment: str) -> bytes:
         matches = self._match(segment)
