@@ -100,6 +100,30 @@ def test_op4_long_paths_stay_apart(spark, classes):
     assert {r.text for r in got} == {f"Title {words}"}
 
 
+KEPT_INSIDE = [
+    '<h2 id="search">words kept</h2>', '<section id="related-work"><h2>words</h2><p>kept</p></section>', '<div class="market-share">words kept</div>',
+    '<figure class="social-graph">words kept</figure>', '<section id="search"><p>words kept <a href="#">x</a></p></section>', '<h3 class="notice" id="comments">words kept</h3>',
+    '<p id="share">words kept</p>', '<div class="form-factor">words kept</div>', '<ul id="tags"><li>words</li><li>kept</li></ul>', '<header><p>words kept</p></header>',
+    '<table class="toolbar-comparison"><tr><td>words<td>kept</table>', '<div role="img">words kept</div>', '<div class="banner-history">words kept</div>',
+]
+GONE_INSIDE = [
+    '<div class="related-posts">words gone</div>', '<div class="ad ad-728x90">words gone</div>', '<div class="share-buttons">words gone</div>', "<aside>words gone</aside>",
+    '<section id="comments"><p>words gone</p></section>', '<ul class="comment-list"><li>words gone</ul>', '<div id="comment-12">words gone</div>', '<div class="cookieNotice">words gone</div>',
+    '<p class="notice">words gone</p>', '<div role="navigation">words gone</div>', '<form>words gone</form>', '<div class="newsletter-signup">words gone</div>', "<footer>words gone</footer>",
+    '<section id="related"><a href="/a">words</a> <a href="/b">gone</a></section>', '<div class="sidebar sidebar-left">words gone</div>', '<div hidden>words gone</div>', "<nav>words gone</nav>",
+]
+
+
+@pytest.mark.parametrize("inside", KEPT_INSIDE + GONE_INSIDE)
+def test_op4_names_inside_the_article(spark, inside):
+    """Inside the article a word in a name is no reason to drop text; names made of such words alone, roles and tags are."""
+    text = "Some running text of the article, long enough to win. " * 5
+    page = f"<html><body><div class='top-nav'>x</div><article><h1>T</h1><p>{text}</p>{inside}<p>end</p></article></body></html>"
+    (row,) = html.extract(spark.createDataFrame([(1, "http://a.example/", page)], "page_id BIGINT, url STRING, html STRING")).collect()
+    kept = " ".join(re.findall("words|kept", inside)) if inside in KEPT_INSIDE else ""
+    assert row.text.replace(" x ", " ") == " ".join(f"T {text} {kept} end".split())
+
+
 def test_op4_query(spark):
     source = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries.op4_main_text(spark, SF).collect()
@@ -115,9 +139,13 @@ def vectors(spark, rows):
 
 
 def plain_search(rows, asked, k):
+    """Every row but the query's own, one of its id and vector."""
     out = []
     for q, v in asked:
-        scored = [(-int(np.dot(v, w)), i) for i, w in rows if i != q and w is not None and i is not None and len(w) == len(v)]
+        pool = [r for r in rows if None not in r]
+        if (q, v) in pool:
+            pool.remove((q, v))
+        scored = [(-int(np.dot(v, w)), i) for i, w in pool if len(w) == len(v)]
         out += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:k], 1)]
     return sorted(out)
 
@@ -137,12 +165,19 @@ def test_op2_equals_brute_force_with_ties(spark, monkeypatch, sizes):
 def test_op2_edges(spark):
     rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (None, [9.0, 9.0]), (4, [1.0, 2.0, 3.0]), (5, [0.0, 0.0]), (6, []), (7, [])]
     got = sorted(map(tuple, topk.search(vectors(spark, rows), vectors(spark, rows), 5).collect()))
-    unique = [(i, v) for i, v in dict(r for r in rows if r[0] is not None and r[1] is not None).items()]
-    assert got == plain_search([r for r in rows if r[0] is not None], unique, 5)
+    assert got == plain_search(rows, [r for r in rows if None not in r], 5)
     nothing = vectors(spark, [])
     assert topk.search(nothing, nothing, 5).count() == 0 and topk.search(vectors(spark, rows), nothing, 5).count() == 0
 
 
+def test_op2_repeated_query_ids(spark):
+    """Rows of one id are queries of their own, and each other's candidates."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (7, [3.0, 5.0]), (8, [-1.0, 2.0])]
+    got = sorted(map(tuple, topk.search(vectors(spark, rows), vectors(spark, rows[:3]), 5).collect()))
+    assert got == plain_search(rows, rows[:3], 5)
+    assert (50, 1, 7, 3) in got and got.count((50, 1, 7, 5)) == 2
+
+
 def test_op2_query_leaves_out_broken_vectors(spark, tmp_path):
     rows = [(0, [0.5, -0.25], 1), (50, [float("nan"), 0.0], 1), (100, None, 1), (3, [float("inf"), 1.0], 1), (4, [None, 1.0], 1), (5, [0.25, 0.0], 1), (6, [-0.001, 0.7], 2)]
     spark.createDataFrame(rows, queries.SCHEMAS["embeddings"]).write.parquet(f"{tmp_path}/embeddings.parquet")
