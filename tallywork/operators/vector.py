@@ -195,6 +195,22 @@ def vector_rank_within(
         scored = bounded_join(with_chunks, asked, "query_id", "inner", bound)
     else:
         scored = hot_key_join(with_chunks, asked, "query_id", "inner", ["chunk_id"])
-    return scored.select(
-        "query_id", "job_id", "chunk_id", cosine_similarity(F.col("embedding"), F.col("vector")).alias("similarity")
-    )
+    rows = scored.select("query_id", "job_id", "chunk_id", "embedding", "vector")
+    return rows.mapInArrow(_score_pairs, rows.select("query_id", "job_id", "chunk_id", F.lit(0.0).alias("similarity")).schema)
+
+
+def _score_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cosine similarity of the two vectors of each row, a few thousand rows at a time; null where one is missing or zero."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, _ROWS_PER_PRODUCT):
+            batch = whole.slice(start, _ROWS_PER_PRODUCT)
+            known = pc.and_(pc.is_valid(batch.column("embedding")), pc.is_valid(batch.column("vector"))).to_numpy(zero_copy_only=False)
+            scores = np.full(batch.num_rows, np.nan)
+            if known.any():
+                both = batch.filter(pa.array(known))
+                left, right = _matrix(both.column("embedding")), _matrix(both.column("vector"))
+                found = np.round(np.einsum("ij,ij->i", left, right), SIMILARITY_DIGITS)
+                found[~left.any(axis=1) | ~right.any(axis=1)] = np.nan
+                scores[known] = found
+            similarity = pa.array(scores, pa.float64(), mask=np.isnan(scores))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], similarity], names=["query_id", "job_id", "chunk_id", "similarity"])
