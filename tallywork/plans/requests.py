@@ -46,6 +46,15 @@ _NEWEST = [name for name in _FILLED if name.startswith("list_jobs")]
 LISTED, FILTERED, DISTINCT = 20, 30, 30  # rows of an answer
 
 
+# A backslash stands before a wildcard or another one.
+_PATTERN = r"(?s)^(?:[^\\]|\\[%_\\])*$"
+
+
+def _like(value: Column, pattern: Column) -> Column:
+    """ILIKE with patterns that are data: one that is none, as a backslash ends it or stands before a letter, matches nothing."""
+    return F.when(pattern.rlike(_PATTERN), F.ilike(value, pattern)).otherwise(F.lit(False))
+
+
 # ---- patterns and values -------------------------------------------------------------------------
 
 
@@ -78,7 +87,7 @@ def like_pairs(values: DataFrame, patterns: DataFrame) -> DataFrame:
     keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), value), salt), *map(stretches, STRETCHES)))
     keyed = values.filter(F.col("value").isNotNull()).select("column", "value", F.explode(keys).alias("key"))
     met = keyed.join(known, ["column", "key"])
-    matching = F.filter("patterns", lambda p: F.ilike(F.col("value"), p))
+    matching = F.filter("patterns", lambda p: _like(F.col("value"), p))
     return met.select("column", "value", F.explode(matching).alias("pattern"))
 
 
@@ -135,7 +144,7 @@ def postings_of(jobs: DataFrame, requests: DataFrame, found: DataFrame | None =
     keyed = narrow.select(F.struct(*narrow.columns).alias("job"), F.explode(values).alias("c")).select("job", "c.*")
     met = keyed.join(by_text, ["column", "value"])
     # more than one skill of a posting may meet the one asked for
-    first = F.get(F.filter(F.col("job.skills"), lambda s: F.ilike(F.col("skill"), s)), 0)
+    first = F.get(F.filter(F.col("job.skills"), lambda s: _like(F.col("skill"), s)), 0)
     met = met.filter((F.col("column") != "skill") | (F.col("value") == first)).drop("column", "value")
 
     # by salary alone: requests in blocks, each posting gives those it meets
@@ -147,8 +156,8 @@ def postings_of(jobs: DataFrame, requests: DataFrame, found: DataFrame | None =
     inside = F.filter("requests", lambda r: _within(F.col("job"), r["low"], r["high"]))
     by_pay = paid.join(blocks, "block").select("job", F.explode(inside).alias("r")).select("job", "r.*")
 
-    texts = [F.col(c).isNull() | F.coalesce(F.ilike(F.col(f"job.{c}"), F.col(c)), F.lit(False)) for c in TEXTS]
-    skilled = F.col("skill").isNull() | F.exists(F.col("job.skills"), lambda s: F.ilike(F.col("skill"), s))
+    texts = [F.col(c).isNull() | F.coalesce(_like(F.col(f"job.{c}"), F.col(c)), F.lit(False)) for c in TEXTS]
+    skilled = F.col("skill").isNull() | F.exists(F.col("job.skills"), lambda s: _like(F.col("skill"), s))
     rows = met.unionByName(by_pay.select(*met.columns))
     return rows.filter(reduce(Column.__and__, [*texts, skilled, _within(F.col("job"), F.col("low"), F.col("high"))]))
 

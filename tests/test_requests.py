@@ -72,6 +72,15 @@ def test_statistics_equal_one_at_a_time(spark, jobs):
         assert json.loads(found[f"q{i}"]) == json.loads(Q.rows_json(run_template(jobs, name, params)).first().rows), (name, params)
 
 
+def test_a_pattern_that_is_none_spoils_no_other(spark, jobs):
+    asked = [("bad", "a\\b", None), ("end", "%\\", None), ("both", "%", "x\\y"), ("good", "%building%", None)]
+    rows = [(name, title, None, location, None, None, None, None) for name, title, location in asked]
+    schema = "request STRING, title STRING, company STRING, location STRING, job_type STRING, skill STRING, low DOUBLE, high DOUBLE"
+    more = jobs.limit(1).withColumns({"id": F.lit(7_000_000).cast("bigint"), "skills": F.array(F.lit("C\\C"), F.lit("building"))})
+    found = Q.newest_of(jobs.unionByName(more), spark.createDataFrame([*rows, ("skill", None, None, None, None, "BUILDING", None, None)], schema), 30).collect()
+    assert {r.request for r in found} == {"good", "skill"}
+
+
 def test_requests_that_cannot_be_read(spark, jobs):
     asked = [("list_jobs_by_title", []), ("jobs_above_salary", ["much"]), ("jobs_between_salary", ["1", None]), ("jobs_between_salary", ["1"])]
     table = spark.createDataFrame([(f"q{i}", "hybrid", *a) for i, a in enumerate(asked)], "query_id STRING, route STRING, intent STRING, params ARRAY<STRING>")
