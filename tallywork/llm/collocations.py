@@ -4,16 +4,18 @@ Every word starts one window: itself and the words behind it, up to the longest
 these longest windows are counted; a ROLLUP over the columns of the window sums ever shorter prefixes, which are the counts of all
 shorter phrases, of single words and of all words of a language. No phrase is taken from the texts by its length.
 
-A window also ends before a pair of words that cannot be frequent. Pairs are counted beforehand in a fixed number of hash buckets,
-and the buckets that reach the least count travel to the tasks as one bit each, 16 MB at any size of the input. A frequent pair is
-never in a bucket below that count, and every pair inside a frequent phrase is frequent, so the counts of frequent phrases stay
-exact. With more text more buckets reach the count and windows get longer, up to all of their words.
+A window also ends before a pair or a triple of words that cannot be frequent, and one of a rare word counts for the total alone.
+That is known beforehand: single words and pairs, then triples of frequent pairs, are counted in a fixed number of hash buckets, and
+the buckets that reach the least count travel to the tasks as one bit each, 16 MB at any size of the input. What is frequent is
+never in a bucket below that count, and all parts of a frequent phrase are frequent, so the counts of frequent phrases stay exact.
+With more text more buckets reach the count and windows get longer, up to all of their words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import ranked, settings, staged
+from tallywork.llm.common import ranked, release, settings, staged
 from tallywork.operators.joins import bounded_join, row_bound
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 # ASCII letters lowered, what ends a piece as \n, tabs as blanks.
 _TABLE = bytes.maketrans(bytes(range(65, 91)) + BREAKS + b"\t", bytes(range(97, 123)) + b"\n" * len(BREAKS) + b" ")
-# Bits of a pair's hash. 2^27 buckets are 16 MB as bits.
-PAIR_BITS = 27
+# Bits of the hash of a word, pair or triple. 2^27 buckets are 16 MB as bits.
+HASH_BITS = 27
 BLOCK = 32_768  # bits in one row of Spark's bitmap aggregate
 # A task looks at this many bytes of words at a time, and forgets its words beyond this many.
 CHUNK = 4 << 20
@@ -71,12 +73,25 @@ class _Stretch:
     lang: np.ndarray
     starts: int
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each place but the last, whether two words stand there, and the bucket of the pair."""
-        hashes, seeds = self.hashes[self.numbers], np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], np.uint64)
-        mixed = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] ^ seeds[self.lang[:-1]])) * np.uint64(0xC2B2AE3D27D4EB4F)
-        both = (self.numbers[:-1] > END) & (self.numbers[1:] > END)
-        return both, (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    def buckets(self, size: int) -> np.ndarray:
+        """The bucket of the `size` words from each place on that has so many places behind it."""
+        seeds = np.array([xxhash.xxh3_64_intdigest(x.encode(), seed=size) for x in self.langs], np.uint64)
+        places, words = max(0, len(self.numbers) - size + 1), self.hashes[self.numbers]
+        mixed = seeds[self.lang[:places]]
+        for k in range(size):
+            mixed = (mixed ^ words[k : places + k]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        return (mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+    def open(self, size: int, frequent: np.ndarray | None = None) -> np.ndarray:
+        """For every place whether `size` words without an end follow, in a bucket that is frequent."""
+        found = np.zeros(len(self.numbers), bool)
+        buckets = self.buckets(size)
+        places = len(buckets)
+        found[:places] = np.all([self.numbers[k : places + k] > END for k in range(size)], axis=0)
+        if frequent is not None:
+            found[:places] &= ((frequent[buckets >> 3] >> (buckets & 7).astype(np.uint8)) & 1).astype(bool)
+        return found
 
     def spelled(self, numbers: np.ndarray) -> pa.Array:
         """The words, null for what is none."""
@@ -125,17 +140,6 @@ def _stretches(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[_Str
                 before = b" ".join(vocabulary.words[i] for i in numbers[starts:]) + b" "
 
 
-def _counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of columns of small numbers, and how often each occurs."""
-    padded = columns + [np.zeros_like(columns[0])] * (len(columns) % 2)
-    keys = [(a.astype(np.int64) << 32) | b for a, b in zip(padded[::2], padded[1::2], strict=True)]
-    order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([key[order][1:] != key[order][:-1] for key in keys], axis=0)
-    first = np.flatnonzero(new)
-    return [c[order][first] for c in columns], np.diff(np.append(first, len(order)))
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     settings(docs.sparkSession)
     return docs.select(F.coalesce(docs["lang"], F.lit("und")).alias("lang"), docs["text"].alias("text"))
@@ -146,46 +150,83 @@ def _sliced(columns: list, schema: pa.Schema, rows: int = 50_000) -> Iterator[pa
     yield from table.to_batches(max_chunksize=rows)
 
 
+def _bits(counts: DataFrame, least: int) -> bytes:
+    """One bit per `bucket`: whether its counts `n` sum up to `least`. At most 2^HASH_BITS bits reach the driver."""
+    place = F.col("bucket").cast("bigint") + 1
+    sums = counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    blocks = sums.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = np.zeros(((1 << HASH_BITS) // BLOCK, BLOCK // 8), np.uint8)
+    for row in blocks.collect():
+        bits[row.block - 1] = np.frombuffer(row.bits, np.uint8)
+    return bits.tobytes()
+
+
+_COUNTS = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+
+
 def frequent_pairs(docs: DataFrame, least: int) -> bytes:
-    """One bit per bucket of pairs: whether its pairs occur `least` times in total. At most 2^PAIR_BITS bits reach the driver."""
-    out = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+    """Bits of the single words and pairs that may occur `least` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for stretch in _stretches(batches, 2):
-            both, buckets = stretch.pairs()
-            yield from _sliced(list(np.unique(buckets[both], return_counts=True)), out)
+            found = []
+            for size in (1, 2):
+                starts = np.flatnonzero(stretch.open(size)[: stretch.starts])
+                found.append(stretch.buckets(size)[starts])
+            yield from _sliced(list(np.unique(np.concatenate(found), return_counts=True)), _COUNTS)
 
-    counts = _rows(docs).mapInArrow(run, "bucket INT, n BIGINT").groupBy("bucket").agg(F.sum("n").alias("n"))
-    place = F.col("bucket").cast("bigint") + 1
-    blocks = counts.filter(F.col("n") >= least).groupBy(F.bitmap_bucket_number(place).alias("block"))
-    bits = np.zeros(((1 << PAIR_BITS) // BLOCK, BLOCK // 8), np.uint8)
-    for row in blocks.agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
-        bits[row.block - 1] = np.frombuffer(row.bits, np.uint8)
-    return bits.tobytes()
+    return _bits(_rows(docs).mapInArrow(run, "bucket INT, n BIGINT"), least)
 
 
-def windows(docs: DataFrame, pairs: bytes, longest: int) -> DataFrame:
-    """`lang`, `w1` … `w<longest>`, `n`: padded windows and how often they start, summed up within a stretch of text."""
+def frequent_triples(docs: DataFrame, pairs: bytes, least: int) -> bytes:
+    """Bits of the triples that may occur `least` times, among those of two frequent pairs."""
     shared = docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        frequent = np.frombuffer(shared.value, np.uint8)
+        for stretch in _stretches(batches, 3):
+            pair = stretch.open(2, frequent)
+            pair[:-1] &= pair[1:]
+            starts = np.flatnonzero((stretch.open(3) & pair)[: stretch.starts])
+            yield from _sliced(list(np.unique(stretch.buckets(3)[starts], return_counts=True)), _COUNTS)
+
+    return _bits(_rows(docs).mapInArrow(run, "bucket INT, n BIGINT"), least)
+
+
+def windows(docs: DataFrame, pairs: bytes, triples: bytes, longest: int) -> DataFrame:
+    """`lang`, `w1` … `w<longest>`, `n`: padded windows and how often they start, single words summed up within a stretch."""
+    shared = docs.sparkSession.sparkContext.broadcast((pairs, triples))
     names = [f"w{i}" for i in range(1, longest + 1)]
     out = pa.schema([("lang", pa.string()), *((name, pa.string()) for name in names), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.frombuffer(shared.value, np.uint8)
+        release()
+        pairs, triples = (np.frombuffer(bits, np.uint8) for bits in shared.value)
         for stretch in _stretches(batches, longest):
-            both, buckets = stretch.pairs()
-            going = np.zeros(len(stretch.numbers) + longest, bool)
-            going[: len(both)] = both & ((frequent[buckets >> 3] >> (buckets & 7).astype(np.uint8)) & 1).astype(bool)
-            following = np.concatenate([stretch.numbers, np.zeros(longest, np.int32)])
+            word, pair, triple = stretch.open(1, pairs), stretch.open(2, pairs), stretch.open(3, triples)
+            padding = np.zeros(longest, bool)
+            pair, triple = np.append(pair, padding), np.append(triple, padding)
+            following = np.append(stretch.numbers, np.zeros(longest, np.int32))
             start = np.flatnonzero(stretch.numbers[: stretch.starts] > END)
-            # the lead columns: the words behind each start, padded from the first pair on that cannot be frequent
-            columns, goes = [stretch.lang[start], following[start]], np.ones(len(start), bool)
+            goes = word[start]
+            # the lead columns: the words behind each start, padded from the first that cannot be part of a frequent phrase on
+            columns = [stretch.lang[start], np.where(goes, following[start], GAP)]
             for k in range(1, longest):
-                goes = goes & going[start + k - 1]
+                goes = goes & pair[start + k - 1]
+                if k > 1:
+                    goes &= triple[start + k - 2]
                 columns.append(np.where(goes, following[start + k], GAP))
-            (lang, *found), counts = _counted(columns)
-            spelled = [pa.array(stretch.langs, pa.string()).take(pa.array(lang)), *map(stretch.spelled, found)]
-            yield from _sliced([*spelled, counts], out)
+            several = columns[2] > END if longest > 1 else np.zeros(len(start), bool)
+            # single words are many times the same, so they are counted here; Spark sums up the rest before it is shuffled
+            alone = np.flatnonzero(~several)
+            pairs_of, counts = np.unique((columns[0][alone].astype(np.int64) << 32) | columns[1][alone], return_counts=True)
+            blank = np.zeros(len(counts), np.int32)
+            single = [(pairs_of >> 32).astype(np.int32), (pairs_of & 0xFFFFFFFF).astype(np.int32), *[blank] * (longest - 1)]
+            for found, n in ((single, counts), ([c[several] for c in columns], np.ones(int(several.sum()), np.int64))):
+                spelled = [pa.array(stretch.langs, pa.string()).take(pa.array(found[0])), *map(stretch.spelled, found[1:])]
+                yield from _sliced([*spelled, n], out)
 
     return _rows(docs).mapInArrow(run, "lang STRING, " + ", ".join(f"{n} STRING" for n in names) + ", n BIGINT")
 
@@ -196,14 +237,19 @@ def phrases(docs: DataFrame, mining: Mining = Mining()) -> DataFrame:
     Size 0 holds the count of all words of each language, whatever it is.
     """
     names = [f"w{i}" for i in range(1, mining.longest + 1)]
-    rows = windows(docs, frequent_pairs(docs, mining.least), mining.longest)
-    # ROLLUP blanks the columns behind a prefix; a padded window is no phrase of its full length
-    counted = rows.rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("blanked"))
-    size = F.lit(mining.longest) - F.bit_count("blanked")
-    words = F.array_compact(F.array(*names))
-    counted = counted.select("lang", size.alias("size"), F.concat_ws(" ", *names).alias("phrase"), words.alias("words"), "n")
-    whole = (F.col("size") == F.size("words")) & (F.col("n") >= mining.least)
-    return counted.filter((F.col("size") == 0) | ((F.col("size") > 0) & whole))
+    pairs = frequent_pairs(docs, mining.least)
+    rows = windows(docs, pairs, frequent_triples(docs, pairs, mining.least), mining.longest)
+    top = staged(rows.groupBy("lang", *names).agg(F.sum("n").alias("n")), "windows")
+    # the windows of each length by a ROLLUP over their own columns, so that padding is no prefix
+    length = F.size(F.array_compact(F.array(*names)))
+    prefixes = []
+    for size in range(mining.longest + 1):
+        shorter = top.filter(length == size).rollup("lang", *names[:size]).agg(F.sum("n").alias("n"), F.grouping_id().alias("blanked"))
+        words = F.concat_ws(" ", *names[:size]) if size else F.lit("")
+        prefixes.append(shorter.select("lang", (F.lit(size) - F.bit_count("blanked")).alias("size"), words.alias("phrase"), "n"))
+    summed = reduce(DataFrame.unionByName, prefixes).filter("size >= 0").groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    summed = summed.filter((F.col("size") == 0) | (F.col("n") >= mining.least))
+    return summed.withColumn("words", F.split("phrase", " "))
 
 
 def mine(docs: DataFrame, mining: Mining = Mining()) -> DataFrame:
@@ -225,6 +271,8 @@ def mine(docs: DataFrame, mining: Mining = Mining()) -> DataFrame:
 
 def _kept(candidates: DataFrame, mining: Mining) -> DataFrame:
     """Without those that a longer candidate explains."""
+    if mining.longest < 3:
+        return candidates
     spans = [(at, size) for size in range(2, mining.longest) for at in range(1, mining.longest - size + 2)]
     inside = F.filter(
         F.array(*[F.struct(F.lit(at).alias("at"), F.lit(size).alias("size")) for at, size in spans]),
