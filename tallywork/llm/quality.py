@@ -51,6 +51,9 @@ RULES = (
 )
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def features(docs: DataFrame, stratum: str = "lang", carried: tuple[Column, ...] = ()) -> DataFrame:
     """`doc_id`, `stratum`, the `carried` columns and the counts of whole texts; a null text has no words and no lines.
 
@@ -146,10 +149,15 @@ def ladders(feats: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES
     `p_value`, `certified`.
 
     Labelled documents that fail the base rules are out anyway and are not counted. Labels without a document or a quality say
-    nothing. Null strata are one stratum.
+    nothing, nor do the labels of a document that disagree. Null strata are one stratum. The bound needs one trial per document, so
+    repeated labels count once, and of the rows of one doc_id the one of the lowest counts and stratum.
     """
     counted_once = F.col("_at") >= 0 if "_at" in feats.columns else F.lit(True)
-    judged = feats.filter(~base_failed() & counted_once).join(labels.select("doc_id", "quality").dropna(), "doc_id")
+    agreed = labels.select("doc_id", "quality").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_other"))
+    agreed = agreed.filter("quality = _other").drop("_other")
+    measures = [*MEASURES, "stratum"]
+    judged = feats.filter(~base_failed() & counted_once).select("doc_id", *measures).join(agreed, "doc_id")
+    judged = judged.groupBy("doc_id", "quality").agg(F.min(F.struct(*measures)).alias("row")).select("quality", "row.*")
     good, poor = F.col("quality") == 1, F.col("quality") == 0
     counted = [F.count_if(good).alias("n_good")]
     for rule in rules:

@@ -181,7 +181,9 @@ f AS (SELECT w.rid, doc_id, stratum, len(words)::BIGINT AS n_words, length(regex
  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
  FROM w LEFT JOIN c ON c.rid = w.rid),
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f),
-g AS (SELECT b.*, quality FROM b JOIN labels l ON l.doc_id = b.doc_id WHERE NOT base_failed AND quality IS NOT NULL),
+a AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
+g AS (SELECT * EXCLUDE (turn) FROM (SELECT b.*, quality, row_number() OVER (PARTITION BY b.doc_id ORDER BY n_words, word_chars, n_symbols, n_lines,
+ n_dup_lines, n_repeat_words, stratum NULLS FIRST) AS turn FROM b JOIN a ON a.doc_id = b.doc_id WHERE NOT base_failed) WHERE turn = 1),
 rungs AS (SELECT * FROM (VALUES {_RUNGS}) AS x(rule, step, cutoff)),
 k AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (quality = 1) AS n,
  count(*) FILTER (quality = 1 AND (CASE {_FAILS} END)) AS good_out, count(*) FILTER (quality = 0 AND (CASE {_FAILS} END)) AS poor_out
