@@ -7,6 +7,7 @@ scores are its sparse bucket counts times the matrix.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,16 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import in_pieces, settings
+from tallywork.llm.common import in_pieces, release, settings, staged
+from tallywork.operators.joins import bounded_join, row_bound
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
-# The classifier is fitted on at most this many labelled documents of each language, those of the lowest hash.
+# The classifier is fitted on at most this many labelled documents of each language: the keys are dealt into slices by a hash, and of
+# each slice those of the lowest hash are taken, so that no task sees a language as a whole.
 FIT_DOCUMENTS = 3000
+SLICES = 60
 DOCUMENTS_PER_TASK = 2000
-# More languages than this would make the matrix too large to broadcast (8 bytes each by BUCKETS).
-MAX_LANGUAGES = 512
+# Languages whose matrix is in a task at a time (256 KB each); more are scored one block after the other.
+LANGUAGES = 256
 UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _MULTIPLIER = np.uint32(0x9E3779B1)
@@ -70,37 +74,29 @@ def has_letter(text: str) -> bool:
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = FIT_DOCUMENTS) -> Model:
     """The model of the labelled rows of `docs`; rows with a null label or text say nothing.
 
-    At most `per_language` rows per language are read into the model, chosen by the hash of their key. Their counts are summed
-    per task first, so that one row per task, language and block of buckets is shuffled, and the driver gets one matrix.
+    At most `per_language` rows per language are read into the model, an equal number from each slice of keys; rows of equal key
+    and text are taken or left together, beyond that number if need be. Their counts are summed per task first, so that one row per task,
+    language and block of buckets is shuffled, and the driver gets one matrix, 256 KB a language.
     """
     settings(docs.sparkSession)
+    slices = max(1, min(SLICES, per_language))
+    sliced = F.pmod(F.xxhash64(key, F.lit(29)), F.lit(slices)).cast("int")
     rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    ranked = rows.select(key, F.col(label).alias("_label"), F.xxhash64(key, F.lit(17)).alias("_hash"))
-    order = Window.partitionBy("_label").orderBy("_hash", key)
-    # (hash, key) of the last chosen row of each language: the texts need no shuffle then
-    chosen = ranked.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_language)
-    last = chosen.groupBy("_label").agg(F.max("_hash").alias("_hash"), F.count("*").alias("_rows")).limit(MAX_LANGUAGES + 1).collect()
-    if len(last) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(row["_label"] for row in last)
-    if not languages:
+    rows = rows.select(F.col(label).alias("label"), F.col(text).alias("text"), sliced.alias("slice"), F.xxhash64(key, text, F.lit(17)).alias("hash"))
+    # the last hash taken of each language and slice: the texts need no shuffle then
+    lowest = Window.partitionBy("label", "slice").orderBy("hash")
+    chosen = rows.select("label", "slice", "hash").withColumn("place", F.row_number().over(lowest)).filter(F.col("place") <= per_language // slices)
+    last = staged(chosen.groupBy("label", "slice").agg(F.max("hash").alias("last"), F.count("*").alias("rows")), "language-sample")
+    sizes = last.agg(F.sum("rows")).first()[0]
+    if not sizes:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    limits = {row["_label"]: row["_hash"] for row in last}
-    wanted = F.lit(False)
-    for language in languages:
-        wanted = wanted | ((F.col(label) == language) & (F.xxhash64(key, F.lit(17)) <= F.lit(limits[language])))
+    sample = bounded_join(rows, last.drop("rows"), ["label", "slice"], "inner", row_bound(last)).filter("hash <= last")
     # few tasks, as each gives a whole column of the matrix per language
-    tasks = 1 + sum(row["_rows"] for row in last) // DOCUMENTS_PER_TASK
-    sample = rows.filter(wanted).select(F.col(label).alias("label"), F.col(text).alias("text")).repartition(tasks)
-    counts = _summed(sample)
-    matrix, priors = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
-    # languages times BUCKETS whole numbers at most
-    for row in counts.collect():
-        column = languages.index(row["label"])
-        matrix[:, column] = np.array(row["counts"], float)
-        priors[column] = row["rows"]
-    matrix += SMOOTHING
-    return Model(languages, np.log(matrix / matrix.sum(axis=0)), np.log(priors / priors.sum()))
+    counts = _summed(sample.select("label", "text").repartition(1 + sizes // DOCUMENTS_PER_TASK)).collect()
+    counts = sorted(counts, key=lambda row: row["label"])
+    matrix = np.array([row["counts"] for row in counts], float).T + SMOOTHING
+    priors = np.array([row["rows"] for row in counts], float)
+    return Model([row["label"] for row in counts], np.log(matrix / matrix.sum(axis=0)), np.log(priors / priors.sum()))
 
 
 def _summed(rows: DataFrame) -> DataFrame:
@@ -108,6 +104,7 @@ def _summed(rows: DataFrame) -> DataFrame:
     out = pa.schema([("label", pa.string()), ("rows", pa.int64()), ("counts", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sums: dict[str, list] = {}
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -141,32 +138,48 @@ def known_only(docs: DataFrame, model: Model, text: str = "text", least: float =
 
 
 def _scored(docs: DataFrame, model: Model, text: str, carried: tuple[str, ...]) -> DataFrame:
-    spark = settings(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((model.languages, model.log_likelihood, model.log_prior))
+    settings(docs.sparkSession)
     names = [f"c{i}" for i in range(len(carried))]
     at = f"c{carried.index(text)}" if text in carried else "t"
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(carried, names, strict=True)], *([docs[text].alias("t")] if at == "t" else []))
-    schema = rows.select(*names).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    # the best language so far, its log probability, and the sum of all probabilities in units of its own
+    rows = rows.withColumns({"lang_pred": F.lit(UNKNOWN), "best": F.lit(float("-inf")), "total": F.lit(0.0)})
+    for start in range(0, max(1, len(model.languages)), LANGUAGES):
+        block = slice(start, start + LANGUAGES)
+        part = Model(model.languages[block], np.ascontiguousarray(model.log_likelihood[:, block]), model.log_prior[block])
+        rows = _block_scored(staged(rows, "languages") if start else rows, part, at)
+    score = F.when(F.col("lang_pred") == UNKNOWN, F.lit(0.0)).otherwise(1 / F.col("total"))
+    return rows.select(*names, "lang_pred", score.alias("score"))
+
+
+def _block_scored(rows: DataFrame, model: Model, at: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.log_likelihood, model.log_prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known = Model(*shared.value)
         for batch in batches:
-            found = [_best(known, t) for t in batch.column(at).to_pylist()]
-            languages, scores = zip(*found, strict=True) if found else ((), ())
-            columns = [batch.column(c) for c in names] + [pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score"])
+            before = zip(*(batch.column(c).to_pylist() for c in (at, "lang_pred", "best", "total")), strict=True)
+            found = [_better(known, *row) for row in before]
+            kept = [batch.column(c) for c in batch.schema.names[:-3]]
+            columns = [pa.array([row[i] for row in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays(kept + columns, names=batch.schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema)
 
 
-def _best(model: Model, text: str | None) -> tuple[str, float]:
+def _better(model: Model, text: str | None, language: str, best: float, total: float) -> tuple[str, float, float]:
+    """The language so far or a better one of the model; of equal ones the first."""
     if not text or not model.languages or not has_letter(text):
-        return UNKNOWN, 0.0
+        return language, best, total
     counts = bucket_counts(text)
     seen = np.flatnonzero(counts)
     scores = counts[seen] @ model.log_likelihood[seen] + model.log_prior
-    best = int(scores.argmax())
-    return model.languages[best], float(1.0 / np.exp(scores - scores[best]).sum())
+    top = int(scores.argmax())
+    own = float(np.exp(scores - scores[top]).sum())
+    if scores[top] > best:
+        return model.languages[top], float(scores[top]), own + total * math.exp(best - scores[top])
+    return language, best, total + own * math.exp(scores[top] - best)
 
 
 def held_out(key: Column) -> Column:
