@@ -199,12 +199,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  NOT base_failed AND NOT EXISTS (SELECT 1 FROM s WHERE s.stratum IS NOT DISTINCT FROM b.stratum AND coalesce((CASE {_FAILS} END), false)) AS kept FROM b
 """
 OP2_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS vector FROM embeddings
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS vector FROM embeddings
  WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.vector) = 0 THEN 0 ELSE list_inner_product(q.vector, c.vector) END::BIGINT AS score
- FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.vector) = len(c.vector))
+p AS (SELECT q.place, q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.vector) = 0 THEN 0 ELSE list_inner_product(q.vector, c.vector) END::BIGINT AS score
+ FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id IS NOT NULL AND c.place <> q.place AND len(q.vector) = len(c.vector))
 SELECT query_id, rank::INT AS rank, vec_id, score FROM
- (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+ (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
 """
 _ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _LONGEST, _LEAST = collocations.Mining.longest, collocations.Mining.least

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import settings, staged
+from tallywork.llm.common import release, settings, staged
 
 # Candidates and queries of a block, the work of one task at a time.
 CANDIDATES = 4096
@@ -28,31 +28,32 @@ _BLOCK = ["dim", "candidates", "queries"]
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The `k` highest scores of each query: `query_id`, `rank` from 1, `vec_id`, `score`.
 
-    Both inputs have `vec_id` and `vector`, an array of doubles with whole values (products and sums below 2^53 are exact). All
-    vectors but those with the query's own id are candidates, fewer than `k` if there are no more. Ties go to the smaller id.
-    Rows with a null id or vector take no part, nor do pairs of different lengths. A repeated candidate row is a candidate of its
-    own, a repeated query id is one query, by its largest vector. Other columns are not read.
+    Both inputs have `vec_id` and `vector`, an array of doubles with whole values (products and sums below 2^53 are exact). Every row
+    of `vectors` but the query's own, one of its id and vector, is a candidate, fewer than `k` if there are no more. Ties go to the
+    smaller id. Rows with a null id or vector take no part, nor do pairs of different lengths. A repeated row is a candidate of its
+    own, and a query of its own with ranks from 1. Other columns are not read.
     """
     settings(vectors.sparkSession)
     vectors = vectors.select("vec_id", "vector").dropna().withColumn("dim", F.size("vector"))
-    queries = queries.select("vec_id", "vector").dropna().groupBy("vec_id").agg(F.max("vector").alias("vector"))
+    queries = queries.select("vec_id", "vector").dropna().withColumn("dim", F.size("vector"))
     vectors = staged(vectors, "topk-vectors")
-    queries = staged(queries.withColumn("dim", F.size("vector")), "topk-queries")
+    # queries are told apart by number, as ids may repeat; numbered once, on disk
+    queries = staged(queries.withColumn("query", F.monotonically_increasing_id()), "topk-queries")
     shards = vectors.count() // CANDIDATES + 1
     groups = queries.count() // QUERIES + 1
 
     # a block is a shard of the candidates with a group of the queries; each side is copied to its blocks
     shard = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int")
-    group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
+    group = F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")
     left = vectors.select("dim", shard.alias("candidates"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("queries"), "vec_id", "vector")
-    right = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("candidates"), group.alias("queries"), "vec_id", "vector")
+    right = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("candidates"), group.alias("queries"), "query", "vec_id", "vector")
 
     # no score lies beyond the product of the lengths; the interval [low, low + span) holds every score of a query
     longest = vectors.groupBy("dim").agg(F.max(_squares()).alias("longest"))
     reach = F.ceil(F.sqrt(F.col("longest") * _squares())) + 1
     span = (2 * reach + 1).cast("bigint")
     state = queries.join(longest, "dim").select(
-        "vec_id",
+        "query",
         (-reach).cast("bigint").alias("low"),
         span.alias("span"),
         F.ceil(span / BINS).cast("bigint").alias("width"),
@@ -62,10 +63,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     while state.filter("width > 0").limit(1).count():
         found = _narrowed(left, right, state.filter("width > 0"), k)
         state = staged(found.unionByName(state.filter("width = 0")), "topk-state")
-    hits = _blocks(left, right, state, lambda scores, ids, low, span, width: _reaching(scores, ids, low, k), "query_id BIGINT, vec_id BIGINT, score BIGINT")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    hits = _blocks(left, right, state, lambda scores, ids, low, span, width: _reaching(scores, ids, low, k), "query BIGINT, vec_id BIGINT, score BIGINT")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    asked = queries.select("query", F.col("vec_id").alias("query_id"))
+    return ranked.join(asked, "query").select("query_id", "rank", "vec_id", "score")
 
 
 def _squares() -> Column:
@@ -77,11 +79,11 @@ def _narrowed(left: DataFrame, right: DataFrame, state: DataFrame, k: int) -> Da
 
     A query with fewer than `k` candidates ends at the lowest bin counted, so that all are taken.
     """
-    counts = _blocks(left, right, state, lambda scores, ids, low, span, width: _histogram(scores, low, span, width, k), "query_id BIGINT, bin BIGINT, n BIGINT")
-    counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-    above = Window.partitionBy("query_id").orderBy(F.desc("bin"))
-    counts = counts.withColumn("up_to", F.sum("n").over(above)).withColumn("last", F.min("bin").over(Window.partitionBy("query_id")))
-    joined = counts.join(state, counts["query_id"] == state["vec_id"])
+    counts = _blocks(left, right, state, lambda scores, ids, low, span, width: _histogram(scores, low, span, width, k), "query BIGINT, bin BIGINT, n BIGINT")
+    counts = counts.groupBy("query", "bin").agg(F.sum("n").alias("n"))
+    above = Window.partitionBy("query").orderBy(F.desc("bin"))
+    counts = counts.withColumn("up_to", F.sum("n").over(above)).withColumn("last", F.min("bin").over(Window.partitionBy("query")))
+    joined = counts.join(state, "query")
     holds = (F.col("up_to") >= F.col("missing")) & (F.col("up_to") - F.col("n") < F.col("missing"))
     short = (F.col("up_to") < F.col("missing")) & (F.col("bin") == F.col("last"))
     found = joined.filter(holds | short)
@@ -90,7 +92,7 @@ def _narrowed(left: DataFrame, right: DataFrame, state: DataFrame, k: int) -> Da
     width = F.when(F.col("width") == 1, F.lit(0)).otherwise(F.ceil(F.col("width") / BINS)).cast("bigint")
     # those short of candidates take every score, whatever their interval
     return found.select(
-        "vec_id",
+        "query",
         F.when(short, F.lit(-(1 << 62))).otherwise(low).alias("low"),
         F.col("width").alias("span"),
         F.when(short, F.lit(0)).otherwise(width).alias("width"),
@@ -133,20 +135,26 @@ def _reaching(scores: np.ndarray, ids: np.ndarray, low: np.ndarray, k: int) -> t
 
 
 def _blocks(left: DataFrame, right: DataFrame, state: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """Scores of every block, handed to `work`; rows are the query's id and what `work` returns."""
-    queries = right.join(state, "vec_id")
+    """Scores of every block, handed to `work`; rows are the query's number and what `work` returns."""
+    queries = right.join(state, "query")
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(candidates: pa.Table, asked: pa.Table) -> pa.Table:
+        release()
         columns = [np.zeros(0, np.int64)] * len(names)
         if candidates.num_rows and asked.num_rows:
             ids, own = candidates.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
             dim = asked.column("dim")[0].as_py()
-            scores = _matrix(asked, dim) @ _matrix(candidates, dim).T
-            # a query is no candidate of its own: below every interval and threshold
-            scores[own[:, None] == ids[None, :]] = -np.inf
+            these, those = _matrix(asked, dim), _matrix(candidates, dim)
+            scores = these @ those.T
+            # a query is no candidate of its own: below every interval and threshold. Equal rows are in one block
+            done = set()
+            for q, c in zip(*np.nonzero(own[:, None] == ids[None, :]), strict=True):
+                if q not in done and (these[q] == those[c]).all():
+                    scores[q, c] = -np.inf
+                    done.add(q)
             values, rows = work(scores, ids, *(asked.column(c).to_numpy() for c in ("low", "span", "width")))
-            columns = [own[rows], *values]
+            columns = [asked.column("query").to_numpy()[rows], *values]
         return pa.table({name: pa.array(column, pa.int64()) for name, column in zip(names, columns, strict=True)})
 
     return left.groupBy(*_BLOCK).cogroup(queries.groupBy(*_BLOCK)).applyInArrow(run, schema)
