@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import in_pieces, settings, staged
+from tallywork.llm.common import in_pieces, release, settings, staged
 from tallywork.operators.joins import bounded_join, row_bound
 
 # Above this length, a digest stands for all of a path but its last element, and for the classes of an element.
@@ -49,17 +49,29 @@ INLINE = frozenset(
 CONTAINERS = frozenset("article body div main section td".split())
 # Blocks that belong to the article where it lies open in the page's frame.
 FLOW = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that only the frame of a page holds around the article.
 FURNITURE = frozenset("footer header menu nav".split())
 # Elements whose text is never the article's.
 OUTSIDE = frozenset("aside button dialog footer form head menu nav".split())
 # Words in a class, id or role that mark something beside the article. Whole words between non-letters.
-_BESIDE = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|complementary|"
-    r"consent|contentinfo|cookie|cookies|disqus|footer|form|menu|menubar|nav|navbar|navigation|newsletter|notice|"
-    r"notices|pager|pagination|popup|promo|promoted|promotion|related|replies|reply|responses|search|share|sharing|sidebar|sidebars|"
-    r"signup|social|sponsor|sponsored|subscribe|tags|toolbar|widget|widgets)(?:$|[^a-z])"
+_WORDS = (
+    "ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|complementary|"
+    "consent|contentinfo|cookie|cookies|disqus|footer|form|menu|menubar|nav|navbar|navigation|newsletter|notice|"
+    "notices|pager|pagination|popup|promo|promoted|promotion|related|replies|reply|responses|search|share|sharing|sidebar|sidebars|"
+    "signup|social|sponsor|sponsored|subscribe|tags|toolbar|widget|widgets"
 )
+_BESIDE = re.compile(rf"(?:^|[^a-z])(?:{_WORDS})(?:$|[^a-z])")
+# Inside the article a name has to consist of such words, and of those for shape and place: `related-posts` is none of its text,
+# `related-work` may well be.
+_SHAPES = (
+    "above|area|articles|bar|below|block|body|bottom|box|button|buttons|card|cards|center|col|column|container|content|count|counts|entry|group|head|"
+    "header|heading|icons|inline|inner|item|items|left|links|list|main|media|meta|new|news|outer|panel|post|posts|right|row|section|side|site|slot|"
+    "small|stories|story|text|thread|title|top|unit|wrap|wrapper"
+)
+_ONLY_BESIDE = re.compile(rf"(?=.*?(?:^|[^a-z])(?:{_WORDS})(?:$|[^a-z]))(?:(?:{_WORDS}|{_SHAPES}|[a-z])(?:[^a-z]+|$))+")
+# A single such id is often the anchor of a section; these are always meant.
+_ANCHORS = frozenset("ad banner consent cookie form menu notice notices pager promotion related reply replies responses search share sharing social sponsor tags widgets".split())
 # These mark the head of a page, but inside the article its title.
 _HEADS = re.compile(r"(?:^|[^a-z])(?:header|masthead)(?:$|[^a-z])")
 _FRAMES = re.compile(r"\b(?:contentinfo|footer|header|masthead|menu|menubar|nav|navbar|navigation)\b")
@@ -90,6 +102,23 @@ def _joined(path: str, tag: str, words: str) -> str:
     return (path if len(path) + len(step) <= PATH_LENGTH else _digest(path)) + step
 
 
+def _names_beside(name: str, value: str, tag: str, outer: bool) -> bool:
+    """Whether a class, id or role says that an element is beside the article. Headings and the page's own frame never say so.
+
+    Outside the article any word will do. Inside it, and for blocks of running text anywhere, every part of a name has to fit, and
+    an id alone may be an anchor: `search` on a section is a place in the text, `comments` is not.
+    """
+    if tag in ("html", "body", "article", "main") or tag in HEADINGS:
+        return False
+    if outer and tag not in FLOW:
+        return bool(_BESIDE.search(value) or _HEADS.search(value))
+    if name == "role":
+        return any(_ONLY_BESIDE.fullmatch(role) for role in value.split())
+    if name == "id" and (tag in FLOW or value.strip() in _ANCHORS):
+        return False
+    return any(_ONLY_BESIDE.fullmatch(_DIGITS.sub("", part).strip("-_")) for part in value.split())
+
+
 def _element(tag: str, more: str, parent: Element) -> Element:
     beside, words = tag in OUTSIDE, ""
     # a header of the page is outside, one inside the article holds its title
@@ -100,9 +129,7 @@ def _element(tag: str, more: str, parent: Element) -> Element:
             name, value = name.lower(), values[0] or values[1] or values[2]
             if name in ("class", "id", "role"):
                 value = _CAMEL.sub("-", value).lower()
-                beside = beside or tag not in ("html", "body", "article", "main") and bool(
-                    _BESIDE.search(value) or outer and _HEADS.search(value)
-                )
+                beside = beside or _names_beside(name, value, tag, outer)
                 # classes of the whole page tell pages apart, not places in them
                 if name == "class" and tag not in ("html", "body"):
                     words = ".".join(sorted(_DIGITS.sub("", value).split()))
@@ -116,7 +143,7 @@ def _element(tag: str, more: str, parent: Element) -> Element:
 def parse(html: str) -> Element:
     """The tree of a page, forgiving as browsers are: unclosed elements end with what holds them, stray ends are skipped."""
     root = Element("", "", False)
-    stack, at = [root], 0
+    stack, at, anchored = [root], 0, []
     for match in _TOKEN.finditer(html):
         if match.start() > at:
             stack[-1].parts.append(html[at : match.start()])
@@ -153,6 +180,8 @@ def parse(html: str) -> Element:
                 if stack[depth].tag not in INLINE:
                     break
         element = _element(tag, more, stack[-1])
+        if element.within and not element.beside and tag in ("div", "section", "ul") and _anchored(more):
+            anchored.append(element)
         stack[-1].parts.append(element)
         if not more.rstrip().endswith("/") or tag in CONTAINERS or tag in ("p", "a"):
             stack.append(element)
@@ -160,9 +189,31 @@ def parse(html: str) -> Element:
         tail = html[at:]
         # a page cut off inside a tag ends before it
         stack[-1].parts.append(tail[: m.start()] if (m := re.search(r"<[/!?a-zA-Z][^>]*\Z", tail)) else tail)
+    for element in anchored:
+        element.beside = _mostly_links(element)
     return root
 
 
+def _anchored(more: str) -> bool:
+    """Whether an id names furniture or a section called so; what it holds will tell."""
+    return any(name.lower() == "id" and (a or b or c).strip().lower() in _ANCHORS for name, a, b, c in _NAMES.findall(more))
+
+
+def _mostly_links(element: Element) -> bool:
+    letters = linked = 0
+    todo = [(element, False)]
+    while todo:
+        here, link = todo.pop()
+        link = link or here.tag == "a"
+        for part in here.parts:
+            if isinstance(part, str):
+                size = len("".join(part.split()))
+                letters, linked = letters + size, linked + size * link
+            else:
+                todo.append((part, link))
+    return 2 * linked > letters
+
+
 def text_of(element: Element, left_out: frozenset[int] | set[int] = frozenset()) -> str:
     """Text of an element without what stands beside the article and the elements (by `id`) `left_out`: references decoded, white
     space as one blank, trimmed."""
@@ -351,6 +402,8 @@ def votes(pages: DataFrame) -> DataFrame:
     out = pa.schema([("host", pa.string()), ("path", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
@@ -383,6 +436,8 @@ def extract(pages: DataFrame) -> DataFrame:
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for page_id, url, html, path in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "path")), strict=True):
