@@ -30,9 +30,8 @@ def is_unstable(text: str) -> bool:
 
 
 IDS = np.dtype("<u4")
-# Bytes per generation of a cache, what an entry takes besides its text and ids, and the longest segment kept.
-CACHE_BYTES = 48 << 20
-ENTRY_BYTES = 190
+# Segments per generation of a cache, and the longest segment kept. With its ids an entry takes some 200 bytes, 1,000 at most.
+CACHE_ROOM = 250_000
 CACHE_LENGTH = 48
 
 
@@ -53,7 +52,7 @@ def cut(text: str) -> list[str]:
     parts = text.split(" ")
     # a part that is empty or starts with white space belongs to the part before it; a single character is found fast
     white = _ASCII_WHITE if text.isascii() else _OTHER_WHITE
-    if "" not in parts and not any(" " + c in text for c in white if c in text):
+    if "  " not in text and text[0] != " " != text[-1] and not any(" " + c in text for c in white if c in text):
         return parts
     glued = parts[:1]
     for part in parts[1:]:
@@ -65,22 +64,22 @@ def cut(text: str) -> list[str]:
 
 
 class SegmentCache(dict):
-    """Packed ids of segments, in two generations of bounded bytes: when the newer is full, the older is forgotten."""
+    """Packed ids of segments, in two generations of bounded size: when the newer is full, the older is forgotten."""
 
-    def __init__(self, encode: Callable[[str], bytes], room: int = CACHE_BYTES):
+    def __init__(self, encode: Callable[[str], bytes], room: int = CACHE_ROOM):
         super().__init__()
-        self._encode, self._room, self._older, self._held = encode, room, {}, 0
+        self._encode, self._room, self._older = encode, room, {}
 
     def __missing__(self, segment: str) -> bytes:
         packed = self._older.get(segment)
         if packed is None:
             packed = self._encode(segment)
-        if len(segment) <= CACHE_LENGTH:
-            if self._held >= self._room:
-                self._older, self._held = dict(self), 0
-                self.clear()
-            self[segment] = packed
-            self._held += ENTRY_BYTES + len(segment) + len(packed)
+            if len(segment) > CACHE_LENGTH:
+                return packed
+        if len(self) >= self._room:
+            self._older = dict(self)
+            self.clear()
+        self[segment] = packed
         return packed
 
 
@@ -92,11 +91,11 @@ class TextEncoder:
     """
 
     def __init__(
-        self, match: Callable[[str], list[str]], encode: Callable[[str], bytes], word: Callable[[str], bytes], room: int = CACHE_BYTES
+        self, match: Callable[[str], list[str]], encode: Callable[[str], bytes], word: Callable[[str], bytes], room: int = CACHE_ROOM
     ):
         self._match, self._encode, self._word = match, encode, word
         self._cache = SegmentCache(self._spaced, room)
-        self._starts = SegmentCache(self._start, room // 8)
+        self._starts = SegmentCache(self._start, room // 3 + 1)
         self._bare: dict[str, bytes] = {}
 
     def _spaced(self, word: str) -> bytes:
