@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import BATCH_BYTES, forget, settings, staged
+from tallywork.llm.common import BATCH_BYTES, forget, release, settings, staged
 
 WORDS = 5
 THRESHOLD = Fraction(4, 5)
@@ -132,13 +132,15 @@ def content_key(text: Column) -> Column:
 
 
 def content_id(doc_id: Column, key: Column) -> Column:
-    """Bytes in order of (doc_id, key), as two contents may have the same doc_id."""
-    return F.unhex(F.concat(F.lpad(F.hex(doc_id.cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.hex(key)))
+    """Bytes in order of (doc_id, key), as two contents may have the same doc_id; without a doc_id behind all others."""
+    number = F.lpad(F.hex(doc_id.cast("bigint").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.unhex(F.concat(F.coalesce(F.concat(F.lit("00"), number), F.lit("01" + 16 * "0")), F.hex(key)))
 
 
 def lowest_doc_id(content: Column) -> Column:
-    """The doc_id in a content's id."""
-    return F.conv(F.hex(F.substring(content, 1, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(2**63)))
+    """The doc_id in a content's id, null if it has none."""
+    number = F.conv(F.hex(F.substring(content, 2, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(2**63)))
+    return F.when(F.substring(content, 1, 1) == F.unhex(F.lit("00")), number)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -168,6 +170,8 @@ def _first_paths(docs: DataFrame, runs: int) -> DataFrame:
     out = pa.schema([("path", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+
         def each() -> Iterator[tuple]:
             seen: set[bytes] = set()
             for batch in batches:
@@ -191,6 +195,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     out = pa.schema([("key", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             tokens = [pack(shingles(text)) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.binary()), pa.array(tokens, pa.binary())], schema=out)
@@ -204,6 +209,8 @@ def _extended(rows: DataFrame, sets: DataFrame) -> DataFrame:
     out = pa.schema([("parent", pa.int64()), ("path", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for key, paths, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "paths", "tokens")), strict=True):
@@ -259,6 +266,8 @@ def _compared(rows: DataFrame) -> DataFrame:
     out = pa.schema([("id", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+
         def buckets() -> Iterator[list[tuple]]:
             held: list[tuple] = []
             for batch in batches:
@@ -383,18 +392,18 @@ def join(docs: DataFrame, target: float = TARGET) -> DataFrame:
     `n_links` counts the other rows whose text has a Jaccard similarity of at least 0.8 by sets of word 5-grams; rows of equal
     text are linked. `class_id` is the lowest doc_id among all that hang together by links, the own doc_id if there is no link. A
     text without a word (null, empty, white space) has no n-gram and is linked with nothing; a text of fewer than five words is
-    one n-gram. Rows without a doc_id are returned with a null class and no links and are nobody's partner. Other columns are
-    not read. Rows of one doc_id and different texts are different contents.
+    one n-gram. Rows without a doc_id are partners like all others; their class is null if none of it has a doc_id. Other columns
+    are not read. Rows of one doc_id and different texts are different contents.
     """
     return _classes(docs, target).select("doc_id", "class_id", "n_links")
 
 
 def _classes(docs: DataFrame, target: float) -> DataFrame:
     """The rows of `join` with `row_key`, which tells texts apart, and `first`: whether the text is the first of its class and the
-    row has its lowest doc_id."""
+    row has its lowest doc_id (none, if nothing in the class has one), or the text has no word."""
     settings(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    keyed = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", content_key(F.col("text")).alias("key"), "text").filter("key IS NOT NULL")
+    keyed = docs.select("doc_id", content_key(F.col("text")).alias("key"), "text").filter("key IS NOT NULL")
     texts = keyed.select("key", "text")
     runs = runs_for(target, THRESHOLD, BRANCHING)
 
@@ -435,14 +444,14 @@ def _classes(docs: DataFrame, target: float) -> DataFrame:
     root = F.coalesce("root", "id")
     n_links = F.coalesce("links", F.lit(0)) + F.col("weight") - 1
     classes = classes.select("key", lowest_doc_id(root).alias("class_id"), (root == F.col("id")).alias("_first"), n_links.alias("n_links"))
-    rows = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), content_key(F.col("text"))).alias("key"), row_key(F.col("text")).alias("row_key"))
-    alone = F.col("doc_id").isNotNull() & F.col("key").isNull()
+    rows = docs.select("doc_id", content_key(F.col("text")).alias("key"), row_key(F.col("text")).alias("row_key"))
+    first = F.coalesce(F.col("_first") & F.col("class_id").eqNullSafe(F.col("doc_id")), F.lit(False))
     return rows.join(classes, "key", "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         "row_key",
-        (alone | F.coalesce(F.col("_first") & (F.col("class_id") == F.col("doc_id")), F.lit(False))).alias("first"),
+        (F.col("key").isNull() | first).alias("first"),
     )
 
 
@@ -454,11 +463,12 @@ def row_key(text: Column) -> Column:
 def deduplicated(docs: DataFrame, target: float = TARGET) -> DataFrame:
     """The rows of `docs` of the lowest (doc_id, text by its hash) of their class, one of each; their columns are unchanged.
 
-    Rows without a doc_id stay, as they are in no class.
+    A class without any doc_id keeps one row too. Rows with neither doc_id nor word are in no class and stay.
     """
-    firsts = _classes(docs, target).filter("first").select("doc_id", "row_key").distinct()
+    firsts = _classes(docs, target).filter("first").select(F.col("doc_id").alias("_id"), "row_key").distinct()
     whole = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
-    rows = docs.select("doc_id", row_key(docs["text"]).alias("row_key"), whole)
-    kept = rows.join(firsts, ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"]).select("doc_id", "_row")
-    kept = kept.unionByName(rows.filter(F.col("doc_id").isNull()).select("doc_id", "_row"))
+    rows = docs.select("doc_id", row_key(docs["text"]).alias("row_key"), content_key(docs["text"]).isNull().alias("wordless"), whole)
+    loose = F.col("wordless") & F.col("doc_id").isNull()
+    kept = rows.filter(~loose).join(firsts, (rows["row_key"] == firsts["row_key"]) & rows["doc_id"].eqNullSafe(firsts["_id"]), "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "row_key"]).select("_row").unionByName(rows.filter(loose).select("_row"))
     return kept.select(*[F.col(f"_row.c{i}").alias(name) for i, name in enumerate(docs.columns)])
