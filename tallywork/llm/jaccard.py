@@ -410,10 +410,11 @@ def _classes(docs: DataFrame, target: float) -> DataFrame:
     first = staged(_first_paths(texts, runs), "first-paths")
     # paths of more than one content; lowest and highest key tell without a list
     met = first.groupBy("path").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("path")
-    paths = staged(first.join(met, "path", "left_semi").distinct(), "met-paths")
+    # joins of what grows with the corpus are never broadcasts, however few the rows: the plan is the same at every size
+    paths = staged(first.join(met.hint("merge"), "path", "left_semi").distinct(), "met-paths")
     forget(first)
     wanted = staged(paths.select("key").distinct(), "met-keys")
-    # one text of each content that meets another; these grow with the corpus, so they are never broadcast, however few
+    # one text of each content that meets another
     kept = texts.join(wanted.hint("merge"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     sets = staged(_sets(kept), "sets")
 
@@ -424,11 +425,11 @@ def _classes(docs: DataFrame, target: float) -> DataFrame:
     )
     once = same.groupBy("n", "a", "b").agg(F.min("path").alias("path")).select("path")
     contents = staged(keyed.groupBy("key").agg(content_id(F.min("doc_id"), F.col("key")).alias("id"), F.count("*").alias("weight")), "contents")
-    buckets = staged(buckets.join(once, "path", "left_semi").join(contents, "key").select("path", "key", "size", "id", "weight"), "buckets-once")
+    buckets = staged(buckets.join(once.hint("merge"), "path", "left_semi").join(contents.hint("merge"), "key").select("path", "key", "size", "id", "weight"), "buckets-once")
 
-    earlier = buckets.groupBy("key").agg(F.collect_list("path").alias("earlier")).join(sets, "key")
+    earlier = buckets.groupBy("key").agg(F.collect_list("path").alias("earlier")).join(sets.hint("merge"), "key")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = buckets.join(earlier, "key").withColumn("_parts", F.when(F.col("size") > SMALL, parts).otherwise(F.lit(1)))
+    rows = buckets.join(earlier.hint("merge"), "key").withColumn("_parts", F.when(F.col("size") > SMALL, parts).otherwise(F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int"))
     rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     rows = rows.select(
