@@ -3,12 +3,14 @@
 Patterns meet the distinct values of a column and not the postings. A pattern without wildcards is found by the value itself, any other
 by the first letters of its longest stretch without wildcards, which are among the stretches of every value it can match; what meets
 is then compared in full. Patterns without such a stretch meet all values, in blocks. Of a request's conditions the one with the
-fewest postings fetches them, the others are checked on the rows, and only the first rows of each request go on. So the plan has one
-size for all numbers of requests, no request is looped over, and no id passes through the driver.
+fewest postings fetches them, the others are checked on the rows, and only the first rows of each request go on. Postings are looked
+at from the first on, in rounds that grow, by the requests that still lack some. So the plan has one size for all numbers of requests,
+no request is looped over, and no id passes through the driver.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from tallywork.operators.filters import LISTING
 from tallywork.operators.ranking import top_n, top_per_key
 from tallywork.plans.analytics import TEMPLATES, mean_of, run_template
-from tallywork.session import cut_lineage
+from tallywork.session import cut_lineage, shared_folder
 
 # Lengths of the stretches that patterns are found by, the longest that fits first.
 STRETCHES = (8, 5, 3)
@@ -26,6 +28,10 @@ STRETCHES = (8, 5, 3)
 BLOCK = 256
 # Copies of the patterns that meet every value, so that these are spread over tasks.
 SALTS = 16
+# Postings that the first round looks at, and how many times as many the next one does.
+FIRST_ROUND, GROWTH = 1024, 8
+# Stretches of upper ends of salaries.
+STRETCHES_OF_PAY = 256
 TEXTS = ("title", "company", "location", "job_type")
 CONDITIONS = (*TEXTS, "skill", "low", "high")
 
@@ -100,8 +106,14 @@ def without_empty(requests: DataFrame) -> DataFrame:
     return requests.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in (*TEXTS, "skill")})
 
 
-def matches(jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """The text conditions of all requests: `request`, `column`, `pattern`, `value` (of the postings) and `n` postings with it.
+def _conditions(requests: DataFrame) -> DataFrame:
+    """(request, column, pattern): the text conditions of all requests."""
+    asked = requests.select("request", _long(requests, (*TEXTS, "skill"), "pattern").alias("c")).select("request", "c.*")
+    return asked.filter("pattern IS NOT NULL")
+
+
+def matching_values(jobs: DataFrame, conditions: DataFrame) -> DataFrame:
+    """The distinct conditions: `column`, `pattern`, `value` (of the postings) and `n` postings with it.
 
     A skill is asked for the other way round: the posting's skill is the pattern.
     """
@@ -109,57 +121,139 @@ def matches(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     counted = counted.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     skills = jobs.select(F.explode(F.array_distinct("skills")).alias("value")).filter("value IS NOT NULL")
     skills = skills.groupBy("value").agg(F.count(F.lit(1)).alias("n")).select(F.lit("skill").alias("column"), "value", "n")
-    asked = requests.select("request", _long(requests, (*TEXTS, "skill"), "pattern").alias("c")).select("request", "c.*").filter("pattern IS NOT NULL")
-    wanted = asked.select("column", "pattern").distinct()
+    wanted = conditions.select("column", "pattern").distinct()
     texts = like_pairs(counted.select("column", "value"), wanted.filter("column <> 'skill'"))
     turned = like_pairs(
         wanted.filter("column = 'skill'").withColumnRenamed("pattern", "value"), skills.select("column", F.col("value").alias("pattern"))
     ).select("column", F.col("pattern").alias("value"), F.col("value").alias("pattern"))
-    found = texts.unionByName(turned).join(counted.unionByName(skills), ["column", "value"])
-    return asked.join(found, ["column", "pattern"])
+    return texts.unionByName(turned).join(counted.unionByName(skills), ["column", "value"])
+
+
+def matches(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """The text conditions of all requests: `request`, `column`, `pattern`, `value` (of the postings) and `n` postings with it."""
+    asked = _conditions(requests)
+    return asked.join(matching_values(jobs, asked), ["column", "pattern"])
 
 
 # ---- postings of requests ------------------------------------------------------------------------
 
 
-def postings_of(jobs: DataFrame, requests: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The columns of `requests` with every posting, as `job`, that meets all conditions of the request.
+def first_of(jobs: DataFrame, requests: DataFrame, order: list[Column], n: int, found: DataFrame | None = None) -> DataFrame:
+    """The first `n` postings in `order` that meet all conditions of a request: its columns, `job` and `pos` from 1.
 
     `requests` has a `request` that tells them apart and CONDITIONS: patterns for ILIKE, a skill, and bounds inside which a posting's
     range must lie; conditions that are null are not asked for. A request without any has no postings. `found` are the matches of the
     requests if they are known.
+
+    The postings are stored in `order` and looked at in rounds, each GROWTH times as many as before. A request that has its `n` is left
+    out of the further rounds, so that it meets a few times `n` postings and not all that fit. Requests with the same conditions are one
+    kind, and kinds with the same texts, which differ in their bounds, fetch their postings together.
     """
-    found = cut_lineage(matches(jobs, requests)) if found is None else found
-    # of the conditions the one with the fewest postings
-    sums = found.groupBy("request", "column").agg(F.sum("n").alias("n"))
-    rarest = sums.groupBy("request").agg(F.min_by("column", F.struct("n", "column")).alias("column"))
-    given = F.size(F.array_compact(F.array(*TEXTS, "skill")))
-    by_text = requests.filter(given > 0).join(rarest, "request")
-    by_text = by_text.join(found.select("request", "column", "value"), ["request", "column"])
+    spark = jobs.sparkSession
+    folder = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+
+    def step(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    texts = (*TEXTS, "skill")
+    given = F.size(F.array_compact(F.array(*texts)))
     narrow = jobs.select("id", F.coalesce("skills", F.array().cast("array<string>")).alias("skills"), "fetched_at", *LISTING)
+    stored = step(narrow.sort(*order).withColumn("place", F.monotonically_increasing_id()), "postings")
+    # one row per task of the sort; a place is its number and the position in it
+    parts = stored.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count(F.lit(1)), F.max("min_salary"), F.min("max_salary"))
+    parts = sorted(parts.collect())
+    most = max((float(p[2]) for p in parts if p[2] is not None), default=None)
+    least = min((float(p[3]) for p in parts if p[3] is not None), default=None)
+
+    asked = requests.select(*CONDITIONS).filter(F.coalesce(*[F.col(c).cast("string") for c in CONDITIONS]).isNotNull()).distinct()
+    groups = step(asked.select(*texts).distinct().select("*", _same(*texts).alias("_texts"), F.monotonically_increasing_id().alias("group")), "groups")
+    kinds = asked.select("*", _same(*texts).alias("_texts"), _same(*CONDITIONS).alias("_kind")).join(groups.select("_texts", "group"), "_texts")
+    kinds = step(kinds.select("_kind", "group", "low", "high").withColumn("kind", F.monotonically_increasing_id()), "kinds")
+
+    conditions = _conditions(groups.withColumnRenamed("group", "request"))
+    pairs = matching_values(stored, conditions) if found is None else found.select("column", "pattern", "value", "n").distinct()
+    met = step(conditions.join(pairs, ["column", "pattern"]).withColumnRenamed("request", "group"), "matches")
+    # of the conditions the one with the fewest postings; without any for one of them there is no answer
+    sums = met.groupBy("group", "column").agg(F.sum("n").alias("n"))
+    rarest = sums.groupBy("group").agg(F.min_by("column", F.struct("n", "column")).alias("column"), F.count(F.lit(1)).alias("_met"))
+    by_text = groups.join(rarest, "group").filter(F.col("_met") == given).select("group", *texts, "column")
+    by_text = step(by_text.join(met.select("group", "column", "value"), ["group", "column"]), "by_text")
+    bare = groups.filter(given == 0).select("group")
+
+    possible = by_text.select("group").distinct().unionByName(bare)
+    left = kinds.select("kind", "group", "low", "high").join(possible, "group", "left_semi")
+    left = left.filter(F.col("low").isNull() | (F.col("low") <= F.lit(most).cast("double")))
+    left = step(left.filter(F.col("high").isNull() | (F.col("high") >= F.lit(least).cast("double"))), "left")
+
+    total, begin, size, rounds = sum(p[1] for p in parts), 0, FIRST_ROUND, 0
+    places = spark.createDataFrame([], "kind BIGINT, place BIGINT")
+    while begin < total and not left.isEmpty():
+        rows = stored.filter((F.col("place") >= _place(parts, begin)) & (F.col("place") < _place(parts, begin + size)))
+        best = top_per_key(_met_in(rows, left, by_text, bare), ["kind"], [F.asc("place")], n)
+        best.write.parquet(f"{folder}/places/round={rounds}")
+        places = spark.read.schema("kind BIGINT, place BIGINT, round INT").parquet(f"{folder}/places").drop("round")
+        begin, size, rounds = begin + size, size * GROWTH, rounds + 1
+        if begin < total:
+            done = places.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= n)
+            left = step(left.join(done, "kind", "left_anti"), f"left_{rounds}")
+
+    best = top_per_key(places, ["kind"], [F.asc("place")], n)
+    # equal rows of a request stand for one each, and with texts for one per pair of them, of which no more than n are of use
+    rows = requests.filter((given == 0) | F.col("request").isNotNull()).groupBy(*requests.columns).agg(F.count(F.lit(1)).alias("_times"))
+    times = F.least(F.when(given > 0, F.col("_times") * F.col("_times")).otherwise(F.col("_times")), F.lit(n)).cast("int")
+    rows = rows.withColumn("_times", F.explode(F.array_repeat(F.lit(0), times))).withColumn("_kind", _same(*CONDITIONS))
+    rows = rows.join(kinds.select("_kind", "kind"), "_kind").drop("_kind", "_times").join(best, "kind").drop("kind")
+    rows = top_per_key(rows, ["request"], [F.asc("place")], n, rank="pos")
+    wanted = stored.select("place", F.struct(*narrow.columns).alias("job"))
+    return rows.join(wanted, "place").select(*requests.columns, "job", "pos")
+
+
+def _same(*columns: str) -> Column:
+    """Equal for rows that are equal in these columns."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def _place(parts: list, position: int) -> int:
+    """The place of the posting at a position from 0, behind all places if there is none."""
+    for part, count, *_ in parts:
+        if position < count:
+            return (part << 33) + position
+        position -= count
+    return 1 << 62
+
+
+def _met_in(jobs: DataFrame, kinds: DataFrame, by_text: DataFrame, bare: DataFrame) -> DataFrame:
+    """(kind, place): every one of these postings for every kind whose conditions it meets.
+
+    Texts are looked at once per group. Groups of more than BLOCK kinds have their postings spread over SALTS tasks, each with a copy of
+    the kinds. `bare` is the group without texts, if there is one.
+    """
+    many = F.count(F.lit(1))
+    sizes = kinds.groupBy("group").agg(F.ceil(many / BLOCK).alias("_blocks"), F.when(many > BLOCK, SALTS).otherwise(1).alias("_salts"))
+    blocks = kinds.join(sizes, "group").withColumn("_block", F.pmod(F.xxhash64("kind"), F.col("_blocks")))
+    blocks = blocks.groupBy("group", "_salts", "_block").agg(F.collect_list(F.struct("kind", "low", "high")).alias("kinds"))
+    blocks = blocks.select("group", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), "kinds")
+
     values = F.concat(
         F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in TEXTS]),
         F.transform(F.array_distinct("skills"), lambda s: F.struct(F.lit("skill").alias("column"), s.alias("value"))),
     )
-    keyed = narrow.select(F.struct(*narrow.columns).alias("job"), F.explode(values).alias("c")).select("job", "c.*")
-    met = keyed.join(by_text, ["column", "value"])
+    pay = ["place", "min_salary", "max_salary"]
+    job = F.struct(*pay, *TEXTS, "skills").alias("job")
+    met = jobs.select(job, F.explode(values).alias("c")).select("job", "c.*").join(by_text.join(sizes, "group"), ["column", "value"])
     # more than one skill of a posting may meet the one asked for
     first = F.get(F.filter(F.col("job.skills"), lambda s: _like(F.col("skill"), s)), 0)
-    met = met.filter((F.col("column") != "skill") | (F.col("value") == first)).drop("column", "value")
-
-    # by salary alone: requests in blocks, each posting gives those it meets
-    alone = requests.filter((given == 0) & (F.col("low").isNotNull() | F.col("high").isNotNull()))
-    n_blocks = F.lit(alone.count() // BLOCK)
-    blocks = alone.groupBy(F.pmod(F.xxhash64("request"), n_blocks + 1).alias("block")).agg(F.collect_list(F.struct(*requests.columns)).alias("requests"))
-    paid = narrow.filter("min_salary IS NOT NULL OR max_salary IS NOT NULL")
-    paid = paid.select(F.struct(*narrow.columns).alias("job"), F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks.cast("bigint"))).alias("block"))
-    inside = F.filter("requests", lambda r: _within(F.col("job"), r["low"], r["high"]))
-    by_pay = paid.join(blocks, "block").select("job", F.explode(inside).alias("r")).select("job", "r.*")
-
-    texts = [F.col(c).isNull() | F.coalesce(_like(F.col(f"job.{c}"), F.col(c)), F.lit(False)) for c in TEXTS]
+    met = met.filter((F.col("column") != "skill") | (F.col("value") == first))
+    checks = [F.col(c).isNull() | (F.col("column") == c) | F.coalesce(_like(F.col(f"job.{c}"), F.col(c)), F.lit(False)) for c in TEXTS]
     skilled = F.col("skill").isNull() | F.exists(F.col("job.skills"), lambda s: _like(F.col("skill"), s))
-    rows = met.unionByName(by_pay.select(*met.columns))
-    return rows.filter(reduce(Column.__and__, [*texts, skilled, _within(F.col("job"), F.col("low"), F.col("high"))]))
+    met = met.filter(reduce(Column.__and__, [*checks, skilled])).select("group", "_salts", *[f"job.{c}" for c in pay])
+    alone = jobs.filter("min_salary IS NOT NULL OR max_salary IS NOT NULL").select(*pay)
+    alone = alone.crossJoin(F.broadcast(bare.join(sizes, "group"))).select(*met.columns)  # one row at most
+
+    spread = met.unionByName(alone).withColumn("_salt", F.pmod(F.xxhash64("place"), F.col("_salts")).cast("int"))
+    rows = spread.join(blocks, ["group", "_salt"]).select(*pay, F.explode("kinds").alias("k"))
+    return rows.filter(_within(F.struct("min_salary", "max_salary"), F.col("k.low"), F.col("k.high"))).select("k.kind", "place")
 
 
 def _within(job: Column, low: Column, high: Column) -> Column:
@@ -169,8 +263,34 @@ def _within(job: Column, low: Column, high: Column) -> Column:
 
 def newest_of(jobs: DataFrame, requests: DataFrame, n: int, found: DataFrame | None = None) -> DataFrame:
     """The `n` newest postings of each request: its columns, `job` and `pos` from 1."""
-    order = [F.desc_nulls_last("job.fetched_at"), F.asc("job.id")]
-    return top_per_key(postings_of(jobs, requests, found), ["request"], order, n, rank="pos")
+    return first_of(jobs, requests, [F.desc_nulls_last("fetched_at"), F.asc("id")], n, found)
+
+
+def best_paid_between(jobs: DataFrame, requests: DataFrame, n: int) -> DataFrame:
+    """The `n` best paid postings inside the bounds (`low`, `high`) of each request: its columns, `job` and `pos` from 1.
+
+    A lower bound only cuts the end of what the upper one allows, so the best are found per upper bound: those of all stretches of
+    upper ends below its own, each reduced to its best `n`, and those of its own stretch one by one.
+    """
+    order = [F.desc("min_salary"), F.asc("id")]
+    paid = jobs.filter("min_salary IS NOT NULL AND max_salary IS NOT NULL").select("id", *LISTING)
+    ends = cut_lineage(top_per_key(paid, ["max_salary"], order, n))
+    shares = [i / STRETCHES_OF_PAY for i in range(1, STRETCHES_OF_PAY)]
+    cuts = sorted(set(ends.agg(F.percentile_approx("max_salary", shares)).first()[0] or []))
+
+    def stretch(value: str) -> Column:
+        return F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col(value)))
+
+    ends = ends.withColumn("stretch", stretch("max_salary"))
+    highs = requests.select("high").filter("high IS NOT NULL").distinct().withColumn("stretch", stretch("high"))
+    below = top_per_key(ends, ["stretch"], order, n).filter(F.col("stretch") < len(cuts))
+    below = below.withColumn("stretch", F.explode(F.sequence(F.col("stretch") + 1, F.lit(len(cuts)))))
+    below = top_per_key(below, ["stretch"], order, n)
+    own = highs.join(ends, "stretch").filter(F.col("max_salary") <= F.col("high"))
+    best = top_per_key(own.unionByName(highs.join(below, "stretch")), ["high"], order, n)
+    best = best.select("high", F.struct("id", *LISTING).alias("job"))
+    met = requests.join(best, "high").filter(F.col("job.min_salary") >= F.col("low")).select(*requests.columns, "job")
+    return top_per_key(met, ["request"], [F.desc("job.min_salary"), F.asc("job.id")], n, rank="pos")
 
 
 # ---- answers as JSON -----------------------------------------------------------------------------
@@ -227,8 +347,16 @@ def answered(jobs: DataFrame, requests: DataFrame, run: Callable[..., DataFrame]
         raise KeyError(f"Unknown aggregation template: {unknown[0]}")
     answers = []
     if filled := [name for name in intents if name in _FILLED]:
-        asked = cut_lineage(as_conditions(requests))
-        answers += _filled_answers(jobs, asked, cut_lineage(matches(jobs, asked)), filled)
+        asked = as_conditions(requests).filter(F.col("request").isNotNull())
+        same = asked.columns[1:]  # all but the request
+        asked = asked.groupBy(*asked.columns).agg(F.count(F.lit(1)).alias("times")).withColumn("kind", _same(*same, "times"))
+        asked = cut_lineage(asked)
+        # requests that ask for the same are answered once
+        once = asked.groupBy(F.col("kind").alias("request")).agg(*[F.first(c).alias(c) for c in (*same, "times")])
+        once = once.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("times")
+        once = cut_lineage(once)
+        found = reduce(DataFrame.unionByName, _filled_answers(jobs, once, cut_lineage(matches(jobs, once)), filled))
+        answers.append(asked.select("request", "kind").join(found.withColumnRenamed("request", "kind"), "kind").select("request", "rows"))
     alike = [rows_json(run(jobs, name)).withColumn("intent", F.lit(name)) for name in intents if name not in _FILLED]
     if alike:
         # one row per template
@@ -248,9 +376,7 @@ def _filled_answers(jobs: DataFrame, asked: DataFrame, found: DataFrame, intents
     if any(name in _NEWEST for name in intents):
         answers.append(to_rows(newest_of(jobs, of(*_NEWEST), LISTED, found), listed(LISTING)))
     if "jobs_between_salary" in intents:
-        between = postings_of(jobs, of("jobs_between_salary"), found)
-        best = top_per_key(between, ["request"], [F.desc_nulls_last("job.min_salary"), F.asc("job.id")], LISTED, rank="pos")
-        answers.append(to_rows(best, listed(LISTING)))
+        answers.append(to_rows(best_paid_between(jobs, of("jobs_between_salary"), LISTED), listed(LISTING)))
     if "jobs_above_salary" in intents:
         # whatever the bound, the best paid above it are the best paid of all
         best = top_n(jobs.filter("min_salary IS NOT NULL").select("id", *LISTING), LISTED, F.desc("min_salary"), F.asc("id"))

@@ -106,3 +106,43 @@ def test_five_thousand_requests_in_one_plan(spark, jobs):
     assert many.join(spark.range(5000).selectExpr("concat('q', id) AS query_id", "id % 2500 AS pattern", "id % 2 AS kind"), "query_id").groupBy("pattern", "kind").agg(
         F.count_distinct("rows").alias("n")
     ).filter("n > 1").isEmpty()
+
+
+CONDITIONS = "request STRING, title STRING, company STRING, location STRING, job_type STRING, skill STRING, low DOUBLE, high DOUBLE"
+
+
+def test_requests_meet_a_few_times_their_rows(spark, monkeypatch):
+    """Requests that fit every posting stop looking once they have theirs; rare ones look at all."""
+    n, kinds, met = 4000, 120, []
+    jobs = spark.range(n).selectExpr(
+        "id", "concat('Clerk ', id % 7) AS title", "IF(id % 5 = 0, NULL, 'Acme') AS company", "'Rome' AS location", "'contract' AS job_type",
+        "CAST(id * 37 % 1000 AS INT) AS min_salary", "CAST(id * 37 % 1000 + id % 3 AS INT) AS max_salary", "'' AS url", "array('sql') AS skills",
+        "IF(id % 11 = 0, NULL, TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(CAST(id % 90 AS INT))) AS fetched_at",
+    )
+    asked = [(f"r{i}", "%lerk%", None, None, None, None, float(i % 60), None if i % 2 else 1000.0 - i) for i in range(kinds)]
+    rare = [("rare", "clerk 3", "acme", None, None, "SQL", 990.0, None), ("none", "clerk 3", "nobody", None, None, None, None, None), ("pay", *[None] * 5, 998.0, 999.0)]
+    inner = Q._met_in
+    monkeypatch.setattr(Q, "FIRST_ROUND", 64)
+    monkeypatch.setattr(Q, "_met_in", lambda *given: met.append(inner(*given).count()) or inner(*given))
+    found = {}
+    for r in Q.newest_of(jobs, spark.createDataFrame(asked + rare, CONDITIONS), 30).orderBy("request", "pos").collect():
+        found.setdefault(r.request, []).append(r.job.id)
+    assert len(met) > 1 and sum(met) < kinds * 30 * Q.GROWTH < kinds * n / 2
+    for name, title, company, _, _, _, low, high in asked[:6] + rare:
+        rows = filter_jobs(jobs if company is None else jobs.filter(F.col("company").ilike(company)), title, low, high)
+        assert found.get(name, []) == [r.id for r in rows.collect()], name
+
+
+def test_best_paid_between_any_bounds(spark, monkeypatch):
+    monkeypatch.setattr(Q, "STRETCHES_OF_PAY", 8)
+    rnd = random.Random(5)
+    jobs = [(i, rnd.choice([None, *range(0, 900, 7)]), rnd.choice([None, *range(0, 1000, 9)])) for i in range(700)]
+    bounds = [(f"r{i}", float(rnd.randrange(-5, 900)), float(rnd.randrange(-5, 1100))) for i in range(80)] + [("all", 0.0, 1e12)]
+    table = spark.createDataFrame(jobs, "id BIGINT, min_salary INT, max_salary INT")
+    table = table.select("id", *[F.col(c) if c.endswith("salary") else F.lit("x").alias(c) for c in LISTING])
+    found = {}
+    for r in Q.best_paid_between(table, spark.createDataFrame(bounds, "request STRING, low DOUBLE, high DOUBLE"), 20).orderBy("request", "pos").collect():
+        found.setdefault(r.request, []).append(r.job.id)
+    for name, low, high in bounds:
+        fits = [(-a, i) for i, a, b in jobs if a is not None and b is not None and a >= low and b <= high]
+        assert found.get(name, []) == [i for _, i in sorted(fits)[:20]], (name, low, high)
