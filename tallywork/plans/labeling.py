@@ -14,6 +14,8 @@ _TOKEN = f"{WORD}+"
 _ALNUM = "^[a-z0-9]"
 # Stands before the first sign of a keyword without letters or digits, where others have their first token.
 _SIGN = "\x00"
+# Up to so many first tokens are looked for before the places in a text become rows.
+MOST_KEYS = 1024
 
 
 # ---- phrases -------------------------------------------------------------------------------------
@@ -42,27 +44,41 @@ def phrase_parts(keywords: DataFrame) -> DataFrame:
     )
 
 
-def _places(texts: DataFrame, longest: int) -> DataFrame:
+def _places(texts: DataFrame, longest: int, wanted: list[str] | None = None) -> DataFrame:
     """Every token of a `text` (lowered) with what stands around it: `key`, `before` (signs, null at the start), `tokens` and `signs`
-    behind it, as many as the longest keyword has. Signs that follow a token have a place of their own under their first one."""
+    behind it, as many as the longest keyword has. Signs that follow a token have a place of their own under their first one.
+
+    With the keys that are `wanted` only their places become rows.
+    """
     split = texts.withColumns({"_t": F.regexp_extract_all("text", F.lit(f"({_TOKEN})"), F.lit(1)), "_s": F.split("text", _TOKEN, -1)})
     kept = [c for c in texts.columns if c != "text"]
-    tokens = split.select(*kept, "_t", "_s", F.posexplode("_t").alias("at", "key")).select(
-        *kept,
-        "key",
-        F.when(F.col("at") > 0, F.get("_s", F.col("at"))).alias("before"),
-        F.slice("_t", F.col("at") + 2, F.lit(longest)).alias("tokens"),
-        F.slice("_s", F.col("at") + 2, F.lit(longest)).alias("signs"),
-    )
+
+    def place(key: Column, at: Column) -> list[Column]:
+        further = [F.slice(c, at + 2, F.lit(longest)) for c in ("_t", "_s")]
+        return [key.alias("key"), F.when(at > 0, F.get("_s", at)).alias("before"), further[0].alias("tokens"), further[1].alias("signs")]
+
+    if wanted is None:
+        tokens = split.select(*kept, "_t", "_s", F.posexplode("_t").alias("at", "key")).select(*kept, *place(F.col("key"), F.col("at")))
+    else:
+        at = F.array_compact(F.transform("_t", lambda t, i: F.when(t.isin(wanted), i)))
+        found = split.select(*kept, "_t", "_s", at.alias("_at")).filter(F.size("_at") > 0)
+        # not exploded beside the arrays, which would be copied for every place
+        places = F.transform("_at", lambda i: F.struct(*place(F.get("_t", i), i)))
+        tokens = found.select(*kept, F.explode(places).alias("p")).select(*kept, "p.*")
+        if not any(key.startswith(_SIGN) for key in wanted):
+            return tokens
     # blanks begin no keyword
-    follow = F.transform(
-        F.slice("_s", F.lit(2), F.size("_s")),
-        lambda s, i: F.struct(s.alias("before"), F.coalesce(F.get("_t", i + 1).rlike(_ALNUM), F.lit(False)).alias("runs_on")),
-    )
+    behind = F.slice("_s", F.lit(2), F.size("_s"))
+
+    def sign(s: Column, i: Column) -> Column:
+        named = F.struct(s.alias("before"), F.coalesce(F.get("_t", i + 1).rlike(_ALNUM), F.lit(False)).alias("runs_on"))
+        return named if wanted is None else F.when(_sign_key(s).isin(wanted), named)
+
+    follow = F.transform(behind, sign) if wanted is None else F.array_compact(F.transform(behind, sign))
     signs = split.select(*kept, F.explode(F.array_distinct(F.filter(follow, lambda f: f["before"].rlike(r"^\S")))).alias("f"))
     signs = signs.select(
         *kept,
-        F.concat(F.lit(_SIGN), F.substring("f.before", 1, 1)).alias("key"),
+        _sign_key(F.col("f.before")).alias("key"),
         F.col("f.before").alias("before"),
         F.when(F.col("f.runs_on"), F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("tokens"),
         F.array().cast("array<string>").alias("signs"),
@@ -70,6 +86,10 @@ def _places(texts: DataFrame, longest: int) -> DataFrame:
     return tokens.unionByName(signs)
 
 
+def _sign_key(signs: Column) -> Column:
+    return F.concat(F.lit(_SIGN), F.substring(signs, 1, 1))
+
+
 def _stands_here() -> Column:
     """Whether the keyword of a joined row stands at its place. The same as `keyword_regex`: signs at its start follow a token at once,
     signs at its end may not run on into a letter or digit."""
@@ -90,13 +110,16 @@ def keyword_hits(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """The columns of `texts` but `text` (lowered), with each `keyword` that stands in it as whole tokens.
 
     Texts are cut into tokens once and meet the keywords on their first token; a phrase is checked on the neighbours that come along,
-    so no text is shuffled or read again. Few keywords go to the tasks; many meet the tokens in a shuffle of these alone.
+    so no text is shuffled or read again. Few keywords go to the tasks; many meet the tokens in a shuffle of these alone. With at most
+    MOST_KEYS first tokens, the places of all others are dropped inside the text, before they are rows.
     """
     known = phrase_parts(keywords.select("keyword").distinct())
     longest = known.agg(F.max(F.size("further"))).first()[0]
     if longest is None:
         return texts.drop("text").withColumn("keyword", F.lit("")).limit(0)
-    places, few = _places(texts, longest + 1), row_bound(known)
+    keys = [row["key"] for row in known.select("key").distinct().limit(MOST_KEYS + 1).collect()]
+    places = _places(texts, longest + 1, keys if len(keys) <= MOST_KEYS else None)
+    few = row_bound(known)
     if few is not None:
         met = bounded_join(places, known, "key", "inner", few)
     else:

@@ -38,3 +38,22 @@ def test_few_and_many_questions_by_one_plan(spark):
     assert many.select("query_id").distinct().count() > 2000
     exchanges = [line for line in many._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
     assert not any("description" in line or "text" in line for line in exchanges)
+
+
+def test_only_places_of_wanted_keys_become_rows(spark, monkeypatch):
+    """Long texts give rows for keywords' first tokens alone, and the hits are those of the way for many keywords."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join([*words, "c++ for node.js", *words])), (2, "c++x (c++) .net node.js"), (3, "nothing"), (4, None), (5, ".net, big data; big  data")]
+    texts = spark.createDataFrame(rows, "id INT, text STRING")
+    keywords = spark.createDataFrame([(k,) for k in ("c++", "node.js", "big data", "++", ".net", "absent")], "keyword STRING")
+    places, seen = L._places, []
+    monkeypatch.setattr(L, "_places", lambda *given: seen.append(places(*given)) or seen[-1])
+
+    def hits():
+        return sorted(tuple(r) for r in L.keyword_hits(texts, keywords).distinct().collect())
+
+    few = hits()
+    assert seen[0].count() < 40
+    monkeypatch.setattr(L, "MOST_KEYS", 0)
+    assert hits() == few and {(1, "c++"), (1, "node.js"), (5, "big data")} <= set(few)
+    assert seen[1].count() > 800
