@@ -32,16 +32,16 @@ def passage_text(text: Column, prefix: str = "passage: ") -> Column:
 def _embed_batches(embedder: Embedder, dim: int, batch: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            keys, texts = rows.column(0), rows.column(1).to_pylist()
-            vectors: list = []
-            for start in range(0, len(texts), batch):
-                vectors.extend(embedder(texts[start : start + batch]))
-            wrong = [len(v) for v in vectors if len(v) != dim]
-            if wrong or len(vectors) != len(texts):
-                raise ValueError(f"embedder returned {len(vectors)} vectors for {len(texts)} texts, widths {wrong[:3]}")
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(vectors, pa.list_(pa.float32()))], names=["text_hash", "embedding"]
-            )
+            # texts and vectors are Python objects for one call at a time, whatever a batch holds
+            for start in range(0, rows.num_rows, batch):
+                part = rows.slice(start, batch)
+                vectors = embedder(part.column(1).to_pylist())
+                wrong = [len(v) for v in vectors if len(v) != dim]
+                if wrong or len(vectors) != part.num_rows:
+                    raise ValueError(f"embedder returned {len(vectors)} vectors for {part.num_rows} texts, widths {wrong[:3]}")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=["text_hash", "embedding"]
+                )
 
     return run
 

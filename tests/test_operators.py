@@ -264,3 +264,19 @@ def test_small_commits_are_folded_by_their_share(spark):
     t.replace_all(spark.range(20_000).selectExpr("CAST(id AS INT) AS k", "uuid() AS v"))
     t.commit(kv(spark, (1, "x")))
     assert not t.fold() and t.fold(share=0.0) and t.read().count() == 20_000
+
+
+def test_embedder_is_asked_call_by_call():
+    """Texts of a large batch become Python objects for one call at a time, and its vectors leave before the next call."""
+    import pyarrow as pa
+
+    from tallywork.operators.embedding import _embed_batches
+
+    calls = []
+    rows = pa.RecordBatch.from_arrays([pa.array([f"k{i}" for i in range(200)]), pa.array([f"t{i}" for i in range(200)])], names=["text_hash", "text"])
+    out = _embed_batches(lambda texts: calls.append(len(texts)) or [[float(t[1:])] for t in texts], 1, 64)(iter([rows]))
+    first = next(out)
+    assert calls == [64] and first.num_rows == 64
+    rest = pa.Table.from_batches([first, *out])
+    assert calls == [64, 64, 64, 8]
+    assert rest.to_pylist() == [{"text_hash": f"k{i}", "embedding": [float(i)]} for i in range(200)]
