@@ -50,6 +50,10 @@ class VersionedTable:
         """The table's columns in their declared types, which readers rely on."""
         return rows.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(self.schema)])
 
+    def _empty(self) -> DataFrame:
+        """No rows, and none that Python workers would be started for; nor is anything joined with them."""
+        return self._typed(self.spark.range(0).select(*[F.lit(None).alias(c) for c in self.columns]))
+
     # -- what is there -------------------------------------------------------------------------------
 
     def _all(self) -> DataFrame | None:
@@ -83,7 +87,7 @@ class VersionedTable:
         """The table now, or as it was before version `before`."""
         rows, commits = self._all(), [c for c in self.commits() if before is None or c.version < before]
         if not commits:
-            return self.spark.createDataFrame([], self.schema)
+            return self._empty()
         last = commits[-1].version
         whole = max((c.version for c in commits if c.kind == WHOLE), default=None)
         changes = [c for c in commits if c.kind == CHANGE and (whole is None or c.version > whole)]
@@ -105,7 +109,7 @@ class VersionedTable:
         """The rows that the commit of `mark` added or replaced."""
         rows = self._all()
         if rows is None:
-            return self.spark.createDataFrame([], self.schema)
+            return self._empty()
         return rows.filter((F.col("_mark") == _digest(mark)) & (F.col("_op") == PUT)).select(*self.columns)
 
     # -- writing -------------------------------------------------------------------------------------
