@@ -44,7 +44,8 @@ _LANDED = (
 
 
 def landed(spark, sf):
-    j, pages = views.jobs(spark, sf), views.table(spark, sf, "pages", spread=True).selectExpr("page_id AS id", "html")
+    pages = views.table(spark, sf, "pages", spread=True).selectExpr("page_id AS id", "html")
+    j = views.jobs(spark, sf, spread=True, among=pages.select("id"))
     rows = j.join(pages, "id")
     return rows.select("id", "title", "company", "location", j["url"], "html").withColumns(
         {"kind": F.expr(_TYPES), "pay": F.expr(_PAY)}
@@ -816,7 +817,7 @@ def _(spark, sf):
     typed = dict(part.split(" ", 1) for part in schemas.JOB.split(", "))
     rows = views.postings(spark, sf).withColumn("id", F.col("id").cast("string"))
     jobs = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(typed[c]).alias(c) for c in schemas.JOB_COLUMNS])
-    S.export_csv(jobs, f"{root}/csv")
+    S.export_csv(jobs, f"{root}/csv", compression="gzip")
     I.reset_from_csv(store, T.csv_to_raw(T.read_csv_rows(spark, f"{root}/csv")), embedding, F.expr(NOW))
     salaries = store.chunks.read().groupBy(F.col("job_id").alias("id")).agg(F.count(F.when(F.col("chunk_type") == "salary", 1)).alias("salary_chunks"))
     return store.jobs.read().join(salaries, "id").select("source_id", "title", "min_salary", "salary_chunks")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 MAX_PAGE = 100
 DEFAULT_PAGE = 20
+# Buckets in which keys are counted to find those that occur once, one bit each.
+BUCKETS = 1 << 27
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
@@ -37,6 +39,34 @@ def latest_wins(df: DataFrame, keys: Sequence[str], sequence: Sequence[str]) ->
     return top_per_key(df, keys, [F.desc_nulls_last(c) for c in sequence], 1)
 
 
+def crowded_buckets(keys: DataFrame) -> DataFrame:
+    """The hash buckets that hold two rows of `keys` or more, as bitmaps (`_word`, `_bits`).
+
+    There are 2^27 buckets, so this is 16 MB at most, whatever the table has. Store it before `with_single` reads it more than once.
+    """
+    bucket = _bucket(*keys.columns)
+    place = {"_word": F.bitmap_bucket_number(bucket), "_bit": F.bitmap_bit_position(bucket)}
+    counts = keys.select(*[c.alias(name) for name, c in place.items()]).groupBy(*place).count().filter(F.col("count") > 1)
+    # few of them are left, which meet by word; bitmaps of single tasks would travel in full
+    return counts.repartition("_word").groupBy("_word").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def with_single(df: DataFrame, keys: Sequence[str], crowded: DataFrame, name: str = "_single") -> DataFrame:
+    """The rows with a mark for those whose key occurs once among the rows that `crowded` was made of.
+
+    No row moves for it. A key without the mark may still occur once, as others can share its bucket.
+    """
+    word, bit = F.bitmap_bucket_number(_bucket(*keys)), F.bitmap_bit_position(_bucket(*keys))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.get(F.array(*[byte.bitwiseAND(F.lit(1 << i)) > 0 for i in range(8)]), F.pmod(bit, F.lit(8)).cast("int"))
+    marked = df.withColumn("_word", word).join(F.broadcast(crowded), "_word", "left")
+    return marked.withColumn(name, F.col("_bits").isNull() | ~is_set).drop("_word", "_bits")
+
+
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) + 1
+
+
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first `n` rows in `order`, which must include a tie key. Runs as TakeOrderedAndProject."""
     return df.orderBy(*order).limit(n)

@@ -17,7 +17,7 @@ from tallywork.functions.postings import content_hash, job_id, merge_skills, pic
 from tallywork.functions.responses import extract_job
 from tallywork.operators.embedding import Embedder, embed_column
 from tallywork.operators.joins import hot_key_join
-from tallywork.operators.ranking import first_seen, latest_wins
+from tallywork.operators.ranking import crowded_buckets, first_seen, latest_wins, with_single
 from tallywork.session import remove_folder, shared_folder
 from tallywork.sinks.tables import Store, chunk_rows, expire_cache, keep_created_at, truncate_and_reload
 from tallywork.sinks.versioned import VersionedTable
@@ -164,7 +164,7 @@ class _Steps:
         self._spark, self._folder = spark, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
     def __call__(self, rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{self._folder}/{name}")
+        rows.write.option("compression", "zstd").parquet(f"{self._folder}/{name}")
         return self._spark.read.schema(rows.schema).parquet(f"{self._folder}/{name}")
 
     def remove(self) -> None:
@@ -193,6 +193,7 @@ def _embedded_chunks(store: Store, jobs: DataFrame, mark: str, embedding: Embedd
         now=now,
         store=_store_vectors(store.embedding_cache, mark),
         tasks=embedding.tasks,
+        keep=steps,
     )
     return chunk_rows(embedded, embedding.model, now)
 
@@ -255,10 +256,16 @@ def reset_from_csv(store: Store, raw: DataFrame, embedding: Embedding, now: Colu
         "created_at": now,
         **{c: empty for c in ("responsibilities", "requirements", "benefits", "skills")},
     }
-    jobs = with_content_hash(raw).select(
-        *[given.get(c, F.lit(None)).cast(typed[c]).alias(c) for c in schemas.JOB_COLUMNS]
-    )
-    truncate_and_reload(store, latest_wins(jobs, ["source", "source_id"], ["content_hash"]), mark)
-    steps = _Steps(store.spark)
+
+    def rows_of(raw: DataFrame) -> DataFrame:
+        return with_content_hash(raw).select(
+            *[given.get(c, F.lit(None)).cast(typed[c]).alias(c) for c in schemas.JOB_COLUMNS]
+        )
+
+    # only postings whose key may occur again travel to meet their like
+    steps, keys = _Steps(store.spark), ["source", "source_id"]
+    marked = with_single(raw, keys, steps(crowded_buckets(raw.select(*keys)), "crowded_keys"))
+    single, others = (rows_of(marked.filter(c).drop("_single")) for c in (F.col("_single"), ~F.col("_single")))
+    truncate_and_reload(store, single.unionByName(latest_wins(others, keys, ["content_hash"])), mark)
     store.chunks.replace_all(_embedded_chunks(store, store.jobs.read(), mark, embedding, now, steps), mark)
     steps.remove()

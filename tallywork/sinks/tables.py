@@ -173,8 +173,11 @@ def truncate_and_reload(store: Store, jobs: DataFrame, mark: str) -> None:
     store.jobs.replace_all(jobs, mark)
 
 
-def export_csv(jobs: DataFrame, path: str) -> None:
-    """All postings as quoted CSV with a header; nulls become empty fields, arrays `, `-joined text."""
+def export_csv(jobs: DataFrame, path: str, compression: str = "none") -> None:
+    """All postings as quoted CSV with a header; nulls become empty fields, arrays `, `-joined text.
+
+    `compression` is a codec of Spark's CSV files, such as gzip, which `read_csv_rows` reads as well.
+    """
     types = dict(jobs.dtypes)
     columns = [
         (F.array_join(name, ", ") if types[name].startswith("array") else F.col(name).cast("string")).alias(header)
@@ -190,6 +193,7 @@ def export_csv(jobs: DataFrame, path: str) -> None:
         .option("nullValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+        .option("compression", compression)
         .csv(path)
     )
 

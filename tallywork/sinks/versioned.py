@@ -121,7 +121,7 @@ class VersionedTable:
             {"_version": F.lit(commit.version).cast("bigint"), "_kind": F.lit(commit.kind), "_mark": F.lit(commit.mark)}
         )
         writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_version", "_kind", "_mark")
-        writer.parquet(f"{self.root}/changes")
+        writer.option("compression", "zstd").parquet(f"{self.root}/changes")
 
     def commit(self, rows: DataFrame, mark: str | None = None, deleted: DataFrame | None = None) -> int:
         """Add or replace the keys of `rows`; drop the keys of `deleted`. Returns the version.

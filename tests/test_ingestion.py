@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.search import DIM, hex_embedder
 from tallywork import schemas
+from tallywork.operators import ranking as R
 from tallywork.operators.embedding import embed_column
 from tallywork.plans import evaluation as E
 from tallywork.plans import ingest as I
@@ -144,6 +145,70 @@ def test_each_text_is_embedded_once(spark):
     assert sorted(texts) == sorted({r.t for r in docs.collect()})
 
 
+def test_texts_that_occur_once_are_embedded_in_place(spark):
+    rows = spark.range(60).selectExpr(
+        "id", "CASE WHEN id % 4 = 0 THEN 'same' WHEN id % 4 = 1 THEN concat('t', id) WHEN id % 8 = 2 THEN concat('c', id) END AS t"
+    )
+    root, seen = tempfile.mkdtemp(), spark.sparkContext.accumulator(0)
+
+    def counting(texts):
+        seen.add(len(texts))
+        return hex_embedder(texts)
+
+    def keep(df, name):
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    now = F.expr(NOW)
+    cached = rows.filter("t LIKE 'c%'").select(
+        F.sha2("t", 256).alias("text_hash"), F.lit("m").alias("model"),
+        F.array_repeat(F.lit(7.0).cast("float"), DIM).alias("embedding"), now.alias("cached_at"),
+    )
+    embedded, fresh = embed_column(
+        rows, "t", counting, "m", ["id"], dim=DIM, cache=cached, now=now, store=lambda vectors: keep(vectors, "vectors"), keep=keep
+    )
+    found = {r.id: (r.t, r.embedding) for r in embedded.collect()}
+    texts = {r.id: r.t for r in rows.collect()}
+    assert len(found) == embedded.count() == 60 and {i: t for i, (t, _) in found.items()} == texts
+    new = {t for t in texts.values() if t and t[0] != "c"}
+    plain = dict(zip(sorted(new), map(list, hex_embedder(sorted(new))), strict=True))
+    for t, vector in found.values():
+        assert vector is None if t is None else vector == ([7.0] * DIM if t[0] == "c" else plain[t])
+    assert fresh.count() == len(new) == seen.value
+    # only the repeated text and the cached ones are left to travel
+    assert spark.read.parquet(f"{root}/single_texts").count() == len(new) - 1
+
+
+def test_keys_that_occur_once_are_told_apart(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), (None, 4), (None, 5), ("c", None)], "k STRING, n INT")
+    marks = R.with_single(rows, ["k"], R.crowded_buckets(rows.select("k")))
+    assert {(r.k, r.n): r._single for r in marks.collect()} == {
+        ("a", 1): False, ("b", 2): True, ("a", 3): False, (None, 4): False, (None, 5): False, ("c", None): True,
+    }
+    many = spark.range(3000).selectExpr("id", "id % 2000 AS k")
+    marks = R.with_single(many, ["k"], R.crowded_buckets(many.select("k"))).filter("_single")
+    assert marks.filter("k < 1000").isEmpty() and marks.count() > 990
+
+
+def test_reload_moves_no_posting_whose_key_occurs_once(spark):
+    root = tempfile.mkdtemp()
+    store = S.Store(spark, f"{root}/store")
+    rows = [(f"s{n % 25}", "x", f"title {n}", "c", None, "d " * n, "u", None, None, n, None, None, None) for n in range(30)]
+    raw = spark.createDataFrame(rows, schemas.RAW_JOB)
+    moved = []
+    latest = I.latest_wins
+    I.latest_wins = lambda df, *more: (moved.append(df.count()), latest(df, *more))[1]
+    try:
+        I.reset_from_csv(store, raw, EMBEDDING, F.expr(NOW))
+    finally:
+        I.latest_wins = latest
+    jobs = store.jobs.read()
+    assert moved == [10] and jobs.count() == 25
+    hashes = {r.source_id: r.content_hash for r in jobs.collect()}
+    every = I.with_content_hash(raw).groupBy("source_id").agg(F.max("content_hash").alias("h")).collect()
+    assert hashes == {r.source_id: r.h for r in every}
+
+
 def test_csv(spark):
     folder = tempfile.mkdtemp()
     with open(f"{folder}/a.csv", "w", newline="") as f:
