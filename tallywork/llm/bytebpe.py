@@ -19,13 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallywork.llm.common import in_pieces, per_process, read_vocabulary
-from tallywork.llm.segments import IDS, TextEncoder, pieces
+from tallywork.llm.common import gathered, in_pieces, per_process, read_vocabulary
+from tallywork.llm.segments import BEHIND_ROOM, IDS, BatchEncoder, TextEncoder, pieces
 
 # A transducer with more states, or more of what it knows of them, starts anew; some 1,500 bytes each.
 MAX_STATES = 80_000
 # Pairs of tokens, and ends of tokens, whose merges are remembered.
-MAX_PAIRS = 150_000
+MAX_PAIRS = 50_000
 MAX_EDGES = 20_000
 # With at most this many tokens to close it, a hypothesis keeps the forbidden ones in place of the token before it.
 FEW = 96
@@ -302,10 +302,11 @@ def _token_list(ranks: dict[bytes, int]) -> list[bytes]:
     return tokens
 
 
-def _segments(path: str, vocabulary: bytes) -> tuple[TextEncoder, TokenDecoder]:
-    def make() -> tuple[TextEncoder, TokenDecoder]:
+def _segments(path: str, vocabulary: bytes) -> tuple[BatchEncoder, TokenDecoder]:
+    def make() -> tuple[BatchEncoder, TokenDecoder]:
         segments = RankSegments(vocabulary)
-        return TextEncoder(pieces, segments.encode, segments.word), TokenDecoder(_token_list(segments.ranks))
+        texts = TextEncoder(pieces, segments.encode, segments.word, BEHIND_ROOM)
+        return BatchEncoder(texts), TokenDecoder(_token_list(segments.ranks))
 
     return per_process(("byte bpe", path, len(vocabulary)), make)
 
@@ -334,9 +335,8 @@ def _round_trip(docs: DataFrame, path: str, id_column: str, text_column: str, ba
         encoder, decoder = _segments(path, vocabulary.value)
 
         def each() -> Iterator[tuple]:
-            for batch in batches:
-                for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = encoder.encode(text or "")
+            for batch in gathered(batches):
+                for key, ids in zip(batch.column("key").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                     yield (key, len(ids) // 4, ids) + ((decoder.decode(ids).encode(),) if back else ())
 
         return in_pieces(each(), out, lambda row: sum(len(x) for x in row[2:]))

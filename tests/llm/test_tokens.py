@@ -6,6 +6,7 @@ import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -103,6 +104,55 @@ def test_library_segments_equal_the_library(library):
         assert np.frombuffer(encoder.encode(text), segments.IDS).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def mixed_texts():
+    rnd = random.Random(8)
+    mixed = ["".join(rnd.choices([*ODD, "word", "Bär", *" " * 12], k=30)) for _ in range(1000)]
+    return [*texts(1000), *mixed, "", None, " ", " a", "a ", "x <|endoftext|> y", "a" * 100 + " b", "漢 " * 50]
+
+
+@pytest.mark.parametrize("room", [0, 50, 100_000])
+def test_batches_equal_the_library(library, room):
+    own = segments.LibrarySegments(open(JSON, "rb").read())
+    encoder = segments.BatchEncoder(segments.TextEncoder(own.match, own.encode, own.word, room=50), room)
+    rows = mixed_texts()
+    for start in range(0, len(rows), 700):
+        some = rows[start : start + 700]
+        for text, ids in zip(some, encoder.encode(pa.array(some, pa.string())), strict=True):
+            assert np.frombuffer(ids, segments.IDS).tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert list(encoder.encode(pa.array([], pa.string()))) == []
+
+
+def test_batches_equal_tiktoken(plain):
+    own = bytebpe.RankSegments(open(MULTI, "rb").read())
+    encoder = segments.BatchEncoder(segments.TextEncoder(segments.pieces, own.encode, own.word, room=50), 50)
+    rows = mixed_texts()
+    for text, ids in zip(rows, encoder.encode(pa.array(rows, pa.string())), strict=True):
+        assert np.frombuffer(ids, segments.IDS).tolist() == plain.encode_ordinary(text or ""), repr(text)
+
+
+def test_batches_encode_each_match_once(library):
+    own, asked = segments.LibrarySegments(open(JSON, "rb").read()), []
+    single = segments.TextEncoder(own.match, lambda m: asked.append(m) or own.encode(m), lambda w: asked.append(" " + w) or own.word(w))
+    encoder = segments.BatchEncoder(single)
+    for _ in range(2):
+        list(encoder.encode(pa.array(["a bird, a bird!", "a bird.\nA bird; bird"])))
+    behind = [match for match in asked if match.startswith(" ")]
+    assert sorted(behind) == [" a", " bird"]
+
+
+def test_workers_memory_is_bounded():
+    """What a worker keeps per different word; two generations of a dictionary took some 400 bytes."""
+    own = segments.LibrarySegments(open(JSON, "rb").read())
+    encoder = segments.BatchEncoder(segments.TextEncoder(own.match, own.encode, own.word, room=10), 5000)
+    letters = np.array(list("abcdefghijklmnop"))
+    for batch in range(5):
+        words = ["".join(letters[[i >> s & 15 for s in range(0, 20, 4)]]) for i in range(batch * 4000, batch * 4000 + 4000)]
+        list(encoder.encode(pa.array([" ".join(["x", *words])])))
+    known = encoder._matches
+    assert len(known._texts) == len(known._sizes) == 5000 and known._sizes.sum() == len(known._ids)
+    assert pa.concat_arrays([known._texts]).nbytes + known._ids.nbytes + known._sizes.nbytes < 60 * 5000
+
+
 def files(spark, docs, **parameters):
     folder = f"{tempfile.mkdtemp()}/ids"
     binary.write(docs, folder, JSON, **parameters)
