@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywork.llm.common import forget, in_pieces, per_process, read_vocabulary, running_total, settings, staged
-from tallywork.llm.segments import IDS, LibrarySegments, TextEncoder
+from tallywork.llm.common import forget, gathered, in_pieces, per_process, read_vocabulary, running_total, settings, staged
+from tallywork.llm.segments import BEHIND_ROOM, IDS, BatchEncoder, LibrarySegments, TextEncoder
 from tallywork.operators.joins import bounded_join, row_bound
 
 # The dictionary is trained on at most this many documents (those of the lowest hash), of each at most this many ids.
@@ -42,12 +42,12 @@ SHARD = (
 DICTIONARY = "hash STRING, content BINARY"
 
 
-def encoder(path: str, vocabulary: bytes) -> TextEncoder:
+def encoder(path: str, vocabulary: bytes) -> BatchEncoder:
     """The worker's encoder by the tokenizers library."""
 
-    def make() -> TextEncoder:
+    def make() -> BatchEncoder:
         segments = LibrarySegments(vocabulary)
-        return TextEncoder(segments.match, segments.encode, segments.word)
+        return BatchEncoder(TextEncoder(segments.match, segments.encode, segments.word, BEHIND_ROOM))
 
     return per_process(("library", path, len(vocabulary)), make)
 
@@ -62,9 +62,9 @@ def _encoded(docs: DataFrame, path: str, end_id: int | None, finish: Callable[[]
         texts, finished = encoder(path, vocabulary.value), finish()
 
         def each() -> Iterator[tuple]:
-            for batch in batches:
-                for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    ids = texts.encode(text or "") + end
+            for batch in gathered(batches):
+                for key, ids in zip(batch.column("key").to_pylist(), texts.encode(batch.column("text")), strict=True):
+                    ids += end
                     yield key, len(ids) // 4, finished(ids)
 
         return in_pieces(each(), out, lambda row: len(row[2]))
