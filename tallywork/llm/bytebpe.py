@@ -22,11 +22,16 @@ from pyspark.sql import DataFrame
 from tallywork.llm.common import gathered, in_pieces, per_process, read_vocabulary
 from tallywork.llm.segments import BEHIND_ROOM, IDS, BatchEncoder, TextEncoder, pieces
 
-# A transducer with more states, or more of what it knows of them, starts anew; some 1,500 bytes each.
+# A transducer with more states, or four times as many steps, starts anew; some 1,000 bytes each.
 MAX_STATES = 80_000
+# Sets of forbidden tokens outlast the states, as they take long to find; some 200 bytes each.
+MAX_FORBIDDEN = 100_000
 # Pairs of tokens, and ends of tokens, whose merges are remembered.
 MAX_PAIRS = 50_000
 MAX_EDGES = 20_000
+# Bytes of text that are encoded or handed back at a time, and matches whose ids are kept, so that a worker stays small beside the JVM.
+STEP_BYTES = 1 << 20
+MATCHES_ROOM = 150_000
 # With at most this many tokens to close it, a hypothesis keeps the forbidden ones in place of the token before it.
 FEW = 96
 _NEVER = 1 << 60
@@ -103,18 +108,20 @@ class Merges:
         known = self._fits.get(key)
         if known is not None:
             return known
-        ranks, free = self.ranks, True
-        right_edge = self._edge_of(self._right, right, 0)
+        if len(self._fits) > MAX_PAIRS:
+            self._fits.clear()
+        free = self._fits[key] = self._is_free(left, right)
+        return free
+
+    def _is_free(self, left: bytes, right: bytes) -> bool:
+        rank_of, right_edge = self.ranks.get, self._edge_of(self._right, right, 0)
         for a, a_comes, a_goes in self._edge_of(self._left, left, 1):
             for b, b_comes, b_goes in right_edge:
-                rank = ranks.get(a + b)
+                rank = rank_of(a + b)
                 # of equal ranks the leftmost pair goes first
                 if rank is not None and (due := max(rank, a_comes, b_comes)) < a_goes and due <= b_goes:
-                    free = False
-        if len(self._fits) > MAX_PAIRS:
-            self._fits.clear()
-        self._fits[key] = free
-        return free
+                    return False
+        return True
 
 
 class Transducer:
@@ -122,6 +129,9 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
+        self._forbidden: dict[tuple[bytes, bytes], frozenset[bytes]] = {}
+        # the few different ones among the many sets of forbidden tokens
+        self._sets: dict[frozenset[bytes], frozenset[bytes]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -130,7 +140,6 @@ class Transducer:
         # by 256 times the state plus the byte
         self._steps: dict[int, tuple[int, bytes]] = {}
         self._ends: list[bytes] = []
-        self._forbidden: dict[tuple[bytes, bytes], frozenset[bytes]] = {}
         self._number(((frozenset(), b"", ()),))
 
     def _number(self, state: tuple) -> int:
@@ -149,14 +158,17 @@ class Transducer:
         if longer is None:
             return before
         if isinstance(before, frozenset):
-            return before.intersection(longer) if before else before
+            return self._shared(before.intersection(longer)) if before else before
         key = (before, since)
         known = self._forbidden.get(key)
         if known is None:
             fits = self.merges.fits
-            known = self._forbidden[key] = frozenset(t for t in longer if not fits(before, t))
+            known = self._forbidden[key] = self._shared(frozenset(t for t in longer if not fits(before, t)))
         return known
 
+    def _shared(self, tokens: frozenset[bytes]) -> frozenset[bytes]:
+        return self._sets.setdefault(tokens, tokens)
+
     def _step(self, number: int, byte: int) -> tuple[int, bytes]:
         merges, after = self.merges, []
         for before, since, held in self._states[number]:
@@ -178,8 +190,11 @@ class Transducer:
         return step
 
     def run(self, text: bytes) -> bytes:
-        if len(self._states) > MAX_STATES or max(len(self._forbidden), len(self._steps)) > 4 * MAX_STATES:
+        if len(self._states) > MAX_STATES or len(self._steps) > 4 * MAX_STATES:
             self._reset()
+        if max(len(self._forbidden), len(self._sets)) > MAX_FORBIDDEN:
+            self._forbidden.clear()
+            self._sets.clear()
         known, at, out = self._steps.get, 0, []
         for byte in text:
             step = known(at | byte) or self._step(at >> 8, byte)
@@ -195,12 +210,12 @@ class RankSegments:
 
     def __init__(self, vocabulary: bytes):
         self.ranks = read_ranks(vocabulary)
-        self._whole = {token: rank.to_bytes(4, "little") for token, rank in self.ranks.items()}
         self._transducer = Transducer(self.ranks)
 
     def encode(self, match: str) -> bytes:
         text = match.encode()
-        return self._whole.get(text) or self._transducer.run(text)
+        rank = self.ranks.get(text)
+        return self._transducer.run(text) if rank is None else rank.to_bytes(4, "little")
 
     def word(self, word: str) -> bytes:
         return self.encode(" " + word)
@@ -306,7 +321,7 @@ def _segments(path: str, vocabulary: bytes) -> tuple[BatchEncoder, TokenDecoder]
     def make() -> tuple[BatchEncoder, TokenDecoder]:
         segments = RankSegments(vocabulary)
         texts = TextEncoder(pieces, segments.encode, segments.word, BEHIND_ROOM)
-        return BatchEncoder(texts), TokenDecoder(_token_list(segments.ranks))
+        return BatchEncoder(texts, MATCHES_ROOM), TokenDecoder(_token_list(segments.ranks))
 
     return per_process(("byte bpe", path, len(vocabulary)), make)
 
@@ -335,11 +350,11 @@ def _round_trip(docs: DataFrame, path: str, id_column: str, text_column: str, ba
         encoder, decoder = _segments(path, vocabulary.value)
 
         def each() -> Iterator[tuple]:
-            for batch in gathered(batches):
+            for batch in gathered(batches, STEP_BYTES):
                 for key, ids in zip(batch.column("key").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                     yield (key, len(ids) // 4, ids) + ((decoder.decode(ids).encode(),) if back else ())
 
-        return in_pieces(each(), out, lambda row: sum(len(x) for x in row[2:]))
+        return in_pieces(each(), out, lambda row: sum(len(x) for x in row[2:]), STEP_BYTES)
 
     kinds = f"key BIGINT, n_tokens BIGINT, ids BINARY{', decoded BINARY' * back}"
     return rows.mapInArrow(run, kinds).withColumnRenamed("key", id_column)

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tallywork.llm import attribution, binary, bytebpe, queries, segments
+from tallywork.llm import attribution, binary, bytebpe, common, queries, segments
 from support import DOCUMENT, EDGE, JSON, MULTI, SF, documents
 
 ODD = ["a", "B", " ", "  ", "\n", " \n", "\t", "é", "漢", "🙂", "'s", "'ll", "1", "22", "..", "!!", "ing", "the", "́", "\x00", "‍", "ع", "　", "\x1c", "\x85"]
@@ -54,6 +54,32 @@ def test_transducer_forgets_states(monkeypatch, plain):
         assert np.frombuffer(encoder.encode(text), segments.IDS).tolist() == plain.encode_ordinary(text)
 
 
+def test_transducer_bounds_forbidden_sets(monkeypatch, plain):
+    """Equal sets are kept once, beyond the states' reset, and are forgotten by a bound of their own."""
+    monkeypatch.setattr(bytebpe, "MAX_STATES", 200)
+    monkeypatch.setattr(bytebpe, "MAX_FORBIDDEN", 100, raising=False)
+    own, most = bytebpe.RankSegments(open(MULTI, "rb").read()), 0
+    encoder = segments.TextEncoder(segments.pieces, own.encode, own.word, room=50)
+    for text in texts(1000)[:1000]:
+        assert np.frombuffer(encoder.encode(text), segments.IDS).tolist() == plain.encode_ordinary(text), repr(text)
+        known = own._transducer._forbidden
+        assert len({id(tokens) for tokens in known.values()}) == len(set(known.values()))
+        most = max(most, len(known))
+    # one match is looked at whole before sets are forgotten
+    assert 100 < most < 200
+
+
+def test_large_batches_are_cut_in_order():
+    """A worker's arrays are several times the text it takes at once, so a batch above the wanted size goes in parts."""
+    sizes = [10, 3, 0, 300, 1, 40, 40, 40]
+    kinds = pa.schema([("key", pa.int64()), ("text", pa.string())])
+    rows = [pa.record_batch([list(range(n)), ["x" * (n + i % 7) for i in range(n)]], kinds) for n in sizes]
+    parts = list(common.gathered(iter(rows), 5000))
+    back = pa.Table.from_batches(parts).to_pylist()
+    assert back == pa.Table.from_batches(rows).to_pylist()
+    assert max(part.nbytes for part in parts) < 2 * 5000 + 1000 and min(part.nbytes for part in parts[:-1]) >= 5000
+
+
 def test_fits_is_what_merging_says(ranks):
     merges, rnd = bytebpe.Merges(ranks), random.Random(4)
     tokens = sorted(t for t in ranks if len(t) < 7)
